@@ -99,20 +99,21 @@ def model_cascade(generate: Callable[[str, str, str], dict], preferences: list[t
     return lambda prompts: prompts.select("url_hash", "prompt").mapInPandas(attempts, ATTEMPTS)
 
 
+WORD = r"(?:^|[^\p{L}])(?:%s)(?:$|[^\p{L}])"
 # Stand-in vocabulary of the offline tagger, most specific first.
 TOPIC_WORDS = {
     "Producer prices": "producer price", "Import prices": "import price", "Export prices": "export price",
-    "Consumer prices": "consumer price|hicp|inflation", "GDP": r"\bgdp\b|gross domestic product|\bpil\b",
+    "Consumer prices": "consumer price|hicp|inflation", "GDP": WORD % "gdp|gross domestic product|pil",
     "Industrial production": "industrial production", "Services production": "services production",
     "International trade": "trade balance|foreign trade|international trade",
     "Labour market": "unemployment|employment|labour", "Public finance": "government debt|deficit",
     "Retail trade": "retail", "Construction": "construction|building", "Business surveys": "confidence|survey",
 }
 COUNTRY_WORDS = {
-    "Euro area": r"euro area|\beu\b", "Italy": "ital", "Spain": "spain|españa", "France": "franc",
+    "Euro area": WORD % "euro area|eu", "Italy": "ital", "Spain": "spain|españa", "France": "franc",
     "Germany": "german|deutsch", "Ireland": "ireland|irish",
 }
-RISE, FALL = r"\b(?:rose|rise|rises|increase|increased|grew|up)\b", r"\b(?:fell|fall|falls|decrease|decreased|shrank|down)\b"
+RISE, FALL = WORD % "rose|rise|rises|increase|increased|grew|up", WORD % "fell|fall|falls|decrease|decreased|shrank|down"
 FIGURE = r"[+-]?\d+(?:[.,]\d+)*\s?%"
 
 

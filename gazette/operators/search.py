@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gazette.functions.display import MARKET_SOURCE, source_name
+from gazette.schemas import MONTH, UNDATED
 
 RAW_FIELDS = ("publisher",)
 PROCESSED_FIELDS = ("publisher", "topic", "country", "sentiment")
@@ -36,21 +37,25 @@ def parse_day(text: str | None) -> dt.datetime | None:
         return None
 
 
-def _bound(stamp: DataFrame, name: str, value: dt.datetime) -> Column:
-    return F.lit(value).cast(stamp.schema[name].dataType)
+def _bound(rows: DataFrame, name: str, value: dt.datetime) -> Column:
+    return F.lit(value).cast(rows.schema[name].dataType)
 
 
 def date_range(rows: DataFrame, stamp: str, date_from: dt.datetime | None, date_to: dt.datetime | None, inclusive_to: bool) -> DataFrame:
     """Range on a stamp; each side optional. Nulls match no bound. The range reaches the Parquet scan.
 
-    ``inclusive_to`` takes the whole named day in, otherwise the day of ``date_to`` is out.
+    ``inclusive_to`` takes the whole named day in, otherwise the day of ``date_to`` is out. A table laid out by month
+    is pruned to the folders of the range.
     """
+    by_month = stamp == "published" and MONTH in rows.columns
     if date_from:
         rows = rows.where(F.col(stamp) >= _bound(rows, stamp, date_from))
+        rows = rows.where((F.col(MONTH) >= f"{date_from:%Y-%m}") & (F.col(MONTH) != UNDATED)) if by_month else rows
     if date_to:
         end = date_to.replace(hour=0, minute=0, second=0, microsecond=0)
         end = end + dt.timedelta(days=1) if inclusive_to else end
         rows = rows.where(F.col(stamp) < _bound(rows, stamp, end))
+        rows = rows.where(F.col(MONTH) <= f"{end:%Y-%m}") if by_month else rows
     return rows
 
 

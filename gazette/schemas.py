@@ -36,6 +36,8 @@ PRESS_RELEASES = struct(
     " feed_label string, language string, published timestamp, fetched_at timestamp, tags strings, ingest_seq seq",
     seq=INGEST_SEQ,
 )
+# Layout column of the release tables: month of publication.
+MONTH, UNDATED = "pub_month", "undated"
 PROCESSED = struct(
     "url_hash string, url string, title string, publisher string, publisher_full string, feed_label string,"
     " language string, published timestamp, fetched_at timestamp, processed_at timestamp, processing_model string,"

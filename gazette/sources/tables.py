@@ -14,10 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gazette import schemas
-
-MONTH = "pub_month"
-UNDATED = "undated"
-
+from gazette.schemas import MONTH, UNDATED
 
 @dataclass(frozen=True)
 class Store:

@@ -37,7 +37,7 @@ def file_stream(spark: SparkSession, path: str, schema: T.StructType, max_files:
     return reader.parquet(path)
 
 
-def _start(writer: DataStreamWriter, checkpoint: str, every: str | None) -> object:
+def start(writer: DataStreamWriter, checkpoint: str, every: str | None) -> object:
     """``every`` such as ``5 minutes``; without it, what is there is processed and the stream ends."""
     trigger = {"processingTime": every} if every else {"availableNow": True}
     return writer.option("checkpointLocation", checkpoint).trigger(**trigger).start()
@@ -53,7 +53,7 @@ def ingest_stream(
         ingest(rows, load_feeds(), store, f"stream-{batch_id}", clock())
 
     source = file_stream(spark, landing, schemas.LANDING_FEED, max_files)
-    return _start(source.writeStream.foreachBatch(batch), checkpoint, every)
+    return start(source.writeStream.foreachBatch(batch), checkpoint, every)
 
 
 def enrich_stream(
@@ -66,7 +66,7 @@ def enrich_stream(
         enrich(store, load_pages(), extract, f"stream-{batch_id}", clock(), among=rows)
 
     source = file_stream(spark, store.path("press_releases"), with_month(schemas.PRESS_RELEASES), max_files)
-    return _start(source.writeStream.foreachBatch(batch), checkpoint, every)
+    return start(source.writeStream.foreachBatch(batch), checkpoint, every)
 
 
 def collect_stream(
@@ -79,7 +79,7 @@ def collect_stream(
         calendar_plan.collect_once(rows, store, f"stream-{batch_id}", clock())
 
     source = file_stream(spark, landing, schemas.LANDING_CALENDAR, max_files)
-    return _start(source.writeStream.foreachBatch(batch), checkpoint, every)
+    return start(source.writeStream.foreachBatch(batch), checkpoint, every)
 
 
 def dedup_stream(source: DataFrame, target: str, key: str, order: str, checkpoint: str, every: str | None = None):
@@ -89,7 +89,7 @@ def dedup_stream(source: DataFrame, target: str, key: str, order: str, checkpoin
         stored = read(rows.sparkSession, target, rows.schema)
         insert_if_absent(rows, stored, key, order).write.mode("append").parquet(target)
 
-    return _start(source.writeStream.foreachBatch(batch), checkpoint, every)
+    return start(source.writeStream.foreachBatch(batch), checkpoint, every)
 
 
 def horizon_dedup(source: DataFrame, key: str, stamp: str, horizon: str) -> DataFrame:
@@ -108,6 +108,6 @@ def status_stream(spark: SparkSession, store: Store, sink: Callable[[DataFrame,
     """Live status: whenever a pipeline records a run, its latest row goes to the sink."""
     log = file_stream(spark, store.path("status"), schemas.STATUS)
     latest = latest_stream(log, "key", "last_run", ["status", "details"])
-    return _start(latest.writeStream.outputMode("update").foreachBatch(sink), checkpoint, every)
+    return start(latest.writeStream.outputMode("update").foreachBatch(sink), checkpoint, every)
 
 
