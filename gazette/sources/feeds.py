@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from gazette.functions import dates, keys, text
 from gazette.functions.sqltext import raw
 from gazette.schemas import struct
+from gazette.sources.landing import pin, spread
 
 # One item shape covers the three dialects: what a dialect lacks is null.
 LINKS = T.ArrayType(struct("_VALUE string, _href string, _rel string"))
@@ -37,7 +38,7 @@ def read_items(landing: DataFrame, body: str = "body") -> DataFrame:
     ampersands repaired, so one bad item does not lose its neighbours. What is still unread has a ``fault``.
     """
     kept = [f"`{name}`" for name in landing.columns if name != body]
-    source = landing.select(*kept, text.xml_safe(F.col(body)).alias("_body"))
+    source = spread(landing).select(*kept, text.xml_safe(F.col(body)).alias("_body"))
     parsed = source.withColumn("_feed", F.from_xml("_body", FEED)).selectExpr(
         *kept, "_body", "coalesce(_feed.channel.item, _feed.item, _feed.entry) AS _whole",
         f"_body = '' OR _feed IS NULL OR _feed.{BROKEN} IS NOT NULL AS _broken",
@@ -60,11 +61,11 @@ def read_items(landing: DataFrame, body: str = "body") -> DataFrame:
         *kept, "entry_pos", "_raw", "_piece._block AS _block",
         f"coalesce(_piece._item, if(_mended.{BROKEN} IS NULL AND _mended IS NOT NULL, named_struct({fields}), NULL)) AS item",
     )
-    return read.selectExpr(
+    return pin(read.selectExpr(
         *kept, "entry_pos", "item",
         "CASE WHEN item IS NULL THEN if(_block IS NULL, 'feed_not_parsed', 'item_not_parsed') END AS fault",
         "if(item IS NULL, coalesce(_block, _raw), NULL) AS raw",
-    )
+    ), "fault")
 
 
 def _first(*names: str) -> str:
@@ -103,7 +104,7 @@ def normalise(items: DataFrame) -> DataFrame:
     )
     stamped = dates.with_publication_stamp(fields, "_published", "_updated", "_created", "fetched_at", "published")
     dated = dates.with_title_date(stamped, "_title", "published")
-    return dated.select(
+    return pin(dated.select(
         *kept,
         F.expr("coalesce(fault, if(url IS NULL, 'no_url', NULL)) AS fault"),
         F.expr("coalesce(raw, if(url IS NULL, _title, NULL)) AS raw"),
@@ -112,7 +113,7 @@ def normalise(items: DataFrame) -> DataFrame:
         text.title_or_placeholder(text.clean_text(F.col("_title"))).alias("title"),
         text.clean_text(F.col("_summary")).alias("summary"),
         "published", "tags",
-    )
+    ), "fault")
 
 
 def to_releases(entries: DataFrame, feeds: DataFrame) -> DataFrame:

@@ -11,23 +11,24 @@ from gazette.functions import dates, text
 from gazette.functions.sqltext import group, lookup, raw
 from gazette.functions.htmltext import element_with_class, inner_html, node_text, with_class
 from gazette.operators.carry import carry_forward
+from gazette.sources.landing import pin, spread
 
 TABLE_ROW = r"(?is)<tr\b[^>]*>(.*?)(?=<tr\b|</tr\s*>|</table\s*>|$)"
 TABLE_CELL = r"(?is)<t[dh]\b[^>]*>(.*?)(?=<t[dh]\b|</t[dh]\s*>|$)"
 
 
 def _release_columns(rows: DataFrame, kept: list[str], fault: Column, raw: str) -> DataFrame:
-    return rows.select(
+    return pin(rows.select(
         *kept, "item_pos", "title", "release_dt", "reference_period", F.lit(None).cast("string").alias("url"),
         fault.alias("fault"), F.when(fault.isNotNull(), F.col(raw)).alias("raw"),
-    )
+    ), "fault")
 
 
 def parse_event_list(landing: DataFrame) -> DataFrame:
     """German event list: one block per result with a heading and labelled meta items (period, issue date)."""
     kept = [name for name in landing.columns if name != "body"]
     pieces = F.split("body", rf"(?i){with_class('c-result--event-preview', 'div')}")
-    blocks = landing.select(*kept, F.posexplode(F.slice(pieces, F.lit(2), F.greatest(F.size(pieces), F.lit(1)))).alias("item_pos", "block"))
+    blocks = spread(landing).select(*kept, F.posexplode(F.slice(pieces, F.lit(2), F.greatest(F.size(pieces), F.lit(1)))).alias("item_pos", "block"))
     metas = F.transform(
         F.regexp_extract_all("block", F.lit(element_with_class("c-result-meta__item")), F.lit(2)),
         lambda item: F.trim(F.replace(F.regexp_replace(item, r"(?sU)\s*<[^>]*>\s*", ""), F.lit("ICS/iCal"), F.lit(""))),
@@ -57,7 +58,7 @@ def parse_event_list(landing: DataFrame) -> DataFrame:
 def parse_embargo_table(landing: DataFrame, as_of: dt.date) -> DataFrame:
     """French table rows: ``title … 14 août à 8h45``; adds ``year_inferred`` where the year was moved ahead."""
     kept = [name for name in landing.columns if name != "body"]
-    rows = landing.select(
+    rows = spread(landing).select(
         *kept, F.posexplode(F.regexp_extract_all("body", F.lit(TABLE_ROW), F.lit(1))).alias("item_pos", "row")
     )
     edges = r"(?sU)\s*<[^>]*>\s*|^\s+|\s+$"
@@ -106,7 +107,7 @@ def parse_market_pages(landing: DataFrame, page: list[str], year: str, currency:
     kept = [name for name in landing.columns if name != "body"]
     tables = F.regexp_extract_all("body", F.lit(element_with_class("calendar__table", "table")), F.lit(2))
     rows = F.flatten(F.transform(tables, lambda table: F.regexp_extract_all(table, F.lit(TABLE_ROW), F.lit(1))))
-    listed = landing.select(*kept, F.posexplode(rows).alias("row_no", "row"))
+    listed = spread(landing).select(*kept, F.posexplode(rows).alias("row_no", "row"))
 
     def cell_sql(name: str) -> str:
         return group("row", rf"(?is){with_class(f'calendar__{name}', 'td')}(.*?)(?=<td\b|</td\s*>|$)", 2)
@@ -125,13 +126,13 @@ def parse_market_pages(landing: DataFrame, page: list[str], year: str, currency:
             ("time", "release_dt_orig"), ("actual", "actual"), ("forecast", "forecast"), ("previous", "previous"))],
     )
     dated = carry_forward(read, page, "row_no", "date_text", chunk=None)
-    events = dated.where((F.col("currency") == currency) & (F.col("title") != ""))
+    events = pin(dated, "title").where((F.col("currency") == currency) & (F.col("title") != ""))
     timed = events.withColumn(
         "release_dt", F.expr(dates.market_date_to_utc("date_text", "release_dt_orig", year))
     )
     fault = F.when(F.col("date_text").isNull(), "no_start").when(F.col("release_dt").isNull(), "bad_date")
-    return timed.select(
+    return pin(timed.select(
         *kept, F.col("row_no").alias("item_pos"), "title", "release_dt", "release_dt_orig", "impact", "currency",
         "actual", "forecast", "previous", fault.alias("fault"),
         F.when(fault.isNotNull(), F.concat_ws(" | ", "date_text", "release_dt_orig", "title")).alias("raw"),
-    )
+    ), "fault")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gazette.functions import dates, text
+from gazette.sources.landing import pin, spread
 
 REGIONS = (
     "Africa", "America", "Antarctica", "Arctic", "Asia", "Atlantic", "Australia", "Etc", "Europe", "Indian", "Pacific",
@@ -56,7 +57,7 @@ def reference_period(description: Column) -> Column:
 def parse_ics(landing: DataFrame, sources: DataFrame) -> DataFrame:
     """Landing bodies joined to their source's zone and default hour, one row per event."""
     kept = [name for name in landing.columns if name != "body"]
-    events = landing.select(*kept, F.posexplode(event_blocks(F.col("body"))).alias("item_pos", "block"))
+    events = spread(landing).select(*kept, F.posexplode(event_blocks(F.col("body"))).alias("item_pos", "block"))
     start = property_pattern("DTSTART")
     zone = F.regexp_extract(F.regexp_extract("block", start, 1), r'(?i);TZID="?([^";:]+)', 1)
     fields = events.join(sources, "source").select(
@@ -73,7 +74,7 @@ def parse_ics(landing: DataFrame, sources: DataFrame) -> DataFrame:
         .when(F.col("release_dt").isNull(), "bad_date")
         .when(F.col("title") == "", "no_title")
     )
-    return timed.select(
+    return pin(timed.select(
         *kept, "item_pos", "title", "release_dt", "reference_period", "url", fault.alias("fault"),
         F.when(fault.isNotNull(), F.col("block")).alias("raw"),
-    )
+    ), "fault")
