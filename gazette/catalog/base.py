@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gazette.functions.keys import url_hash
 from gazette.session import prepare
+from gazette.sources.landing import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -38,9 +39,10 @@ RELEASES_SQL = f"""releases AS (SELECT doc_id, sha256(text) AS url_hash, split_p
     lang AS language, {PUBLISHED_SQL} AS published FROM documents)"""
 
 
-def releases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as raw releases; copies of a text share their key."""
+def releases(spark: SparkSession, sf_dir: str, heavy: bool = False) -> DataFrame:
+    """Documents as raw releases; copies of a text share their key. ``heavy`` spreads them over all cores."""
     documents = table(spark, sf_dir, "documents")
+    documents = spread(documents) if heavy else documents
     return documents.select(
         "doc_id", url_hash(F.col("text")).alias("url_hash"), F.expr(r"split_part(text, '\n', 1) AS title"), "text",
         F.col("source").alias("publisher"), F.col("lang").alias("language"), F.expr(f"{PUBLISHED} AS published"),

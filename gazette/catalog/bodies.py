@@ -16,6 +16,7 @@ from gazette.sources.cso import parse_cso
 from gazette.sources.feeds import normalise, parse_feeds, read_items
 from gazette.sources.html_calendars import parse_embargo_table, parse_event_list, parse_market_pages
 from gazette.sources.ics import parse_ics
+from gazette.sources.landing import spread
 
 FETCHED = "timestamp'2024-12-31 12:00:00'"
 ESCAPED = "replace(replace(replace(line, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
@@ -30,7 +31,7 @@ TITLE_SQL = r"coalesce(nullif(trim(regexp_replace(line, '\s+', ' ', 'g')), ''),
 def write_bodies(spark, sf_dir, item, head, tail, separator=""):
     """Documents as bodies: ``item`` is SQL text over (doc_id, lang, pos, line)."""
     body = rf"concat({literal(head)}, array_join(transform(split(text, '\n'), (line, pos) -> {item}), {literal(separator)}), {literal(tail)})"
-    return table(spark, sf_dir, "documents").selectExpr("doc_id", "lang", "source", f"{body} AS body")
+    return spread(table(spark, sf_dir, "documents")).selectExpr("doc_id", "lang", "source", f"{body} AS body")
 
 
 RSS_ITEM = f"""concat('<item><title>', {ESCAPED}, '</title><link>https://x.example/', doc_id, '?a=1&amp;pos=', pos, '</link>',
@@ -220,22 +221,23 @@ _BODY = f"regexp_replace({_BODY}, '(?is)<div\\b[^>]*\\bclass\\s*=\\s*\"ad\"[^>]*
     article AS (SELECT page_id, coalesce(nullif(regexp_extract(body, '(?is)<article\b[^>]*>(.*?)</article\s*>', 1), ''), body) AS body FROM body)
     SELECT page_id, trim(regexp_replace({_entities("regexp_replace(body, '<[^>]*>', ' ', 'g')")}, '\s+', ' ', 'g')) AS main_text FROM article""")
 def page_main_text(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", htmltext.main_text(F.col("html")).alias("main_text"))
+    pages = spread(table(spark, sf_dir, "pages").select("page_id", "html"))
+    return htmltext.with_main_text(pages, "html", "main_text").select("page_id", "main_text")
 
 
 @query(rf"""SELECT page_id, trim(regexp_replace({_entities("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")}, '\s+', ' ', 'g')) AS title,
     lower(regexp_extract(html, '<html[^>]*lang="([a-z-]+)"', 1)) AS language, regexp_extract(url, '://([^/?#:]+)', 1) AS host FROM pages""")
 def page_title_lang_host(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select(
-        "page_id", htmltext.page_title(F.col("html")).alias("title"), htmltext.page_language(F.col("html")).alias("language"),
-        htmltext.url_host(F.col("url")).alias("host"),
+    pages = table(spark, sf_dir, "pages").select(
+        "page_id", "html", htmltext.page_language(F.col("html")).alias("language"), htmltext.url_host(F.col("url")).alias("host")
     )
+    return htmltext.with_page_title(pages, "html", "title").drop("html")
 
 
 def document_pages(spark, sf_dir):
     """Labelled documents as captured pages."""
     labels = table(spark, sf_dir, "labels").select("doc_id")
     html = "concat('<html><head><title>x</title></head><body><nav>menu</nav><article><p>', " + ESCAPED.replace("line", "text") + ", '</p></article></body></html>')"
-    return releases(spark, sf_dir).join(labels, "doc_id", "left_semi").selectExpr(
+    return releases(spark, sf_dir, heavy=True).join(labels, "doc_id", "left_semi").selectExpr(
         "concat('https://x.example/', doc_id) AS url", f"{html} AS html"
     )

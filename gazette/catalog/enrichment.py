@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from gazette.catalog.base import RELEASES_SQL, query, releases, table
 from gazette.catalog.bodies import document_pages
 from gazette.operators import enrich
+from gazette.operators.search import missing_field
 from gazette.plans.enrich import backfill_titles
 from gazette.sources import config
 
@@ -19,7 +20,7 @@ PROMPT_SQL = f"""prompts AS (SELECT doc_id, title, text, 'Title: ' || title || c
 
 
 def prompts(spark, sf_dir):
-    rows = releases(spark, sf_dir).selectExpr(
+    rows = releases(spark, sf_dir, heavy=True).selectExpr(
         "doc_id", "concat('https://x.example/', doc_id) AS url", "title", "concat(language, ' summary') AS summary"
     )
     return enrich.with_prompt(rows, document_pages(spark, sf_dir)).select("doc_id", "title", "prompt")
@@ -86,8 +87,6 @@ def untranslated(spark, sf_dir):
 @query(f"""WITH {RELEASES_SQL} SELECT doc_id, published FROM releases WHERE language <> 'en'
     ORDER BY published DESC NULLS LAST, doc_id LIMIT 500""")
 def missing_field_topk(spark, sf_dir):
-    from gazette.operators.search import missing_field
-
     return missing_field(untranslated(spark, sf_dir), "title_en").selectExpr("url_hash AS doc_id", "published")
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gazette.functions.sqltext import group, lookup, number, raw
-from gazette.functions.text import decode_entities
+from gazette.functions.text import SPACE
 
 # Month names by language, January first.
 MONTHS = {
@@ -145,7 +145,7 @@ def _title_months() -> dict[str, tuple[int, int]]:
 
 TITLE_MONTHS = _title_months()
 # The look-ahead leaves the year free to be the day of an overlapping next hit.
-TITLE_DATE = rf"(?iuU)(\d{{1,2}})\s*({'|'.join(TITLE_MONTHS)})\.?\s*(?=(\d{{2,4}}))"
+TITLE_DATE = rf"(?iu)([0-9]{{1,2}}){SPACE}*({'|'.join(TITLE_MONTHS)})\.?{SPACE}*(?=([0-9]{{2,4}}))"
 
 
 def title_date_hits(title: str) -> str:
@@ -170,27 +170,27 @@ def best_title_date(hits: str) -> str:
 
 
 def with_title_date(rows: DataFrame, title: str, name: str) -> DataFrame:
-    """Fill ``name`` from a date inside ``title`` on the rows where it is null."""
-    undated = F.expr(f"CASE WHEN {name} IS NULL THEN {title} END")
-    hits = rows.withColumn("_decoded", decode_entities(undated)).selectExpr("*", f"{title_date_hits('_decoded')} AS _hits")
+    """Fill ``name`` from a date inside ``title``, entities already decoded, on the rows where it is null."""
+    undated = rows.selectExpr("*", f"CASE WHEN {name} IS NULL THEN {title} END AS _undated")
+    hits = undated.selectExpr("*", f"{title_date_hits('_undated')} AS _hits")
     return hits.selectExpr(
         *[f"`{column}`" for column in rows.columns if column != name], f"coalesce({name}, {best_title_date('_hits')}) AS {name}"
     )
 
 
-ICS_STAMP = r"^(\d{4})(\d{2})(\d{2})(?:T(\d{2})(\d{2})(\d{2})?(Z)?)?$"
+ICS_STAMP = r"^\d{8}(?:T\d{4}(?:\d{2})?Z?)?$"
 
 
 def ics_start_to_utc(value: str, tzid: str, source_tz: str, default_hour: str) -> str:
     """ICS start: UTC when it ends in Z, else its own zone, else the source's zone; a bare date gets the default hour."""
-    hour, minute, second = (number(value, ICS_STAMP, i, 0) for i in (4, 5, 6))
-    timed = f"{group(value, ICS_STAMP, 4)} <> ''"
-    naive = wall_clock(
-        *(number(value, ICS_STAMP, i) for i in (1, 2, 3)), f"if({timed}, {hour}, {default_hour})", minute, second
-    )
-    zone = f"CASE WHEN {group(value, ICS_STAMP, 7)} = 'Z' THEN 'UTC' WHEN {timed} THEN coalesce({tzid}, {source_tz}) " \
-        f"ELSE {source_tz} END"
-    return zoned_to_utc(naive, zone)
+    def digits(start: int, length: int = 2, default: str = "NULL") -> str:
+        return f"coalesce(try_cast(substr({value}, {start}, {length}) AS INT), {default})"
+
+    timed = f"substr({value}, 9, 1) = 'T'"
+    hour = f"if({timed}, {digits(10)}, {default_hour})"
+    naive = wall_clock(digits(1, 4), digits(5), digits(7), hour, digits(12, default="0"), digits(14, default="0"))
+    zone = f"CASE WHEN {value} LIKE '%Z' THEN 'UTC' WHEN {timed} THEN coalesce({tzid}, {source_tz}) ELSE {source_tz} END"
+    return f"if({value} RLIKE {raw(ICS_STAMP)}, {zoned_to_utc(naive, zone)}, NULL)"
 
 
 DOTTED_DATE = r"(\d{4})\.(\d{2})\.(\d{2})"
@@ -201,7 +201,7 @@ def dotted_date_to_utc(text: str, tz: str = "Europe/Berlin", hour: int = 8) -> s
     return zoned_to_utc(wall_clock(*(number(text, DOTTED_DATE, i) for i in (1, 2, 3)), str(hour)), f"'{tz}'")
 
 
-FRENCH_DATE = r"(?iuU)(\d{1,2})\s+([a-zéûôà]+)\s+à\s+(\d+)h(\d{0,2})"
+FRENCH_DATE = rf"(?iu)([0-9]{{1,2}}){SPACE}+([a-zéûôà]+){SPACE}+à{SPACE}+([0-9]+)h([0-9]{{0,2}})"
 
 
 def french_month(text: str) -> str:
@@ -209,9 +209,8 @@ def french_month(text: str) -> str:
     return lookup(names, f"lower({group(text, FRENCH_DATE, 2)})")
 
 
-def french_date_to_utc(text: str, as_of: dt.date, tz: str = "Europe/Paris") -> str:
-    """``14 août à 8h45``: no year in the text, so a month before the current one means next year."""
-    month = french_month(text)
+def french_date_to_utc(text: str, month: str, as_of: dt.date, tz: str = "Europe/Paris") -> str:
+    """``14 août à 8h45`` and its month: no year in the text, so a month before the current one means next year."""
     year = f"if({month} < {as_of.month}, {as_of.year + 1}, {as_of.year})"
     hour, minute = number(text, FRENCH_DATE, 3), number(text, FRENCH_DATE, 4, 0)
     return zoned_to_utc(wall_clock(year, month, number(text, FRENCH_DATE, 1), hour, minute), f"'{tz}'")

@@ -1,21 +1,27 @@
 """HTML to text with regular expressions, so pages stay inside the JVM.
 
-``node_text`` joins text nodes after trimming each one. ``main_text`` is a rule of our own that prefers precision: cut
+``plain_text`` joins text nodes after trimming each one. ``with_main_text`` is a rule of our own that prefers precision: cut
 boilerplate, tables, comments and advert blocks, prefer the article or main element, then drop the remaining tags.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gazette.functions.text import SPACE, blank_to_null, clean_text, decode_entities, strip_space
+from gazette.functions.sqltext import group, raw
+from gazette.functions.text import clean_text, strip_space
 
 BOILERPLATE = [
     "head", "script", "style", "noscript", "template", "svg", "iframe", "nav", "header", "footer", "aside", "form",
     "button", "table",
 ]
-NODE_BREAK = rf"(?sU){SPACE}*(?:<!--.*?-->|<[^>]*>){SPACE}*"
+TAG = r"(?s)<(?:!--.*?--|[^>]*)>"
+NBSP = "(?i)&(?:nbsp|#160|#xa0);"
+
+
+ADVERT = r"""(?is)<div\b[^>]*\bclass\s*=\s*["']ad["'][^>]*>.*?</div\s*>"""
+ARTICLE = r"(?is)<(article|main)\b[^>]*>(.*?)</\1\s*>"
 
 
 def with_class(name: str, tag: str = "[a-zA-Z][a-zA-Z0-9]*") -> str:
@@ -29,27 +35,31 @@ def element_with_class(name: str, tag: str = "[a-zA-Z][a-zA-Z0-9]*") -> str:
     return rf"(?is){with_class(name, tag)}(.*?)</\1\s*>"
 
 
-def node_text(fragment: Column) -> Column:
-    """Text nodes trimmed and joined without a separator, entities decoded."""
-    spaced = F.regexp_replace(fragment, "(?i)&nbsp;|&#160;|&#xa0;", " ")
-    return strip_space(decode_entities(F.regexp_replace(spaced, NODE_BREAK, "")))
+def plain_text(fragment: str) -> str:
+    """Text nodes trimmed and joined without a separator, entities still in place; SQL text in and out."""
+    spaced = f"regexp_replace({fragment}, {raw(NBSP)}, '\\u00a0')"
+    return f"array_join(transform(split({spaced}, {raw(TAG)}), node -> {strip_space('node')}), '')"
 
 
-def inner_html(fragment: Column, name: str, tag: str = "[a-zA-Z][a-zA-Z0-9]*") -> Column:
-    return F.regexp_extract(fragment, element_with_class(name, tag), 2)
+def inner_html(fragment: str, name: str, tag: str = "[a-zA-Z][a-zA-Z0-9]*") -> str:
+    return group(fragment, element_with_class(name, tag), 2)
 
 
-def main_text(html: Column) -> Column:
-    """Main text of a page: no boilerplate, comments, tables or adverts; white space collapsed."""
-    body = F.regexp_replace(html, "(?s)<!--.*?-->", " ")
-    body = F.regexp_replace(body, rf"(?is)<({'|'.join(BOILERPLATE)})\b[^>]*>.*?</\1\s*>", " ")
-    body = F.regexp_replace(body, r"""(?is)<div\b[^>]*\bclass\s*=\s*["']ad["'][^>]*>.*?</div\s*>""", " ")
-    article = blank_to_null(F.regexp_extract(body, r"(?is)<(article|main)\b[^>]*>(.*?)</\1\s*>", 2))
-    return clean_text(F.regexp_replace(F.coalesce(article, body), "<[^>]*>", " "))
+def with_main_text(rows: DataFrame, html: str, name: str) -> DataFrame:
+    """Add the main text of a page: no boilerplate, comments, tables or adverts; white space collapsed."""
+    cuts = ["(?s)<!--.*?-->", rf"(?is)<({'|'.join(BOILERPLATE)})\b[^>]*>.*?</\1\s*>", ADVERT]
+    body = html
+    for cut in cuts:
+        body = f"regexp_replace({body}, {raw(cut)}, ' ')"
+    kept = [f"`{column}`" for column in rows.columns if column != name]
+    bodies = rows.selectExpr(*kept, f"{body} AS _body")
+    articles = bodies.selectExpr(*kept, "_body", f"{group('_body', ARTICLE, 2)} AS _article")
+    texts = articles.selectExpr(*kept, f"regexp_replace(if(_article = '', _body, _article), '<[^>]*>', ' ') AS {name}")
+    return clean_text(texts, name)
 
 
-def page_title(html: Column) -> Column:
-    return clean_text(F.regexp_extract(html, r"(?is)<title\b[^>]*>(.*?)</title\s*>", 1))
+def with_page_title(rows: DataFrame, html: str, name: str) -> DataFrame:
+    return clean_text(rows.withColumn(name, F.expr(group(html, r"(?is)<title\b[^>]*>(.*?)</title\s*>", 1))), name)
 
 
 def page_language(html: Column) -> Column:

@@ -47,7 +47,8 @@ def backlog(raw: DataFrame, processed: DataFrame, key: str = "url_hash") -> Data
 
 def page_texts(pages: DataFrame, max_chars: int = 4000) -> DataFrame:
     """Main text per page url, cut for the prompt."""
-    return pages.select("url", text.truncate(htmltext.main_text(F.col("html")), max_chars).alias("page_text"))
+    texts = htmltext.with_main_text(pages.select("url", "html"), "html", "page_text")
+    return texts.select("url", text.truncate(F.col("page_text"), max_chars).alias("page_text"))
 
 
 def prompt_text(title: Column, page_text: Column, summary: Column) -> Column:

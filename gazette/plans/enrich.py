@@ -13,6 +13,7 @@ from gazette.operators.status import attempt_totals
 from gazette.operators.upsert import set_field
 from gazette.schemas import PROCESSED
 from gazette.sources.config import EXTRACTION_DOMAINS, EXTRACTION_TEXTS
+from gazette.sources.landing import spread
 from gazette.sources.tables import MONTH, Store, append_releases, quarantine, stage
 
 
@@ -29,7 +30,7 @@ def enrich(
     done = store.processed()
     todo = op.pending(raw, done) if limit is None else op.first_pending(raw, done, limit)
     todo = stage(todo, store, "pending", run)
-    prompts = op.with_prompt(todo, pages, max_chars).select("url_hash", "prompt")
+    prompts = op.with_prompt(todo, spread(pages), max_chars).select("url_hash", "prompt")
     attempts = stage(extract(prompts), store, "attempts", run)
     chosen = stage(op.choose_answers(attempts, domains, EXTRACTION_TEXTS), store, "chosen", run)
     rejects = chosen.join(todo.select("url_hash", "url"), "url_hash").select("fault", F.col("url").alias("raw"))

@@ -29,8 +29,8 @@ def parse_cso(landing: DataFrame) -> DataFrame:
     )
     fields = rows.select(
         *kept, "item_pos", "_raw", "item",
-        text.strip_space(F.coalesce("item.label", F.lit(""))).alias("title"),
-        text.strip_space(F.coalesce("item.updated", F.lit(""))).alias("updated"),
+        F.expr(f"coalesce({text.strip_space('item.label')}, '') AS title"),
+        F.expr(f"coalesce({text.strip_space('item.updated')}, '') AS updated"),
         F.when(F.startswith("item.href", F.lit("http")), F.col("item.href")).alias("url"),
     )
     timed = fields.withColumn("release_dt", F.expr(dates.parse_iso_date("updated", keep_fraction=True)))

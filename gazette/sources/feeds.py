@@ -38,7 +38,7 @@ def read_items(landing: DataFrame, body: str = "body") -> DataFrame:
     ampersands repaired, so one bad item does not lose its neighbours. What is still unread has a ``fault``.
     """
     kept = [f"`{name}`" for name in landing.columns if name != body]
-    source = spread(landing).select(*kept, text.xml_safe(F.col(body)).alias("_body"))
+    source = text.with_xml_safe(spread(landing).selectExpr(*kept, f"`{body}` AS _body"), "_body")
     parsed = source.withColumn("_feed", F.from_xml("_body", FEED)).selectExpr(
         *kept, "_body", "coalesce(_feed.channel.item, _feed.item, _feed.entry) AS _whole",
         f"_body = '' OR _feed IS NULL OR _feed.{BROKEN} IS NOT NULL AS _broken",
@@ -76,16 +76,16 @@ def _first(*names: str) -> str:
 LINK_TARGETS = f"""filter(transform(
     filter(concat(coalesce(item.link, array()), coalesce(item.`atom:link`, array())),
            link -> link._rel IS NULL OR link._rel = 'alternate'),
-    link -> coalesce(nullif({text.strip_sql('link._href')}, ''), nullif({text.strip_sql('link._VALUE')}, ''))),
+    link -> coalesce(nullif({text.strip_space('link._href')}, ''), nullif({text.strip_space('link._VALUE')}, ''))),
     target -> target IS NOT NULL)"""
 ENTRY_URL = f"""coalesce(
     try_element_at({LINK_TARGETS}, 1),
-    if(coalesce(lower(item.guid._isPermaLink), 'true') = 'true', nullif({text.strip_sql('item.guid._VALUE')}, ''), NULL),
-    nullif({text.strip_sql('item.id')}, ''))"""
+    if(coalesce(lower(item.guid._isPermaLink), 'true') = 'true', nullif({text.strip_space('item.guid._VALUE')}, ''), NULL),
+    nullif({text.strip_space('item.id')}, ''))"""
 ENTRY_TAGS = f"""filter(transform(
     concat(transform(coalesce(item.category, array()), tag -> coalesce(tag._term, tag._VALUE)),
            coalesce(item.`dc:subject`, array())),
-    tag -> {text.strip_sql('tag')}), tag -> tag <> '')"""
+    tag -> {text.strip_space('tag')}), tag -> tag <> '')"""
 
 
 def normalise(items: DataFrame) -> DataFrame:
@@ -102,7 +102,8 @@ def normalise(items: DataFrame) -> DataFrame:
         f"{_first('updated', 'modified', 'dc:date', 'dcterms:modified')} AS _updated",
         f"{_first('created', 'dcterms:created')} AS _created",
     )
-    stamped = dates.with_publication_stamp(fields, "_published", "_updated", "_created", "fetched_at", "published")
+    decoded = text.decode_entities(fields, "_title", "_summary")
+    stamped = dates.with_publication_stamp(decoded, "_published", "_updated", "_created", "fetched_at", "published")
     dated = dates.with_title_date(stamped, "_title", "published")
     return pin(dated.select(
         *kept,
@@ -110,8 +111,8 @@ def normalise(items: DataFrame) -> DataFrame:
         F.expr("coalesce(raw, if(url IS NULL, _title, NULL)) AS raw"),
         "url",
         keys.url_hash(F.col("url")).alias("url_hash"),
-        text.title_or_placeholder(text.clean_text(F.col("_title"))).alias("title"),
-        text.clean_text(F.col("_summary")).alias("summary"),
+        text.title_or_placeholder(text.collapse_space(F.col("_title"))).alias("title"),
+        text.collapse_space(F.col("_summary")).alias("summary"),
         "published", "tags",
     ), "fault")
 

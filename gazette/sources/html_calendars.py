@@ -9,12 +9,18 @@ from pyspark.sql import functions as F
 
 from gazette.functions import dates, text
 from gazette.functions.sqltext import group, lookup, raw
-from gazette.functions.htmltext import element_with_class, inner_html, node_text, with_class
+from gazette.functions.htmltext import element_with_class, inner_html, plain_text, with_class
 from gazette.operators.carry import carry_forward
 from gazette.sources.landing import pin, spread
 
-TABLE_ROW = r"(?is)<tr\b[^>]*>(.*?)(?=<tr\b|</tr\s*>|</table\s*>|$)"
-TABLE_CELL = r"(?is)<t[dh]\b[^>]*>(.*?)(?=<t[dh]\b|</t[dh]\s*>|$)"
+ROW_TAG, CELL_TAG = r"<[tT][rR]\b[^>]*>", r"<[tT][dDhH]\b[^>]*>"
+ROW_END, CELL_END = r"(?s)</[tT](?:[rR]|[aA][bB][lL][eE])\b.*$", r"(?s)</[tT][dDhH]\b.*$"
+
+
+def _after_tags(html: str, tag: str, end: str) -> str:
+    """What follows each opening tag, up to its end tag."""
+    pieces = f"split({html}, {raw(tag)})"
+    return f"transform(slice({pieces}, 2, size({pieces})), piece -> regexp_replace(piece, {raw(end)}, ''))"
 
 
 def _release_columns(rows: DataFrame, kept: list[str], fault: Column, raw: str) -> DataFrame:
@@ -27,24 +33,23 @@ def _release_columns(rows: DataFrame, kept: list[str], fault: Column, raw: str)
 def parse_event_list(landing: DataFrame) -> DataFrame:
     """German event list: one block per result with a heading and labelled meta items (period, issue date)."""
     kept = [name for name in landing.columns if name != "body"]
-    pieces = F.split("body", rf"(?i){with_class('c-result--event-preview', 'div')}")
-    blocks = spread(landing).select(*kept, F.posexplode(F.slice(pieces, F.lit(2), F.greatest(F.size(pieces), F.lit(1)))).alias("item_pos", "block"))
-    metas = F.transform(
-        F.regexp_extract_all("block", F.lit(element_with_class("c-result-meta__item")), F.lit(2)),
-        lambda item: F.trim(F.replace(F.regexp_replace(item, r"(?sU)\s*<[^>]*>\s*", ""), F.lit("ICS/iCal"), F.lit(""))),
+    pieces = f"split(body, {raw(rf"(?i){with_class('c-result--event-preview', 'div')}")})"
+    blocks = spread(landing).selectExpr(*kept, f"posexplode(slice({pieces}, 2, size({pieces}))) AS (item_pos, block)")
+    meta = "trim(replace(" + plain_text("item") + ", 'ICS/iCal', ''))"
+    metas = f"transform(regexp_extract_all(block, {raw(element_with_class('c-result-meta__item'))}, 2), item -> {meta})"
+    listed = blocks.selectExpr(
+        *kept, "item_pos", "block", f"{metas} AS metas", f"{plain_text(inner_html('block', 'c-result__heading'))} AS heading"
     )
 
-    def labelled(label: str, *but: str) -> Column:
-        hits = F.filter(F.col("metas"), lambda meta: meta.contains(label) & ~F.exists(
-            F.array(*[F.lit(other) for other in but]).cast("array<string>"), lambda other: meta.contains(other)))
-        value = F.try_element_at(hits, F.lit(-1))
-        return text.strip_space(F.replace(value, F.lit(f"{label}:"), F.lit("")))
-
-    fields = blocks.withColumn("metas", metas).select(
-        *kept, "item_pos", "block",
-        F.regexp_replace(node_text(inner_html(F.col("block"), "c-result__heading")), "[0-9]+$", "").alias("title"),
-        text.blank_to_null(labelled("Reporting period")).alias("reference_period"),
-        labelled("Date of issue", "Reporting period").alias("issued"),
+    def labelled(label: str, among: str) -> str:
+        value = f"try_element_at(filter(metas, meta -> {among}), -1)"
+        return text.strip_space(f"replace({value}, '{label}:', '')")
+
+    period, issue = "contains(meta, 'Reporting period')", "contains(meta, 'Date of issue')"
+    fields = text.decode_entities(listed, "heading").selectExpr(
+        *kept, "item_pos", "block", f"regexp_replace({text.strip_space('heading')}, '[0-9]+$', '') AS title",
+        f"nullif({labelled('Reporting period', period)}, '') AS reference_period",
+        f"{labelled('Date of issue', f'{issue} AND NOT {period}')} AS issued",
     )
     timed = fields.withColumn("release_dt", F.expr(dates.dotted_date_to_utc("issued")))
     fault = (
@@ -55,29 +60,32 @@ def parse_event_list(landing: DataFrame) -> DataFrame:
     return _release_columns(timed, kept, fault, "block")
 
 
+DATE_TAIL = rf"(?diu)[0-9]{{1,2}}{text.SPACE}+[a-zéûôà]+{text.SPACE}+à{text.SPACE}+.*$"
+
+
 def parse_embargo_table(landing: DataFrame, as_of: dt.date) -> DataFrame:
     """French table rows: ``title … 14 août à 8h45``; adds ``year_inferred`` where the year was moved ahead."""
     kept = [name for name in landing.columns if name != "body"]
-    rows = spread(landing).select(
-        *kept, F.posexplode(F.regexp_extract_all("body", F.lit(TABLE_ROW), F.lit(1))).alias("item_pos", "row")
+    rows = spread(landing).selectExpr(*kept, f"posexplode({_after_tags('body', ROW_TAG, ROW_END)}) AS (item_pos, row)")
+    cells = rows.selectExpr(
+        *kept, "item_pos", "row", f"transform({_after_tags('row', CELL_TAG, CELL_END)}, cell -> {plain_text('cell')}) AS cells"
     )
-    edges = r"(?sU)\s*<[^>]*>\s*|^\s+|\s+$"
-    cells = F.transform(
-        F.regexp_extract_all("row", F.lit(TABLE_CELL), F.lit(1)), lambda cell: F.regexp_replace(cell, edges, "")
+    texts = cells.selectExpr(
+        *kept, "item_pos", "row", "try_element_at(cells, 1) AS first",
+        "array_join(cells, ' ') AS combined",
     )
-    fields = rows.withColumn("cells", cells).select(
-        *kept, "item_pos", "row", node_text(F.try_element_at("cells", F.lit(1))).alias("first"),
-        node_text(F.array_join("cells", " ")).alias("combined"),
+    fields = text.decode_entities(texts, "first", "combined").selectExpr(
+        "*", f"nullif({group('combined', dates.FRENCH_DATE, 0)}, '') AS date_text"
     )
-    title = text.strip_space(F.regexp_replace("first", r"(?iuU)\s*\d{1,2}\s+[a-zéûôà]+\s+à\s+.*$", ""))
-    title = text.strip_space(F.regexp_replace(title, r"(?iuU)^INDICATEURS CONJONCTURELS\s*", ""))
-    timed = fields.select(
-        *kept, "item_pos", "row", "combined", title.alias("title"), F.expr(dates.french_month("combined")).alias("month"),
-        F.expr(dates.french_date_to_utc("combined", as_of)).alias("release_dt"),
+    title = text.strip_space(f"regexp_replace({text.strip_space('first')}, {raw(DATE_TAIL)}, '')")
+    title = text.strip_space(f"regexp_replace({title}, '(?i)^INDICATEURS CONJONCTURELS', '')")
+    dated = fields.select(
+        *kept, "item_pos", "row", "date_text", F.expr(title).alias("title"), F.expr(dates.french_month("date_text")).alias("month"),
         F.lit(None).cast("string").alias("reference_period"),
     )
+    timed = dated.withColumn("release_dt", F.expr(dates.french_date_to_utc("date_text", "month", as_of)))
     fault = (
-        F.when(~F.col("combined").rlike(dates.FRENCH_DATE), "no_start")
+        F.when(F.col("date_text").isNull(), "no_start")
         .when(F.col("month").isNull(), "unknown_month")
         .when(F.col("release_dt").isNull(), "bad_date")
         .when(F.length("title") < 5, "short_title")
@@ -92,10 +100,17 @@ IMPACT_CLASSES = {"icon--ff-impact-red": "high", "icon--ff-impact-ora": "medium"
 IMPACT_ICON = r"""(?is)<span\b[^>]*?\bclass\s*=\s*["']([^"']*icon--ff-impact[^"']*)["']"""
 
 
-def event_impact(cell: str) -> Column:
+MARKET_CELLS = ["date", "time", "currency", "event", "actual", "forecast", "previous"]
+# Keeps cell texts apart while they are decoded together in one pass.
+CELL_MARK = r"'\u001f'"
+SPACES = r"\s+"
+CELL_CLASSES = r"""<[tT][dDhH]\b(?:[^>]*?\b[cC][lL][aA][sS][sS]\s*=\s*["']([^"']*)["'])?[^>]*>"""
+
+
+def event_impact(cell: str) -> str:
     """The last known icon class of the first icon counts; low without one."""
-    levels = f"transform(split({group(cell, IMPACT_ICON, 1)}, {raw(r'\s+')}), name -> {lookup(IMPACT_CLASSES, 'name')})"
-    return F.expr(f"coalesce(try_element_at(filter({levels}, level -> level IS NOT NULL), -1), 'low')")
+    levels = f"transform(split({group(cell, IMPACT_ICON, 1)}, {raw(SPACES)}), name -> {lookup(IMPACT_CLASSES, 'name')})"
+    return f"coalesce(try_element_at(filter({levels}, level -> level IS NOT NULL), -1), 'low')"
 
 
 def parse_market_pages(landing: DataFrame, page: list[str], year: str, currency: str = "EUR") -> DataFrame:
@@ -105,25 +120,27 @@ def parse_market_pages(landing: DataFrame, page: list[str], year: str, currency:
     the page's year column.
     """
     kept = [name for name in landing.columns if name != "body"]
-    tables = F.regexp_extract_all("body", F.lit(element_with_class("calendar__table", "table")), F.lit(2))
-    rows = F.flatten(F.transform(tables, lambda table: F.regexp_extract_all(table, F.lit(TABLE_ROW), F.lit(1))))
-    listed = spread(landing).select(*kept, F.posexplode(rows).alias("row_no", "row"))
-
-    def cell_sql(name: str) -> str:
-        return group("row", rf"(?is){with_class(f'calendar__{name}', 'td')}(.*?)(?=<td\b|</td\s*>|$)", 2)
-
-    def cell(name: str) -> Column:
-        return F.expr(cell_sql(name))
-
-    has_event = F.col("row").rlike(f"(?i){with_class('calendar__event', 'td')}")
-    read = listed.select(
-        *kept, "row_no",
-        text.blank_to_null(F.regexp_extract(node_text(cell("date")), rf"({dates.SHORT_DATE})", 1)).alias("date_text"),
-        node_text(cell("currency")).alias("currency"),
-        node_text(F.when(has_event, cell("event"))).alias("title"),
-        event_impact(cell_sql("impact")).alias("impact"),
-        *[text.blank_to_null(node_text(cell(name))).alias(alias) for name, alias in (
-            ("time", "release_dt_orig"), ("actual", "actual"), ("forecast", "forecast"), ("previous", "previous"))],
+    table = group("body", element_with_class("calendar__table", "table"), 2)
+    listed = spread(landing).selectExpr(*kept, f"posexplode({_after_tags(table, ROW_TAG, ROW_END)}) AS (row_no, row)")
+    # Cells by class: the classes of every opening tag next to what follows it.
+    zipped = listed.selectExpr(
+        *kept, "row_no", f"transform(regexp_extract_all(row, {raw(CELL_CLASSES)}, 1), names -> split(names, {raw(SPACES)})) AS classes",
+        f"{_after_tags('row', CELL_TAG, CELL_END)} AS cells",
+    ).selectExpr(*kept, "row_no", "arrays_zip(classes, cells) AS cells")
+
+    def cell(name: str) -> str:
+        return f"coalesce(try_element_at(filter(cells, c -> array_contains(c.classes, 'calendar__{name}')), 1).cells, '')"
+
+    plain = ", ".join(plain_text(cell(name)) for name in MARKET_CELLS)
+    read = zipped.selectExpr(
+        *kept, "row_no", f"{event_impact(cell('impact'))} AS impact", f"concat_ws({CELL_MARK}, {plain}) AS _texts"
+    )
+    read = text.decode_entities(read, "_texts").selectExpr(*kept, "row_no", "impact", f"split(_texts, {CELL_MARK}) AS _t")
+    fields = {name: f"{text.strip_space(f'_t[{i}]')}" for i, name in enumerate(MARKET_CELLS)}
+    read = read.selectExpr(
+        *kept, "row_no", "impact", f"nullif({group(fields['date'], f'({dates.SHORT_DATE})', 1)}, '') AS date_text",
+        f"{fields['currency']} AS currency", f"{fields['event']} AS title", f"nullif({fields['time']}, '') AS release_dt_orig",
+        *[f"nullif({fields[name]}, '') AS {name}" for name in ("actual", "forecast", "previous")],
     )
     dated = carry_forward(read, page, "row_no", "date_text", chunk=None)
     events = pin(dated, "title").where((F.col("currency") == currency) & (F.col("title") != ""))

@@ -8,17 +8,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gazette.functions import dates, text
+from gazette.functions.sqltext import group, literal
 from gazette.sources.landing import pin, spread
 
 REGIONS = (
     "Africa", "America", "Antarctica", "Arctic", "Asia", "Atlantic", "Australia", "Etc", "Europe", "Indian", "Pacific",
 )
 # A zone name outside this list would fail the job, so such an event falls back to its source's zone.
-KNOWN_ZONES = sorted(name for name in zoneinfo.available_timezones() if name.split("/")[0] in REGIONS) + ["UTC", "GMT"]
+KNOWN_ZONES = ", ".join(
+    literal(name) for name in sorted(zoneinfo.available_timezones()) if name.split("/")[0] in REGIONS or name in ("UTC", "GMT")
+)
 
 REFERENCE_PERIODS = [
-    r"(?dU)[Rr]eference period:?\s*(.+?)(?:\\n|,|$)",
-    r"(?dU)[Pp]eriodo di riferimento:?\s*(.+?)(?:\\n|,|$)",
+    rf"(?d)[Rr]eference period:?{text.SPACE}*(.+?)(?:\\n|,|$)",
+    rf"(?d)[Pp]eriodo di riferimento:?{text.SPACE}*(.+?)(?:\\n|,|$)",
 ]
 
 
@@ -48,10 +51,10 @@ def text_property(block: Column, name: str) -> Column:
     return unescape(F.regexp_extract(block, property_pattern(name), 2))
 
 
-def reference_period(description: Column) -> Column:
+def reference_period(description: str) -> str:
     """English wording first, then Italian; up to a comma, a literal backslash-n or the end of the line."""
-    found = [text.blank_to_null(text.strip_space(F.regexp_extract(description, p, 1))) for p in REFERENCE_PERIODS]
-    return F.coalesce(*found)
+    found = ", ".join(f"nullif({text.strip_space(group(description, pattern, 1))}, '')" for pattern in REFERENCE_PERIODS)
+    return f"coalesce({found})"
 
 
 def parse_ics(landing: DataFrame, sources: DataFrame) -> DataFrame:
@@ -59,16 +62,19 @@ def parse_ics(landing: DataFrame, sources: DataFrame) -> DataFrame:
     kept = [name for name in landing.columns if name != "body"]
     events = spread(landing).select(*kept, F.posexplode(event_blocks(F.col("body"))).alias("item_pos", "block"))
     start = property_pattern("DTSTART")
-    zone = F.regexp_extract(F.regexp_extract("block", start, 1), r'(?i);TZID="?([^";:]+)', 1)
+    zone = group(group("block", start, 1), r'(?i);TZID="?([^";:]+)', 1)
     fields = events.join(sources, "source").select(
         *kept, "item_pos", "tz", "default_hour", "block",
         F.trim(F.regexp_extract("block", start, 2)).alias("start"),
-        F.when(zone.isin(KNOWN_ZONES), zone).alias("tzid"),
-        text.strip_space(text_property(F.col("block"), "SUMMARY")).alias("title"),
-        reference_period(text_property(F.col("block"), "DESCRIPTION")).alias("reference_period"),
-        text.blank_to_null(F.trim(F.regexp_extract("block", property_pattern("URL"), 2))).alias("url"),
+        F.expr(f"if({zone} IN ({KNOWN_ZONES}), {zone}, NULL)").alias("tzid"),
+        text_property(F.col("block"), "SUMMARY").alias("summary"),
+        text_property(F.col("block"), "DESCRIPTION").alias("description"),
+        F.expr(f"nullif(trim({group('block', property_pattern('URL'), 2)}), '')").alias("url"),
+    )
+    timed = fields.selectExpr(
+        "*", f"{text.strip_space('summary')} AS title", f"{dates.ics_start_to_utc('start', 'tzid', 'tz', 'default_hour')} AS release_dt",
+        f"{reference_period('description')} AS reference_period",
     )
-    timed = fields.withColumn("release_dt", F.expr(dates.ics_start_to_utc("start", "tzid", "tz", "default_hour")))
     fault = (
         F.when(F.col("start") == "", "no_start")
         .when(F.col("release_dt").isNull(), "bad_date")

@@ -10,7 +10,7 @@ def spread(landing: DataFrame) -> DataFrame:
     """Use all cores on a landing of few files.
 
     Parsing is bound by the processor, and one small file can hold all bodies. Bodies are shuffled only when the scan
-    has fewer partitions than the session has cores, which a large table never has.
+    has fewer partitions than the session has cores, which a large table never has. ``landing`` should be a scan.
     """
     if landing.isStreaming:
         return landing

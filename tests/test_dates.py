@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from gazette import schemas
 from gazette.functions import dates
+from gazette.functions.text import decode_entities
 from gazette.sources import months
 from gazette.sources.config import local_frame
 
@@ -40,7 +41,7 @@ def test_dotted_dates(spark):
 
 def test_french_dates(spark):
     rows = [("IPC 14 août à 8h45",), ("x 3 DÉCEMBRE à 12h",), ("x 2 janvier à 8h45",), ("x 14 brumaire à 8h",), ("x 31 novembre à 8h",)]
-    got = evaluate(spark, dates.french_date_to_utc("d", dt.date(2026, 8, 1)), rows, "d string")
+    got = evaluate(spark, dates.french_date_to_utc("d", dates.french_month("d"), dt.date(2026, 8, 1)), rows, "d string")
     assert got == [at(2026, 8, 14, 6, 45), at(2026, 12, 3, 11), at(2027, 1, 2, 7, 45), None, None]
 
 
@@ -76,7 +77,7 @@ def test_title_dates(spark):
     ]
     frame = local_frame(spark, [(i, text) for i, (text, _) in enumerate(cases)], schemas.struct("i int, title string"))
     frame = frame.withColumn("published", F.lit(None).cast("timestamp"))
-    got = [row.published for row in dates.with_title_date(frame, "title", "published").orderBy("i").collect()]
+    got = [row.published for row in dates.with_title_date(decode_entities(frame, "title"), "title", "published").orderBy("i").collect()]
     assert got == [want for _, want in cases]
 
 
