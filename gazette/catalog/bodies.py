@@ -124,9 +124,12 @@ ICS_EVENT = f"""concat('BEGIN:VEVENT\\r\\nDTSTART;TZID=', {lookup(ICS_ZONES, 'la
     '\\r\\nDESCRIPTION:Reference period: ', lang, ' ', pos, '\\\\, more\\r\\nEND:VEVENT\\r\\n')"""
 
 
+ICS_DT_SQL = f"""timezone('UTC', timezone(CASE lang WHEN 'de' THEN 'Europe/Berlin' WHEN 'es' THEN 'Europe/Madrid' WHEN 'fr' THEN 'Europe/Paris'
+    ELSE 'Europe/Dublin' END, ({DAY_SQL})::TIMESTAMP + to_hours(8 + pos % 12) + INTERVAL 30 MINUTE))"""
+
+
 @query(f"""WITH {LINES_SQL} SELECT doc_id, pos AS item_pos, trim(line) AS title, lang || ' ' || pos AS reference_period,
-    timezone('UTC', timezone(CASE lang WHEN 'de' THEN 'Europe/Berlin' WHEN 'es' THEN 'Europe/Madrid' WHEN 'fr' THEN 'Europe/Paris'
-    ELSE 'Europe/Dublin' END, ({DAY_SQL})::TIMESTAMP + to_hours(8 + pos % 12) + INTERVAL 30 MINUTE)) AS release_dt FROM lines""")
+    {ICS_DT_SQL} AS release_dt FROM lines""")
 def ics_parse(spark, sf_dir):
     bodies = write_bodies(spark, sf_dir, ICS_EVENT, "BEGIN:VCALENDAR\r\n", "END:VCALENDAR\r\n")
     rows = parse_ics(bodies.withColumn("source", F.lit("istat")), config.calendar_sources(spark)).where("fault IS NULL")
@@ -177,13 +180,16 @@ MARKET_ROW = f"""concat('<tr class="calendar__row"><td class="calendar__cell cal
     if(pos % 2 = 0, concat('0.', pos, '%'), ''), '</td></tr>')"""
 
 
-@query(f"""WITH {LINES_SQL} SELECT doc_id, pos AS item_pos, trim(line) AS title,
+MARKET_SQL = f"""SELECT doc_id, pos AS item_pos, trim(line) AS title,
     timezone('UTC', timezone('America/New_York', ({PAGE_DAY_SQL})::TIMESTAMP + CASE WHEN pos % 5 = 0 THEN INTERVAL 0 MINUTE ELSE
     to_minutes(30 + 60 * ((1 + pos % 12) % 12 + CASE WHEN pos % 2 = 0 THEN 0 ELSE 12 END)) END)) AS release_dt,
     CASE pos % 4 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS impact,
     CASE WHEN pos % 2 = 0 THEN '0.' || pos || '%' END AS actual,
     CASE WHEN pos % 5 = 0 THEN 'Tentative' ELSE (1 + pos % 12) || ':30' || CASE WHEN pos % 2 = 0 THEN 'am' ELSE 'pm' END END AS release_dt_orig
-    FROM lines WHERE pos % 3 <> 2 AND trim(line) <> ''""")
+    FROM lines WHERE pos % 3 <> 2 AND trim(line) <> ''"""
+
+
+@query(f"WITH {LINES_SQL} {MARKET_SQL}")
 def market_page_parse(spark, sf_dir):
     bodies = write_bodies(spark, sf_dir, MARKET_ROW, '<table class="calendar__table">', "</table>")
     rows = parse_market_pages(bodies.withColumn("year", F.lit(2024)), ["doc_id"], "year")

@@ -39,14 +39,17 @@ def _case(words, default):
     return "CASE " + " ".join(f"WHEN regexp_matches(content, '(?i){pattern}') THEN '{choice}'" for choice, pattern in words.items()) + f" ELSE '{default}' END"
 
 
-@query(f"""WITH {RELEASES_SQL}, {PROMPT_SQL}, contents AS (SELECT *, substring(prompt, 8) AS content FROM prompts),
+TAGGED_SQL = f"""contents AS (SELECT *, substring(prompt, 8) AS content FROM prompts),
     tagged AS (SELECT doc_id, title, {_case(enrich.TOPIC_WORDS, 'Other economic topics')} AS topic, {_case(enrich.COUNTRY_WORDS, 'Other')} AS country,
     len(regexp_extract_all(content, '(?i){enrich.RISE}')) - len(regexp_extract_all(content, '(?i){enrich.FALL}')) AS trend,
     array_to_string(list_slice(regexp_split_to_array(content, '\\s+'), 1, 150), ' ') AS summary_en,
-    regexp_extract_all(content, '{FIGURE_SQL}') AS figures FROM contents)
-    SELECT doc_id, 'offline/keywords' AS processing_model, topic, country,
+    regexp_extract_all(content, '{FIGURE_SQL}') AS figures FROM contents),
+    extracted AS (SELECT doc_id, 'offline/keywords' AS processing_model, topic, country,
     CASE WHEN trend > 0 THEN 'positive' WHEN trend < 0 THEN 'negative' ELSE 'neutral' END AS sentiment, title AS title_en, summary_en,
-    substring(array_to_string([f FOR f, i IN figures IF list_position(figures, f) = i], '; '), 1, 100) AS key_figures FROM tagged""")
+    substring(array_to_string([f FOR f, i IN figures IF list_position(figures, f) = i], '; '), 1, 100) AS key_figures FROM tagged)"""
+
+
+@query(f"WITH {RELEASES_SQL}, {PROMPT_SQL}, {TAGGED_SQL} SELECT * FROM extracted")
 def keyword_extraction(spark, sf_dir):
     """Pending rows to processed rows with the offline extractor: prompt, answer, validation, assembly."""
     rows = prompts(spark, sf_dir).withColumnRenamed("doc_id", "url_hash")

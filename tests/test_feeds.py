@@ -2,7 +2,6 @@ from __future__ import annotations
 
 import datetime as dt
 
-import pytest
 from pyspark.sql import functions as F
 
 from gazette import schemas
@@ -62,17 +61,25 @@ def test_atom(spark):
     assert first.tags == ["prices"]
 
 
-@pytest.mark.parametrize("item, expected", [
+TITLES = [
     ("<link>https://a</link>", "(untitled)"),
     ("<title>  Many   spaces </title><link>https://a</link>", "Many spaces"),
     ("<title>caf&eacute;&nbsp;x</title><link>https://a</link>", "café x"),
     ("<title><![CDATA[A &amp; B &lt;b&gt;]]></title><link>https://a</link>", "A & B <b>"),
     ("<title>P &amp;amp; Q</title><link>https://a</link>", "P & Q"),
     ("<title>R & D</title><link>https://a?x=1&y=2</link>", "R & D"),
-])
-def test_titles(spark, item, expected):
-    (row,) = releases(spark, rss(item))
-    assert row.title == expected and row.fault is None
+]
+
+
+def one_by_one(spark, items):
+    """The release each item gives, every item in a body of its own and all of them in one job."""
+    rows = releases(spark, *[rss(f"{item}<category>{n}</category>") for n, item in enumerate(items)])
+    return sorted(rows, key=lambda row: int(row.tags[0]))
+
+
+def test_titles(spark):
+    rows = one_by_one(spark, [item for item, _ in TITLES])
+    assert [(row.title, row.fault) for row in rows] == [(title, None) for _, title in TITLES]
 
 
 def test_stray_ampersand_in_link(spark):
@@ -101,7 +108,7 @@ def test_no_url_is_quarantined(spark):
     assert row.fault == "no_url"
 
 
-@pytest.mark.parametrize("stamp, expected", [
+STAMPS = [
     ("<pubDate>Thu, 10 Jul 2025 09:30:00 +0200</pubDate>", dt.datetime(2025, 7, 10, 7, 30)),
     ("<pubDate>10 Jul 25 09:30 GMT</pubDate>", dt.datetime(2025, 7, 10, 9, 30)),
     ("<pubDate>Thu, 10 Jul 2025 09:30:00 EST</pubDate>", dt.datetime(2025, 7, 10, 14, 30)),
@@ -112,10 +119,12 @@ def test_no_url_is_quarantined(spark):
     ("<pubDate>soon</pubDate>", None),
     ("<pubDate>soon</pubDate><dc:date>2025-01-02</dc:date>", dt.datetime(2025, 1, 2)),
     ("", None),
-])
-def test_stamps(spark, stamp, expected):
-    (row,) = releases(spark, rss(f"<title>t</title><link>https://a</link>{stamp}"))
-    assert row.published == expected
+]
+
+
+def test_stamps(spark):
+    rows = one_by_one(spark, [f"<title>t</title><link>https://a</link>{stamp}" for stamp, _ in STAMPS])
+    assert [row.published for row in rows] == [published for _, published in STAMPS]
 
 
 def test_title_date_only_without_stamp(spark):
