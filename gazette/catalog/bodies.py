@@ -132,7 +132,8 @@ ICS_DT_SQL = f"""timezone('UTC', timezone(CASE lang WHEN 'de' THEN 'Europe/Berli
     {ICS_DT_SQL} AS release_dt FROM lines""")
 def ics_parse(spark, sf_dir):
     bodies = write_bodies(spark, sf_dir, ICS_EVENT, "BEGIN:VCALENDAR\r\n", "END:VCALENDAR\r\n")
-    rows = parse_ics(bodies.withColumn("source", F.lit("istat")), config.calendar_sources(spark)).where("fault IS NULL")
+    bodies = bodies.withColumn("source", F.expr("CASE lang WHEN 'es' THEN 'ine' WHEN 'en' THEN 'eurostat' ELSE 'istat' END"))
+    rows = parse_ics(bodies, config.calendar_sources(spark)).where("fault IS NULL")
     return _calendar(rows, "reference_period")
 
 
