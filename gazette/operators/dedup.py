@@ -42,15 +42,16 @@ def absent_from_large(batch: DataFrame, stored: DataFrame, key: str) -> DataFram
 
 
 def insert_summary(batch: DataFrame, stored: DataFrame, key: str) -> DataFrame:
-    """One row (inserted, skipped). Duplicates are counted exactly; rows are counted per key before the join."""
-    sizes = batch.groupBy(key).agg(F.count("*").alias("n"))
-    known = stored.select(key, F.lit(True).alias("_known")).distinct()
-    joined = sizes.join(known, key, "left")
-    inserted = F.count_if(F.col("_known").isNull())
-    return joined.agg(
-        inserted.cast("bigint").alias("inserted"),
-        (F.coalesce(F.sum("n"), F.lit(0)) - inserted).cast("bigint").alias("skipped"),
+    """One row (inserted, skipped), duplicates counted exactly.
+
+    Both sides are counted per key in one aggregation, which combines on the map side: one shuffle and no join.
+    """
+    sides = batch.select(key, F.lit(1).alias("_new"), F.lit(0).alias("_old")).unionByName(
+        stored.select(key, F.lit(0).alias("_new"), F.lit(1).alias("_old"))
     )
+    sizes = sides.groupBy(key).agg(F.sum("_new").alias("_new"), F.max("_old").alias("_old"))
+    inserted = F.count_if((F.col("_new") > 0) & (F.col("_old") == 0))
+    return sizes.agg(inserted.alias("inserted"), (F.coalesce(F.sum("_new"), F.lit(0)) - inserted).alias("skipped"))
 
 
 def duplicate_keys(table: DataFrame, key: str) -> DataFrame:

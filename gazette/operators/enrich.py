@@ -26,23 +26,27 @@ def pending(raw: DataFrame, processed: DataFrame, key: str = "url_hash") -> Data
     return raw.join(processed.select(key), key, "left_anti")
 
 
-def first_pending(raw: DataFrame, processed: DataFrame, limit: int, key: str = "url_hash", order: str = "ingest_seq") -> DataFrame:
-    """The oldest ``limit`` pending rows.
+def pending_keys(
+    raw: DataFrame, processed: DataFrame, limit: int | None = None, key: str = "url_hash", order: str = "ingest_seq"
+) -> DataFrame:
+    """Keys of the pending rows, or of the oldest ``limit``: only key and order columns are read and shuffled."""
+    keys = pending(raw.select(key, order), processed, key)
+    return (keys.orderBy(order).limit(limit) if limit is not None else keys).select(key)
 
-    Keys and order decide first; the whole rows are fetched for the chosen keys only, at most ``limit`` of them.
-    """
-    chosen = pending(raw.select(key, order), processed, key).orderBy(order).limit(limit).select(key, order)
-    return raw.join(chosen, [key, order], "left_semi").orderBy(order)
+
+def first_pending(raw: DataFrame, processed: DataFrame, limit: int, key: str = "url_hash", order: str = "ingest_seq") -> DataFrame:
+    """The oldest ``limit`` pending rows; whole rows are fetched for the chosen keys only."""
+    return raw.join(pending_keys(raw, processed, limit, key, order), key, "left_semi").orderBy(order).limit(limit)
 
 
 def backlog(raw: DataFrame, processed: DataFrame, key: str = "url_hash") -> DataFrame:
-    """One row: raw, processed and pending counts."""
-    done = processed.select(key).distinct().withColumn("_done", F.lit(True))
-    joined = raw.select(key).withColumn("_raw", F.lit(True)).join(done, key, "full")
-    return joined.agg(
-        F.count("_raw").alias("raw"), F.countDistinct(F.when(F.col("_done"), F.col(key))).alias("processed"),
-        F.count_if(F.col("_raw").isNotNull() & F.col("_done").isNull()).alias("pending"),
+    """One row: raw, processed and pending counts, from one aggregation per key without a join."""
+    sides = raw.select(key, F.lit(1).alias("_raw"), F.lit(0).alias("_done")).unionByName(
+        processed.select(key, F.lit(0).alias("_raw"), F.lit(1).alias("_done"))
     )
+    keys = sides.groupBy(key).agg(F.sum("_raw").alias("_raw"), F.max("_done").alias("_done"))
+    counts = {"raw": "sum(_raw)", "processed": "sum(_done)", "pending": "sum(if(_done = 0, _raw, 0))"}
+    return keys.agg(*[F.expr(f"CAST(coalesce({total}, 0) AS BIGINT) AS {name}") for name, total in counts.items()])
 
 
 def page_texts(pages: DataFrame, max_chars: int = 4000) -> DataFrame:

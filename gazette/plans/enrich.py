@@ -23,13 +23,13 @@ def enrich(
 ) -> DataFrame:
     """Process pending releases: all of them, or the oldest ``limit`` as a cost cap for the model.
 
-    Each pending row gets one attempt per run. Attempts are staged before use, so answers already paid for survive a
+    Pending keys are staged first: their size is then known, and whole rows are fetched by a broadcast of the keys while
+    they are few. Each pending row gets one attempt per run. Attempts are staged before use, so answers already paid for survive a
     lost executor. Returns one row: attempted, processed, failed.
     """
     raw = (among if among is not None else store.press_releases()).drop(MONTH)
-    done = store.processed()
-    todo = op.pending(raw, done) if limit is None else op.first_pending(raw, done, limit)
-    todo = stage(todo, store, "pending", run)
+    keys = stage(op.pending_keys(raw, store.processed(), limit), store, "pending_keys", run)
+    todo = stage(raw.join(keys, "url_hash", "left_semi"), store, "pending", run)
     prompts = op.with_prompt(todo, spread(pages), max_chars).select("url_hash", "prompt")
     attempts = stage(extract(prompts), store, "attempts", run)
     chosen = stage(op.choose_answers(attempts, domains, EXTRACTION_TEXTS), store, "chosen", run)
