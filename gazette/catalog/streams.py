@@ -120,7 +120,7 @@ def stream_collect(spark, sf_dir):
         "doc_id", "'forexfactory' AS source", "'jun.2024' AS facet", "body")
     landing = ics.unionByName(pages).selectExpr(
         "source", "facet", "timestamp'2024-06-01 07:00:00' AS seen_at", "doc_id AS batch_ord", "body")
-    landing.select(*LANDING_CALENDAR.names).write.parquet(f"{folder}/landing")
+    landing.select(*LANDING_CALENDAR.names).write.partitionBy("source").parquet(f"{folder}/landing")
     jobs.collect_stream(
         spark, f"{folder}/landing", store, f"{folder}/checkpoint", clock=lambda: dt.datetime(2024, 6, 1, 7)
     ).awaitTermination()

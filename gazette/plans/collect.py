@@ -43,11 +43,7 @@ def collect_once(landing: DataFrame, store: Store, run: str, as_of: dt.datetime,
     backfill = is_first_run(store) if backfill is None else backfill
     order = ((F.col("batch_ord") * 2**32) + F.col("item_pos")).alias("batch_ord")
     nso = stage(collect(landing, as_of), store, "nso", run)
-    market = collect_market(landing, as_of)
-    if backfill:
-        wide = collect_market(landing, as_of, backfill=True)
-        market = market.unionByName(wide).dropDuplicates(["source_uid", "seen_at", "batch_ord", "facet", "item_pos"])
-    ff = stage(market, store, "ff", run)
+    ff = stage(collect_market(landing, as_of, backfill), store, "ff", run)
     faulty = [frame.select("source", "seen_at", "fault", "raw") for frame in (nso, ff)]
     rejects = faulty[0].unionByName(faulty[1])
     quarantine(rejects, store, F.col("source"), F.col("seen_at"), "calendar", run)

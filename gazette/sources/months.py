@@ -32,6 +32,7 @@ def page_key(month: Column) -> Column:
 
 
 def month_pages(spark: SparkSession, as_of: dt.date, backfill: bool = False) -> DataFrame:
+    """Month pages to read: the routine window, on a backfill also every month since the start."""
     day = F.lit(as_of)
-    months = backfill_months(day) if backfill else routine_months(day)
+    months = F.array_union(backfill_months(day), routine_months(day)) if backfill else routine_months(day)
     return spark.range(1).select(F.explode(months).alias("month")).select("month", page_key(F.col("month")).alias("facet"))

@@ -74,7 +74,7 @@ def collect(landing: DataFrame, as_of: dt.datetime) -> DataFrame:
 
 
 def collect_market(landing: DataFrame, as_of: dt.datetime, backfill: bool = False, currency: str = "EUR") -> DataFrame:
-    """Rows of the market calendar's month pages inside the routine or the backfill window."""
+    """Rows of the market calendar's month pages inside the routine window, or the wider one of a first run."""
     pages = landing.where(F.col("source") == MARKET_SOURCE).join(
         month_pages(landing.sparkSession, as_of.date(), backfill).select("facet"), "facet", "left_semi"
     )
