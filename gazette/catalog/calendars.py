@@ -12,7 +12,7 @@ from gazette.functions.sqltext import lookup
 from gazette.operators import carry, search, status, upsert
 from gazette.schemas import CALENDAR_SOURCES, STATUS_KEYS, struct
 from gazette.sources import config, months
-from gazette.sources.cso import recent
+from gazette.sources.cso import is_recent
 from gazette.sources.landing import spread
 
 # Event types as calendar sources.
@@ -137,7 +137,7 @@ def calendar_month_windows(spark, sf_dir):
 
 @query("""SELECT event_id, ts FROM events WHERE ts >= TIMESTAMP '2024-01-16'""")
 def recent_window(spark, sf_dir):
-    return recent(table(spark, sf_dir, "events").select("event_id", "ts"), dt.datetime(2024, 2, 15, 12), stamp="ts")
+    return table(spark, sf_dir, "events").select("event_id", "ts").where(is_recent("ts", dt.datetime(2024, 2, 15, 12)))
 
 
 @query("""SELECT event_id, sha256(event_type || '|' || user_id || '|' || strftime(ts, '%Y-%m-%dT%H:%M:%S') ||

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,7 +46,7 @@ def parse_cso(landing: DataFrame) -> DataFrame:
     ), "fault")
 
 
-def recent(rows: DataFrame, as_of: dt.datetime, days: int = 30, stamp: str = "release_dt") -> DataFrame:
+def is_recent(stamp: str, as_of: dt.datetime, days: int = 30) -> Column:
     """The API's own window: items updated in the last ``days`` days, counted from the start of the day."""
     since = dt.datetime.combine((as_of - dt.timedelta(days=days)).date(), dt.time())
-    return rows.where(F.col(stamp) >= F.lit(since).cast("timestamp"))
+    return F.col(stamp) >= F.lit(since).cast("timestamp")

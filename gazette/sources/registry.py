@@ -17,7 +17,7 @@ from gazette.functions.display import MARKET_SOURCE
 from gazette.functions.keys import calendar_uid
 from gazette.operators.dedup import first_writer
 from gazette.sources import config
-from gazette.sources.cso import parse_cso, recent
+from gazette.sources.cso import is_recent, parse_cso
 from gazette.sources.html_calendars import parse_embargo_table, parse_event_list, parse_market_pages
 from gazette.sources.ics import parse_ics
 from gazette.sources.months import month_pages
@@ -38,9 +38,9 @@ def collector(*codes: str) -> Callable[[Collector], Collector]:
 
 
 def first_of_run(rows: DataFrame, order: list) -> DataFrame:
-    """Within one run a (title, time) counts once; faulty rows pass."""
-    good, bad = rows.where("fault is null"), rows.where("fault is not null")
-    return first_writer(good, [*RUN, "title", "release_dt"], order).unionByName(bad)
+    """Within one run a (title, time) counts once. Faulty rows all pass: each is a group of its own."""
+    own = F.when(F.col("fault").isNotNull(), F.struct("facet", "item_pos"))
+    return first_writer(rows.withColumn("_own", own), [*RUN, "title", "release_dt", "_own"], order).drop("_own")
 
 
 @collector(*[code for code, _, _ in config.ICS_SOURCES])
@@ -61,9 +61,8 @@ def embargo_table(landing: DataFrame, as_of: dt.datetime) -> DataFrame:
 
 @collector("cso")
 def json_collection(landing: DataFrame, as_of: dt.datetime) -> DataFrame:
-    rows = parse_cso(landing)
-    fresh = recent(rows.where("fault is null"), as_of).unionByName(rows.where("fault is not null"))
-    return first_of_run(fresh, ["item_pos"])
+    rows = parse_cso(landing).where(F.col("fault").isNotNull() | is_recent("release_dt", as_of))
+    return first_of_run(rows, ["item_pos"])
 
 
 def collect(landing: DataFrame, as_of: dt.datetime) -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -73,10 +74,15 @@ def collect_stream(
     spark: SparkSession, landing: str, store: Store, checkpoint: str, every: str | None = None,
     max_files: int | None = None, clock: Clock = utc_now,
 ):
-    """Calendar collection over a landing folder."""
+    """Calendar collection over a landing folder.
+
+    A micro-batch is not pruned by source, as a stored landing is, so it is kept while the collectors read it.
+    """
 
     def batch(rows: DataFrame, batch_id: int) -> None:
-        calendar_plan.collect_once(rows, store, f"stream-{batch_id}", clock())
+        kept = rows.persist(StorageLevel.DISK_ONLY)
+        calendar_plan.collect_once(kept, store, f"stream-{batch_id}", clock())
+        kept.unpersist()
 
     source = file_stream(spark, landing, schemas.LANDING_CALENDAR, max_files)
     return start(source.writeStream.foreachBatch(batch), checkpoint, every)

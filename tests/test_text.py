@@ -38,7 +38,7 @@ PAGE = """<html lang="it"><head><title> A &amp; B </title><style>p{}</style></he
 
 def test_page_text(spark):
     pages = local_frame(spark, [("u", PAGE), ("v", "<p>plain</p>"), ("w", "")], schemas.LANDING_PAGE)
-    titled = htmltext.with_page_title(htmltext.with_main_text(pages, "html", "main").join(pages, "url"), "html", "title")
+    titled = htmltext.with_page_title(htmltext.with_main_text(pages, "html", "main"), "html", "title")
     rows = {row.url: row for row in titled.collect()}
     assert (rows["u"].main, rows["u"].title) == ("Head One é two", "A & B")
     assert (rows["v"].main, rows["w"].main) == ("plain", "")
