@@ -19,7 +19,6 @@ from gazette.sources.landing import spread
 SOURCES = {"click": "eurostat", "view": "istat", "signup": "ine", "error": "destatis", "purchase": "forexfactory"}
 SOURCE_SQL = "CASE event_type " + " ".join(f"WHEN '{name}' THEN '{code}'" for name, code in SOURCES.items()) + " END"
 NAMES_SQL = "CASE code " + " ".join(f"WHEN '{code}' THEN '{name}'" for code, name in display.SOURCE_NAMES.items()) + " ELSE code END"
-ZONES = {"click": "Europe/Brussels", "view": "Europe/Rome", "signup": "Europe/Madrid", "error": "Europe/Berlin", "purchase": "America/New_York"}
 STICKY = "CASE WHEN value < 20 THEN '' WHEN value >= 40 THEN props END"
 
 

@@ -31,7 +31,6 @@ def truncate_prompt(spark, sf_dir):
     return prompts(spark, sf_dir).select("doc_id", "prompt")
 
 
-WORD = r"(?:^|[^\p{L}])(?:%s)(?:$|[^\p{L}])"
 FIGURE_SQL = r"[+-]?\d+(?:[.,]\d+)*\s?%"
 
 

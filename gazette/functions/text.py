@@ -9,8 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gazette.functions.sqltext import raw
-
 # The characters Python's \s matches and str.strip cuts, once as a class for patterns and once as a
 # SQL literal for trims. Single Latin-1 characters become one bit set and the rest is tested only inside its range, which
 # is several times faster than Java's Unicode \s.
