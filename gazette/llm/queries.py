@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazette.llm import decontaminate, language_id, quality, topk, warc
+from gazette.llm import decontaminate, language_id, neardup, quality, topk, warc
 from gazette.llm.common import crc_class, table
 
 
@@ -32,6 +32,10 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.catalogue(warc.write(table(spark, sf_dir, "pages"))).withColumnRenamed("key", "page_id")
 
 
+def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.groups(table(spark, sf_dir, "documents"), k=2, percent=80)
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = crc_class(F.col("doc_id"), 3) == 1
@@ -44,6 +48,7 @@ QUERIES = {
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op4_bit_sliced_topk": op4_bit_sliced_topk,
     "op5_warc": op5_warc,
+    "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op8_quality_classifier": op8_quality_classifier,
 }
 ORACLES: dict[str, str] = {
