@@ -2,10 +2,11 @@
 
 A document is the set of its word shingles. Documents with one set are one class. Each class has minwise tokens; a tree
 deals classes to nodes by the values of tokens that the node chooses, and branches again where a node is too large:
-every node links its members to its smallest member, small nodes compare all their members, and large nodes whose members
-are not yet in one component branch on ``fanout`` further tokens. Independent trees repeat this, so that a pair at the
-threshold misses all its meetings with probability (1 - s)**trees, s >= 1 - (1 - threshold * s)**fanout. Candidates pass a
-bound on sizes and a 128-bit sketch of token parities, and are then confirmed on full sets.
+every node offers its members with two of them as centres, small nodes compare all their members, and of the large nodes
+whose members are not yet in one component those with few pairs across components compare these, and the others branch on
+``fanout`` further tokens. Independent trees repeat this, so that a pair at the
+threshold misses all its meetings with probability (1 - s)**trees, s >= 1 - (1 - threshold * s)**fanout. Candidates pass
+bounds on their sizes and sketches, and are then confirmed on full sets.
 
 Nodes that stay large at the last level are compared exhaustively across components, slice by slice, so nothing is dropped.
 
@@ -29,7 +30,10 @@ from gazette.llm.common import small, stage
 from gazette.llm.components import components
 
 TOKENS = 64
-SIGNATURE = "doc_id bigint, n_shingles bigint, set_key binary, tokens binary, sketch_a bigint, sketch_b bigint"
+LOOSE = ["w0", "w1"]
+STRICT = ["x0", "x1", "x2", "x3"]
+SKETCH = LOOSE + STRICT
+SIGNATURE = "doc_id bigint, n_shingles bigint, set_key binary, tokens binary, " + ", ".join(f"{name} bigint" for name in SKETCH)
 MAX_BROADCAST_KEYS = 1_000_000
 MAX_WORDS_KEPT = 400_000
 
@@ -67,16 +71,18 @@ def shingle_set(text: str | None, k: int, hashes: WordHashes) -> np.ndarray:
     return np.unique(rolled)
 
 
-def signature(shingles: np.ndarray) -> tuple[bytes, int, int]:
-    """Minwise tokens and two words of parities of further minwise values."""
+def signature(shingles: np.ndarray) -> tuple[bytes, list[int]]:
+    """Minwise tokens, and the sketches: parities of minwise values, and of the counts of shingles by hash bucket."""
     if not len(shingles):
-        return b"", 0, 0
+        return b"", [0] * len(SKETCH)
     least = np.empty(2 * TOKENS, np.uint64)
     for at in range(0, 2 * TOKENS, 16):
         least[at:at + 16] = (shingles * FACTORS[at:at + 16, None] + OFFSETS[at:at + 16, None]).min(axis=1)
     least = stirred(least)
-    parity = np.packbits((least & np.uint64(1)).astype(np.uint8), bitorder="little").view(np.int64)
-    return (least[:TOKENS] >> np.uint64(32)).astype(np.uint32).tobytes(), int(parity[0]), int(parity[1])
+    loose = np.packbits((least & np.uint64(1)).astype(np.uint8), bitorder="little").view(np.int64)
+    buckets = np.bincount((shingles >> np.uint64(40)).astype(np.int64) % (64 * len(STRICT)), minlength=64 * len(STRICT))
+    strict = np.packbits((buckets & 1).astype(np.uint8), bitorder="little").view(np.int64)
+    return (least[:TOKENS] >> np.uint64(32)).astype(np.uint32).tobytes(), [*loose.tolist(), *strict.tolist()]
 
 
 def signatures(docs: DataFrame, k: int) -> DataFrame:
@@ -86,26 +92,35 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
             rows = []
             for one, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 shingles = shingle_set(text.as_py(), k, hashes)
-                rows.append((one, len(shingles), xxhash.xxh3_128_digest(shingles.tobytes()), *signature(shingles)))
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
-            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
-            names = ["doc_id", "n_shingles", "set_key", "tokens", "sketch_a", "sketch_b"]
+                tokens, sketch = signature(shingles)
+                rows.append((one, len(shingles), xxhash.xxh3_128_digest(shingles.tobytes()), tokens, *sketch))
+            names = ["doc_id", "n_shingles", "set_key", "tokens", *SKETCH]
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
+            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary()] + [pa.int64()] * len(SKETCH)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
 
     return docs.mapInArrow(run, SIGNATURE)
 
 
-def side(rows: DataFrame, name: str, *more: str) -> DataFrame:
-    return rows.select(*more, F.col("class").alias(name), F.col("n_shingles").alias(f"n_{name}"), F.col("sketch_a").alias(f"s_{name}"), F.col("sketch_b").alias(f"t_{name}"))
+FIELDS = ["class", "n_shingles", *SKETCH]
+MEMBER = ["node", *FIELDS]
+
+
+def side(rows: DataFrame, name: str, *more: str, of: str = "") -> DataFrame:
+    """The fields of members, or of a struct of them, with a side's name after them."""
+    return rows.select(*more, F.col(f"{of}class").alias(name), *[F.col(f"{of}{c}").alias(f"{c}_{name}") for c in FIELDS[1:]])
 
 
 def alike(percent: int, bits: int) -> Column:
-    """Whether the sizes and sketches of sides a and b allow the similarity."""
-    apart = F.bit_count(F.col("s_a").bitwiseXOR(F.col("s_b"))) + F.bit_count(F.col("t_a").bitwiseXOR(F.col("t_b")))
-    return (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent) & (apart <= bits)
+    """Whether sizes and sketches of sides a and b allow the similarity.
 
+    Bucket parities differ in no more places than the sets differ in shingles, so that bound loses nothing.
+    """
+    def apart(names: list[str]) -> Column:
+        return sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in names), F.lit(0))
 
-MEMBER = ["node", "class", "n_shingles", "sketch_a", "sketch_b"]
+    a, b = F.col("n_shingles_a"), F.col("n_shingles_b")
+    return (F.least(a, b) * 100 >= F.greatest(a, b) * percent) & (apart(STRICT) * (100 + percent) <= (a + b) * (100 - percent)) & (apart(LOOSE) <= bits)
 
 
 def first_nodes(classes: DataFrame, trees: int, fanout: int) -> DataFrame:
@@ -126,30 +141,34 @@ def met(members: DataFrame, node_rows: int, percent: int, bits: int) -> tuple[Da
 
     Every node offers its members with its smallest member and with one hashed member; small nodes offer all pairs.
     """
-    fields = F.struct("class", "n_shingles", "sketch_a", "sketch_b")
+    fields = F.struct(*FIELDS)
     sizes = members.groupBy("node").agg(F.count("*").alias("rows"), F.min(fields).alias("smallest"), F.min(F.struct(F.xxhash64(F.lit(1), "class"), fields.alias("one"))).alias("hashed")).where("rows > 1")
     inside = stage(members.join(sizes, "node").select(*MEMBER, "rows", F.array("smallest", "hashed.one").alias("centres")), "near-members")
     large = inside.where(F.col("rows") > node_rows)
-    centre = side(large.select(*MEMBER, F.explode("centres").alias("centre")), "b", "centre").select(
-        F.col("centre.class").alias("a"), F.col("centre.n_shingles").alias("n_a"), F.col("centre.sketch_a").alias("s_a"), F.col("centre.sketch_b").alias("t_a"), "b", "n_b", "s_b", "t_b",
-    )
+    offered = large.select(*MEMBER, F.explode("centres").alias("centre"))
+    centre = side(side(offered, "b", "centre"), "a", "b", *[f"{c}_b" for c in FIELDS[1:]], of="centre.")
     stars = centre.where(F.col("a") != F.col("b")).where(alike(percent, bits))
     few = inside.where(F.col("rows") <= node_rows)
     pairs = side(few, "a", "node").join(side(few, "b", "node"), "node").where("a < b").where(alike(percent, bits))
     return stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(pairs.select("a", "b")).distinct(), large.select(MEMBER)
 
 
-def undecided(large: DataFrame, found: DataFrame) -> DataFrame:
-    """Members of nodes whose members are in several components, with their component."""
+def undecided(large: DataFrame, found: DataFrame, node_pairs: int) -> DataFrame:
+    """Members, with their component, of nodes whose members are in several components, and whether such a node is ``thin``.
+
+    A thin node has at most ``node_pairs`` pairs across its components for each of its members.
+    """
     marked = large.join(found.toDF("class", "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    mixed = marked.groupBy("node").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("node")
-    return marked.join(mixed, "node", "left_semi")
+    parts = marked.groupBy("node", "component").agg(F.count("*").alias("rows"))
+    rows = F.sum("rows").cast("double")
+    sizes = parts.groupBy("node").agg(F.count("*").alias("parts"), ((rows * rows - F.sum(F.col("rows").cast("double") * F.col("rows"))) / 2 <= rows * node_pairs).alias("thin"))
+    return marked.join(sizes.where("parts > 1").select("node", "thin"), "node")
 
 
-def across(members: DataFrame, percent: int, bits: int, slices: int = 32) -> DataFrame:
+def across(members: DataFrame, percent: int, bits: int, slices: int = 8) -> DataFrame:
     """Candidate pairs between the components of a node, one side dealt in slices and the other repeated for each."""
     left = side(members, "a", "node", "component").withColumn("slice", F.pmod(F.xxhash64("a"), F.lit(slices)))
-    right = side(members, "b", "node", "component").withColumnRenamed("component", "other").withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).cast("bigint"))
+    right = side(members, "b", "node", "component").withColumnRenamed("component", "other").withColumn("slice", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(slices - 1).cast("bigint"))))
     return left.join(right, ["node", "slice"]).where("a < b AND component <> other").where(alike(percent, bits)).select("a", "b").distinct()
 
 
@@ -181,12 +200,12 @@ def confirmed(pairs: DataFrame, bodies: DataFrame, k: int, percent: int) -> Data
     return pairs.join(left, "a").join(right, "b").where(close("items_a", "items_b")).select("a", "b")
 
 
-def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, trees: int = 4, fanout: int = 2, node_rows: int = 24, levels: int = 5, sketch_bits: int = 32) -> DataFrame:
+def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, trees: int = 4, fanout: int = 2, node_rows: int = 24, node_pairs: int = 1500, levels: int = 6, sketch_bits: int = 27) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest id reachable through links), kept."""
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id IS NOT NULL")
     signed = stage(signatures(rows, k), "near-signatures")
     alone = signed.where("n_shingles > 0").groupBy("set_key").agg(
-        F.min("doc_id").alias("class"), *[F.first(c).alias(c) for c in ("n_shingles", "tokens", "sketch_a", "sketch_b")],
+        F.min("doc_id").alias("class"), *[F.first(c).alias(c) for c in ("n_shingles", "tokens", *SKETCH)],
     )
     classes = stage(alone, "near-classes")
     bodies = rows.withColumnRenamed("doc_id", "class")
@@ -195,13 +214,14 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5,
     edges = stage(confirmed(pairs, bodies, k, percent), "near-edges")
     found = stage(components(edges), "near-components")
     for level in range(levels):
-        open_nodes = stage(undecided(large, found), "near-open")
+        open_nodes = stage(undecided(large, found, node_pairs), "near-open")
         if not open_nodes.head(1):
             break
-        if level < levels - 1:
-            pairs, large = met(branched(open_nodes, classes, fanout), node_rows, percent, sketch_bits)
-        else:
-            pairs = across(open_nodes, percent, sketch_bits)
+        last = level == levels - 1
+        pairs = across(open_nodes if last else open_nodes.where("thin"), percent, sketch_bits)
+        if not last:
+            more, large = met(branched(open_nodes.where("NOT thin").select(MEMBER), classes, fanout), node_rows, percent, sketch_bits)
+            pairs = pairs.union(more).distinct()
         news = stage(confirmed(pairs.join(edges, ["a", "b"], "left_anti"), bodies, k, percent), "near-edges")
         if news.head(1):
             edges = stage(edges.union(news), "near-edges")
