@@ -18,6 +18,10 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gazette.llm.common import small, stage
+
+#: A larger sample than this (``sample_docs`` times the languages) is joined by shuffle.
+MAX_BROADCAST_ROWS = 100_000
 UNDETERMINED = "und"
 PREDICTION = "lang string, score double, margin double, rejected boolean"
 
@@ -43,7 +47,8 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", sample_do
     rows = labelled.select(F.col(text).alias("body"), F.col(lang).alias("lang")).where("lang IS NOT NULL AND body IS NOT NULL").withColumn("h", F.xxhash64("body"))
     hashes = rows.groupBy("lang", "h").agg(F.count("*").alias("copies"))
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    chosen = hashes.select("lang", "h").withColumn("nth", nth).where(F.col("nth") <= sample_docs)
+    chosen = stage(hashes.select("lang", "h").withColumn("nth", nth).where(F.col("nth") <= sample_docs), "language-sample")
+    chosen = small(chosen, chosen.count(), MAX_BROADCAST_ROWS)
     start = F.lit(1) + F.pmod(F.col("h"), F.greatest(F.length("body") - excerpt_chars, F.lit(1))).cast("int")
     excerpt = normalised(F.substring("body", start, F.lit(excerpt_chars)))
     parts = rows.join(chosen, ["lang", "h"]).select("lang", "h", excerpt.alias("part")).groupBy("lang", "h").agg(F.min("part").alias("part"))

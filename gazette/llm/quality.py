@@ -133,7 +133,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     counts = marks.agg(F.count_if(F.col("mark") == 1).alias("good"), F.count("*").alias("rows")).first()
     trusted = marks.where("mark = 1").select("id").distinct()
     chosen = trusted.orderBy(F.xxhash64("id"), "id").limit(sample_rows)
-    positives = bodies.join(chosen, "id", "left_semi")
+    positives = bodies.join(F.broadcast(chosen), "id", "left_semi")  # of sample_rows rows at most
     return fit(sampled(positives, sample_rows), sampled(bodies, sample_rows), (counts.good + 1) / (counts.rows + 2))
 
 
