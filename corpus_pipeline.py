@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazette.llm import quality
+from gazette.llm import bpe, decontaminate, linededup, neardup, quality
 from gazette.llm.common import stage, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -17,8 +18,33 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return quality.scored(docs, quality.train(docs, labels)).where("predicted = 1").select(COLUMNS)
 
 
+def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the smallest document of each group on shingles of five words at a similarity of 0.8."""
+    return neardup.distinct_documents(docs, k=5, percent=80).select(COLUMNS)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cut lines that an earlier document or place has; ``n_chars`` follows the text."""
+    return linededup.without_repeats(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(COLUMNS)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the documents that hold no window of a benchmark item."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark")).select(COLUMNS)
+
+
+def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every text, with their number and the text they decode to."""
+    whole = bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return whole.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", "decoded")
+
+
 STAGES = [
     ("quality_classifier", quality_classifier),
+    ("minhash_near_dedup", minhash_near_dedup),
+    ("substring_dedup", substring_dedup),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("bpe_encoding", bpe_encoding),
 ]
 
 #: Learned and similarity decisions have no SQL form; the stages are tested against brute-force versions.

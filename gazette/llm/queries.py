@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazette.llm import decontaminate, language_id, neardup, quality, topk, warc
+from gazette.llm import bpe, decontaminate, katz, language_id, linededup, neardup, quality, repair, topk, warc
 from gazette.llm.common import crc_class, table
 
 
@@ -24,6 +25,11 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whole = bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return whole.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
+
+
 def op4_bit_sliced_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
@@ -36,6 +42,11 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.groups(table(spark, sf_dir, "documents"), k=2, percent=80)
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = linededup.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.withColumn("n_cut", F.size("cut_starts").cast("long"))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = crc_class(F.col("doc_id"), 3) == 1
@@ -43,13 +54,30 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.train(docs.where(~held_out), labels)).withColumn("held_out", held_out)
 
 
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archive = repair.write(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    rows = repair.read(archive).select("file", "shard", F.col("key").alias("doc_id"), "offset", F.col("n_ids").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+    starts = rows.join(repair.shard_starts(archive), ["file", "shard"])
+    return starts.select("doc_id", (F.col("shard_start") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32")
+
+
+def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = crc_class(F.col("doc_id"), 7) == 2
+    scores, model = katz.score(table(spark, sf_dir, "documents"), ~held_out, order=2)
+    return scores.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
+    "op3_bpe": op3_bpe,
     "op4_bit_sliced_topk": op4_bit_sliced_topk,
     "op5_warc": op5_warc,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
+    "op7_line_dedup": op7_line_dedup,
     "op8_quality_classifier": op8_quality_classifier,
+    "op9_token_files": op9_token_files,
+    "op10_katz": op10_katz,
 }
 ORACLES: dict[str, str] = {
     "op2_benchmark_decontamination": r"""
@@ -104,4 +132,23 @@ ORACLES: dict[str, str] = {
         CASE WHEN page_id <> keeper THEN keeper END AS refers_to
         FROM p JOIN d USING (h)
     """,
+    "op7_line_dedup": r"""
+        WITH u AS (
+            SELECT doc_id, number - 1 AS number, line,
+                trim(regexp_replace(lower(line), '[^\p{L}\p{M}\p{N}]+', ' ', 'g')) AS unit
+            FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS number FROM documents)
+        ), s AS (
+            SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
+                len(string_split(unit, ' ')) >= 5 AND row_number() OVER (PARTITION BY unit ORDER BY doc_id, number) > 1 AS gone
+            FROM u
+        ), d AS (
+            SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY number) FILTER (NOT gone), '') AS text,
+                coalesce(list(CAST(start AS INTEGER) ORDER BY number) FILTER (gone), []) AS cut_starts,
+                coalesce(list(CAST(length(line) AS INTEGER) ORDER BY number) FILTER (gone), []) AS cut_lengths
+            FROM s GROUP BY doc_id
+        )
+        SELECT doc_id, CASE WHEN documents.text IS NOT NULL THEN d.text END AS text, coalesce(cut_starts, []) AS cut_starts,
+            coalesce(cut_lengths, []) AS cut_lengths, coalesce(len(cut_starts), 0) AS n_cut
+        FROM documents LEFT JOIN d USING (doc_id)
+    """,
 }
