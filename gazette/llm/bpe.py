@@ -1,8 +1,8 @@
 """BPE encoding and decoding with a table of distinct words.
 
 Texts are split into words as the tokenizer's pre-tokenizer does; merges never cross a word, so each distinct word is
-encoded once. Its ids are joined with an id-to-piece table, which gives the bytes they decode to. Both go back to the
-documents by a join on block and word, and are put in the words' order.
+encoded once. Its ids go back to the documents by a join on block and word, and are put in the words' order. The ids of a
+block are joined with an id-to-piece table, and the pieces are put together to the decoded text.
 
 Defined cases: a null text is the empty text, which has no ids and decodes to the empty text; strings of special tokens in a
 text are those tokens, as the tokenizers library has it by default; repeated rows and null keys have a row each; columns
@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from functools import partial
+from functools import cache, partial
 
 import numpy as np
 import pandas as pd
@@ -23,12 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from gazette.llm.blocks import blocks, unpacked
-from gazette.llm.common import small, stage
+from gazette.llm.blocks import NUMBER_BITS, blocks, unpacked
+from gazette.llm.common import bucketed, small
 
 #: Fixed value: the public word pattern of byte-level BPE.
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 MAX_BROADCAST_PIECES = 500_000
+MAX_WORDS_KEPT = 400_000
 
 
 def word_splitter(path: str):
@@ -55,6 +56,28 @@ def tokenizer(path: str) -> Tokenizer:
     return found
 
 
+class Encoder(dict):
+    """Ids of words as bytes, remembered up to a bound, and of texts."""
+
+    def __init__(self, path: str):
+        self.tokenizer, self.split = tokenizer(path), word_splitter(path)
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= MAX_WORDS_KEPT:
+            self.clear()
+        found = self[word] = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        return found
+
+    def __call__(self, text: str | None) -> bytes:
+        return b"".join(map(self.__getitem__, self.split(text or "")))
+
+
+@cache
+def encoder(path: str) -> Encoder:
+    """One encoder for all tasks of a worker."""
+    return Encoder(path)
+
+
 def byte_of_letter() -> dict[str, int]:
     """Letters that stand for bytes in byte-level pieces: printable bytes for themselves, the others from 256 on."""
     printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -73,36 +96,45 @@ def pieces(docs: DataFrame, path: str) -> DataFrame:
     return docs.sparkSession.createDataFrame(pd.DataFrame(rows, columns=["id", "piece"]), "id int, piece binary")
 
 
-def vocabulary(words: DataFrame, path: str) -> DataFrame:
-    """Each distinct word with its ids and the bytes that these decode to."""
+def encoded_words(dealt: DataFrame, path: str) -> DataFrame:
+    """``slot`` and ids (``code``) of the distinct words of each block. A word's rows, one per block at most, meet in one task, which encodes it once."""
 
-    @F.pandas_udf("array<int>")
+    @F.pandas_udf("binary")
     def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encode = tokenizer(path)
+        encode = encoder(path)
         for batch in batches:
-            yield pd.Series([one.ids for one in encode.encode_batch(batch.tolist(), add_special_tokens=False)], dtype=object)
+            yield batch.map(encode.__getitem__)
+
+    words = dealt.select("block", F.posexplode("words").alias("number", "word"))
+    words = words.select((F.shiftleft("block", NUMBER_BITS) + F.col("number")).alias("slot"), "word").repartition("word")
+    return words.select("slot", encoded("word").alias("code"))
+
+
+def used_pieces(tables: DataFrame, docs: DataFrame, path: str) -> DataFrame:
+    """The pieces of the ids that each block has, by a join with the id-to-piece table."""
+
+    @F.pandas_udf("array<int>")
+    def distinct(codes: pd.Series) -> pd.Series:
+        return codes.map(lambda one: np.unique(np.frombuffer(b"".join(one), "<u4")).astype(np.int32))
 
-    known = stage(words.distinct().withColumn("ids", encoded("word")), "bpe-words")
-    table = pieces(words, path)
-    each = known.select("word", "ids", F.posexplode("ids").alias("at", "id")).join(small(table, table.count(), MAX_BROADCAST_PIECES), "id")
-    parts = F.sort_array(F.collect_list(F.struct("at", "piece")))["piece"]
-    return each.groupBy("word", "ids").agg(F.aggregate(parts, F.lit(b""), lambda a, b: F.concat(a, b)).alias("bytes"))
+    table = pieces(docs, path)
+    each = tables.select("block", F.explode(distinct("codes")).alias("id")).join(small(table, table.count(), MAX_BROADCAST_PIECES), "id")
+    return each.groupBy("block").agg(F.collect_list(F.struct("id", "piece")).alias("pieces"))
 
 
 def round_trip(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row: the key, ``ids`` (little-endian unsigned 32-bit numbers) and ``decoded`` text."""
-    dealt = stage(blocks(docs, partial(word_splitter, path), "string", key=key, text=text), "bpe-blocks")
-    pairs = dealt.select("block", F.posexplode("words").alias("number", "word"))
-    known = pairs.join(vocabulary(pairs.select("word"), path), "word")
-    entry = F.sort_array(F.collect_list(F.struct("number", "ids", "bytes")))
-    tables = known.groupBy("block").agg(entry.alias("entries")).select("block", F.col("entries.ids").alias("codes"), F.col("entries.bytes").alias("parts"))
+    dealt = bucketed(blocks(docs, partial(word_splitter, path), "string", key=key, text=text), "bpe-blocks", "block")
+    entries = F.sort_array(F.collect_list(F.struct("slot", "code")))
+    tables = encoded_words(dealt, path).groupBy(F.shiftright("slot", NUMBER_BITS).alias("block")).agg(entries["code"].alias("codes"))
 
     def join_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kind = batch.column("keys").type.value_type
             for row in range(batch.num_rows):
-                keys, counts, places, codes, parts = (batch.column(name)[row].as_py() for name in ("keys", "counts", "places", "codes", "parts"))
-                codes, parts = [np.array(one, "<u4").tobytes() for one in codes or []], parts or []
+                keys, counts, places, codes, found = (batch.column(name)[row].as_py() for name in ("keys", "counts", "places", "codes", "pieces"))
+                codes, piece = codes or [], {one["id"]: one["piece"] for one in found or []}
+                parts = [b"".join(map(piece.__getitem__, np.frombuffer(code, "<u4").tolist())) for code in codes]
                 places, at = unpacked(places), 0
                 for one, count in zip(keys, unpacked(counts).tolist(), strict=True):
                     here = places[at:at + count].tolist()
@@ -111,5 +143,5 @@ def round_trip(docs: DataFrame, path: str, key: str = "doc_id", text: str = "tex
                     yield pa.RecordBatch.from_arrays([pa.array([one], kind), pa.array([ids], pa.binary()), pa.array([decoded], pa.string())], ["key", "ids", "decoded"])
 
     kind = dealt.schema["keys"].dataType.elementType.simpleString()
-    whole = dealt.drop("words").join(tables, "block", "left").select("keys", "counts", "places", "codes", "parts")
-    return whole.mapInArrow(join_up, f"key {kind}, ids binary, decoded string").withColumnRenamed("key", key)
+    whole = dealt.drop("words").join(tables, "block", "left").join(used_pieces(tables, docs, path), "block", "left")
+    return whole.select("keys", "counts", "places", "codes", "pieces").mapInArrow(join_up, f"key {kind}, ids binary, decoded string").withColumnRenamed("key", key)

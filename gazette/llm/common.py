@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +21,14 @@ def stage(frame: DataFrame, label: str, *by: str) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+def bucketed(frame: DataFrame, label: str, key: str) -> DataFrame:
+    """As ``stage``, in as many buckets of the key as shuffles have partitions: a join on the key does not move these rows again."""
+    spark, name = frame.sparkSession, f"{label}_{uuid.uuid4().hex}".replace("-", "_")
+    path = work_dir(spark, label)
+    frame.write.bucketBy(partitions(spark), key).option("path", path).option("compression", "zstd").format("parquet").saveAsTable(name)
+    return spark.table(name)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,33 +25,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gazette.llm.bpe import tokenizer, word_splitter
+from gazette.llm.bpe import encoder
 from gazette.llm.common import partitions, stage
 
 MAGIC = b"RPR1"
-MAX_WORDS_KEPT = 400_000
-
-
-class Encoder(dict):
-    """Ids of words as bytes, remembered up to a bound, and of texts."""
-
-    def __init__(self, path: str):
-        self.tokenizer, self.split = tokenizer(path), word_splitter(path)
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= MAX_WORDS_KEPT:
-            self.clear()
-        found = self[word] = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        return found
-
-    def __call__(self, text: str | None) -> bytes:
-        return b"".join(map(self.__getitem__, self.split(text or "")))
-
-
-@cache
-def encoder(path: str) -> Encoder:
-    """One encoder for all tasks of a worker."""
-    return Encoder(path)
 
 
 def frequent(pairs: np.ndarray, least: int, most: int) -> list[int]:
