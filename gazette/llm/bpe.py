@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from gazette.llm.blocks import NUMBER_BITS, blocks, unpacked
+from gazette.llm.blocks import NUMBER_BITS, blocks, packed, unpacked
 from gazette.llm.common import bucketed, small
 
 #: Fixed value: the public word pattern of byte-level BPE.
@@ -97,43 +97,62 @@ def pieces(docs: DataFrame, path: str) -> DataFrame:
 
 
 def encoded_words(dealt: DataFrame, path: str) -> DataFrame:
-    """``slot`` and ids (``code``) of the distinct words of each block. A word's rows, one per block at most, meet in one task, which encodes it once."""
+    """``block`` and compressed ``numbers``, ``sizes`` and ``ids`` of distinct words of the block, a row per block and task.
 
-    @F.pandas_udf("binary")
-    def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    A word's rows, one per block at most, meet in one task, which encodes it once.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
         for batch in batches:
-            yield batch.map(encode.__getitem__)
+            codes = list(map(encode.__getitem__, batch.column("word").to_pylist()))
+            sizes, ids = np.fromiter(map(len, codes), np.int64, len(codes)) // 4, np.frombuffer(b"".join(codes), "<u4")
+            slots = batch.column("slot").to_numpy(zero_copy_only=False)
+            for block in np.unique(slots >> NUMBER_BITS).tolist():
+                mine = slots >> NUMBER_BITS == block
+                values = [block, packed(slots[mine] & ((1 << NUMBER_BITS) - 1)), packed(sizes[mine]), packed(ids[np.repeat(mine, sizes)])]
+                kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds, strict=True)], ["block", "numbers", "sizes", "ids"])
 
     words = dealt.select("block", F.posexplode("words").alias("number", "word"))
-    words = words.select((F.shiftleft("block", NUMBER_BITS) + F.col("number")).alias("slot"), "word").repartition("word")
-    return words.select("slot", encoded("word").alias("code"))
+    words = words.select((F.shiftleft("block", NUMBER_BITS) + F.col("number")).alias("slot"), "word").repartition("word").sortWithinPartitions("slot")
+    return words.mapInArrow(run, "block bigint, numbers binary, sizes binary, ids binary")
+
+
+def codes_of(parts: list[dict]) -> list[bytes]:
+    """Ids of a block's words as bytes, in order of the words' numbers."""
+    codes: list[bytes] = [b""] * sum(len(unpacked(part["sizes"])) for part in parts)
+    for part in parts:
+        data, at = unpacked(part["ids"]).tobytes(), 0
+        for number, size in zip(unpacked(part["numbers"]).tolist(), (unpacked(part["sizes"]) * 4).tolist(), strict=True):
+            codes[number] = data[at:at + size]
+            at += size
+    return codes
 
 
 def used_pieces(tables: DataFrame, docs: DataFrame, path: str) -> DataFrame:
     """The pieces of the ids that each block has, by a join with the id-to-piece table."""
 
     @F.pandas_udf("array<int>")
-    def distinct(codes: pd.Series) -> pd.Series:
-        return codes.map(lambda one: np.unique(np.frombuffer(b"".join(one), "<u4")).astype(np.int32))
+    def distinct(ids: pd.Series) -> pd.Series:
+        return ids.map(lambda one: np.unique(unpacked(one)).astype(np.int32))
 
     table = pieces(docs, path)
-    each = tables.select("block", F.explode(distinct("codes")).alias("id")).join(small(table, table.count(), MAX_BROADCAST_PIECES), "id")
+    each = tables.select("block", F.explode("parts.ids").alias("ids")).select("block", F.explode(distinct("ids")).alias("id")).distinct().join(small(table, table.count(), MAX_BROADCAST_PIECES), "id")
     return each.groupBy("block").agg(F.collect_list(F.struct("id", "piece")).alias("pieces"))
 
 
-def round_trip(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+def round_trip(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", block_bytes: int = 32 << 20) -> DataFrame:
     """One row per row: the key, ``ids`` (little-endian unsigned 32-bit numbers) and ``decoded`` text."""
-    dealt = bucketed(blocks(docs, partial(word_splitter, path), "string", key=key, text=text), "bpe-blocks", "block")
-    entries = F.sort_array(F.collect_list(F.struct("slot", "code")))
-    tables = encoded_words(dealt, path).groupBy(F.shiftright("slot", NUMBER_BITS).alias("block")).agg(entries["code"].alias("codes"))
+    dealt = bucketed(blocks(docs, partial(word_splitter, path), "string", key=key, text=text, block_bytes=block_bytes), "bpe-blocks", "block")
+    tables = encoded_words(dealt, path).groupBy("block").agg(F.collect_list(F.struct("numbers", "sizes", "ids")).alias("parts"))
 
     def join_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kind = batch.column("keys").type.value_type
             for row in range(batch.num_rows):
-                keys, counts, places, codes, found = (batch.column(name)[row].as_py() for name in ("keys", "counts", "places", "codes", "pieces"))
-                codes, piece = codes or [], {one["id"]: one["piece"] for one in found or []}
+                keys, counts, places, codes, found = (batch.column(name)[row].as_py() for name in ("keys", "counts", "places", "parts", "pieces"))
+                codes, piece = codes_of(codes or []), {one["id"]: one["piece"] for one in found or []}
                 parts = [b"".join(map(piece.__getitem__, np.frombuffer(code, "<u4").tolist())) for code in codes]
                 places, at = unpacked(places), 0
                 for one, count in zip(keys, unpacked(counts).tolist(), strict=True):
@@ -144,4 +163,4 @@ def round_trip(docs: DataFrame, path: str, key: str = "doc_id", text: str = "tex
 
     kind = dealt.schema["keys"].dataType.elementType.simpleString()
     whole = dealt.drop("words").join(tables, "block", "left").join(used_pieces(tables, docs, path), "block", "left")
-    return whole.select("keys", "counts", "places", "codes", "pieces").mapInArrow(join_up, f"key {kind}, ids binary, decoded string").withColumnRenamed("key", key)
+    return whole.select("keys", "counts", "places", "parts", "pieces").mapInArrow(join_up, f"key {kind}, ids binary, decoded string").withColumnRenamed("key", key)
