@@ -30,6 +30,7 @@ from gazette.llm.common import bucketed, small
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 MAX_BROADCAST_PIECES = 500_000
 MAX_WORDS_KEPT = 400_000
+OUTPUT_BYTES = 4 << 20
 
 
 def word_splitter(path: str):
@@ -147,6 +148,9 @@ def round_trip(docs: DataFrame, path: str, key: str = "doc_id", text: str = "tex
     dealt = bucketed(blocks(docs, partial(word_splitter, path), "string", key=key, text=text, block_bytes=block_bytes), "bpe-blocks", "block")
     tables = encoded_words(dealt, path).groupBy("block").agg(F.collect_list(F.struct("numbers", "sizes", "ids")).alias("parts"))
 
+    def output(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (kind, pa.binary(), pa.string()), strict=True)], ["key", "ids", "decoded"])
+
     def join_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kind = batch.column("keys").type.value_type
@@ -154,12 +158,18 @@ def round_trip(docs: DataFrame, path: str, key: str = "doc_id", text: str = "tex
                 keys, counts, places, codes, found = (batch.column(name)[row].as_py() for name in ("keys", "counts", "places", "parts", "pieces"))
                 codes, piece = codes_of(codes or []), {one["id"]: one["piece"] for one in found or []}
                 parts = [b"".join(map(piece.__getitem__, np.frombuffer(code, "<u4").tolist())) for code in codes]
-                places, at = unpacked(places), 0
+                places, at, rows, size = unpacked(places), 0, [], 0
                 for one, count in zip(keys, unpacked(counts).tolist(), strict=True):
                     here = places[at:at + count].tolist()
                     at += count
-                    ids, decoded = b"".join(map(codes.__getitem__, here)), b"".join(map(parts.__getitem__, here)).decode("utf-8", "replace")
-                    yield pa.RecordBatch.from_arrays([pa.array([one], kind), pa.array([ids], pa.binary()), pa.array([decoded], pa.string())], ["key", "ids", "decoded"])
+                    ids = b"".join(map(codes.__getitem__, here))
+                    rows.append((one, ids, b"".join(map(parts.__getitem__, here)).decode("utf-8", "replace")))
+                    size += len(ids)
+                    if size > OUTPUT_BYTES:
+                        yield output(rows, kind)
+                        rows, size = [], 0
+                if rows:
+                    yield output(rows, kind)
 
     kind = dealt.schema["keys"].dataType.elementType.simpleString()
     whole = dealt.drop("words").join(tables, "block", "left").join(used_pieces(tables, docs, path), "block", "left")

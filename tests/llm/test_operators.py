@@ -1,0 +1,239 @@
+"""The numbered operators against brute force, on small inputs with the odd cases."""
+
+from __future__ import annotations
+
+import hashlib
+import itertools
+import math
+import random
+import re
+import struct
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from gazette.llm import bpe, decontaminate, katz, language_id, linededup, neardup, quality, repair, topk, warc
+
+PATH = public_tokenizers.path("byte_bpe_50k.json")
+DOCS = "doc_id bigint, text string, lang string, key string, words string, block int, rank string, number string"
+TEXTS = [
+    None, "", " ", "one", "It's  the\n\n first\tline, isn't it? 42 ÄÖ ß x \U0001F600", "a<|endoftext|> b <|endoftext|>", "\x00\x1c\x85 é   'S 'll",
+    "the cat sat on the mat today\nsecond line of five words here\nthe cat sat on the mat today", "The cat, sat on the mat; TODAY!\nshort\nown words are in this line", "the cat sat on the mat " * 4000,
+]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, text, "en") for i, text in enumerate(TEXTS)] + [(4, TEXTS[4], "en"), (None, "without an id and with some words", "en")]
+    return spark.createDataFrame([(*row, "x", "y", 1, "z", "n") for row in rows], DOCS)
+
+
+def test_bpe_round_trip(spark, docs):
+    tokenizer = Tokenizer.from_file(PATH)
+    random.seed(3)
+    letters = "ab 'sT\n\t\r\x1c\x85 　é1²,!_😀́ǅ"
+    more = spark.createDataFrame([(100 + i, "".join(random.choices(letters, k=40))) for i in range(200)], "doc_id bigint, text string")
+    every = docs.select("doc_id", "text").union(more)
+    expected = Counter()
+    for one, text in every.collect():
+        ids = tokenizer.encode(text or "", add_special_tokens=False).ids
+        expected[one, struct.pack(f"<{len(ids)}I", *ids), tokenizer.decode(ids, skip_special_tokens=False)] += 1
+    found = Counter((row.doc_id, bytes(row.ids), row.decoded) for row in bpe.round_trip(every, PATH, block_bytes=500).collect())
+    assert found == expected
+    assert bpe.round_trip(docs.where("false"), PATH).count() == 0
+
+
+def test_line_dedup(docs):
+    rows = {(row.doc_id, row.text) if row.doc_id is None or row.doc_id < 7 else row.doc_id: row for row in linededup.without_repeats(docs).collect()}
+    assert rows[7].text == "the cat sat on the mat today\nsecond line of five words here" and rows[7].cut_starts == [60] and rows[7].cut_lengths == [28]
+    assert rows[8].text == "short\nown words are in this line" and rows[8].cut_starts == [0]
+    assert rows[None, "without an id and with some words"].cut_starts == []
+    assert (0, None) in rows and (1, "") in rows
+    assert linededup.without_repeats(docs).count() == len(TEXTS) + 2
+    assert linededup.without_repeats(docs.where("false")).count() == 0
+
+
+def test_line_dedup_by_salted_join(docs, monkeypatch):
+    expected = sorted(map(str, linededup.without_repeats(docs).collect()))
+    monkeypatch.setattr(linededup, "MAX_BROADCAST_DIGESTS", 0)
+    assert sorted(map(str, linededup.without_repeats(docs).collect())) == expected
+
+
+def test_repair_grammar_is_lossless():
+    random.seed(5)
+    for size, symbols in [(1, 1), (9, 1), (400, 2), (3000, 5), (5000, 70000)]:
+        texts = [struct.pack(f"<{n}I", *random.choices(range(symbols), k=n)) for n in [size, 1, 2 * size]]
+        payload = repair.pack(texts, least=2, most=3)
+        shard = repair.Shard(payload)
+        assert [shard.document(i) for i in range(3)] == texts
+        for number, text in enumerate(texts):
+            ids = list(struct.unpack(f"<{len(text) // 4}I", text))
+            for start in {0, len(ids) // 3, len(ids) - 1}:
+                for stop in {start, start + 1, start + 7, len(ids)}:
+                    assert repair.Shard(payload).ids(number, start, stop) == ids[start:stop]
+    assert len(repair.pack([struct.pack("<4000I", *[7] * 4000)], least=2)) < 400
+
+
+def test_repair_files(docs):
+    tokenizer = Tokenizer.from_file(PATH)
+    archive = repair.write(docs, PATH, shard_ids=50, least=2, files=3)
+    found = repair.read(archive).join(repair.shard_starts(archive), ["file", "shard"]).withColumn("start", F.col("shard_start") + F.col("offset")).orderBy("start").collect()
+    start = 0
+    rows = sorted(((row.doc_id, row.text) for row in docs.collect()), key=lambda row: (row[0] is not None, row[0] or 0))
+    for (one, text), row in zip(rows, found, strict=True):
+        ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 2]
+        assert (row.key, row.start, bytes(row.ids)) == (one, start, struct.pack(f"<{len(ids)}I", *ids))
+        start += len(ids)
+    assert repair.read(repair.write(docs.where("false"), PATH)).count() == 0
+
+
+def katz_by_hand(texts: list[list[str]], learned: list[list[str]], order: int) -> list[float]:
+    counts = [Counter() for _ in range(order + 1)]
+    for words in learned:
+        padded = ["<"] * (order - 1) + words + [">"]
+        for n in range(1, order + 1):
+            for at in range(order - 1, len(padded)):
+                counts[n][tuple(padded[at - n + 1:at + 1])] += 1
+    kept = []
+    for n in range(order + 1):
+        factors = katz.discounts(Counter(counts[n].values()))
+        kept.append({gram: c * (factors[c - 1] if c <= len(factors) else 1) for gram, c in counts[n].items()})
+
+    def total(grams: list) -> float:
+        seen, left = sum(counts[len(g)][g] for g in grams), sum(kept[len(g)][g] for g in grams)
+        return seen if seen - left > seen * 1e-12 else seen + 1
+
+    everything = list(counts[1])
+    types = {gram[0] for gram in everything}
+
+    def probability(gram: tuple) -> float:
+        if len(gram) == 1:
+            whole = total(everything)
+            return kept[1][gram] / whole if gram in kept[1] else 1 - sum(kept[1].values()) / whole
+        after = [one for one in counts[len(gram)] if one[:-1] == gram[:-1]]
+        if not after:
+            return probability(gram[1:])
+        if gram in counts[len(gram)]:
+            return kept[len(gram)][gram] / total(after)
+        free = 1 - sum(kept[len(gram)][one] for one in after) / total(after)
+        return free / (1 - sum(probability(one[1:]) for one in after)) * probability(gram[1:])
+
+    if order > 1:
+        history = ("<",) * (order - 1)
+        assert math.isclose(sum(probability((*history, word)) for word in [*types, "never seen"]), 1, rel_tol=1e-9)
+    return [sum(math.log10(probability(tuple((["<"] * (order - 1) + words + [">"])[at - order + 1:at + 1]))) for at in range(order - 1, order + len(words))) for words in texts]
+
+
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_katz(spark, order):
+    random.seed(order)
+    words = [f"w{i}" for i in range(30)]
+    texts = [" ".join(random.choices(words, [1 / (i + 1) for i in range(30)], k=random.randint(0, 25))) for _ in range(60)] + ["", "Unknown w1 unknown"]
+    frame = spark.createDataFrame([(i, text) for i, text in enumerate(texts)], "doc_id bigint, text string").repartition(3)
+    scores, model = katz.score(frame, F.col("doc_id") % 4 != 1, order, block_bytes=200)
+    split = [text.lower().split() for text in texts]
+    expected = katz_by_hand(split, [one for i, one in enumerate(split) if i % 4 != 1], order)
+    rows = {row.doc_id: row for row in scores.collect()}
+    assert model.tokens == sum(len(one) + 1 for i, one in enumerate(split) if i % 4 != 1)
+    for i, value in enumerate(expected):
+        assert math.isclose(rows[i].score, value, rel_tol=1e-9) and rows[i].n_tokens == len(split[i]) + 1
+
+
+def test_katz_odd_rows(docs):
+    scores, model = katz.score(docs, F.col("doc_id") != 0)
+    assert scores.count() == len(TEXTS) + 2 and scores.where("score IS NULL OR isnan(score) OR score > 0").count() == 0
+    nothing, model = katz.score(docs, F.lit(False))
+    assert model.tokens == 0 and nothing.where("score <> 0").count() == 0
+    assert katz.score(docs.where("false"), F.lit(True))[0].count() == 0
+
+
+def shingles(text: str | None, k: int) -> set:
+    words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").lower())
+    return {tuple(words[i:i + k]) for i in range(max(len(words) - k + 1, 1))} if words else set()
+
+
+def test_near_duplicates(spark, docs):
+    random.seed(11)
+    rows = []
+    for _ in range(25):
+        base = [f"v{random.randrange(400)}" for _ in range(random.randint(5, 60))]
+        for _ in range(random.randint(1, 6)):
+            copy = list(base)
+            for _ in range(random.choice([0, 0, 1, 4, 20])):
+                copy[random.randrange(len(copy))] = f"v{random.randrange(400)}"
+            rows.append((len(rows), " ".join(copy)))
+    sets = [shingles(text, 2) for _, text in rows]
+    parent = list(range(len(rows)))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in itertools.combinations(range(len(rows)), 2):
+        if sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+            parent[max(root(a), root(b))] = min(root(a), root(b))
+    found = {row.doc_id: row for row in neardup.groups(spark.createDataFrame(rows, "doc_id bigint, text string"), k=2).collect()}
+    assert [(found[i].n_shingles, found[i].component_id) for i in range(len(rows))] == [(len(sets[i]), root(i)) for i in range(len(rows))]
+    odd = {(row.doc_id, row.n_shingles, row.component_id) for row in neardup.groups(docs, k=2).collect()}
+    assert {(0, 0, 0), (1, 0, 1), (2, 0, 2), (3, 1, 3)} <= odd
+    assert neardup.distinct_documents(docs).columns == docs.columns
+    assert neardup.groups(docs.where("false")).count() == 0
+
+
+def test_decontamination(spark, docs):
+    item = "one two three four five six seven eight nine ten eleven"
+    items = spark.createDataFrame([("a", item), ("b", "Cat sat"), ("c", None), ("d", "")], "item_id string, text string")
+    more = spark.createDataFrame([(50, f"before {item.upper()}, after"), (51, item[:-12])], "doc_id bigint, text string")
+    found = {row.doc_id: row for row in decontaminate.contamination(docs.select("doc_id", "text").union(more), items).withColumn("n", decontaminate.hit_words(F.col("hits"))).collect()}
+    assert (found[50].n, found[50].item_ids) == (11, ["a"]) and (found[51].n, found[0].n_words, found[0].n) == (0, 0, 0)
+    assert (found[7].n, found[7].item_ids) == (4, ["b"])
+    assert decontaminate.clean(docs, items.where("false")).count() == docs.count()
+    assert decontaminate.contamination(docs.where("false"), items).count() == 0
+
+
+def test_top_k(spark):
+    random.seed(2)
+    vectors = [[random.uniform(-2, 2) for _ in range(8)] for _ in range(300)] + [None, [None] * 8, [float("nan")] * 8, [1.0] * 8, [1.0] * 8]
+    frame = spark.createDataFrame(list(enumerate(vectors)), "vec_id bigint, embedding array<double>")
+    whole = {i: np.floor(256 * np.array(v, float)).astype(int) for i, v in enumerate(vectors) if v and all(x is not None and math.isfinite(x) for x in v)}
+    expected = set()
+    for q in whole:
+        if q % 50 == 0:
+            best = sorted((-int(whole[q] @ whole[v]), v) for v in whole if v != q)[:5]
+            expected |= {(q, rank, v, -score) for rank, (score, v) in enumerate(best, 1)}
+    assert {tuple(row) for row in topk.top_k(frame, F.col("vec_id") % 50 == 0, block_rows=64).collect()} == expected
+    assert topk.top_k(frame.where("false"), F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_warc_round_trip(spark):
+    pages = spark.createDataFrame([(1, "http://a/ b", "é"), (2, None, "é"), (3, "u", None), (4, "v", "")], "page_id bigint, url string, html string")
+    archive = warc.write(pages)
+    found = {row.key: row for row in warc.catalogue(archive).collect()}
+    assert [(found[i].record_type, found[i].refers_to, found[i].payload_bytes) for i in (1, 2, 3, 4)] == [("revisit", 2, 2), ("response", None, 2), ("revisit", 4, 0), ("response", None, 0)]
+    assert {row.key: bytes(row.payload) for row in warc.records(archive).collect()} == {1: "é".encode(), 2: "é".encode(), 3: b"", 4: b""}
+    assert warc.catalogue(warc.write(pages.where("false"))).count() == 0
+
+
+def test_language_and_quality(spark, docs):
+    english, german = "the house is near the river and we like it", "das Haus steht nahe am Fluss und wir mögen es"
+    labelled = spark.createDataFrame([(f"{english} {i}", "en") for i in range(20)] + [(f"{german} {i}", "de") for i in range(20)], "text string, lang string")
+    found = {row.doc_id: row for row in language_id.identify(spark.createDataFrame([(1, english), (2, german), (3, None), (4, "123 !")], "doc_id bigint, text string"), language_id.train(labelled)).collect()}
+    assert [found[i].lang_pred for i in (1, 2, 3, 4)] == ["en", "de", "und", "und"]
+    good, bad = "A plain sentence with several different words about number {}.", "BUY!! BUY!! {} | NOW!! | $$ 000 {} !!"
+    rows = [(i, (good if i % 2 else bad).format(i, i)) for i in range(200)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = frame.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality")).where("doc_id < 100")
+    scored = quality.score(frame, quality.train(frame, labels))
+    assert scored.where("doc_id >= 100 AND predicted = doc_id % 2").count() >= 95
+    assert quality.score(docs, quality.train(docs, labels.where("false"))).where("score BETWEEN 0 AND 1").count() == docs.count()
+
+
+def test_digest_of_query_columns(spark):
+    row = spark.createDataFrame([(1, "abc")], "doc_id bigint, text string")
+    ids = bpe.round_trip(row, PATH).select(F.sha2("ids", 256).alias("h"), "ids").first()
+    assert ids.h == hashlib.sha256(bytes(ids.ids)).hexdigest()
