@@ -8,13 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gazette import schemas
-from gazette.functions.display import SOURCE_NAMES
+from gazette.functions.display import MARKET_SOURCE, SOURCE_NAMES
 from gazette.operators.search import calendar_view
 from gazette.operators.status import written_per_source
 from gazette.operators.upsert import latest
 from gazette.plans.ingest import mark
 from gazette.sources.config import local_frame
-from gazette.sources.registry import collect, collect_market
+from gazette.sources.registry import COLLECTORS, collect, collect_market
 from gazette.sources.tables import Store, quarantine, stage, write_run
 
 
@@ -34,22 +34,38 @@ def is_first_run(store: Store) -> bool:
     return store.nso_log().isEmpty() and store.ff_log().isEmpty()
 
 
+def fingerprint(landing: DataFrame) -> str:
+    """Name of a landing's content: the same bodies give the same name in any order, other bodies another."""
+    each = F.xxhash64("source", "facet", "seen_at", "batch_ord", "body").cast("decimal(38,0)")
+    row = landing.agg(F.count("*").alias("n"), F.sum(each).alias("h")).first()
+    return f"{row.n}-{abs(int(row.h or 0)):x}{'n' if (row.h or 0) < 0 else ''}"
+
+
+def unregistered(landing: DataFrame) -> DataFrame:
+    """Bodies of sources that no collector reads, as faulty rows."""
+    known = [code for codes in COLLECTORS for code in codes] + [MARKET_SOURCE]
+    strangers = landing.where(~F.coalesce(F.col("source").isin(known), F.lit(False)))
+    return strangers.select("source", "seen_at", F.lit("unknown_source").alias("fault"), F.col("body").alias("raw"))
+
+
 def collect_once(landing: DataFrame, store: Store, run: str, as_of: dt.datetime, backfill: bool | None = None) -> DataFrame:
     """Parse calendar bodies, append them to the logs and record the run; returns written rows per source.
 
-    A first run on empty tables takes the wide market window as well. Within a run the position in the body orders
-    the writes of a key.
+    A first run on empty tables takes the wide market window as well. Within a body the position orders the writes of
+    a key, which become one log row. The run's folders are named by the content too: a run never replaces the rows of
+    other bodies, whatever its name, and the same bodies replace themselves.
     """
     backfill = is_first_run(store) if backfill is None else backfill
-    order = ((F.col("batch_ord") * 2**32) + F.col("item_pos")).alias("batch_ord")
+    run = f"{run}-{fingerprint(landing)}"
     nso = stage(collect(landing, as_of), store, "nso", run)
     ff = stage(collect_market(landing, as_of, backfill), store, "ff", run)
     faulty = [frame.select("source", "seen_at", "fault", "raw") for frame in (nso, ff)]
-    rejects = faulty[0].unionByName(faulty[1])
+    rejects = faulty[0].unionByName(faulty[1]).unionByName(unregistered(landing))
     quarantine(rejects, store, F.col("source"), F.col("seen_at"), "calendar", run)
-    for name, rows, schema in (("nso_log", nso, schemas.NSO_LOG), ("ff_log", ff, schemas.FF_LOG)):
-        columns = [order if column == "batch_ord" else F.col(column) for column in schema.names]
-        write_run(rows.where("fault is null").select(*columns), store.path(name), run, ["release_dt"])
+    logs = (("nso_log", nso, schemas.NSO_LOG, schemas.NSO_PAYLOAD, ()), ("ff_log", ff, schemas.FF_LOG, schemas.FF_PAYLOAD, schemas.FF_STICKY))
+    for name, rows, schema, payload, sticky in logs:
+        last = latest(rows.where("fault is null"), ["source_uid", "seen_at", "batch_ord"], payload, sticky, ["item_pos"])
+        write_run(last.select(*schema.names), store.path(name), run, ["release_dt"])
     good = nso.where("fault is null").select("source").unionByName(ff.where("fault is null").select("source"))
     sources = local_frame(store.spark, [(code,) for code in SOURCE_NAMES], schemas.CALENDAR_SOURCES[:1])
     counts = written_per_source(good, sources)

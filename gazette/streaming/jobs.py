@@ -10,7 +10,6 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,7 +21,7 @@ from gazette.operators.dedup import insert_if_absent
 from gazette.plans import collect as calendar_plan
 from gazette.plans.enrich import enrich
 from gazette.plans.ingest import ingest
-from gazette.sources.tables import Store, read, with_month
+from gazette.sources.tables import Store, read, stage, with_month
 
 Clock = Callable[[], dt.datetime]
 
@@ -76,13 +75,13 @@ def collect_stream(
 ):
     """Calendar collection over a landing folder.
 
-    A micro-batch is not pruned by source, as a stored landing is, so it is kept while the collectors read it.
+    A micro-batch is not pruned by source, as a stored landing is, so it is staged while the collectors read it.
+    Its run is named by its content alone, so that a stream with a new checkpoint adds to the logs.
     """
 
     def batch(rows: DataFrame, batch_id: int) -> None:
-        kept = rows.persist(StorageLevel.DISK_ONLY)
-        calendar_plan.collect_once(kept, store, f"stream-{batch_id}", clock())
-        kept.unpersist()
+        kept = stage(rows, store, "landing", f"stream-{batch_id}")
+        calendar_plan.collect_once(kept, store, "stream", clock())
 
     source = file_stream(spark, landing, schemas.LANDING_CALENDAR, max_files)
     return start(source.writeStream.foreachBatch(batch), checkpoint, every)

@@ -147,3 +147,22 @@ def test_store_root_is_shared_setting(spark):
 
     assert work_dir(spark, "x") != work_dir(spark, "x")
     assert Store(spark, "/a/").path("t") == "/a/t"
+
+
+def stranger(spark, body):
+    return local_frame(spark, [("bogus", "", NOW, 1, body)], schemas.LANDING_CALENDAR)
+
+
+def test_collect_quarantines_unknown_sources_and_keeps_other_bodies(spark, store):
+    first, second = stranger(spark, "first"), stranger(spark, "second")
+    assert collect.fingerprint(first.union(second)) == collect.fingerprint(second.union(first))
+    for bodies in (first, second, first):
+        collect.collect_once(bodies, store, "same", calendars.AS_OF)
+    assert sorted((row.raw, row.reason) for row in store.quarantine().collect()) == [("first", "unknown_source"), ("second", "unknown_source")]
+
+
+def test_collect_adds_under_one_run_name_and_takes_large_batch_numbers(spark, store):
+    for title, batch in (("Zulu", 1_700_000_000_000), ("Yankee", 1_700_000_000_001)):
+        rows = [("istat", "", calendars.AS_OF, batch, calendars.ICS.replace("Zulu", title))]
+        collect.collect_once(local_frame(spark, rows, schemas.LANDING_CALENDAR), store, "same", calendars.AS_OF)
+    assert {"Zulu", "Yankee"} <= {row.title for row in collect.nso_releases(store).collect()}
