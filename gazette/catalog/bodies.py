@@ -6,7 +6,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from gazette.catalog.base import query, releases, table
+from gazette.catalog.base import dealt, query, releases, table
 from gazette.functions import dates, htmltext
 from gazette.functions.sqltext import literal, lookup
 from gazette.operators import search
@@ -16,7 +16,6 @@ from gazette.sources.cso import parse_cso
 from gazette.sources.feeds import normalise, parse_feeds, read_items
 from gazette.sources.html_calendars import parse_embargo_table, parse_event_list, parse_market_pages
 from gazette.sources.ics import parse_ics
-from gazette.sources.landing import spread
 
 FETCHED = "timestamp'2024-12-31 12:00:00'"
 ESCAPED = "replace(replace(replace(line, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
@@ -31,7 +30,7 @@ TITLE_SQL = r"coalesce(nullif(trim(regexp_replace(line, '\s+', ' ', 'g')), ''),
 def write_bodies(spark, sf_dir, item, head, tail, separator=""):
     """Documents as bodies: ``item`` is SQL text over (doc_id, lang, pos, line)."""
     body = rf"concat({literal(head)}, array_join(transform(split(text, '\n'), (line, pos) -> {item}), {literal(separator)}), {literal(tail)})"
-    return spread(table(spark, sf_dir, "documents")).selectExpr("doc_id", "lang", "source", f"{body} AS body")
+    return dealt(table(spark, sf_dir, "documents")).selectExpr("doc_id", "lang", "source", f"{body} AS body")
 
 
 RSS_ITEM = f"""concat('<item><title>', {ESCAPED}, '</title><link>https://x.example/', doc_id, '?a=1&amp;pos=', pos, '</link>',
@@ -228,7 +227,7 @@ _BODY = f"regexp_replace({_BODY}, '(?is)<div\\b[^>]*\\bclass\\s*=\\s*\"ad\"[^>]*
     article AS (SELECT page_id, coalesce(nullif(regexp_extract(body, '(?is)<article\b[^>]*>(.*?)</article\s*>', 1), ''), body) AS body FROM body)
     SELECT page_id, trim(regexp_replace({_entities("regexp_replace(body, '<[^>]*>', ' ', 'g')")}, '\s+', ' ', 'g')) AS main_text FROM article""")
 def page_main_text(spark, sf_dir):
-    pages = spread(table(spark, sf_dir, "pages").select("page_id", "html"))
+    pages = dealt(table(spark, sf_dir, "pages").select("page_id", "html"))
     return htmltext.with_main_text(pages, "html", "main_text").select("page_id", "main_text")
 
 

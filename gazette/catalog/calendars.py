@@ -6,14 +6,13 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from gazette.catalog.base import query, table
+from gazette.catalog.base import dealt, query, table
 from gazette.functions import dates, display, keys
 from gazette.functions.sqltext import lookup
 from gazette.operators import carry, search, status, upsert
 from gazette.schemas import CALENDAR_SOURCES, STATUS_KEYS, struct
 from gazette.sources import config, months
 from gazette.sources.cso import is_recent
-from gazette.sources.landing import spread
 
 # Event types as calendar sources.
 SOURCES = {"click": "eurostat", "view": "istat", "signup": "ine", "error": "destatis", "purchase": "forexfactory"}
@@ -157,7 +156,7 @@ ZONE_SQL = "CASE o_orderpriority " + " ".join(f"WHEN '{name}' THEN '{zone}'" for
     timezone('UTC', timezone('America/New_York', o_orderdate + to_hours(CASE WHEN o_orderstatus = 'P' THEN 0 ELSE 8 + o_orderkey % 12 END))) AS market_dt
     FROM (SELECT *, {ZONE_SQL} AS zone FROM orders)""")
 def calendar_local_to_utc(spark, sf_dir):
-    orders = spread(table(spark, sf_dir, "orders")).selectExpr(
+    orders = dealt(table(spark, sf_dir, "orders")).selectExpr(
         "o_orderkey", f"{lookup(ORDER_ZONES, 'o_orderpriority')} AS tzid", "'Europe/Berlin' AS tz", "9 AS hour",
         "o_orderdate + make_dt_interval(0, 8 + o_orderkey % 12) AS local", "o_orderdate", "o_orderstatus",
     ).selectExpr(
@@ -243,7 +242,7 @@ def title_month_dates(spark, sf_dir):
     names = "element_at(array(" + ", ".join(
         "array(" + ", ".join(f"'{name}'" for name in of_language) + ")" for of_language in dates.MONTHS.values()
     ) + "), CAST(o_custkey % 5 AS INT) + 1)"
-    named = spread(table(spark, sf_dir, "orders")).selectExpr(
+    named = dealt(table(spark, sf_dir, "orders")).selectExpr(
         "o_orderkey", "o_orderdate", "o_orderdate + interval 45 days AS second", f"{names} AS names"
     )
     titles = named.selectExpr(

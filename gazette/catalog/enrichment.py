@@ -41,11 +41,11 @@ def _case(words, default):
 TAGGED_SQL = f"""contents AS (SELECT *, substring(prompt, 8) AS content FROM prompts),
     tagged AS (SELECT doc_id, title, {_case(enrich.TOPIC_WORDS, 'Other economic topics')} AS topic, {_case(enrich.COUNTRY_WORDS, 'Other')} AS country,
     len(regexp_extract_all(content, '(?i){enrich.RISE}')) - len(regexp_extract_all(content, '(?i){enrich.FALL}')) AS trend,
-    array_to_string(list_slice(regexp_split_to_array(content, '\\s+'), 1, 150), ' ') AS summary_en,
+    array_to_string(list_slice(regexp_split_to_array(content, '\\s+'), 1, {enrich.SUMMARY_WORDS}), ' ') AS summary_en,
     regexp_extract_all(content, '{FIGURE_SQL}') AS figures FROM contents),
     extracted AS (SELECT doc_id, 'offline/keywords' AS processing_model, topic, country,
     CASE WHEN trend > 0 THEN 'positive' WHEN trend < 0 THEN 'negative' ELSE 'neutral' END AS sentiment, title AS title_en, summary_en,
-    substring(array_to_string([f FOR f, i IN figures IF list_position(figures, f) = i], '; '), 1, 100) AS key_figures FROM tagged)"""
+    array_to_string(list_slice([f FOR f, i IN figures IF list_position(figures, f) = i], 1, {enrich.KEY_FIGURES}), '; ') AS key_figures FROM tagged)"""
 
 
 @query(f"WITH {RELEASES_SQL}, {PROMPT_SQL}, {TAGGED_SQL} SELECT * FROM extracted")
@@ -70,9 +70,9 @@ def cascade_first_success(spark, sf_dir):
 
 
 @query("""SELECT doc_id, CASE WHEN source NOT IN ('src0', 'src1', 'src2', 'src3', 'src4', 'src5', 'src6', 'src7') THEN 'domain:topic'
-    WHEN lang NOT IN ('de', 'en', 'fr') THEN 'domain:country' WHEN n_chars < 400 THEN 'missing:title_en' ELSE 'ok' END AS verdict FROM documents""")
+    WHEN lang NOT IN ('de', 'en', 'fr') THEN 'domain:country' WHEN doc_id % 7 = 0 THEN 'missing:title_en' ELSE 'ok' END AS verdict FROM documents""")
 def domain_validation(spark, sf_dir):
-    answer = F.expr("named_struct('topic', source, 'country', lang, 'title_en', if(n_chars < 400, NULL, text))")
+    answer = F.expr("named_struct('topic', source, 'country', lang, 'title_en', if(doc_id % 7 = 0, NULL, text))")
     domains = {"topic": [f"src{i}" for i in range(8)], "country": ["de", "en", "fr"]}
     verdict = F.coalesce(enrich.answer_fault(answer, domains, ["title_en"]), F.lit("ok"))
     return table(spark, sf_dir, "documents").select("doc_id", verdict.alias("verdict"))
@@ -93,15 +93,15 @@ def missing_field_topk(spark, sf_dir):
 
 
 def prefix_translator(prompts):
-    """Stand-in translator; longer titles fail, as a model may."""
+    """Stand-in translator; every seventh title fails, as a model may."""
     return prompts.selectExpr(
         "url_hash", "'p' AS provider", "'m' AS model", "0 AS rank",
-        "named_struct('title_en', concat(' EN ', substr(prompt, 8), ' ')) AS answer", "if(length(prompt) > 600, 'failed', NULL) AS error",
+        "named_struct('title_en', concat(' EN ', substr(prompt, 8), ' ')) AS answer", "if(url_hash % 7 = 0, 'failed', NULL) AS error",
     )
 
 
-@query(f"""WITH {RELEASES_SQL} SELECT doc_id, CASE WHEN language = 'en' THEN title WHEN trim(title) <> '' AND length(title) <= 593
-    THEN trim('EN ' || title) END AS title_en, CASE WHEN language <> 'en' AND trim(title) <> '' AND length(title) <= 593
+@query(f"""WITH {RELEASES_SQL} SELECT doc_id, CASE WHEN language = 'en' THEN title WHEN trim(title) <> '' AND doc_id % 7 <> 0
+    THEN trim('EN ' || title) END AS title_en, CASE WHEN language <> 'en' AND trim(title) <> '' AND doc_id % 7 <> 0
     THEN TIMESTAMP '2024-06-01' END AS updated_at FROM releases""")
 def backfill_field(spark, sf_dir):
     done = backfill_titles(untranslated(spark, sf_dir), prefix_translator, dt.datetime(2024, 6, 1))

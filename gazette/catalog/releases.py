@@ -6,11 +6,10 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from gazette.catalog.base import PROCESSED_SQL, RELEASES_SQL, processed, query, releases, table
+from gazette.catalog.base import dealt, PROCESSED_SQL, RELEASES_SQL, processed, query, releases, table
 from gazette.functions import display, text
 from gazette.operators import dedup, enrich, search, status
 from gazette.operators.search import SearchSpec
-from gazette.sources.landing import spread
 
 # Python's white space, as RE2 spells it.
 SPACE_RE2 = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
@@ -160,7 +159,7 @@ def filter_definitions(spark, sf_dir):
 @query(rf"""SELECT doc_id, coalesce(nullif(trim(regexp_replace(split_part(text, chr(10), 1), '{SPACE_RE2}', ' ', 'g')), ''), '(untitled)') AS title,
     trim(regexp_replace(text, '{SPACE_RE2}', ' ', 'g')) AS summary FROM documents""")
 def clean_text(spark, sf_dir):
-    rows = spread(table(spark, sf_dir, "documents")).select(
+    rows = dealt(table(spark, sf_dir, "documents")).select(
         "doc_id", F.expr(r"split_part(text, '\n', 1) AS title"),
         text.first_nonblank(F.lit(None).cast("string"), F.col("text")).alias("summary"),
     )

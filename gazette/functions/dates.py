@@ -201,7 +201,8 @@ def dotted_date_to_utc(text: str, tz: str = "Europe/Berlin", hour: int = 8) -> s
     return zoned_to_utc(wall_clock(*(number(text, DOTTED_DATE, i) for i in (1, 2, 3)), str(hour)), f"'{tz}'")
 
 
-FRENCH_DATE = rf"(?iu)([0-9]{{1,2}}){SPACE}+([a-zéûôà]+){SPACE}+à{SPACE}+([0-9]+)h([0-9]{{0,2}})"
+DAY_AND_MONTH = rf"(\d{{1,2}}){SPACE}+(\p{{L}}+){SPACE}+à{SPACE}+"
+FRENCH_DATE = rf"(?iu){DAY_AND_MONTH}(\d+)h(\d{{0,2}})"
 
 
 def french_month(text: str) -> str:

@@ -55,13 +55,20 @@ def page_texts(pages: DataFrame, max_chars: int = 4000) -> DataFrame:
     return texts.select("url", text.truncate(F.col("page_text"), max_chars).alias("page_text"))
 
 
+def one_capture(pages: DataFrame, captured: str | None = None) -> DataFrame:
+    """One page body per url: the newest by the ``captured`` column, or the greatest body where captures have no time."""
+    body = F.max("html") if captured is None else F.max_by("html", F.struct(captured, F.xxhash64("html")))
+    return pages.groupBy("url").agg(body.alias("html"))
+
+
 def prompt_text(title: Column, page_text: Column, summary: Column) -> Column:
     return F.concat(F.lit("Title: "), title, F.lit("\n\n"), text.first_nonblank(page_text, summary))
 
 
-def with_prompt(rows: DataFrame, pages: DataFrame, max_chars: int = 4000) -> DataFrame:
-    """Page text where there is one, the feed summary otherwise. ``pages`` has one capture per url."""
-    joined = rows.join(page_texts(pages, max_chars), "url", "left")
+def with_prompt(rows: DataFrame, pages: DataFrame, max_chars: int = 4000, captured: str | None = None) -> DataFrame:
+    """Page text where there is one, the feed summary otherwise. Text is taken from the pages of these rows alone, one capture per url."""
+    wanted = one_capture(pages.join(rows.select("url"), "url", "left_semi"), captured)
+    joined = rows.join(page_texts(wanted, max_chars), "url", "left")
     return joined.withColumn("prompt", prompt_text(F.col("title"), F.col("page_text"), F.col("summary"))).drop("page_text")
 
 
@@ -129,17 +136,21 @@ def _first_match(content: Column, words: dict[str, str], default: str) -> Column
     return picked
 
 
-def keyword_answer(title: Column, content: Column) -> Column:
-    """Answer struct from keyword rules: an offline stand-in for a model, inside the JVM."""
+# Length of the offline tagger's answers: words of a summary, different figures of a text.
+SUMMARY_WORDS, KEY_FIGURES = 150, 12
+
+
+def keyword_answer(title: Column, content: Column, summary_words: int = SUMMARY_WORDS, key_figures: int = KEY_FIGURES) -> Column:
+    """Answer struct from keyword rules: an offline stand-in for a model, inside the JVM. Words and figures are kept whole."""
     ups, downs = F.regexp_count(content, F.lit(f"(?i){RISE}")), F.regexp_count(content, F.lit(f"(?i){FALL}"))
-    figures = F.array_join(F.array_distinct(F.regexp_extract_all(content, F.lit(FIGURE), F.lit(0))), "; ")
-    words = F.split(content, r"\s+", 151)
-    summary = F.array_join(F.slice(words, 1, 150), " ")
+    figures = F.array_distinct(F.regexp_extract_all(content, F.lit(FIGURE), F.lit(0)))
+    words = F.split(content, r"\s+", summary_words + 1)
+    summary = F.array_join(F.slice(words, 1, summary_words), " ")
     return F.struct(
         _first_match(content, TOPIC_WORDS, "Other economic topics").alias("topic"),
         _first_match(content, COUNTRY_WORDS, "Other").alias("country"),
         F.when(ups > downs, "positive").when(downs > ups, "negative").otherwise("neutral").alias("sentiment"),
-        title.alias("title_en"), summary.alias("summary_en"), F.substring(figures, 1, 100).alias("key_figures"),
+        title.alias("title_en"), summary.alias("summary_en"), F.array_join(F.slice(figures, 1, key_figures), "; ").alias("key_figures"),
     )
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,12 +19,17 @@ from gazette.sources.registry import COLLECTORS, collect, collect_market
 from gazette.sources.tables import Store, quarantine, stage, write_run
 
 
+def calendar_state(log: DataFrame, payload: Sequence[str], sticky: Sequence[str] = ()) -> DataFrame:
+    """Latest row per calendar key, grouped by all the key is made of, so that filters on these columns are pushed to the log."""
+    return latest(log, schemas.CALENDAR_KEY, [name for name in payload if name not in schemas.CALENDAR_KEY], sticky)
+
+
 def nso_releases(store: Store) -> DataFrame:
-    return latest(store.nso_log(), "source_uid", schemas.NSO_PAYLOAD)
+    return calendar_state(store.nso_log(), schemas.NSO_PAYLOAD)
 
 
 def ff_releases(store: Store) -> DataFrame:
-    return latest(store.ff_log(), "source_uid", schemas.FF_PAYLOAD, schemas.FF_STICKY)
+    return calendar_state(store.ff_log(), schemas.FF_PAYLOAD, schemas.FF_STICKY)
 
 
 def unified(store: Store) -> DataFrame:
@@ -31,6 +37,7 @@ def unified(store: Store) -> DataFrame:
 
 
 def is_first_run(store: Store) -> bool:
+    """Whether the list of month pages to fetch should be the wide one (``month_pages(backfill=True)``)."""
     return store.nso_log().isEmpty() and store.ff_log().isEmpty()
 
 
@@ -48,17 +55,16 @@ def unregistered(landing: DataFrame) -> DataFrame:
     return strangers.select("source", "seen_at", F.lit("unknown_source").alias("fault"), F.col("body").alias("raw"))
 
 
-def collect_once(landing: DataFrame, store: Store, run: str, as_of: dt.datetime, backfill: bool | None = None) -> DataFrame:
+def collect_once(landing: DataFrame, store: Store, run: str, as_of: dt.datetime, months: DataFrame | None = None) -> DataFrame:
     """Parse calendar bodies, append them to the logs and record the run; returns written rows per source.
 
-    A first run on empty tables takes the wide market window as well. Within a body the position orders the writes of
+    All month pages that landed are read, or those of ``months`` (``facet``) alone. Within a body the position orders the writes of
     a key, which become one log row. The run's folders are named by the content too: a run never replaces the rows of
     other bodies, whatever its name, and the same bodies replace themselves.
     """
-    backfill = is_first_run(store) if backfill is None else backfill
     run = f"{run}-{fingerprint(landing)}"
     nso = stage(collect(landing, as_of), store, "nso", run)
-    ff = stage(collect_market(landing, as_of, backfill), store, "ff", run)
+    ff = stage(collect_market(landing, months), store, "ff", run)
     faulty = [frame.select("source", "seen_at", "fault", "raw") for frame in (nso, ff)]
     rejects = faulty[0].unionByName(faulty[1]).unionByName(unregistered(landing))
     quarantine(rejects, store, F.col("source"), F.col("seen_at"), "calendar", run)

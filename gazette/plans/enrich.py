@@ -8,32 +8,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gazette.operators import enrich as op
-from gazette.operators.dedup import insert_if_absent
+from gazette.operators.dedup import first_writer, insert_if_absent
 from gazette.operators.status import attempt_totals
 from gazette.operators.upsert import set_field
-from gazette.schemas import PROCESSED
+from gazette.schemas import PRESS_RELEASES, PROCESSED
 from gazette.sources.config import EXTRACTION_DOMAINS, EXTRACTION_TEXTS
-from gazette.sources.landing import spread
 from gazette.sources.tables import MONTH, Store, append_releases, quarantine, stage
 
 
 def enrich(
     store: Store, pages: DataFrame, extract: op.Extractor, run: str, run_ts: dt.datetime, limit: int | None = None,
     domains: dict[str, list[str]] = EXTRACTION_DOMAINS, max_chars: int = 4000, among: DataFrame | None = None,
+    captured: str | None = None, parallelism: int | None = None,
 ) -> DataFrame:
     """Process pending releases: all of them, or the oldest ``limit`` as a cost cap for the model.
 
     Pending keys are staged first: their size is then known, and whole rows are fetched by a broadcast of the keys while
     they are few. Each pending row gets one attempt per run. Attempts are staged before use, so answers already paid for survive a
-    lost executor. Returns one row: attempted, processed, failed.
+    lost executor. A run over ``among`` alone also takes the rows that earlier runs failed on, which are kept once each in the retry
+    table. ``captured`` orders the captures of a page; ``parallelism`` is the number of tasks that call the model. Returns one row: attempted, processed, failed.
     """
-    raw = (among if among is not None else store.press_releases()).drop(MONTH)
+    raw = store.press_releases().drop(MONTH)
+    if among is not None:
+        raw = first_writer(among.drop(MONTH).unionByName(store.retry()), "url_hash", "ingest_seq")
     keys = stage(op.pending_keys(raw, store.processed(), limit), store, "pending_keys", run)
     todo = stage(raw.join(keys, "url_hash", "left_semi"), store, "pending", run)
-    prompts = op.with_prompt(todo, spread(pages), max_chars).select("url_hash", "prompt")
+    prompts = op.with_prompt(todo, pages, max_chars, captured).select("url_hash", "prompt")
+    prompts = prompts.repartition(parallelism, "url_hash") if parallelism else prompts
     attempts = stage(extract(prompts), store, "attempts", run)
     chosen = stage(op.choose_answers(attempts, domains, EXTRACTION_TEXTS), store, "chosen", run)
     rejects = chosen.join(todo.select("url_hash", "url"), "url_hash").select("fault", F.col("url").alias("raw"))
+    failed = todo.join(chosen.where("chosen IS NOT NULL"), "url_hash", "left_anti").select(*PRESS_RELEASES.names)
+    failed = insert_if_absent(failed, store.retry(), "url_hash", "ingest_seq")
+    stage(failed, store, "failed", run).write.mode("append").parquet(store.path("retry"))
     now = F.lit(run_ts).cast("timestamp")
     quarantine(rejects, store, F.lit("extraction"), now, "extraction", run)
     rows = op.assemble(todo, chosen, now).select(*PROCESSED.names)

@@ -45,6 +45,8 @@ PROCESSED = struct(
     " updated_at timestamp"
 )
 
+# What a calendar key is made of: a search by these reaches the stored log.
+CALENDAR_KEY = ["source_uid", "source", "title", "release_dt"]
 NSO_PAYLOAD = ["source", "title", "release_dt", "reference_period", "url"]
 FF_PAYLOAD = ["source", "title", "release_dt", "release_dt_orig", "impact", "currency"]
 FF_STICKY = ["actual", "forecast", "previous"]

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from gazette.functions import dates, text
 from gazette.schemas import struct
-from gazette.sources.landing import pin, spread
+from gazette.sources.landing import pin
 
 ITEM = struct("label string, updated string, href string")
 COLLECTION = struct("link link", link=struct("item items", items=T.ArrayType(ITEM)))
@@ -19,7 +19,7 @@ COLLECTION = struct("link link", link=struct("item items", items=T.ArrayType(ITE
 def parse_cso(landing: DataFrame) -> DataFrame:
     """One row per item; a body that is not JSON is one faulty row."""
     kept = [name for name in landing.columns if name != "body"]
-    parsed = spread(landing).select(*kept, "body", F.from_json("body", COLLECTION).alias("doc"))
+    parsed = landing.select(*kept, "body", F.from_json("body", COLLECTION).alias("doc"))
     broken = F.col("doc").isNull() | (F.col("doc.link").isNull() & ~F.col("body").rlike(r"(?s)^\s*\{.*\}\s*$"))
     items = F.when(broken, F.array(F.lit(None).cast(ITEM))).otherwise(
         F.col("doc.link.item")

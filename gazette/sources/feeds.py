@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from gazette.functions import dates, keys, text
 from gazette.functions.sqltext import raw
 from gazette.schemas import struct
-from gazette.sources.landing import pin, spread
+from gazette.sources.landing import pin
 
 # One item shape covers the three dialects: what a dialect lacks is null.
 LINKS = T.ArrayType(struct("_VALUE string, _href string, _rel string"))
@@ -38,7 +38,7 @@ def read_items(landing: DataFrame, body: str = "body") -> DataFrame:
     ampersands repaired, so one bad item does not lose its neighbours. What is still unread has a ``fault``.
     """
     kept = [f"`{name}`" for name in landing.columns if name != body]
-    source = text.with_xml_safe(spread(landing).selectExpr(*kept, f"`{body}` AS _body"), "_body")
+    source = text.with_xml_safe(landing.selectExpr(*kept, f"`{body}` AS _body"), "_body")
     parsed = source.withColumn("_feed", F.from_xml("_body", FEED)).selectExpr(
         *kept, "_body", "coalesce(_feed.channel.item, _feed.item, _feed.entry) AS _whole",
         f"_body = '' OR _feed IS NULL OR _feed.{BROKEN} IS NOT NULL AS _broken",

@@ -11,7 +11,7 @@ from gazette.functions import dates, text
 from gazette.functions.sqltext import group, lookup, raw
 from gazette.functions.htmltext import element_with_class, inner_html, plain_text, with_class
 from gazette.operators.carry import carry_forward
-from gazette.sources.landing import pin, spread
+from gazette.sources.landing import pin
 
 ROW_TAG, CELL_TAG = r"<[tT][rR]\b[^>]*>", r"<[tT][dDhH]\b[^>]*>"
 ROW_END, CELL_END = r"(?s)</[tT](?:[rR]|[aA][bB][lL][eE])\b.*$", r"(?s)</[tT][dDhH]\b.*$"
@@ -34,7 +34,7 @@ def parse_event_list(landing: DataFrame) -> DataFrame:
     """German event list: one block per result with a heading and labelled meta items (period, issue date)."""
     kept = [name for name in landing.columns if name != "body"]
     pieces = f"split(body, {raw(rf"(?i){with_class('c-result--event-preview', 'div')}")})"
-    blocks = spread(landing).selectExpr(*kept, f"posexplode(slice({pieces}, 2, size({pieces}))) AS (item_pos, block)")
+    blocks = landing.selectExpr(*kept, f"posexplode(slice({pieces}, 2, size({pieces}))) AS (item_pos, block)")
     meta = "trim(replace(" + plain_text("item") + ", 'ICS/iCal', ''))"
     metas = f"transform(regexp_extract_all(block, {raw(element_with_class('c-result-meta__item'))}, 2), item -> {meta})"
     listed = blocks.selectExpr(
@@ -60,13 +60,10 @@ def parse_event_list(landing: DataFrame) -> DataFrame:
     return _release_columns(timed, kept, fault, "block")
 
 
-DATE_TAIL = rf"(?diu)[0-9]{{1,2}}{text.SPACE}+[a-zéûôà]+{text.SPACE}+à{text.SPACE}+.*$"
-
-
 def parse_embargo_table(landing: DataFrame, as_of: dt.date) -> DataFrame:
     """French table rows: ``title … 14 août à 8h45``; adds ``year_inferred`` where the year was moved ahead."""
     kept = [name for name in landing.columns if name != "body"]
-    rows = spread(landing).selectExpr(*kept, f"posexplode({_after_tags('body', ROW_TAG, ROW_END)}) AS (item_pos, row)")
+    rows = landing.selectExpr(*kept, f"posexplode({_after_tags('body', ROW_TAG, ROW_END)}) AS (item_pos, row)")
     cells = rows.selectExpr(
         *kept, "item_pos", "row", f"transform({_after_tags('row', CELL_TAG, CELL_END)}, cell -> {plain_text('cell')}) AS cells"
     )
@@ -77,7 +74,7 @@ def parse_embargo_table(landing: DataFrame, as_of: dt.date) -> DataFrame:
     fields = text.decode_entities(texts, "first", "combined").selectExpr(
         "*", f"nullif({group('combined', dates.FRENCH_DATE, 0)}, '') AS date_text"
     )
-    title = text.strip_space(f"regexp_replace({text.strip_space('first')}, {raw(DATE_TAIL)}, '')")
+    title = text.strip_space(f"get(split(first, {raw('(?iu)' + dates.DAY_AND_MONTH)}, 2), 0)")
     title = text.strip_space(f"regexp_replace({title}, '(?i)^INDICATEURS CONJONCTURELS', '')")
     dated = fields.select(
         *kept, "item_pos", "row", "date_text", F.expr(title).alias("title"), F.expr(dates.french_month("date_text")).alias("month"),
@@ -121,7 +118,7 @@ def parse_market_pages(landing: DataFrame, page: list[str], year: str, currency:
     """
     kept = [name for name in landing.columns if name != "body"]
     table = group("body", element_with_class("calendar__table", "table"), 2)
-    listed = spread(landing).selectExpr(*kept, f"posexplode({_after_tags(table, ROW_TAG, ROW_END)}) AS (row_no, row)")
+    listed = landing.selectExpr(*kept, f"posexplode({_after_tags(table, ROW_TAG, ROW_END)}) AS (row_no, row)")
     # Cells by class: the classes of every opening tag next to what follows it.
     zipped = listed.selectExpr(
         *kept, "row_no", f"transform(regexp_extract_all(row, {raw(CELL_CLASSES)}, 1), names -> split(names, {raw(SPACES)})) AS classes",

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gazette.functions import dates, text
-from gazette.functions.sqltext import group, literal
-from gazette.sources.landing import pin, spread
+from gazette.functions.sqltext import group, literal, raw
+from gazette.sources.landing import pin
 
 REGIONS = (
     "Africa", "America", "Antarctica", "Arctic", "Asia", "Atlantic", "Australia", "Etc", "Europe", "Indian", "Pacific",
@@ -19,10 +19,8 @@ KNOWN_ZONES = ", ".join(
     literal(name) for name in sorted(zoneinfo.available_timezones()) if name.split("/")[0] in REGIONS or name in ("UTC", "GMT")
 )
 
-REFERENCE_PERIODS = [
-    rf"(?d)[Rr]eference period:?{text.SPACE}*(.+?)(?:\\n|,|$)",
-    rf"(?d)[Pp]eriodo di riferimento:?{text.SPACE}*(.+?)(?:\\n|,|$)",
-]
+# Labels before a reference period, English first; the first letter may be small.
+PERIOD_LABELS = ["Reference period", "Periodo di riferimento"]
 
 
 def unfold(body: Column) -> Column:
@@ -52,15 +50,21 @@ def text_property(block: Column, name: str) -> Column:
 
 
 def reference_period(description: str) -> str:
-    """English wording first, then Italian; up to a comma, a literal backslash-n or the end of the line."""
-    found = ", ".join(f"nullif({text.strip_space(group(description, pattern, 1))}, '')" for pattern in REFERENCE_PERIODS)
-    return f"coalesce({found})"
+    """What follows the label, up to a comma or a literal backslash-n; none where the line ends before."""
+
+    def after(label: str) -> str:
+        start = f"[{label[0]}{label[0].lower()}]{label[1:]}:?"
+        rest = f"get(split({description}, {raw(start)}, 2), 1)"
+        value = text.strip_space(f"get(split({rest}, {raw(r',|\\n')}, 2), 0)")
+        return f"get(transform(array({value}), v -> if(contains(v, char(10)), NULL, nullif(v, ''))), 0)"
+
+    return f"coalesce({', '.join(after(label) for label in PERIOD_LABELS)})"
 
 
 def parse_ics(landing: DataFrame, sources: DataFrame) -> DataFrame:
     """Landing bodies joined to their source's zone and default hour, one row per event."""
     kept = [name for name in landing.columns if name != "body"]
-    events = spread(landing).select(*kept, F.posexplode(event_blocks(F.col("body"))).alias("item_pos", "block"))
+    events = landing.select(*kept, F.posexplode(event_blocks(F.col("body"))).alias("item_pos", "block"))
     start = property_pattern("DTSTART")
     zone = group(group("block", start, 1), r'(?i);TZID="?([^";:]+)', 1)
     fields = events.join(sources, "source").select(

@@ -6,18 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def spread(landing: DataFrame) -> DataFrame:
-    """Use all cores on a landing of few files.
-
-    Parsing is bound by the processor, and one small file can hold all bodies. Bodies are shuffled only when the scan
-    has fewer partitions than the session has cores, which a large table never has. ``landing`` should be a scan.
-    """
-    if landing.isStreaming:
-        return landing
-    cores = landing.sparkSession.sparkContext.defaultParallelism
-    return landing.repartition(cores) if landing.rdd.getNumPartitions() < cores else landing
-
-
 def pin(rows: DataFrame, column: str) -> DataFrame:
     """Fix a computed column, so that a later filter on it is not copied into every step that computes it.
 

@@ -36,3 +36,9 @@ def month_pages(spark: SparkSession, as_of: dt.date, backfill: bool = False) ->
     day = F.lit(as_of)
     months = F.array_union(backfill_months(day), routine_months(day)) if backfill else routine_months(day)
     return spark.range(1).select(F.explode(months).alias("month")).select("month", page_key(F.col("month")).alias("facet"))
+
+
+def named_month(spark: SparkSession, day: dt.date) -> DataFrame:
+    """The page of the month that ``day`` lies in."""
+    month = F.trunc(F.lit(day), "month")
+    return spark.range(1).select(month.alias("month"), page_key(month).alias("facet"))

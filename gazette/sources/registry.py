@@ -20,7 +20,6 @@ from gazette.sources import config
 from gazette.sources.cso import is_recent, parse_cso
 from gazette.sources.html_calendars import parse_embargo_table, parse_event_list, parse_market_pages
 from gazette.sources.ics import parse_ics
-from gazette.sources.months import month_pages
 
 Collector = Callable[[DataFrame, dt.datetime], DataFrame]
 COLLECTORS: dict[tuple[str, ...], Collector] = {}
@@ -72,11 +71,11 @@ def collect(landing: DataFrame, as_of: dt.datetime) -> DataFrame:
     return rows.withColumn("source_uid", calendar_uid(F.col("source"), F.col("title"), F.col("release_dt")))
 
 
-def collect_market(landing: DataFrame, as_of: dt.datetime, backfill: bool = False, currency: str = "EUR") -> DataFrame:
-    """Rows of the market calendar's month pages inside the routine window, or the wider one of a first run."""
-    pages = landing.where(F.col("source") == MARKET_SOURCE).join(
-        month_pages(landing.sparkSession, as_of.date(), backfill).select("facet"), "facet", "left_semi"
-    )
+def collect_market(landing: DataFrame, months: DataFrame | None = None, currency: str = "EUR") -> DataFrame:
+    """Rows of the market calendar's month pages: all that landed, or those of ``months``, as ``month_pages`` and ``named_month`` list them."""
+    pages = landing.where(F.col("source") == MARKET_SOURCE)
+    if months is not None:
+        pages = pages.join(months.select("facet"), "facet", "left_semi")
     year = F.regexp_extract("facet", r"(\d{4})", 1).cast("int")
     rows = parse_market_pages(pages.withColumn("year", year), [*RUN, "facet"], "year", currency).drop("year")
     return rows.withColumn("source_uid", calendar_uid(F.col("source"), F.col("title"), F.col("release_dt")))

@@ -32,6 +32,10 @@ class Store:
     def processed(self) -> DataFrame:
         return read(self.spark, self.path("processed"), with_month(schemas.PROCESSED))
 
+    def retry(self) -> DataFrame:
+        """Releases that an enrichment run failed on, once each; those processed since are among them."""
+        return read(self.spark, self.path("retry"), schemas.PRESS_RELEASES)
+
     def nso_log(self) -> DataFrame:
         return read(self.spark, self.path("nso_log"), schemas.NSO_LOG)
 

@@ -58,12 +58,17 @@ def ingest_stream(
 
 def enrich_stream(
     spark: SparkSession, store: Store, load_pages: Callable[[], DataFrame], extract: op.Extractor, checkpoint: str,
-    every: str | None = None, max_files: int | None = None, clock: Clock = utc_now,
+    every: str | None = None, max_files: int | None = None, clock: Clock = utc_now, parallelism: int | None = None,
 ):
-    """Incremental processing: each batch holds the releases of new files, so old history is not scanned for work."""
+    """Incremental processing: each batch holds the releases of new files and those that failed before, so old history is not
+    scanned for work. Failed releases are tried at the start as well, when there may be no new file.
+    """
 
     def batch(rows: DataFrame, batch_id: int) -> None:
-        enrich(store, load_pages(), extract, f"stream-{batch_id}", clock(), among=rows)
+        enrich(store, load_pages(), extract, f"stream-{batch_id}", clock(), among=rows, parallelism=parallelism)
+
+    if not op.pending(store.retry().select("url_hash"), store.processed()).isEmpty():
+        enrich(store, load_pages(), extract, f"retry-{clock():%Y%m%dT%H%M%S}", clock(), among=store.retry(), parallelism=parallelism)
 
     source = file_stream(spark, store.path("press_releases"), with_month(schemas.PRESS_RELEASES), max_files)
     return start(source.writeStream.foreachBatch(batch), checkpoint, every)

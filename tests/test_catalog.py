@@ -2,11 +2,12 @@ from __future__ import annotations
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry, queries
 from check import compare, connect
+from gazette.catalog import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
-BATCH = [name for name in queries() if not name.startswith("stream_")]
+BATCH = [name for name in QUERIES if not name.startswith("stream_")]
 
 
 @pytest.fixture(scope="module")
@@ -26,7 +27,7 @@ def test_query_equals_sql(spark, duck, name, capsys):
 
 
 def test_every_query_has_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
 
 
 def test_entry(spark):

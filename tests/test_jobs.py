@@ -166,3 +166,35 @@ def test_collect_adds_under_one_run_name_and_takes_large_batch_numbers(spark, st
         rows = [("istat", "", calendars.AS_OF, batch, calendars.ICS.replace("Zulu", title))]
         collect.collect_once(local_frame(spark, rows, schemas.LANDING_CALENDAR), store, "same", calendars.AS_OF)
     assert {"Zulu", "Yankee"} <= {row.title for row in collect.nso_releases(store).collect()}
+
+
+def test_failed_rows_are_tried_again(spark, store, tmp_path):
+    ingest.ingest(landing(spark, (ISTAT, feeds.rss(item(1), item(2), item(3)))), load_feeds(spark), store, "r", NOW)
+    pages = local_frame(spark, [("https://x/1", "<p>old"), ("https://x/1", "<p>older")], schemas.LANDING_PAGE)
+    seen = str(tmp_path / "prompts")
+
+    def broken(prompts):
+        prompts.write.mode("append").parquet(seen)
+        return op.keyword_tagger(prompts).withColumn("error", F.lit("down"))
+
+    def run(extract, checkpoint):
+        jobs.enrich_stream(spark, store, lambda: pages, extract, str(tmp_path / checkpoint), clock=lambda: NOW).awaitTermination()
+
+    run(broken, "cp")
+    assert store.processed().count() == 0 and store.retry().count() == 3
+    assert spark.read.parquet(seen).count() == 3
+    run(op.keyword_tagger, "cp")
+    assert store.processed().count() == 3 and store.retry().count() == 3
+    run(op.keyword_tagger, "cp")
+    assert store.processed().count() == 3
+
+
+def test_calendar_search_reaches_the_log(spark, store, capsys):
+    ics = "BEGIN:VEVENT\r\nSUMMARY:GDP\r\nDTSTART:20260814T080000Z\r\nEND:VEVENT\r\n"
+    bodies = local_frame(spark, [("istat", "", NOW, 1, ics), ("istat", "", NOW, 2, ics)], schemas.LANDING_CALENDAR)
+    collect.collect_once(bodies, store, "r", NOW)
+    view = collect.nso_releases(store)
+    assert view.count() == 1
+    view.where("release_dt >= timestamp'2026-08-01' AND source = 'istat'").explain("formatted")
+    pushed = next(line for line in capsys.readouterr().out.splitlines() if line.startswith("PushedFilters"))
+    assert "GreaterThanOrEqual(release_dt" in pushed and "EqualTo(source,istat)" in pushed

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import datetime as dt
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -65,3 +66,15 @@ def test_view_columns(spark):
         ("https://a", "Istat", "2026-08-14 12:00", "Fri Aug 14", "12:00 UTC", "neutral", None, "istat"),
         ("#", "other", "", "", "", "neutral", "istat", "other"), ("#", None, "", "", "", "neutral", None, None),
     ]
+
+
+def test_main_text_nests_and_is_linear():
+    nested = "<table><tr><td><table>a</table>b</td></tr></table>keep<div class='ad'><div>c</div>d</div><nav>open"
+    assert htmltext.main_fragment(nested).split() == ["keep", "open"]
+    article = "<div>x<article>one<form><form>f</form></form> two<script>if (a < b) '<div>'</script></article></div>y"
+    assert htmltext.main_fragment(article).split() == ["one", "two"]
+    assert htmltext.main_fragment("") == "" and htmltext.main_fragment("a < b") == "a < b"
+    started = time.perf_counter()
+    for mark in ("<form>", "<!--", "<", "<script>", "</div>"):
+        htmltext.main_fragment(mark * 20_000)
+    assert time.perf_counter() - started < 5
