@@ -9,8 +9,12 @@ after its history, or else the history's weight times the score after the shorte
 Words are 64-bit hashes, and n-grams chained hashes of them. Documents are kept in blocks (see ``blocks``), so that a block
 sends each of its distinct n-grams once, to be counted and to be looked up.
 
-Fallbacks, all exactly normalised: an order whose counts of counts give no usable Good-Turing discounts takes half a count off
-each count up to ``MAX_DISCOUNTED``; a history (or the unigram table) whose counts are all undiscounted frees one count more.
+Counts of counts are taken as they are where all their Good-Turing factors are inside (0, 1). Groups of copies lift single ones
+above that; such an order takes them from the log-linear fit of simple Good-Turing over all its counts.
+
+Fallbacks, all exactly normalised: an order with fewer than ``MIN_FITTED`` different counts, or whose fitted line falls no faster
+than 1/r, takes half a count off each count up to ``MAX_DISCOUNTED``; a history (or the unigram table) whose counts are all
+undiscounted frees one count more.
 
 Defined cases: a null text is the empty text, whose one token is the end; a token never learned shares the unigrams' freed
 mass with all others like it; without learning documents every probability is one; repeated rows are counted and scored
@@ -31,6 +35,7 @@ from gazette.llm.blocks import NUMBER_BITS, blocks, unpacked
 from gazette.llm.common import stage
 
 MAX_DISCOUNTED = 5
+MIN_FITTED = 3
 BEGIN = np.uint64(0x9AE16A3B2F90404F)
 END = np.uint64(0xC3A5C85C97CB3127)
 STIR = np.uint64(0x9E3779B97F4A7C15)
@@ -105,6 +110,16 @@ def counted(dealt: DataFrame, order: int) -> DataFrame:
     return each.groupBy("n", "key", "history", "suffix").agg(F.sum("c").alias("c"))
 
 
+def fitted_slope(of_counts: dict[int, int]) -> float | None:
+    """Slope of simple Good-Turing's line through log r and log n_r, each n_r spread over the gap to its neighbours; None for too few."""
+    r = np.array(sorted(c for c, number in of_counts.items() if number), float)
+    if len(r) < MIN_FITTED:
+        return None
+    before, after = np.concatenate([[0.0], r[:-1]]), np.concatenate([r[1:], [2 * r[-1] - r[-2]]])
+    spread = np.array([of_counts[int(c)] for c in r]) / ((after - before) / 2)
+    return float(np.polyfit(np.log(r), np.log(spread), 1)[0])
+
+
 def discounts(of_counts: dict[int, int]) -> list[float]:
     """Factors of the counts 1 to MAX_DISCOUNTED from the numbers of n-grams with each count."""
     n, k = [of_counts.get(r, 0) for r in range(MAX_DISCOUNTED + 2)], MAX_DISCOUNTED
@@ -114,6 +129,11 @@ def discounts(of_counts: dict[int, int]) -> list[float]:
             found = [((r + 1) * n[r + 1] / (r * n[r]) - common) / (1 - common) for r in range(1, k + 1)]
             if all(0 < one < 1 for one in found):
                 return found
+    slope = fitted_slope(of_counts)
+    if slope is not None and slope < -1:
+        # With n_r on the line, (r + 1) n_(r+1) / (r n_r) is ((r + 1) / r) ** (slope + 1): every factor is inside (0, 1).
+        common = (k + 1) ** (slope + 1)
+        return [(((r + 1) / r) ** (slope + 1) - common) / (1 - common) for r in range(1, k + 1)]
     return [1 - 0.5 / r for r in range(1, k + 1)]
 
 
@@ -138,7 +158,7 @@ def freed(total: Column, kept: Column) -> Column:
 
 def model_of(counts: DataFrame, order: int) -> Model:
     counts = stage(counts, "katz-counts", "n")
-    of_counts = {(row.n, row.c): row["count"] for row in counts.where(F.col("c") <= MAX_DISCOUNTED + 1).groupBy("n", "c").count().collect()}
+    of_counts = {(row.n, row.c): row["count"] for row in counts.groupBy("n", "c").count().collect()}
     grams = [counts.where(F.col("n") == n).withColumn("d", discounted(discounts({c: x for (m, c), x in of_counts.items() if m == n}))) for n in range(1, order + 1)]
     whole = grams[0].agg(F.sum("c").alias("tokens"), F.count("*").alias("types"), F.sum("d").alias("kept")).first()
     tokens, kept = whole.tokens or 0, whole.kept or 0.0

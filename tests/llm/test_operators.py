@@ -143,6 +143,34 @@ def test_katz(spark, order):
         assert math.isclose(rows[i].score, value, rel_tol=1e-9) and rows[i].n_tokens == len(split[i]) + 1
 
 
+def test_katz_discounts_with_groups_of_copies(spark):
+    """Five copies of each of some texts lift n5, as in the given tables: the factors are Good-Turing's all the same, by a fit made here."""
+    random.seed(8)
+    words = [f"w{i}" for i in range(3000)]
+    texts = [" ".join(random.choices(words, [1 / (i + 1) for i in range(3000)], k=30)) for _ in range(200)]
+    texts += [f"{text} c{i} c{i}x c{i}y" for i, text in enumerate(texts[:20])] * 5
+    frame = spark.createDataFrame([(i, text) for i, text in enumerate(texts)], "doc_id bigint, text string")
+    _, model = katz.score(frame, F.lit(True), 2)
+    learned = [["<", *text.split(), ">"] for text in texts]
+    for n in (1, 2):
+        grams = Counter(tuple(one[at - n + 1:at + 1]) for one in learned for at in range(1, len(one)))
+        of_counts = Counter(grams.values())
+        r = sorted(of_counts)
+        assert 5 * of_counts[5] > 4 * of_counts[4]  # unsmoothed, the fourth factor is above one
+        gaps = [((r[i + 1] if i + 1 < len(r) else 2 * r[i] - r[i - 1]) - (r[i - 1] if i else 0)) / 2 for i in range(len(r))]
+        x, y = [math.log(c) for c in r], [math.log(of_counts[c] / gap) for c, gap in zip(r, gaps, strict=True)]
+        mx, my = sum(x) / len(x), sum(y) / len(y)
+        slope = sum((a - mx) * (b - my) for a, b in zip(x, y, strict=True)) / sum((a - mx) ** 2 for a in x)
+        smooth = {c: c**slope for c in range(1, 7)}
+        common = 6 * smooth[6] / smooth[1]
+        found = {row.c: row.d / row.c for row in model.table.where(F.col("n") == n).where("c <= 5").select("c", "d").distinct().collect()}
+        assert sorted(found) == [1, 2, 3, 4, 5]
+        for c, factor in found.items():
+            expected = ((c + 1) * smooth[c + 1] / (c * smooth[c]) - common) / (1 - common)
+            assert 0 < factor < 1 and math.isclose(factor, expected, rel_tol=1e-9) and abs(factor - (1 - 0.5 / c)) > 1e-3
+    assert katz.discounts({}) == katz.discounts({1: 3, 2: 1}) == [1 - 0.5 / c for c in range(1, 6)]
+
+
 def test_katz_odd_rows(docs):
     scores, model = katz.score(docs, F.col("doc_id") != 0)
     assert scores.count() == len(TEXTS) + 2 and scores.where("score IS NULL OR isnan(score) OR score > 0").count() == 0
