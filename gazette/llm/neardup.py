@@ -6,7 +6,8 @@ every node offers its members with two of them as centres, small nodes compare a
 whose members are not yet in one component those with few pairs across components compare these, and the others branch on
 ``fanout`` further tokens. Independent trees repeat this, so that a pair at the
 threshold misses all its meetings with probability (1 - s)**trees, s >= 1 - (1 - threshold * s)**fanout. Candidates pass
-bounds on their sizes and sketches, and are then confirmed on full sets.
+bounds on their sizes and sketches that no pair at the threshold fails, and are then confirmed on full sets: nothing but the
+trees can miss a link.
 
 Nodes that stay large at the last level are compared exhaustively across components, slice by slice, so nothing is dropped.
 
@@ -30,16 +31,14 @@ from gazette.llm.common import small, stage
 from gazette.llm.components import components
 
 TOKENS = 64
-LOOSE = ["w0", "w1"]
-STRICT = ["x0", "x1", "x2", "x3"]
-SKETCH = LOOSE + STRICT
+SKETCH = ["x0", "x1", "x2", "x3"]
 SIGNATURE = "doc_id bigint, n_shingles bigint, set_key binary, tokens binary, " + ", ".join(f"{name} bigint" for name in SKETCH)
 MAX_BROADCAST_KEYS = 1_000_000
 MAX_WORDS_KEPT = 400_000
 
 _random = np.random.default_rng(20240229)
-FACTORS = _random.integers(1, 2**63, 2 * TOKENS, np.uint64) * np.uint64(2) + np.uint64(1)
-OFFSETS = _random.integers(0, 2**63, 2 * TOKENS, np.uint64)
+FACTORS = _random.integers(1, 2**63, TOKENS, np.uint64) * np.uint64(2) + np.uint64(1)
+OFFSETS = _random.integers(0, 2**63, TOKENS, np.uint64)
 STIR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -72,17 +71,16 @@ def shingle_set(text: str | None, k: int, hashes: WordHashes) -> np.ndarray:
 
 
 def signature(shingles: np.ndarray) -> tuple[bytes, list[int]]:
-    """Minwise tokens, and the sketches: parities of minwise values, and of the counts of shingles by hash bucket."""
+    """Minwise tokens, and the sketch: parities of the counts of shingles by hash bucket."""
     if not len(shingles):
         return b"", [0] * len(SKETCH)
-    least = np.empty(2 * TOKENS, np.uint64)
-    for at in range(0, 2 * TOKENS, 16):
+    least = np.empty(TOKENS, np.uint64)
+    for at in range(0, TOKENS, 16):
         least[at:at + 16] = (shingles * FACTORS[at:at + 16, None] + OFFSETS[at:at + 16, None]).min(axis=1)
     least = stirred(least)
-    loose = np.packbits((least & np.uint64(1)).astype(np.uint8), bitorder="little").view(np.int64)
-    buckets = np.bincount((shingles >> np.uint64(40)).astype(np.int64) % (64 * len(STRICT)), minlength=64 * len(STRICT))
-    strict = np.packbits((buckets & 1).astype(np.uint8), bitorder="little").view(np.int64)
-    return (least[:TOKENS] >> np.uint64(32)).astype(np.uint32).tobytes(), [*loose.tolist(), *strict.tolist()]
+    buckets = np.bincount((shingles >> np.uint64(40)).astype(np.int64) % (64 * len(SKETCH)), minlength=64 * len(SKETCH))
+    sketch = np.packbits((buckets & 1).astype(np.uint8), bitorder="little").view(np.int64)
+    return (least >> np.uint64(32)).astype(np.uint32).tobytes(), sketch.tolist()
 
 
 def signatures(docs: DataFrame, k: int) -> DataFrame:
@@ -111,16 +109,14 @@ def side(rows: DataFrame, name: str, *more: str, of: str = "") -> DataFrame:
     return rows.select(*more, F.col(f"{of}class").alias(name), *[F.col(f"{of}{c}").alias(f"{c}_{name}") for c in FIELDS[1:]])
 
 
-def alike(percent: int, bits: int) -> Column:
+def alike(percent: int) -> Column:
     """Whether sizes and sketches of sides a and b allow the similarity.
 
     Bucket parities differ in no more places than the sets differ in shingles, so that bound loses nothing.
     """
-    def apart(names: list[str]) -> Column:
-        return sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in names), F.lit(0))
-
     a, b = F.col("n_shingles_a"), F.col("n_shingles_b")
-    return (F.least(a, b) * 100 >= F.greatest(a, b) * percent) & (apart(STRICT) * (100 + percent) <= (a + b) * (100 - percent)) & (apart(LOOSE) <= bits)
+    apart = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in SKETCH), F.lit(0))
+    return (F.least(a, b) * 100 >= F.greatest(a, b) * percent) & (apart * (100 + percent) <= (a + b) * (100 - percent))
 
 
 def first_nodes(classes: DataFrame, trees: int, fanout: int) -> DataFrame:
@@ -136,7 +132,7 @@ def branched(members: DataFrame, classes: DataFrame, fanout: int) -> DataFrame:
     return turns.withColumn("node", F.xxhash64("node", "turn", F.substring(F.col("tokens"), place * 4 + 1, F.lit(4)))).select(MEMBER)
 
 
-def met(members: DataFrame, node_rows: int, percent: int, bits: int) -> tuple[DataFrame, DataFrame]:
+def met(members: DataFrame, node_rows: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Candidate pairs of the nodes, and the members of nodes of more than ``node_rows``.
 
     Every node offers its members with its smallest member and with one hashed member; small nodes offer all pairs.
@@ -147,9 +143,9 @@ def met(members: DataFrame, node_rows: int, percent: int, bits: int) -> tuple[Da
     large = inside.where(F.col("rows") > node_rows)
     offered = large.select(*MEMBER, F.explode("centres").alias("centre"))
     centre = side(side(offered, "b", "centre"), "a", "b", *[f"{c}_b" for c in FIELDS[1:]], of="centre.")
-    stars = centre.where(F.col("a") != F.col("b")).where(alike(percent, bits))
+    stars = centre.where(F.col("a") != F.col("b")).where(alike(percent))
     few = inside.where(F.col("rows") <= node_rows)
-    pairs = side(few, "a", "node").join(side(few, "b", "node"), "node").where("a < b").where(alike(percent, bits))
+    pairs = side(few, "a", "node").join(side(few, "b", "node"), "node").where("a < b").where(alike(percent))
     return stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(pairs.select("a", "b")).distinct(), large.select(MEMBER)
 
 
@@ -165,11 +161,11 @@ def undecided(large: DataFrame, found: DataFrame, node_pairs: int) -> DataFrame:
     return marked.join(sizes.where("parts > 1").select("node", "thin"), "node")
 
 
-def across(members: DataFrame, percent: int, bits: int, slices: int = 8) -> DataFrame:
+def across(members: DataFrame, percent: int, slices: int = 8) -> DataFrame:
     """Candidate pairs between the components of a node, one side dealt in slices and the other repeated for each."""
     left = side(members, "a", "node", "component").withColumn("slice", F.pmod(F.xxhash64("a"), F.lit(slices)))
     right = side(members, "b", "node", "component").withColumnRenamed("component", "other").withColumn("slice", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(slices - 1).cast("bigint"))))
-    return left.join(right, ["node", "slice"]).where("a < b AND component <> other").where(alike(percent, bits)).select("a", "b").distinct()
+    return left.join(right, ["node", "slice"]).where("a < b AND component <> other").where(alike(percent)).select("a", "b").distinct()
 
 
 def confirmed(pairs: DataFrame, bodies: DataFrame, k: int, percent: int) -> DataFrame:
@@ -200,7 +196,7 @@ def confirmed(pairs: DataFrame, bodies: DataFrame, k: int, percent: int) -> Data
     return pairs.join(left, "a").join(right, "b").where(close("items_a", "items_b")).select("a", "b")
 
 
-def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, trees: int = 4, fanout: int = 2, node_rows: int = 24, node_pairs: int = 1500, levels: int = 6, sketch_bits: int = 27) -> DataFrame:
+def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, trees: int = 4, fanout: int = 2, node_rows: int = 24, node_pairs: int = 1500, levels: int = 6) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest id reachable through links), kept."""
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id IS NOT NULL")
     signed = stage(signatures(rows, k), "near-signatures")
@@ -210,7 +206,7 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5,
     classes = stage(alone, "near-classes")
     bodies = rows.withColumnRenamed("doc_id", "class")
 
-    pairs, large = met(first_nodes(classes, trees, fanout), node_rows, percent, sketch_bits)
+    pairs, large = met(first_nodes(classes, trees, fanout), node_rows, percent)
     edges = stage(confirmed(pairs, bodies, k, percent), "near-edges")
     found = stage(components(edges), "near-components")
     for level in range(levels):
@@ -218,9 +214,9 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5,
         if not open_nodes.head(1):
             break
         last = level == levels - 1
-        pairs = across(open_nodes if last else open_nodes.where("thin"), percent, sketch_bits)
+        pairs = across(open_nodes if last else open_nodes.where("thin"), percent)
         if not last:
-            more, large = met(branched(open_nodes.where("NOT thin").select(MEMBER), classes, fanout), node_rows, percent, sketch_bits)
+            more, large = met(branched(open_nodes.where("NOT thin").select(MEMBER), classes, fanout), node_rows, percent)
             pairs = pairs.union(more).distinct()
         news = stage(confirmed(pairs.join(edges, ["a", "b"], "left_anti"), bodies, k, percent), "near-edges")
         if news.head(1):

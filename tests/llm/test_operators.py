@@ -213,6 +213,13 @@ def test_near_duplicates(spark, docs):
     assert neardup.groups(docs.where("false")).count() == 0
 
 
+def test_near_duplicates_whose_token_parities_differ(spark):
+    """Eight of ten words in common; 29 of 128 parities of minwise values, once a bound at 27, differ."""
+    words = [f"p52485x{j}" for j in range(10)]
+    frame = spark.createDataFrame([(1, " ".join(words[:9])), (2, " ".join(words[1:]))], "doc_id bigint, text string")
+    assert {row.component_id for row in neardup.groups(frame, k=1).collect()} == {1}
+
+
 def test_decontamination(spark, docs):
     item = "one two three four five six seven eight nine ten eleven"
     items = spark.createDataFrame([("a", item), ("b", "Cat sat"), ("c", None), ("d", "")], "item_id string, text string")
