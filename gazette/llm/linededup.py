@@ -1,8 +1,9 @@
 """Substring dedup by line hashing.
 
-A unit is a line. Units are normalised (letters, marks and digits in lower case, anything else between them one space),
+A unit is a line and, with ``sentences``, also each sentence inside a line of several. Units are normalised (letters, marks and digits in lower case, anything else between them one space),
 their digests are grouped over the whole corpus, the occurrence of the smallest rank (document id, then place in the text)
-stays, and the others are cut out of their documents, with their offsets in the original text.
+stays, and the others are cut out of their documents, with their offsets in the original text. A line of which every sentence
+is cut goes as a line.
 
 Defined cases: lines of fewer than ``min_words`` normalised words always stay; repeats inside one document are repeats; a
 null text stays null and has no units; a document may be left with an empty text; documents with one id rank by a hash of id
@@ -12,6 +13,8 @@ stay as they are; no rows give no rows.
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,23 +23,31 @@ from gazette.llm.common import small, stage
 
 MAX_BROADCAST_DIGESTS = 200_000
 SALTS = 16
+#: Where sentences of a line end, with one meaning in Java and Python: after a full stop, perhaps a closing quote, and a blank.
+SENTENCE_END = r"""(?<=[.!?…][ \t])(?=[\s\S])|(?<=[.!?…]["'”’»)\]][ \t])(?=[\s\S])|(?<=[。！？｡])(?=[\s\S])"""
+#: A place is a line's number times this, plus the sentence's number in it counted from 1, or 0 for the whole line.
+LINE = 1 << 32
 
 
 def normalised(unit: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(unit), r"[^\p{L}\p{M}\p{N}]+", " "))
 
 
-def units(docs: DataFrame, key: str, text: str, min_words: int) -> DataFrame:
-    """Rank, document key, line number and digest of every line that is long enough."""
+def units(docs: DataFrame, key: str, text: str, min_words: int, sentences: bool) -> DataFrame:
+    """Rank, document key, place and digest of every unit that is long enough; a sentence that is its line's only words is none."""
     rows = docs.select(F.col(key).alias("rank"), F.xxhash64(key, text).alias("doc_key"), F.posexplode(F.split(text, "\n")).alias("number", "line"))
-    rows = rows.select("rank", "doc_key", "number", normalised(F.col("line")).alias("unit")).where(F.size(F.split("unit", " ")) >= min_words)
-    return rows.select("rank", "doc_key", "number", F.unhex(F.md5("unit")).alias("digest"))
-
-
-def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = 5) -> DataFrame:
-    """Lines to cut: ``doc_key`` and the line's ``number``, counted from 0."""
-    found = stage(units(docs, key, text, min_words), "line-units")
-    place = F.struct("rank", "doc_key", "number")
+    rows = rows.select("rank", "doc_key", (F.col("number") * F.lit(LINE)).alias("place"), "line", normalised(F.col("line")).alias("unit"))
+    if sentences:
+        each = F.transform(F.split("line", SENTENCE_END, -1), lambda one, i: F.struct((F.col("place") + i + 1).alias("place"), normalised(one).alias("unit")))
+        every = F.concat(F.array(F.struct("place", "unit")), F.filter(each, lambda one: one.unit != F.col("unit")))
+        rows = rows.select("rank", "doc_key", F.explode(every).alias("one")).select("rank", "doc_key", "one.*")
+    return rows.where(F.size(F.split("unit", " ")) >= min_words).select("rank", "doc_key", "place", F.unhex(F.md5("unit")).alias("digest"))
+
+
+def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = 5, sentences: bool = False) -> DataFrame:
+    """Units to cut: ``doc_key`` and ``place``."""
+    found = stage(units(docs, key, text, min_words, sentences), "line-units")
+    place = F.struct("rank", "doc_key", "place")
     groups = found.groupBy("digest").agg(F.min(place).alias("keeper"), F.count("*").alias("copies")).where("copies > 1")
     groups = stage(groups.select("digest", "keeper"), "line-groups")
     count = groups.count()
@@ -45,31 +56,41 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words:
     else:
         salted = groups.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
         joined = found.withColumn("salt", F.pmod("doc_key", F.lit(SALTS).cast("bigint"))).join(salted, ["digest", "salt"])
-    return joined.where(~place.eqNullSafe(F.col("keeper"))).select("doc_key", "number")
+    return joined.where(~place.eqNullSafe(F.col("keeper"))).select("doc_key", "place")
 
 
-def cut_text(text: str | None, numbers) -> tuple[str | None, list[int], list[int]]:
-    """A text without the lines of these numbers, and the offsets and lengths of those lines in the whole text."""
-    if text is None or numbers is None or not len(numbers):
+def cut_text(text: str | None, places) -> tuple[str | None, list[int], list[int]]:
+    """A text without the units at these places, and the offsets and lengths of what was cut in the whole text."""
+    if text is None or places is None or not len(places):
         return text, [], []
-    gone, kept, starts, lengths, at = set(numbers), [], [], [], 0
+    gone, kept, starts, lengths, at = {}, [], [], [], 0
+    for place in places:
+        gone.setdefault(int(place) // LINE, set()).add(int(place) % LINE)
     for number, line in enumerate(text.split("\n")):
-        if number in gone:
+        own = gone.get(number, ())
+        pieces = re.split(SENTENCE_END, line) if own and 0 not in own else [line]
+        if own and (0 in own or len(own) == len(pieces)):
             starts.append(at)
             lengths.append(len(line))
         else:
-            kept.append(line)
+            begin = at
+            for i, piece in enumerate(pieces, 1):
+                if i in own:
+                    starts.append(begin)
+                    lengths.append(len(piece))
+                begin += len(piece)
+            kept.append("".join(piece for i, piece in enumerate(pieces, 1) if i not in own))
         at += len(line) + 1
     return "\n".join(kept), starts, lengths
 
 
-def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = 5) -> DataFrame:
+def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = 5, sentences: bool = False) -> DataFrame:
     """The documents, with all their columns, in their cut texts; ``cut_starts`` and ``cut_lengths`` (in characters) are added."""
     @F.pandas_udf("text string, starts array<int>, lengths array<int>")
-    def cut(texts: pd.Series, numbers: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([cut_text(*pair) for pair in zip(texts, numbers, strict=True)], columns=["text", "starts", "lengths"])
+    def cut(texts: pd.Series, places: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([cut_text(*pair) for pair in zip(texts, places, strict=True)], columns=["text", "starts", "lengths"])
 
-    gone = repeats(docs, key, text, min_words).groupBy(F.col("doc_key").alias("__doc_key")).agg(F.collect_set("number").alias("__numbers"))
-    joined = docs.withColumn("__doc_key", F.xxhash64(key, text)).join(gone, "__doc_key", "left").withColumn("__cut", cut(F.col(text), F.col("__numbers")))
+    gone = repeats(docs, key, text, min_words, sentences).groupBy(F.col("doc_key").alias("__doc_key")).agg(F.collect_set("place").alias("__places"))
+    joined = docs.withColumn("__doc_key", F.xxhash64(key, text)).join(gone, "__doc_key", "left").withColumn("__cut", cut(F.col(text), F.col("__places")))
     columns = [F.col("__cut.text").alias(text) if name == text else F.col(f"`{name}`") for name in docs.columns]
     return joined.select(*columns, F.col("__cut.starts").alias("cut_starts"), F.col("__cut.lengths").alias("cut_lengths"))
