@@ -8,8 +8,8 @@ is found by the join; hits are then extended: each start in the run is compared
 An item shorter than ``n`` words is one window of its own length, and texts are winnowed for each length that items have.
 
 Defined cases: a null or empty text has no words and is never hit; an item without words has no window; items with the same
-text are items of their own, with windows in common; a document with the same id and the same text as another is one
-document with it; ids may be null; columns other than key and text take no part; no items leave every document clean.
+text are items of their own, with windows in common; rows with one id and one text are judged once and have a result row
+each; ids may be null; columns other than key and text take no part; no items leave every document clean.
 """
 
 from __future__ import annotations
@@ -77,7 +77,7 @@ def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def contamination(docs: DataFrame, items: DataFrame, n: int = 10, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
-    """One row per document: doc_id, doc_key, n_words, hits (start, length and window of each occurrence), item_ids (sorted)."""
+    """One row per input row: doc_id, doc_key, n_words, hits (start, length and window of each occurrence), item_ids (sorted)."""
     windows = stage(benchmark_windows(items, n, item_key, item_text), "benchmark-windows")
     lengths = sorted(row.n for row in windows.select("n").distinct().collect())
     distinct = windows.select("n", "fingerprint", "window").distinct()
@@ -91,12 +91,13 @@ def contamination(docs: DataFrame, items: DataFrame, n: int = 10, key: str = "do
     def of_length(n: int) -> Column:
         return F.transform(f"runs_{n}", lambda run: F.struct(F.lit(n).alias("n"), run.fingerprint.alias("fingerprint"), run.first.alias("first"), run.last.alias("last")))
 
-    each = F.concat(*map(of_length, lengths)) if lengths else F.array().cast("array<struct<n:int,fingerprint:bigint,first:int,last:int>>")
-    exploded = base.select("doc_id", "doc_key", "n_words", F.posexplode_outer(each).alias("at", "run")).select("doc_id", "doc_key", "n_words", "at", "run.*")
-    # The first run of a document stays, matched or not, so that every document has a row.
-    met = exploded.join(distinct, ["n", "fingerprint"], "left").where(F.col("window").isNotNull() | F.coalesce(F.col("at") == 0, F.lit(True)))
+    # A run of length 0, which matches nothing, stands for the input row, so that every row has one and copies are counted.
+    own = F.array(F.struct(F.lit(0).alias("n"), F.lit(None).cast("bigint").alias("fingerprint"), F.lit(0).alias("first"), F.lit(0).alias("last")))
+    each = F.concat(own, *map(of_length, lengths))
+    exploded = base.select("doc_id", "doc_key", "n_words", F.explode(each).alias("run")).select("doc_id", "doc_key", "n_words", "run.*")
+    met = exploded.join(distinct, ["n", "fingerprint"], "left").where(F.col("window").isNotNull() | (F.col("n") == 0))
     candidate = F.when(F.col("window").isNotNull(), F.struct("n", "first", "last", "window"))
-    candidates = stage(met.groupBy("doc_key", "doc_id", "n_words").agg(F.collect_set(candidate).alias("candidates")), "benchmark-hits")
+    candidates = stage(met.groupBy("doc_key", "doc_id", "n_words").agg(F.collect_set(candidate).alias("candidates"), F.count_if(F.col("n") == 0).cast("int").alias("copies")), "benchmark-hits")
 
     suspects = candidates.where(F.size("candidates") > 0).select("doc_key", "candidates")
     keys = small(suspects.select("doc_key"), suspects.count(), MAX_BROADCAST_KEYS)
@@ -110,7 +111,8 @@ def contamination(docs: DataFrame, items: DataFrame, n: int = 10, key: str = "do
     hits = stage(hits, "benchmark-occurrences")
     pairs = hits.select("doc_key", F.explode(F.array_distinct(F.transform("hits", lambda hit: F.struct(hit.n.alias("n"), hit.window.alias("window"))))).alias("one")).select("doc_key", "one.*")
     owners = pairs.join(windows.select("n", "window", F.col("item_id").cast("string").alias("item")).distinct(), ["n", "window"]).groupBy("doc_key").agg(F.sort_array(F.collect_set("item")).alias("item_ids"))
-    whole = candidates.select("doc_id", "doc_key", "n_words").join(hits, "doc_key", "left").join(owners, "doc_key", "left")
+    rows_again = candidates.withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select("doc_id", "doc_key", "n_words")
+    whole = rows_again.join(hits, "doc_key", "left").join(owners, "doc_key", "left")
     nothing = F.array()
     return whole.withColumn("hits", F.coalesce("hits", nothing.cast(dict(hits.dtypes)["hits"]))).withColumn("item_ids", F.coalesce("item_ids", nothing.cast("array<string>")))
 

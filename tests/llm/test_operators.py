@@ -246,6 +246,13 @@ def test_decontamination(spark, docs):
     assert decontaminate.contamination(docs.where("false"), items).count() == 0
 
 
+def test_decontamination_of_repeated_rows(spark):
+    items = spark.createDataFrame([("a", "the cat sat"), ("b", "the cat sat"), ("c", "a dog")], "item_id string, text string")
+    docs = spark.createDataFrame([(1, "so the cat sat with a dog")] * 3 + [(2, "clean")] * 2 + [(None, None)] * 2 + [(4, "the cat sat")], "doc_id bigint, text string")
+    found = decontaminate.contamination(docs, items).select("doc_id", decontaminate.hit_words(F.col("hits")).alias("n"), F.size("item_ids").alias("items"))
+    assert Counter(map(tuple, found.collect())) == {(1, 5, 3): 3, (2, 0, 0): 2, (None, 0, 0): 2, (4, 3, 2): 1}
+
+
 def test_top_k(spark):
     random.seed(2)
     vectors = [[random.uniform(-2, 2) for _ in range(8)] for _ in range(300)] + [None, [None] * 8, [float("nan")] * 8, [1.0] * 8, [1.0] * 8]
