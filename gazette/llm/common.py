@@ -22,11 +22,16 @@ def stage(frame: DataFrame, label: str, *by: str) -> DataFrame:
 
 
 def bucketed(frame: DataFrame, label: str, key: str) -> DataFrame:
-    """As ``stage``, in as many buckets of the key as shuffles have partitions: a join on the key does not move these rows again."""
+    """As ``stage``, in as many buckets of the key as shuffles have partitions: a join on the key does not move these rows again.
+
+    The session's catalogue knows the table only while it is written; the frame goes on reading its files.
+    """
     spark, name = frame.sparkSession, f"{label}_{uuid.uuid4().hex}".replace("-", "_")
     path = work_dir(spark, label)
     frame.write.bucketBy(partitions(spark), key).option("path", path).option("compression", "zstd").format("parquet").saveAsTable(name)
-    return spark.table(name)
+    rows = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return rows
 
 
 def partitions(spark: SparkSession) -> int:

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazette.llm import bpe, decontaminate, katz, language_id, linededup, neardup, quality, repair, topk, warc
+from gazette.llm import align, bpe, decontaminate, katz, language_id, linededup, neardup, quality, repair, runs, topk, warc
 from gazette.llm.common import crc_class, table
 
 
@@ -67,6 +67,33 @@ def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = align.aligned(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    groups = F.when(F.col("n_a") == 0, "").otherwise(F.sha2("groups", 256))
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", groups.alias("groups_sha256"))
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """One document in ten goes on, from some word, with the words from there on again and again."""
+    split = F.filter(F.split("text", r"[ \t\n\x0B\f\r]+"), lambda word: word != "")
+    rows = docs.select("doc_id", "text", F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("h"))
+    rows = rows.withColumn("words", F.when(F.col("h") % 10 == 0, split)).withColumn("n", F.size("words").cast("long"))
+    rows = rows.withColumn("a", F.expr("if(n > 0, (h div 10) % n, NULL)")).withColumn("p", F.expr("1 + (n - a) div (3 + (h div 10) % 8)"))
+    spliced = F.expr("array_join(concat(slice(words, 1, int(a)), transform(sequence(a, n - 1), i -> words[int(a + (i - a) % p)])), ' ')")
+    return rows.select("doc_id", F.when(F.col("n") > 0, spliced).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.find(with_planted_runs(table(spark, sf_dir, "documents")))
+    # Runs are in order of their starts and periods: an earlier one goes before a later one of the same exponent.
+    best = F.aggregate("runs", F.get("runs", F.lit(0)), lambda a, b: F.when(b.length * a.period > a.length * b.period, b).otherwise(a))
+    lines = F.transform("runs", lambda r: F.concat(r.start.cast("string"), F.lit(","), r.length.cast("string"), F.lit(","), r.period.cast("string"), F.lit("\n")))
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
@@ -78,6 +105,8 @@ QUERIES = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_token_files": op9_token_files,
     "op10_katz": op10_katz,
+    "op11_tokenizer_alignment": op11_tokenizer_alignment,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 ORACLES: dict[str, str] = {
     "op2_benchmark_decontamination": r"""
