@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazette.llm import align, bpe, decontaminate, katz, language_id, linededup, neardup, quality, repair, runs, topk, warc
+from gazette.llm import align, bpe, decontaminate, katz, language_id, linededup, neardup, quality, repair, runs, suffixes, topk, warc
 from gazette.llm.common import crc_class, table
 
 
@@ -94,6 +94,12 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.without_repeats(table(spark, sf_dir, "documents"), width=50)
+    removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda total, one: total + one.length)
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
@@ -107,6 +113,7 @@ QUERIES = {
     "op10_katz": op10_katz,
     "op11_tokenizer_alignment": op11_tokenizer_alignment,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_suffix_array_dedup": op13_suffix_array_dedup,
 }
 ORACLES: dict[str, str] = {
     "op2_benchmark_decontamination": r"""
