@@ -261,7 +261,7 @@ def pair_counts(links: DataFrame) -> DataFrame:
 PART = "document bigint, piece bigint, key {kind}, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, whole boolean, groups string, open_a binary, open_b binary, shared boolean, last_a binary, last_b binary"
 
 
-def aligned(docs: DataFrame, path_a: str, path_b: str, key: str = "doc_id", text: str = "text", steps: int = 1 << 22) -> DataFrame:
+def aligned(docs: DataFrame, path_a: str, path_b: str, key: str = "doc_id", text: str = "text", steps: int = 1 << 20) -> DataFrame:
     """One row per row: the key, ``n_a, n_b, n_groups, n_links, n_best, count_sum`` and ``groups``.
 
     ``n_best`` are the links whose pair has the highest count of its B id, ``count_sum`` adds the counts of all links' pairs, and
