@@ -1,14 +1,17 @@
-"""Substring dedup by line hashing.
+"""Substring dedup by hashing lines and the sentences in them.
 
-A unit is a line and, with ``sentences``, also each sentence inside a line of several. Units are normalised (letters, marks and digits in lower case, anything else between them one space),
-their digests are grouped over the whole corpus, the occurrence of the smallest rank (document id, then place in the text)
-stays, and the others are cut out of their documents, with their offsets in the original text. A line of which every sentence
-is cut goes as a line.
+A unit is a sentence with the blanks after it, or the rest of a line with its line end; with ``unit="line"`` a unit is a whole line.
+Units are normalised (letters, marks and digits in lower case, anything else between them one space) and their digests are
+grouped over the whole corpus. The occurrence of the smallest rank (document id, then place in the text) is the one that stays;
+every other is a repeat. Repeats that follow each other in a document, with nothing but empty units between, are a stretch, and a
+stretch of at least ``min_words`` words is cut, with its offsets in the original text. Shorter repeats (license lines, greetings) stay.
 
-Defined cases: lines of fewer than ``min_words`` normalised words always stay; repeats inside one document are repeats; a
-null text stays null and has no units; a document may be left with an empty text; documents with one id rank by a hash of id
-and text, and if the texts are one too they are cut alike; a null id ranks before any other; the other columns of the input
-stay as they are; no rows give no rows.
+Words are counted between blanks; in scripts written without blanks every two characters count as a word more.
+
+Defined cases: units without a letter, mark or digit are empty; repeats inside one document are repeats; a null text stays null
+and has no units; a document may be left with an empty text; documents with one id rank by a digest of id and text, and if the
+texts are one too they are cut alike; a null id ranks before any other; the other columns of the input stay as they are, whatever
+their names, but for columns named like the two that are added, which these replace; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -19,78 +22,82 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gazette.llm.common import small, stage
+from gazette.llm.common import stage
 
-MAX_BROADCAST_DIGESTS = 200_000
 SALTS = 16
-#: Where sentences of a line end, with one meaning in Java and Python: after a full stop, perhaps a closing quote, and a blank.
-SENTENCE_END = r"""(?<=[.!?…][ \t])(?=[\s\S])|(?<=[.!?…]["'”’»)\]][ \t])(?=[\s\S])|(?<=[。！？｡])(?=[\s\S])"""
-#: A place is a line's number times this, plus the sentence's number in it counted from 1, or 0 for the whole line.
-LINE = 1 << 32
+MIN_WORDS = 25
+#: A unit, with one meaning in Java, Python and RE2 (Python writes the end of the text ``\\Z``).
+UNITS = {
+    "sentence": r"""[^\n]*?(?:[.!?…]["'”’»)\]]?[ \t]+|[。！？｡]|\n|\z)""",
+    "line": r"[^\n]*(?:\n|\z)",
+}
+#: Letters of scripts that are written without blanks between words.
+UNSPACED = ["Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar"]
+ADDED = ["cut_starts", "cut_lengths"]
 
 
 def normalised(unit: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(unit), r"[^\p{L}\p{M}\p{N}]+", " "))
 
 
-def units(docs: DataFrame, key: str, text: str, min_words: int, sentences: bool) -> DataFrame:
-    """Rank, document key, place and digest of every unit that is long enough; a sentence that is its line's only words is none."""
-    rows = docs.select(F.col(key).alias("rank"), F.xxhash64(key, text).alias("doc_key"), F.posexplode(F.split(text, "\n")).alias("number", "line"))
-    rows = rows.select("rank", "doc_key", (F.col("number") * F.lit(LINE)).alias("place"), "line", normalised(F.col("line")).alias("unit"))
-    if sentences:
-        each = F.transform(F.split("line", SENTENCE_END, -1), lambda one, i: F.struct((F.col("place") + i + 1).alias("place"), normalised(one).alias("unit")))
-        every = F.concat(F.array(F.struct("place", "unit")), F.filter(each, lambda one: one.unit != F.col("unit")))
-        rows = rows.select("rank", "doc_key", F.explode(every).alias("one")).select("rank", "doc_key", "one.*")
-    return rows.where(F.size(F.split("unit", " ")) >= min_words).select("rank", "doc_key", "place", F.unhex(F.md5("unit")).alias("digest"))
-
-
-def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = 5, sentences: bool = False) -> DataFrame:
-    """Units to cut: ``doc_key`` and ``place``."""
-    found = stage(units(docs, key, text, min_words, sentences), "line-units")
-    place = F.struct("rank", "doc_key", "place")
-    groups = found.groupBy("digest").agg(F.min(place).alias("keeper"), F.count("*").alias("copies")).where("copies > 1")
-    groups = stage(groups.select("digest", "keeper"), "line-groups")
-    count = groups.count()
-    if count <= MAX_BROADCAST_DIGESTS:
-        joined = found.join(small(groups, count, MAX_BROADCAST_DIGESTS), "digest")
-    else:
-        salted = groups.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
-        joined = found.withColumn("salt", F.pmod("doc_key", F.lit(SALTS).cast("bigint"))).join(salted, ["digest", "salt"])
-    return joined.where(~place.eqNullSafe(F.col("keeper"))).select("doc_key", "place")
-
-
-def cut_text(text: str | None, places) -> tuple[str | None, list[int], list[int]]:
-    """A text without the units at these places, and the offsets and lengths of what was cut in the whole text."""
+def words_in(unit: Column) -> Column:
+    unspaced = "".join(rf"\p{{Is{name}}}" for name in UNSPACED)
+    more = F.floor(F.length(F.regexp_replace(unit, f"[^{unspaced}]+", "")) / 2).cast("int")
+    return F.size(F.split(unit, " ")) + F.when(unit.rlike(f"[{unspaced}]"), more).otherwise(0)
+
+
+def document_key(key: str, text: str) -> Column:
+    """128 bits of id and text."""
+    whole = F.concat(F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit("-")), F.lit("\0"), F.coalesce(F.col(text), F.lit("")))
+    return F.unhex(F.md5(whole))
+
+
+def units(docs: DataFrame, key: str, text: str, unit: str) -> DataFrame:
+    """Rank, document key, number among the document's units, place among all of its pieces, words and digest."""
+    pieces = F.transform(F.regexp_extract_all(text, F.lit(UNITS[unit]), F.lit(0)), lambda one, i: F.struct(i.alias("place"), normalised(one).alias("unit")))
+    rows = docs.select(F.col(key).alias("rank"), document_key(key, text).alias("doc_key"), F.posexplode(F.filter(pieces, lambda one: one.unit != "")).alias("number", "one"))
+    return rows.select("rank", "doc_key", "number", "one.place", words_in(F.col("one.unit")).alias("words"), F.unhex(F.md5("one.unit")).alias("digest"))
+
+
+def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", unit: str = "sentence") -> DataFrame:
+    """Units that occur earlier: ``doc_key``, ``number``, ``place``, ``words``. The keepers are dealt in copies, so that no digest is one task's."""
+    found = stage(units(docs, key, text, unit), "line-units")
+    place = F.struct("rank", "doc_key", "number")
+    groups = found.groupBy("digest").agg(F.min(place).alias("keeper"), F.count("*").alias("copies")).where("copies > 1").select("digest", "keeper")
+    salted = groups.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    joined = found.withColumn("salt", F.pmod(F.xxhash64("doc_key"), F.lit(SALTS)).cast("int")).join(salted, ["digest", "salt"])
+    return joined.where(~place.eqNullSafe(F.col("keeper"))).select("doc_key", "number", "place", "words")
+
+
+def cut_text(text: str | None, places: list[dict] | None, unit: str, min_words: int) -> tuple[str | None, list[int], list[int]]:
+    """A text without its long stretches of repeats, and offsets and lengths of what was cut in the whole text."""
     if text is None or places is None or not len(places):
         return text, [], []
-    gone, kept, starts, lengths, at = {}, [], [], [], 0
-    for place in places:
-        gone.setdefault(int(place) // LINE, set()).add(int(place) % LINE)
-    for number, line in enumerate(text.split("\n")):
-        own = gone.get(number, ())
-        pieces = re.split(SENTENCE_END, line) if own and 0 not in own else [line]
-        if own and (0 in own or len(own) == len(pieces)):
-            starts.append(at)
-            lengths.append(len(line))
-        else:
-            begin = at
-            for i, piece in enumerate(pieces, 1):
-                if i in own:
-                    starts.append(begin)
-                    lengths.append(len(piece))
-                begin += len(piece)
-            kept.append("".join(piece for i, piece in enumerate(pieces, 1) if i not in own))
-        at += len(line) + 1
-    return "\n".join(kept), starts, lengths
-
-
-def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = 5, sentences: bool = False) -> DataFrame:
+    stretches: list[list] = []
+    number = None
+    for one in sorted(places, key=lambda one: one["number"]):
+        if number is None or one["number"] != number + 1:
+            stretches.append([one["place"], one["place"], 0])
+        number = one["number"]
+        stretches[-1][1] = one["place"]
+        stretches[-1][2] += one["words"]
+    stretches = [one for one in stretches if one[2] >= min_words]
+    if not stretches:
+        return text, [], []
+    ends = [0, *(found.end() for found in re.finditer(UNITS[unit].replace(r"\z", r"\Z"), text))]
+    spans = [(ends[first], ends[last + 1]) for first, last, _ in stretches]
+    kept = [text[a:b] for a, b in zip([0, *(end for _, end in spans)], [*(start for start, _ in spans), len(text)])]
+    return "".join(kept), [start for start, _ in spans], [end - start for start, end in spans]
+
+
+def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", unit: str = "sentence", min_words: int = MIN_WORDS) -> DataFrame:
     """The documents, with all their columns, in their cut texts; ``cut_starts`` and ``cut_lengths`` (in characters) are added."""
     @F.pandas_udf("text string, starts array<int>, lengths array<int>")
     def cut(texts: pd.Series, places: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([cut_text(*pair) for pair in zip(texts, places, strict=True)], columns=["text", "starts", "lengths"])
+        return pd.DataFrame([cut_text(*pair, unit, min_words) for pair in zip(texts, places, strict=True)], columns=["text", "starts", "lengths"])
 
-    gone = repeats(docs, key, text, min_words, sentences).groupBy(F.col("doc_key").alias("__doc_key")).agg(F.collect_set("place").alias("__places"))
-    joined = docs.withColumn("__doc_key", F.xxhash64(key, text)).join(gone, "__doc_key", "left").withColumn("__cut", cut(F.col(text), F.col("__places")))
-    columns = [F.col("__cut.text").alias(text) if name == text else F.col(f"`{name}`") for name in docs.columns]
-    return joined.select(*columns, F.col("__cut.starts").alias("cut_starts"), F.col("__cut.lengths").alias("cut_lengths"))
+    gone = repeats(docs, key, text, unit).groupBy("doc_key").agg(F.collect_set(F.struct("number", "place", "words")).alias("places"))
+    rows = docs.select(document_key(key, text).alias("doc_key"), F.struct(*[F.col(f"`{name}`") for name in docs.columns]).alias("row"))
+    joined = rows.join(gone, "doc_key", "left").withColumn("cut", cut(F.col(f"row.`{text}`"), F.col("places")))
+    columns = [F.col("cut.text").alias(text) if name == text else F.col(f"row.`{name}`").alias(name) for name in docs.columns if name not in ADDED]
+    return joined.select(*columns, F.col("cut.starts").alias(ADDED[0]), F.col("cut.lengths").alias(ADDED[1]))

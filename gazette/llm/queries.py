@@ -168,23 +168,33 @@ ORACLES: dict[str, str] = {
         CASE WHEN page_id <> keeper THEN keeper END AS refers_to
         FROM p JOIN d USING (h)
     """,
+    # Units, stretches of repeated units by the places that their numbers leave out, and the pieces outside long stretches.
     "op7_line_dedup": r"""
-        WITH u AS (
-            SELECT doc_id, number - 1 AS number, line,
-                trim(regexp_replace(lower(line), '[^\p{L}\p{M}\p{N}]+', ' ', 'g')) AS unit
-            FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS number FROM documents)
+        WITH p AS (
+            SELECT doc_id, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS place
+            FROM (SELECT doc_id, regexp_extract_all(text, '[^\n]*?(?:[.!?…]["''”’»)\]]?[ \t]+|[。！？｡]|\n|\z)') AS pieces FROM documents WHERE text IS NOT NULL)
+        ), u AS (
+            SELECT *, trim(regexp_replace(lower(piece), '[^\p{L}\p{M}\p{N}]+', ' ', 'g')) AS unit,
+                coalesce(sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+            FROM p
+        ), r AS (
+            SELECT *, start + length(piece) AS stop, row_number() OVER (PARTITION BY doc_id ORDER BY place) AS number,
+                row_number() OVER (PARTITION BY unit ORDER BY doc_id, place) > 1 AS again,
+                len(string_split(unit, ' ')) + length(regexp_replace(unit, '[^\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]+', '', 'g')) // 2 AS words
+            FROM u WHERE unit <> ''
         ), s AS (
-            SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
-                len(string_split(unit, ' ')) >= 5 AND row_number() OVER (PARTITION BY unit ORDER BY doc_id, number) > 1 AS gone
-            FROM u
-        ), d AS (
-            SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY number) FILTER (NOT gone), '') AS text,
-                coalesce(list(CAST(start AS INTEGER) ORDER BY number) FILTER (gone), []) AS cut_starts,
-                coalesce(list(CAST(length(line) AS INTEGER) ORDER BY number) FILTER (gone), []) AS cut_lengths
+            SELECT doc_id, min(start) AS start, max(stop) AS stop
+            FROM (SELECT *, number - row_number() OVER (PARTITION BY doc_id, again ORDER BY number) AS stretch FROM r)
+            WHERE again GROUP BY doc_id, stretch HAVING sum(words) >= 25
+        ), k AS (
+            SELECT u.doc_id, string_agg(piece, '' ORDER BY place) AS text
+            FROM u ANTI JOIN s ON u.doc_id = s.doc_id AND u.start >= s.start AND u.start < s.stop GROUP BY u.doc_id
+        ), c AS (
+            SELECT doc_id, list(CAST(start AS INTEGER) ORDER BY start) AS cut_starts, list(CAST(stop - start AS INTEGER) ORDER BY start) AS cut_lengths
             FROM s GROUP BY doc_id
         )
-        SELECT doc_id, CASE WHEN documents.text IS NOT NULL THEN d.text END AS text, coalesce(cut_starts, []) AS cut_starts,
-            coalesce(cut_lengths, []) AS cut_lengths, coalesce(len(cut_starts), 0) AS n_cut
-        FROM documents LEFT JOIN d USING (doc_id)
+        SELECT doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(k.text, '') END AS text, coalesce(c.cut_starts, []) AS cut_starts,
+            coalesce(c.cut_lengths, []) AS cut_lengths, coalesce(len(c.cut_starts), 0) AS n_cut
+        FROM documents d LEFT JOIN k USING (doc_id) LEFT JOIN c USING (doc_id)
     """,
 }

@@ -16,7 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from gazette.llm import bpe, decontaminate, katz, language_id, linededup, neardup, quality, repair, topk, warc
+from gazette.llm import bpe, decontaminate, katz, language_id, neardup, quality, repair, topk, warc
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 DOCS = "doc_id bigint, text string, lang string, key string, words string, block int, rank string, number string"
@@ -47,37 +47,6 @@ def test_bpe_round_trip(spark, docs):
     assert bpe.round_trip(docs.where("false"), PATH).count() == 0
 
 
-def test_line_dedup(docs):
-    rows = {(row.doc_id, row.text) if row.doc_id is None or row.doc_id < 7 else row.doc_id: row for row in linededup.without_repeats(docs).collect()}
-    assert rows[7].text == "the cat sat on the mat today\nsecond line of five words here" and rows[7].cut_starts == [60] and rows[7].cut_lengths == [28]
-    assert rows[8].text == "short\nown words are in this line" and rows[8].cut_starts == [0]
-    assert rows[None, "without an id and with some words"].cut_starts == []
-    assert (0, None) in rows and (1, "") in rows
-    assert linededup.without_repeats(docs).count() == len(TEXTS) + 2
-    assert linededup.without_repeats(docs.where("false")).count() == 0
-
-
-def test_line_dedup_inside_lines(spark):
-    passage = "Every word of this is said twice. It has “two sentences of five words.” "
-    texts = {
-        1: f"Own words come first in here. {passage}Own words come last in here.", 2: f"Other words are at the start. \U0001F600 so. {passage}And at the end, too.",
-        3: passage.strip(), 4: "not a sentence end.here it goes on", 5: "Own words come first, in here!\nShort. A line of six words now. Short.", 6: "A line of six words now. A line of six words now.",
-        7: "第一句话在这里。 第二句话在这里。", 8: "a b c d e... !!",
-    }
-    frame = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
-    rows = {row.doc_id: row for row in linededup.without_repeats(frame, sentences=True).collect()}
-    cut = {i: [texts[i][at:at + n] for at, n in zip(row.cut_starts, row.cut_lengths, strict=True)] for i, row in rows.items()}
-    assert cut == {1: [], 2: ["Every word of this is said twice. ", "It has “two sentences of five words.” "], 3: [texts[3]], 4: [], 5: ["Own words come first, in here!"], 6: [texts[6]], 7: [], 8: []}
-    assert rows[2].text == "Other words are at the start. \U0001F600 so. And at the end, too." and rows[5].text == "Short. A line of six words now. Short." and rows[6].text == ""
-    assert all(row.cut_starts == [] for row in linededup.without_repeats(frame.where("doc_id IN (1, 2)")).collect())
-
-
-def test_line_dedup_by_salted_join(docs, monkeypatch):
-    expected = sorted(map(str, linededup.without_repeats(docs).collect()))
-    monkeypatch.setattr(linededup, "MAX_BROADCAST_DIGESTS", 0)
-    assert sorted(map(str, linededup.without_repeats(docs).collect())) == expected
-
-
 def test_repair_grammar_is_lossless():
     random.seed(5)
     for size, symbols in [(1, 1), (9, 1), (400, 2), (3000, 5), (5000, 70000)]:
