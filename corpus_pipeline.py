@@ -24,8 +24,8 @@ def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut lines, and sentences inside lines, that an earlier document or place has; ``n_chars`` follows the text."""
-    return linededup.without_repeats(docs, sentences=True).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(COLUMNS)
+    """Cut long stretches of sentences that an earlier document or place has; ``n_chars`` follows the text."""
+    return linededup.without_repeats(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(COLUMNS)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
