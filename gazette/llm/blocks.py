@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -72,3 +73,41 @@ def blocks(docs: DataFrame, split: Callable[[], Callable[[str], list]], word_typ
 
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     return rows.mapInArrow(run, f"block bigint, keys array<{rows.schema['key'].dataType.simpleString()}>, counts binary, places binary, words array<{word_type}>")
+
+
+def text_blocks(docs: DataFrame, key: str = "doc_id", text: str = "text", block_bytes: int = 8 << 20) -> DataFrame:
+    """Neighbouring documents of a task as they are: keys, digests and sizes of their texts in UTF-8 (null: empty), and the texts, compressed.
+
+    A document is found again by its block and its number in it.
+    """
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compressor, first, made = zstandard.ZstdCompressor(level=3), TaskContext.get().partitionId() << BLOCK_BITS, 0
+
+        def block() -> pa.RecordBatch:
+            values = [first + made, keys, [xxhash.xxh3_128_digest(one) for one in texts], [len(one) for one in texts], compressor.compress(b"".join(texts))]
+            kinds = [pa.int64(), pa.list_(arrow), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds, strict=True)], ["block", "keys", "digests", "sizes", "body"])
+
+        keys, texts, size, arrow = [], [], 0, None
+        for batch in batches:
+            arrow = batch.schema.field(0).type
+            for one, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                data = (body.as_py() or "").encode()
+                if keys and size + len(data) > block_bytes:
+                    yield block()
+                    made, keys, texts, size = made + 1, [], [], 0
+                keys.append(one)
+                texts.append(data)
+                size += len(data)
+        if keys:
+            yield block()
+
+    return rows.mapInArrow(run, f"block bigint, keys array<{rows.schema['key'].dataType.simpleString()}>, digests array<binary>, sizes array<int>, body binary")
+
+
+def texts_of(body: bytes, sizes: list[int]) -> list[bytes]:
+    """The texts of a block."""
+    data, ends = zstandard.ZstdDecompressor().decompress(body), np.cumsum([0, *sizes]).tolist()
+    return [data[a:b] for a, b in zip(ends, ends[1:])]

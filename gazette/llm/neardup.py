@@ -5,20 +5,26 @@ deals classes to nodes by the values of tokens that the node chooses, and branch
 every node offers its members with two of them as centres, small nodes compare all their members, and of the large nodes
 whose members are not yet in one component those with few pairs across components compare these, and the others branch on
 ``fanout`` further tokens. Independent trees repeat this, so that a pair at the
-threshold misses all its meetings with probability (1 - s)**trees, s >= 1 - (1 - threshold * s)**fanout. Candidates pass
-bounds on their sizes and sketches that no pair at the threshold fails, and are then confirmed on full sets: nothing but the
-trees can miss a link.
+threshold misses all its meetings with probability (1 - s)**trees, s >= 1 - (1 - threshold * s)**fanout.
 
-Nodes that stay large at the last level are compared exhaustively across components, slice by slice, so nothing is dropped.
+Candidates pass bounds that no pair at the threshold fails, the dearer ones later: sizes and 256 parities of bucket counts as
+members meet, then the bucket counts themselves, a bucket for about two shingles, folded to the smaller set's width. Pairs inside one
+component are dropped, one pair of each class is confirmed before the others, and full sets, which decide, are made
+for what is left alone. Nothing but the trees can miss a link.
+
+Nodes that stay large at the last level are compared exhaustively across components, in as many slices as their size asks for, so
+nothing is dropped.
 
 Defined cases: a document without words, or a null text, has an empty set, is linked with nothing and is its own component;
-fewer words than a shingle are one shingle; rows that share an id are judged each by its text, and linked through the id if
-it is the smallest of their classes; a null id has no result; columns other than key and text take no part.
+fewer words than a shingle are one shingle; rows are judged each by its text, also those that share an id; rows with a null id
+have a result, and their component the smallest other id, or null where there is none; columns other than key and text take no
+part, whatever their names; no rows give no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import md5
 
 import numpy as np
 import pandas as pd
@@ -27,14 +33,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gazette.llm.common import small, stage
+from gazette.llm.blocks import text_blocks, texts_of
+from gazette.llm.common import bucketed, stage
 from gazette.llm.components import components
+from gazette.operators.dedup import first_writer
 
 TOKENS = 64
 SKETCH = ["x0", "x1", "x2", "x3"]
-SIGNATURE = "doc_id bigint, n_shingles bigint, set_key binary, tokens binary, " + ", ".join(f"{name} bigint" for name in SKETCH)
-MAX_BROADCAST_KEYS = 1_000_000
+SIGNATURE = "block bigint, number int, doc_id bigint, text_key binary, n_shingles bigint, set_key binary, tokens binary, counts binary, " + ", ".join(f"{name} bigint" for name in SKETCH)
 MAX_WORDS_KEPT = 400_000
+OUTPUT_BYTES = 4 << 20
+SLICE_ROWS = 256
 
 _random = np.random.default_rng(20240229)
 FACTORS = _random.integers(1, 2**63, TOKENS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -57,9 +66,9 @@ def stirred(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def shingle_set(text: str | None, k: int, hashes: WordHashes) -> np.ndarray:
+def shingle_set(text: bytes, k: int, hashes: WordHashes) -> np.ndarray:
     """Sorted 64-bit hashes of the distinct k-word shingles; words are split at ASCII white space, A-Z in lower case."""
-    words = (text or "").encode().lower().split()
+    words = text.lower().split()
     if not words:
         return np.zeros(0, np.uint64)
     each = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
@@ -83,28 +92,49 @@ def signature(shingles: np.ndarray) -> tuple[bytes, list[int]]:
     return (least >> np.uint64(32)).astype(np.uint32).tobytes(), sketch.tolist()
 
 
-def signatures(docs: DataFrame, k: int) -> DataFrame:
+def bucket_counts(shingles: np.ndarray) -> bytes:
+    """Numbers of shingles by the high bits of their hashes, a bucket for about two shingles; empty if one is over a byte."""
+    bits = max((len(shingles) // 2).bit_length(), 6)
+    counts = np.bincount((shingles >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
+
+
+def may_be_alike(left: bytes, right: bytes, size: int, percent: int) -> bool:
+    """Bucket counts differ by no more than the sets do, at any width; ``size`` is that of both sets together."""
+    if not left or not right:
+        return True
+    x, y = np.frombuffer(left, np.uint8).astype(np.int64), np.frombuffer(right, np.uint8).astype(np.int64)
+    width = min(len(x), len(y))
+    apart = int(np.abs(x.reshape(width, -1).sum(1) - y.reshape(width, -1).sum(1)).sum())
+    return apart * (100 + percent) <= size * (100 - percent)
+
+
+def signatures(dealt: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
+        names = [one.split()[0] for one in SIGNATURE.split(", ")]
+        kinds = [{"bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[one.split()[1]] for one in SIGNATURE.split(", ")]
         for batch in batches:
-            rows = []
-            for one, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                shingles = shingle_set(text.as_py(), k, hashes)
-                tokens, sketch = signature(shingles)
-                rows.append((one, len(shingles), xxhash.xxh3_128_digest(shingles.tobytes()), tokens, *sketch))
-            names = ["doc_id", "n_shingles", "set_key", "tokens", *SKETCH]
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
-            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary()] + [pa.int64()] * len(SKETCH)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
+            for row in batch.to_pylist():
+                rows, size = [], 0
+                for number, (one, text) in enumerate(zip(row["ids"], texts_of(row["body"], row["sizes"]), strict=True)):
+                    shingles = shingle_set(text, k, hashes)
+                    tokens, sketch = signature(shingles)
+                    counts = bucket_counts(shingles) if len(shingles) else b""
+                    rows.append((row["block"], number, one, md5(text).digest(), len(shingles), xxhash.xxh3_128_digest(shingles.tobytes()), tokens, counts, *sketch))
+                    size += len(counts) + 400
+                    if size > OUTPUT_BYTES or number == len(row["ids"]) - 1:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                        rows, size = [], 0
 
-    return docs.mapInArrow(run, SIGNATURE)
+    return dealt.select("block", F.transform("keys", lambda one: one.cast("long")).alias("ids"), "sizes", "body").mapInArrow(run, SIGNATURE)
 
 
 FIELDS = ["class", "n_shingles", *SKETCH]
 MEMBER = ["node", *FIELDS]
 
 
-def side(rows: DataFrame, name: str, *more: str, of: str = "") -> DataFrame:
+def side(rows: DataFrame, name: str, *more: str | Column, of: str = "") -> DataFrame:
     """The fields of members, or of a struct of them, with a side's name after them."""
     return rows.select(*more, F.col(f"{of}class").alias(name), *[F.col(f"{of}{c}").alias(f"{c}_{name}") for c in FIELDS[1:]])
 
@@ -154,61 +184,89 @@ def undecided(large: DataFrame, found: DataFrame, node_pairs: int) -> DataFrame:
 
     A thin node has at most ``node_pairs`` pairs across its components for each of its members.
     """
-    marked = large.join(found.toDF("class", "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    marked = large.join(found, "class", "left").withColumn("component", F.coalesce("component", "class"))
     parts = marked.groupBy("node", "component").agg(F.count("*").alias("rows"))
     rows = F.sum("rows").cast("double")
     sizes = parts.groupBy("node").agg(F.count("*").alias("parts"), ((rows * rows - F.sum(F.col("rows").cast("double") * F.col("rows"))) / 2 <= rows * node_pairs).alias("thin"))
     return marked.join(sizes.where("parts > 1").select("node", "thin"), "node")
 
 
-def across(members: DataFrame, percent: int, slices: int = 8) -> DataFrame:
-    """Candidate pairs between the components of a node, one side dealt in slices and the other repeated for each."""
-    left = side(members, "a", "node", "component").withColumn("slice", F.pmod(F.xxhash64("a"), F.lit(slices)))
-    right = side(members, "b", "node", "component").withColumnRenamed("component", "other").withColumn("slice", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(slices - 1).cast("bigint"))))
+def across(members: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs between the components of a node, one side dealt in slices of about ``SLICE_ROWS`` and the other repeated for each."""
+    sizes = members.groupBy("node").agg(F.ceil(F.count("*") / SLICE_ROWS).alias("slices"))
+    dealt = members.join(sizes, "node")
+    left = side(dealt, "a", "node", "component", F.pmod(F.xxhash64("class"), F.col("slices")).alias("slice"))
+    right = side(dealt, "b", "node", F.col("component").alias("other"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("slices") - 1)).alias("slice"))
     return left.join(right, ["node", "slice"]).where("a < b AND component <> other").where(alike(percent)).select("a", "b").distinct()
 
 
-def confirmed(pairs: DataFrame, bodies: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs whose full sets have the similarity. Sets are made once per document that is in a pair."""
-    pairs = stage(pairs, "near-pairs")
-    keys = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
-    keys = stage(keys, "near-keys")
-    members = bodies.join(small(keys, keys.count(), MAX_BROADCAST_KEYS), "class", "left_semi")
+def full_sets(keys: DataFrame, dealt: DataFrame, k: int) -> DataFrame:
+    """Full sets, ``class`` and ``items``, of classes by block and number of one of their documents; texts stay where they are."""
+    wanted = keys.groupBy("block").agg(F.collect_list(F.struct("class", "number")).alias("wanted"))
 
-    @F.pandas_udf("binary")
-    def sets(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            yield batch.map(lambda text: shingle_set(text, k, hashes).tobytes())
+            for row in batch.to_pylist():
+                texts, rows, size = texts_of(row["body"], row["sizes"]), [], 0
+                for n, one in enumerate(row["wanted"], 1):
+                    rows.append((one["class"], shingle_set(texts[one["number"]], k, hashes).view(np.int64)))
+                    size += rows[-1][1].nbytes
+                    if size > OUTPUT_BYTES or n == len(row["wanted"]):
+                        ends = pa.array(np.cumsum([0, *(len(own) for _, own in rows)]), pa.int32())
+                        items = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([own for _, own in rows])))
+                        yield pa.RecordBatch.from_arrays([pa.array([own for own, _ in rows], pa.int64()), items], ["class", "items"])
+                        rows, size = [], 0
 
-    @F.pandas_udf("boolean")
-    def close(left: pd.Series, right: pd.Series) -> pd.Series:
-        def one(a: bytes, b: bytes) -> bool:
-            x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            return 100 * both >= percent * (len(x) + len(y) - both)
+    return dealt.join(wanted, "block").select("sizes", "body", "wanted").mapInArrow(run, "class bigint, items array<bigint>")
 
-        return pd.Series([one(a, b) for a, b in zip(left, right, strict=True)], dtype=bool)
 
-    members = stage(members.select("class", sets("text").alias("items")), "near-sets")
-    left = members.select(F.col("class").alias("a"), F.col("items").alias("items_a"))
-    right = members.select(F.col("class").alias("b"), F.col("items").alias("items_b"))
-    return pairs.join(left, "a").join(right, "b").where(close("items_a", "items_b")).select("a", "b")
+def confirmed(pairs: DataFrame, classes: DataFrame, dealt: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs whose full sets have the similarity. Sets are made once per class that is in a pair; the JVM intersects them row by row."""
+    keys = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+    sets = stage(full_sets(classes.join(keys, "class").select("class", "block", "number"), dealt, k), "near-sets")
+    joined = pairs.join(sets.toDF("a", "items_a"), "a").join(sets.toDF("b", "items_b"), "b")
+    both = F.size(F.array_intersect("items_a", "items_b"))
+    return joined.where(both * 100 >= (F.size("items_a") + F.size("items_b") - both) * percent).select("a", "b")
 
 
-def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, trees: int = 4, fanout: int = 2, node_rows: int = 24, node_pairs: int = 1500, levels: int = 6) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (smallest id reachable through links), kept."""
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id IS NOT NULL")
-    signed = stage(signatures(rows, k), "near-signatures")
+def apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """Pairs whose classes are not in one component yet."""
+    marked = pairs.join(found.toDF("a", "component_a"), "a", "left").join(found.toDF("b", "component_b"), "b", "left")
+    return marked.where(F.coalesce("component_a", "a") != F.coalesce("component_b", "b")).select("a", "b")
+
+
+def grown(pairs: DataFrame, edges: DataFrame, found: DataFrame, classes: DataFrame, dealt: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Edges and components with the links among candidate pairs: first one pair of each class, then what still lies between components."""
+
+    @F.pandas_udf("boolean")
+    def may(left: pd.Series, right: pd.Series, size: pd.Series) -> pd.Series:
+        return pd.Series([may_be_alike(*one, percent) for one in zip(left, right, size, strict=True)], dtype=bool)
+
+    counts = classes.select("class", "counts", "n_shingles")
+    rows = apart(pairs, found).join(counts.toDF("a", "counts_a", "size_a"), "a").join(counts.toDF("b", "counts_b", "size_b"), "b")
+    left = stage(rows.where(may("counts_a", "counts_b", F.col("size_a") + F.col("size_b"))).select("a", "b"), "near-pairs")
+    firsts = stage(left.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "near-firsts")
+    for turn in (firsts, None):
+        some = turn if turn is not None else stage(apart(left.join(firsts, ["a", "b"], "left_anti"), found), "near-rest")
+        news = stage(confirmed(some, classes, dealt, k, percent), "near-edges") if some.head(1) else some
+        if news.head(1):
+            edges = stage(edges.union(news), "near-edges")
+            found = stage(components(edges).toDF("class", "component"), "near-components")
+    return edges, found
+
+
+def placed(docs: DataFrame, key: str, text: str, k: int, percent: int, trees: int, fanout: int, node_rows: int, node_pairs: int, levels: int) -> DataFrame:
+    """Every row's ``doc_id, text_key, n_shingles`` and its component, a number; null for an empty set."""
+    dealt = bucketed(text_blocks(docs, key, text), "near-texts", "block")
+    signed = stage(signatures(dealt, k), "near-signatures")
     alone = signed.where("n_shingles > 0").groupBy("set_key").agg(
-        F.min("doc_id").alias("class"), *[F.first(c).alias(c) for c in ("n_shingles", "tokens", *SKETCH)],
+        F.min(F.struct("block", "number")).alias("one"), *[F.first(c).alias(c) for c in ("n_shingles", "tokens", "counts", *SKETCH)],
     )
-    classes = stage(alone, "near-classes")
-    bodies = rows.withColumnRenamed("doc_id", "class")
-
+    classes = stage(alone.select(F.monotonically_increasing_id().alias("class"), "one.*", "set_key", "n_shingles", "tokens", "counts", *SKETCH), "near-classes")
+    empty = docs.sparkSession.createDataFrame([], "a bigint, b bigint")
     pairs, large = met(first_nodes(classes, trees, fanout), node_rows, percent)
-    edges = stage(confirmed(pairs, bodies, k, percent), "near-edges")
-    found = stage(components(edges), "near-components")
+    edges, found = grown(pairs, empty, empty.toDF("class", "component"), classes, dealt, k, percent)
     for level in range(levels):
         open_nodes = stage(undecided(large, found, node_pairs), "near-open")
         if not open_nodes.head(1):
@@ -218,18 +276,35 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5,
         if not last:
             more, large = met(branched(open_nodes.where("NOT thin").select(MEMBER), classes, fanout), node_rows, percent)
             pairs = pairs.union(more).distinct()
-        news = stage(confirmed(pairs.join(edges, ["a", "b"], "left_anti"), bodies, k, percent), "near-edges")
-        if news.head(1):
-            edges = stage(edges.union(news), "near-edges")
-            found = stage(components(edges), "near-components")
+        edges, found = grown(pairs, edges, found, classes, dealt, k, percent)
+    member = signed.select("doc_id", "text_key", "n_shingles", "set_key").join(classes.select("set_key", "class"), "set_key", "left")
+    return member.join(found, "class", "left").select("doc_id", "text_key", "n_shingles", F.coalesce("component", "class").alias("component"))
+
 
-    member = signed.select("doc_id", "n_shingles", "set_key").join(classes.select("set_key", "class"), "set_key", "left")
-    placed = member.join(found.toDF("class", "component"), "class", "left")
-    component = F.coalesce("component", "class", "doc_id")
-    return placed.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, trees: int = 4, fanout: int = 2, node_rows: int = 24, node_pairs: int = 1500, levels: int = 6) -> DataFrame:
+    """One row per row: doc_id, n_shingles, component_id (smallest id reachable through links), kept (whether that id is its own)."""
+    rows = stage(placed(docs, key, text, k, percent, trees, fanout, node_rows, node_pairs, levels), "near-placed")
+    least = rows.where("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("least"))
+    named = rows.join(least, "component", "left").withColumn("component_id", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("least")))
+    return named.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def distinct_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """The documents, with all their columns, that are the smallest of their group; a null id stays."""
-    gone = stage(groups(docs, key, text, **how).where("NOT kept").select(F.col("doc_id").alias("__copy")).distinct(), "near-gone")
-    return docs.join(small(gone, gone.count(), MAX_BROADCAST_KEYS), F.col(key) == F.col("__copy"), "left_anti")
+def distinct_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, trees: int = 4, fanout: int = 2, node_rows: int = 24, node_pairs: int = 1500, levels: int = 6) -> DataFrame:
+    """The documents, with all their columns, of which one of each group stays: that of the smallest id, a null id last.
+
+    The decision is one about id and text, so rows that share an id go or stay each by its own text; of rows equal in both one stays.
+    Documents without words stay all.
+    """
+    rows = stage(placed(docs, key, text, k, percent, trees, fanout, node_rows, node_pairs, levels), "near-placed").where("component IS NOT NULL")
+    own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
+    keepers = rows.groupBy("component").agg(F.min(own).alias("keeper"))
+    counts = rows.groupBy("component", "doc_id", "text_key").agg(F.count("*").alias("copies")).join(keepers, "component")
+    stays = F.col("doc_id").eqNullSafe(F.col("keeper.doc_id")) & (F.col("text_key") == F.col("keeper.text_key"))
+    judged = stage(counts.select(F.col("doc_id").alias("__other"), F.col("text_key").alias("__key"), "copies", stays.alias("stays")).where("NOT stays OR copies > 1"), "near-judged")
+    text_key = F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
+    wide = docs.select(F.col(key).cast("long").alias("__id"), text_key.alias("__text"), F.struct(*[F.col(f"`{name}`") for name in docs.columns]).alias("__row"))
+    same = F.col("__id").eqNullSafe(F.col("__other")) & (F.col("__text") == F.col("__key"))
+    single, repeated = wide.join(judged, same, "left_anti"), judged.where("stays")
+    if repeated.head(1):
+        single = single.union(first_writer(wide.join(repeated, same, "left_semi"), ["__id", "__text"], [F.xxhash64(F.to_json("__row"))]))
+    return single.select("__row.*")

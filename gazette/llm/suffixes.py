@@ -28,10 +28,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gazette.llm.blocks import text_blocks
 from gazette.llm.common import bucketed, partitions, stage
 
 GRAM = 16
@@ -55,41 +55,14 @@ def eights(data: np.ndarray) -> np.ndarray:
     return words
 
 
-def blocks(docs: DataFrame, key: str, text: str, block_bytes: int) -> DataFrame:
-    """Neighbouring documents of a task: keys, ranks, digests and sizes of their texts, and the texts, compressed."""
-    rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))).alias("rank"), F.col(text).alias("text"))
-    kind = rows.schema["key"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compressor, first, made = zstandard.ZstdCompressor(level=3), TaskContext.get().partitionId() << 24, 0
-
-        def block() -> pa.RecordBatch:
-            digests = [xxhash.xxh3_128_digest(one) for one in texts]
-            values = [first + made, keys, ranks, digests, [len(one) for one in texts], compressor.compress(b"".join(texts))]
-            kinds = [pa.int64(), pa.list_(arrow), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds, strict=True)], ["block", "keys", "ranks", "digests", "sizes", "body"])
-
-        keys, ranks, texts, size, arrow = [], [], [], 0, None
-        for batch in batches:
-            arrow = batch.schema.field(0).type
-            for one, rank, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                data = (body.as_py() or "").encode()
-                if keys and size + len(data) > block_bytes:
-                    yield block()
-                    made, keys, ranks, texts, size = made + 1, [], [], [], 0
-                keys.append(one)
-                ranks.append(rank)
-                texts.append(data)
-                size += len(data)
-        if keys:
-            yield block()
-
-    return rows.mapInArrow(run, f"block bigint, keys array<{kind}>, ranks array<bigint>, digests array<binary>, sizes array<int>, body binary")
+def ranks() -> Column:
+    """Ranks of a block's documents: their ids, the null one below all others."""
+    return F.transform("keys", lambda one: F.coalesce(one.cast("long"), F.lit(-(2**63))))
 
 
 def copies(dealt: DataFrame) -> DataFrame:
     """Numbers, by block, of the documents whose text a document of a smaller rank has."""
-    each = dealt.select("block", F.posexplode(F.arrays_zip("ranks", "digests")).alias("number", "one")).select("block", "number", "one.ranks", "one.digests")
+    each = dealt.select("block", F.posexplode(F.arrays_zip(ranks().alias("ranks"), "digests")).alias("number", "one")).select("block", "number", "one.ranks", "one.digests")
     least = each.groupBy("digests").agg(F.min("ranks").alias("least"))
     return each.join(least, "digests").where("ranks > least").groupBy("block").agg(F.collect_list("number").alias("copies"))
 
@@ -225,7 +198,7 @@ def suffix_rows(whole: DataFrame, width: int, buckets: int) -> DataFrame:
                 if row["met"]:
                     again = again | np.concatenate([np.unpackbits(np.frombuffer(one["flags"], np.uint8))[:counts[one["bucket"]]].astype(bool) for one in row["met"]])
                 again = np.append(again, False)
-                ranks = np.array(row["ranks"], np.int64)
+                rank = np.array(row["ranks"], np.int64)
                 for firsts, lasts, anchor, *reaches in anchors:
                     own = np.zeros(len(firsts), bool)
                     for hashes in reaches:
@@ -236,11 +209,11 @@ def suffix_rows(whole: DataFrame, width: int, buckets: int) -> DataFrame:
                         flat = np.arange(offsets[-1]) - np.repeat(offsets[:-1] - firsts[some], sizes)
                         lead = (anchor[some][:, None] + np.arange(GRAM)).ravel()
                         yield pa.RecordBatch.from_arrays([
-                            binary(texts.data[lead], np.arange(len(some) + 1) * GRAM), binary(texts.data[flat], offsets), pa.array(ranks[texts.document(firsts[some])]),
+                            binary(texts.data[lead], np.arange(len(some) + 1) * GRAM), binary(texts.data[flat], offsets), pa.array(rank[texts.document(firsts[some])]),
                             pa.array(np.full(len(some), row["block"])), pa.array(firsts[some].astype(np.int32)),
                         ], ["lead", "bytes", "rank", "block", "at"])
 
-    return whole.select("block", "sizes", "body", "copies", "ranks", "met").mapInArrow(run, ROW)
+    return whole.select("block", "sizes", "body", "copies", ranks().alias("ranks"), "met").mapInArrow(run, ROW)
 
 
 def binary(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
@@ -327,7 +300,7 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     if not 2 * GRAM < width <= GRAM + 62:
         raise ValueError(f"strings are longer than {2 * GRAM} bytes and have at most {GRAM + 62}")
     buckets = partitions(docs.sparkSession)
-    dealt = bucketed(blocks(docs, key, text, block_bytes), "suffix-blocks", "block")
+    dealt = bucketed(text_blocks(docs, key, text, block_bytes), "suffix-blocks", "block")
     whole = dealt.join(stage(copies(dealt), "suffix-copies"), "block", "left")
     met = stage(shared_reaches(whole, width, buckets), "suffix-reaches")
     found = stage(compared(suffix_rows(whole.join(met, "block", "left"), width, buckets), width), "suffix-marks")
