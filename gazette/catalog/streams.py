@@ -58,7 +58,7 @@ def stream_ingest(spark, sf_dir):
     """Landing bodies through the ingest stream in several batches: each entry is stored once."""
     prepare(spark)
     folder = work_dir(spark, "stream-ingest")
-    store = Store(spark, f"{folder}/store")
+    store = Store(spark, f"{folder}/store", digits=1)
     feed_landing(spark, sf_dir).repartitionByRange("batch_id").write.parquet(f"{folder}/landing")
     jobs.ingest_stream(
         spark, f"{folder}/landing", lambda: config.load_feeds(spark), store, f"{folder}/checkpoint",
@@ -85,7 +85,7 @@ def stream_enrich(spark, sf_dir):
     """Stored releases through the enrichment stream: page text, prompt, offline extractor, validation, assembly."""
     prepare(spark)
     folder = work_dir(spark, "stream-enrich")
-    store = Store(spark, f"{folder}/store")
+    store = Store(spark, f"{folder}/store", digits=1)
     rows = releases(spark, sf_dir).selectExpr(
         "sha2(concat('https://x.example/', doc_id), 256) AS url_hash", "concat('https://x.example/', doc_id) AS url", "title",
         "concat(language, ' summary') AS summary", "publisher", "publisher AS publisher_full", "language AS feed_label", "language",
@@ -114,7 +114,7 @@ def stream_collect(spark, sf_dir):
     """Calendar bodies through the collection stream: parse, change logs, both upserts, one calendar."""
     prepare(spark)
     folder = work_dir(spark, "stream-collect")
-    store = Store(spark, f"{folder}/store")
+    store = Store(spark, f"{folder}/store", digits=1)
     ics = write_bodies(spark, sf_dir, ICS_EVENT, "BEGIN:VCALENDAR\r\n", "END:VCALENDAR\r\n").selectExpr("doc_id", "'istat' AS source", "'' AS facet", "body")
     pages = write_bodies(spark, sf_dir, MARKET_ROW, '<table class="calendar__table">', "</table>").selectExpr(
         "doc_id", "'forexfactory' AS source", "'jun.2024' AS facet", "body")

@@ -55,3 +55,16 @@ def translated_title(title: Column, title_en: Column) -> Column:
 
 def status_icon(status: Column) -> Column:
     return F.when(status == "ok", "ok").when(status == "partial", "warn").otherwise("")
+
+
+def card_link(is_past: Column, url: Column) -> Column:
+    """A calendar card links to what was released, once it was."""
+    return F.when(is_past, url)
+
+
+def has_values(is_market: Column, *values: Column) -> Column:
+    """Whether a market card shows a line of values: any of actual, forecast and previous is there."""
+    shown = F.lit(False)
+    for value in values:
+        shown = shown | (F.coalesce(value, F.lit("")) != "")
+    return is_market & shown

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable, Iterator
+from concurrent.futures import Future, ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -56,9 +58,14 @@ def page_texts(pages: DataFrame, max_chars: int = 4000) -> DataFrame:
 
 
 def one_capture(pages: DataFrame, captured: str | None = None) -> DataFrame:
-    """One page body per url: the newest by the ``captured`` column, or the greatest body where captures have no time."""
-    body = F.max("html") if captured is None else F.max_by("html", F.struct(captured, F.xxhash64("html")))
-    return pages.groupBy("url").agg(body.alias("html"))
+    """One page body per url: the newest by the ``captured`` column, or that of the greatest hash where captures have no time.
+
+    Choosing moves hashes alone; the body is fetched from its own row afterwards.
+    """
+    order = F.struct(*([captured] if captured else []), F.sha2("html", 256).alias("_hash"))
+    chosen = pages.groupBy("url").agg(F.max(order).alias("_order"))
+    own = pages.withColumn("_order", order).join(chosen, ["url", "_order"], "left_semi")
+    return own.select("url", "html").dropDuplicates(["url"])
 
 
 def prompt_text(title: Column, page_text: Column, summary: Column) -> Column:
@@ -88,27 +95,69 @@ def recorded_answers(answers: DataFrame, preferences: DataFrame) -> Extractor:
     return extract
 
 
-def model_cascade(generate: Callable[[str, str, str], dict], preferences: list[tuple[str, str]]) -> Extractor:
+def timed(call: Callable[[], dict], gate: threading.Semaphore, seconds: float | None) -> dict:
+    """A call under its provider's limit. One that takes too long is left to itself, and goes on counting until it ends."""
+    result: Future = Future()
+
+    def run() -> None:
+        with gate:
+            started.set()
+            try:
+                result.set_result(call())
+            except BaseException as failure:
+                result.set_exception(failure)
+
+    started = threading.Event()
+    threading.Thread(target=run, daemon=True).start()
+    started.wait()
+    return result.result(seconds)
+
+
+def cascade_rows(
+    generate: Callable[[str, str, str], dict], preferences: list[tuple[str, str]], calls: int, per_provider: int, seconds: float | None,
+) -> Callable[[pd.DataFrame], list[tuple]]:
+    """Function from a batch of prompts to its attempts, in the prompts' order; its limits hold over all batches it is given."""
+    gates = {provider: threading.Semaphore(per_provider) for provider, _ in preferences}
+    pool = ThreadPoolExecutor(calls)
+
+    def ask(url_hash: str, prompt: str, waiting: list[str] | None) -> list[tuple]:
+        rows = []
+        for rank, (provider, model) in enumerate(preferences):
+            if waiting is not None and f"{provider}/{model}" in waiting:
+                continue
+            try:
+                answer = timed(lambda: generate(prompt, provider, model), gates[provider], seconds)
+            except Exception as failure:  # the model's failure belongs to the row
+                rows.append((url_hash, provider, model, rank, None, f"{type(failure).__name__}: {failure}"))
+                continue
+            rows.append((url_hash, provider, model, rank, answer, None))
+            break
+        return rows
+
+    return lambda batch: [row for some in pool.map(ask, batch["url_hash"], batch["prompt"], batch["waiting"]) for row in some]
+
+
+def model_cascade(
+    generate: Callable[[str, str, str], dict], preferences: list[tuple[str, str]], calls: int = 8, per_provider: int = 4, seconds: float | None = None,
+) -> Extractor:
     """Extractor over a user's ``generate(prompt, provider, model) -> dict``, tried in order of preference.
 
-    A call that fails is an error row, never a failed job; the next model is tried.
+    Rows of an Arrow batch overlap, ``calls`` at a time in a task and ``per_provider`` of them with one provider; each row asks its
+    models one after the other and stops at the first answer. A call that fails, or takes more than ``seconds`` once it has begun, is an
+    error row, never a failed job; the next model is tried. Models in a prompt's ``waiting`` (``provider/model``) are left out; a row
+    for which none is left has no attempt.
     """
 
     def attempts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = cascade_rows(generate, preferences, calls, per_provider, seconds)
         for batch in batches:
-            rows = []
-            for url_hash, prompt in zip(batch["url_hash"], batch["prompt"]):
-                for rank, (provider, model) in enumerate(preferences):
-                    try:
-                        answer = generate(prompt, provider, model)
-                    except Exception as failure:  # the model's failure belongs to the row
-                        rows.append((url_hash, provider, model, rank, None, f"{type(failure).__name__}: {failure}"))
-                        continue
-                    rows.append((url_hash, provider, model, rank, answer, None))
-                    break
-            yield pd.DataFrame(rows, columns=ATTEMPTS.names)
-
-    return lambda prompts: prompts.select("url_hash", "prompt").mapInPandas(attempts, ATTEMPTS)
+            yield pd.DataFrame(rows(batch), columns=ATTEMPTS.names)
+
+    def extract(prompts: DataFrame) -> DataFrame:
+        waiting = F.col("waiting") if "waiting" in prompts.columns else F.lit(None).cast("array<string>").alias("waiting")
+        return prompts.select("url_hash", "prompt", waiting).mapInPandas(attempts, ATTEMPTS)
+
+    return extract
 
 
 WORD = r"(?:^|[^\p{L}])(?:%s)(?:$|[^\p{L}])"

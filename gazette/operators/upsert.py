@@ -94,3 +94,18 @@ def set_field(table: DataFrame, values: DataFrame, key: str, field: str, run_ts:
         "updated_at": F.when(changed, run_ts).otherwise(F.col("updated_at")),
     }
     return joined.select(*[replaced[name].alias(name) if name in replaced else F.col(name) for name in table.columns])
+
+
+def corrected(table: DataFrame, corrections: DataFrame, key: list[str], stamp: str = "updated_at") -> DataFrame:
+    """A table under its correction log: the last value of each field wins, ``stamp`` is the time of the last one.
+
+    ``corrections`` has the key, ``field``, ``value`` and ``set_at``. The key has the layout column, so a filter on it prunes both
+    sides; fields of the table that the log never names cost nothing but a null.
+    """
+    skip = {*key, stamp}
+    fields = [name for name, kind in table.dtypes if kind == "string" and name not in skip]
+    last = [F.max_by("value", F.when(F.col("field") == name, F.struct("set_at", "value"))).alias(f"_new_{name}") for name in fields]
+    latest_values = corrections.groupBy(*key).agg(*last, F.max("set_at").alias("_set_at"))
+    joined = table.join(latest_values, key, "left")
+    new = {name: F.coalesce(f"_new_{name}", name) for name in fields} | {stamp: F.coalesce("_set_at", stamp)}
+    return joined.select(*[new[name].alias(name) if name in new else F.col(name) for name in table.columns])

@@ -67,6 +67,16 @@ ANSWERS = struct(
 # Columns an answer may never carry: they are copied from the raw row after generation.
 RESERVED_FIELDS = ["url", "url_hash", "published", "fetched_at", "publisher", "processing_model"]
 
+# A feed body that was read: its entries, and the agency as text if it could not be parsed.
+READ_BODY = struct("entries bigint, unread string")
+POLL = struct("polled timestamp_ntz, bodies bigint, unchanged bigint, entries bigint, inserted bigint, skipped bigint, errors bigint")
+# A later value of one field of a processed release.
+CORRECTIONS = struct("url_hash string, field string, value string, set_at timestamp")
+# Tries of a release with a model; a snapshot has a row for each pair, the number of failed ones, and the last of them.
+TRIES = struct("url_hash string, provider string, model string, tried_at timestamp, error string")
+TRIED = struct("failures bigint")
+FIRST_SEEN = struct("first_seen timestamp")
+
 STATUS = struct("key string, last_run timestamp_ntz, status string, details string")
 STATUS_KEYS = ["press_releases", "calendar"]
 QUARANTINE = struct("source string, reason string, raw string, seen_at timestamp")

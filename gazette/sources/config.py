@@ -80,7 +80,7 @@ def load_domains(path: str | Path, class_name: str = "LLMExtraction") -> dict[st
     spec = importlib.util.spec_from_file_location("user_extraction_model", path)
     module = importlib.util.module_from_spec(spec)
     spec.loader.exec_module(module)
-    hints = get_type_hints(getattr(module, class_name))
+    hints = get_type_hints(getattr(module, class_name), vars(module))
     return {name: list(get_args(hint)) for name, hint in hints.items() if get_origin(hint) is Literal}
 
 

@@ -8,20 +8,23 @@ not in stream state, which therefore does not grow.
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from gazette import schemas
 from gazette.operators import enrich as op
-from gazette.operators.dedup import insert_if_absent
+from gazette.operators.attempts import RetryPolicy
 from gazette.plans import collect as calendar_plan
 from gazette.plans.enrich import enrich
 from gazette.plans.ingest import ingest
-from gazette.sources.tables import Store, read, stage, with_month
+from gazette.sources.keyindex import KeyIndex
+from gazette.sources.tables import Store, content_name, read, stage, with_month, write_run
 
 Clock = Callable[[], dt.datetime]
 
@@ -50,7 +53,7 @@ def ingest_stream(
     """Feed poll: new landing files become press releases. The feed list is read again for each batch."""
 
     def batch(rows: DataFrame, batch_id: int) -> None:
-        ingest(rows, load_feeds(), store, f"stream-{batch_id}", clock())
+        ingest(rows, load_feeds(), store, "stream", clock())
 
     source = file_stream(spark, landing, schemas.LANDING_FEED, max_files)
     return start(source.writeStream.foreachBatch(batch), checkpoint, every)
@@ -59,16 +62,17 @@ def ingest_stream(
 def enrich_stream(
     spark: SparkSession, store: Store, load_pages: Callable[[], DataFrame], extract: op.Extractor, checkpoint: str,
     every: str | None = None, max_files: int | None = None, clock: Clock = utc_now, parallelism: int | None = None,
+    policy: RetryPolicy = RetryPolicy(),
 ):
-    """Incremental processing: each batch holds the releases of new files and those that failed before, so old history is not
-    scanned for work. Failed releases are tried at the start as well, when there may be no new file.
+    """Incremental processing: each batch holds the releases of new files and those that failed before and are due, so old history is
+    not scanned for work. Failed releases are tried at the start as well, when there may be no new file.
     """
 
     def batch(rows: DataFrame, batch_id: int) -> None:
-        enrich(store, load_pages(), extract, f"stream-{batch_id}", clock(), among=rows, parallelism=parallelism)
+        enrich(store, load_pages(), extract, "stream", clock(), among=rows, parallelism=parallelism, policy=policy)
 
-    if not op.pending(store.retry().select("url_hash"), store.processed()).isEmpty():
-        enrich(store, load_pages(), extract, f"retry-{clock():%Y%m%dT%H%M%S}", clock(), among=store.retry(), parallelism=parallelism)
+    if store.retries().runs() and not op.pending(store.retry().select("url_hash"), store.stored_processed()).isEmpty():
+        enrich(store, load_pages(), extract, "retry", clock(), among=store.retry(), parallelism=parallelism, policy=policy)
 
     source = file_stream(spark, store.path("press_releases"), with_month(schemas.PRESS_RELEASES), max_files)
     return start(source.writeStream.foreachBatch(batch), checkpoint, every)
@@ -92,12 +96,17 @@ def collect_stream(
     return start(source.writeStream.foreachBatch(batch), checkpoint, every)
 
 
-def dedup_stream(source: DataFrame, target: str, key: str, order: str, checkpoint: str, every: str | None = None):
-    """Insert-if-absent of any keyed stream into a Parquet folder."""
+def dedup_stream(source: DataFrame, target: str, key: str, order: str, checkpoint: str, every: str | None = None, digits: int = 1):
+    """Insert-if-absent of any keyed stream into a Parquet folder, by a key index beside it."""
 
     def batch(rows: DataFrame, batch_id: int) -> None:
-        stored = read(rows.sparkSession, target, rows.schema)
-        insert_if_absent(rows, stored, key, order).write.mode("append").parquet(target)
+        spark = rows.sparkSession
+        index, run = KeyIndex(spark, f"{target}.keys", digits=digits), content_name(rows, key, order)
+
+        def staged(some: DataFrame, name: str) -> DataFrame:
+            return spark.read.schema(some.schema).parquet(write_run(some, f"{target}.stage/{name}", run))
+
+        index.insert(rows, key, order, run, lambda: read(spark, target, rows.schema), staged, lambda some: some.write.mode("append").parquet(target))
 
     return start(source.writeStream.foreachBatch(batch), checkpoint, every)
 
@@ -121,3 +130,33 @@ def status_stream(spark: SparkSession, store: Store, sink: Callable[[DataFrame,
     return start(latest.writeStream.outputMode("update").foreachBatch(sink), checkpoint, every)
 
 
+
+
+def changes_stream(log: DataFrame, key: str = "key", stamp: str = "last_run", payload: tuple[str, ...] = ("status", "details")) -> DataFrame:
+    """Change feed of real changes: a row of the log goes out if its payload differs from the last one that did for its key.
+
+    State is one row for each key. Rows of a batch are looked at in the order of their stamps; one that is older than the last that
+    went out is late and does not. Use with the append output mode.
+    """
+    kinds = {field.name: field for field in log.schema.fields}
+    schema = T.StructType([kinds[name] for name in (key, stamp, *payload)])
+    state = T.StructType([kinds[name] for name in (stamp, *payload)])
+
+    def changes(group: tuple, batches: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(batches)).sort_values([stamp, *payload], kind="stable")
+        last, out = kept.get if kept.exists else None, []
+        for row in rows[[stamp, *payload]].itertuples(index=False, name=None):
+            row = tuple(None if pd.isna(one) else one.to_pydatetime() if isinstance(one, pd.Timestamp) else one for one in row)
+            if last is None or (row[0] >= last[0] and row[1:] != tuple(last[1:])):
+                out.append((group[0], *row))
+                last = row
+        kept.update(tuple(last))
+        yield pd.DataFrame(out, columns=schema.names)
+
+    return log.groupBy(key).applyInPandasWithState(changes, schema, state, "append", GroupStateTimeout.NoTimeout)
+
+
+def status_changes(spark: SparkSession, store: Store, sink: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = None, max_files: int | None = None):
+    """Live status without repetitions: a pipeline's status goes to the sink when it is another than before."""
+    feed = changes_stream(file_stream(spark, store.path("status"), schemas.STATUS, max_files))
+    return start(feed.writeStream.outputMode("append").foreachBatch(sink), checkpoint, every)

@@ -19,4 +19,4 @@ def spark():
 def store(spark, tmp_path):
     from gazette.sources.tables import Store
 
-    return Store(spark, str(tmp_path / "store"))
+    return Store(spark, str(tmp_path / "store"), digits=1)
