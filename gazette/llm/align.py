@@ -18,7 +18,6 @@ rows give no rows.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 from functools import cache
 
@@ -26,14 +25,13 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import sentencepiece
-import tiktoken
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gazette.llm.bpe import WORD, byte_of_letter, tokenizer
 from gazette.llm.common import bucketed
+from gazette.llm.ranks import piece_bytes, text_ids
 
 #: Bits of numbers inside a task: its documents (40) and its pieces (24).
 DOCUMENT_BITS, PIECE_BITS = 40, 24
@@ -41,26 +39,10 @@ OUTPUT_BYTES = 4 << 20
 
 
 class ByteLevel:
-    """A byte-level BPE file of the tokenizers library, its special tokens' strings plain text.
-
-    Where the merges are in the order of their ids, as in all files of this kind known, tiktoken does the merging.
-    """
+    """A byte-level BPE file of the tokenizers library, its special tokens' strings plain text."""
 
     def __init__(self, path: str):
-        letters, library = byte_of_letter(), tokenizer(path)
-        library.encode_special_tokens = True
-        vocab = library.get_vocab(with_added_tokens=False)
-        self.pieces = [b""] * (max(vocab.values()) + 1)
-        for piece, one in vocab.items():
-            self.pieces[one] = bytes(map(letters.__getitem__, piece)) if all(c in letters for c in piece) else piece.encode()
-        with open(path, encoding="utf-8") as file:
-            merges = json.load(file)["model"]["merges"]
-        made = [vocab["".join(one.split(" ") if isinstance(one, str) else one)] for one in merges]
-        if made == sorted(made):
-            ranks = {piece: one for one, piece in enumerate(self.pieces)}
-            self.ids = tiktoken.Encoding("ranks", pat_str=WORD, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        else:
-            self.ids = lambda text: library.encode(text, add_special_tokens=False).ids
+        self.pieces, self.ids = piece_bytes(path), text_ids(path, plain_specials=True)
 
 
 class Pieces:

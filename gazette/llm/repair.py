@@ -17,7 +17,8 @@ than key and text take no part.
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,12 +26,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gazette.llm.bpe import encoder
 from gazette.llm.common import partitions, stage
+from gazette.llm.ranks import text_ids
 
 MAGIC = b"RPR1"
 
 
+@cache
+def encoder(path: str) -> Callable[[str], list[int]]:
+    """One encoder for all tasks of a worker."""
+    return text_ids(path)
+
+
 def frequent(pairs: np.ndarray, least: int, most: int) -> list[int]:
     """Pairs (two symbols in one number) that occur at least ``least`` times and cannot overlap, most frequent first."""
     values, counts = np.unique(pairs, return_counts=True)
@@ -51,20 +58,21 @@ def frequent(pairs: np.ndarray, least: int, most: int) -> list[int]:
 
 def grammar(symbols: np.ndarray, ends: np.ndarray, terminals: int, least: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rules, symbols and document ends after replacement; ``ends`` are the symbols before each document's end."""
-    symbols, rules, size = symbols.astype(np.int64), [], terminals
+    symbols, rules, size = symbols.astype(np.uint32), [], terminals
     last = np.zeros(len(symbols), bool)
     last[ends - 1] = True
     while len(symbols) > 1:
-        pairs = symbols[:-1] << 32 | symbols[1:]
-        chosen = frequent(pairs[~last[:-1]], least, most)
+        # A frequent pair is in a well-filled cell of a small table: only the pairs of such cells are sorted and counted.
+        cells = (symbols[:-1] * np.uint32(0x9E3779B1) + symbols[1:] * np.uint32(0x85EBCA77)) >> np.uint32(14)
+        at = np.flatnonzero((np.bincount(cells, minlength=1 << 18) >= least)[cells])
+        at = at[~last[at]]
+        pairs = symbols[at].astype(np.int64) << 32 | symbols[at + 1]
+        chosen = frequent(pairs, least, most)
         if not chosen:
             break
         known = np.array(sorted(chosen), np.int64)
-        left, right = np.zeros(size, bool), np.zeros(size, bool)
-        left[known >> 32], right[known & 0xFFFFFFFF] = True, True
-        at = np.flatnonzero(left[symbols[:-1]] & right[symbols[1:]] & ~last[:-1])
-        which = np.searchsorted(known, pairs[at])
-        hit = known[np.minimum(which, len(known) - 1)] == pairs[at]
+        which = np.searchsorted(known, pairs)
+        hit = known[np.minimum(which, len(known) - 1)] == pairs
         at, which = at[hit], which[hit]
         # Hits follow each other without a gap only in a run of one symbol: there every second one counts.
         run_starts = np.concatenate([[True], np.diff(at) != 1])
@@ -160,7 +168,7 @@ def write(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", e
         for batch in batches:
             arrow = batch.schema.field(0).type
             for one, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encode(body.as_py()) + end
+                ids = np.array(encode(body.as_py() or ""), "<u4").tobytes() + end
                 if keys and size + len(ids) > 4 * shard_ids:
                     yield shard()
                     made, keys, texts, size = made + 1, [], [], 0
