@@ -7,7 +7,7 @@ whose members are not yet in one component those with few pairs across component
 ``fanout`` further tokens. Independent trees repeat this, so that a pair at the
 threshold misses all its meetings with probability (1 - s)**trees, s >= 1 - (1 - threshold * s)**fanout.
 
-Candidates pass bounds that no pair at the threshold fails, the dearer ones later: sizes and 256 parities of bucket counts as
+Candidates pass bounds that no pair at the threshold fails, the dearer ones later: sizes and 120 bucket counts modulo 16 as
 members meet, then the bucket counts themselves, a bucket for about two shingles, folded to the smaller set's width. Pairs inside one
 component are dropped, one pair of each class is confirmed before the others, and full sets, which decide, are made
 for what is left alone. Nothing but the trees can miss a link.
@@ -39,7 +39,9 @@ from gazette.llm.components import components
 from gazette.operators.dedup import first_writer
 
 TOKENS = 64
-SKETCH = ["x0", "x1", "x2", "x3"]
+#: Fifteen counters of four bits in a long: numbers of shingles by bucket, modulo 16.
+CELLS = 15
+SKETCH = [f"x{i}" for i in range(8)]
 SIGNATURE = "block bigint, number int, doc_id bigint, text_key binary, n_shingles bigint, set_key binary, tokens binary, counts binary, " + ", ".join(f"{name} bigint" for name in SKETCH)
 MAX_WORDS_KEPT = 400_000
 OUTPUT_BYTES = 4 << 20
@@ -80,15 +82,16 @@ def shingle_set(text: bytes, k: int, hashes: WordHashes) -> np.ndarray:
 
 
 def signature(shingles: np.ndarray) -> tuple[bytes, list[int]]:
-    """Minwise tokens, and the sketch: parities of the counts of shingles by hash bucket."""
+    """Minwise tokens, and the sketch: counts of shingles by hash bucket, modulo 16."""
     if not len(shingles):
         return b"", [0] * len(SKETCH)
     least = np.empty(TOKENS, np.uint64)
     for at in range(0, TOKENS, 16):
         least[at:at + 16] = (shingles * FACTORS[at:at + 16, None] + OFFSETS[at:at + 16, None]).min(axis=1)
     least = stirred(least)
-    buckets = np.bincount((shingles >> np.uint64(40)).astype(np.int64) % (64 * len(SKETCH)), minlength=64 * len(SKETCH))
-    sketch = np.packbits((buckets & 1).astype(np.uint8), bitorder="little").view(np.int64)
+    cells = CELLS * len(SKETCH)
+    counts = np.bincount((shingles >> np.uint64(40)).astype(np.int64) % cells, minlength=cells) & 15
+    sketch = (counts.reshape(len(SKETCH), CELLS) << (4 * np.arange(CELLS))).sum(1)
     return (least >> np.uint64(32)).astype(np.uint32).tobytes(), sketch.tolist()
 
 
@@ -139,13 +142,25 @@ def side(rows: DataFrame, name: str, *more: str | Column, of: str = "") -> DataF
     return rows.select(*more, F.col(f"{of}class").alias(name), *[F.col(f"{of}{c}").alias(f"{c}_{name}") for c in FIELDS[1:]])
 
 
+def cells_apart(x: Column, y: Column) -> Column:
+    """Sum over the counters of two longs of how far they are apart, round the circle of 16."""
+    high, low = F.lit(0x888888888888888), F.lit(0x777777777777777)
+    apart = (x.bitwiseOR(high) - y.bitwiseAND(low)).bitwiseXOR(x.bitwiseXOR(F.bitwise_not(y)).bitwiseAND(high))
+    over = apart.bitwiseAND(high)
+    ones = F.shiftrightunsigned(over, 3)
+    near = apart.bitwiseXOR((over - ones).bitwiseOR(over)) + ones
+    for shift, mask in ((4, 0x0F0F0F0F0F0F0F0F), (8, 0x00FF00FF00FF00FF), (16, 0x0000FFFF0000FFFF), (32, 0xFFFFFFFF)):
+        near = near.bitwiseAND(F.lit(mask)) + F.shiftrightunsigned(near, shift).bitwiseAND(F.lit(mask))
+    return near
+
+
 def alike(percent: int) -> Column:
     """Whether sizes and sketches of sides a and b allow the similarity.
 
-    Bucket parities differ in no more places than the sets differ in shingles, so that bound loses nothing.
+    Bucket counts, taken modulo 16, differ by no more than the sets do, so that bound loses nothing.
     """
     a, b = F.col("n_shingles_a"), F.col("n_shingles_b")
-    apart = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in SKETCH), F.lit(0))
+    apart = sum((cells_apart(F.col(f"{c}_a"), F.col(f"{c}_b")) for c in SKETCH), F.lit(0))
     return (F.least(a, b) * 100 >= F.greatest(a, b) * percent) & (apart * (100 + percent) <= (a + b) * (100 - percent))
 
 
@@ -236,8 +251,17 @@ def apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
     return marked.where(F.coalesce("component_a", "a") != F.coalesce("component_b", "b")).select("a", "b")
 
 
-def grown(pairs: DataFrame, edges: DataFrame, found: DataFrame, classes: DataFrame, dealt: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Edges and components with the links among candidate pairs: first one pair of each class, then what still lies between components."""
+def joined_up(news: DataFrame, found: DataFrame) -> DataFrame:
+    """Components after further links: those of the graph whose nodes are the components so far."""
+    marked = news.join(found.toDF("a", "component_a"), "a", "left").join(found.toDF("b", "component_b"), "b", "left")
+    moved = stage(components(marked.select(F.coalesce("component_a", "a").alias("a"), F.coalesce("component_b", "b").alias("b"))), "near-moved")
+    old = found.join(moved.withColumnRenamed("component", "new"), F.col("component") == F.col("node"), "left")
+    fresh = moved.join(found, moved["node"] == found["class"], "left_anti")
+    return stage(old.select("class", F.coalesce("new", "component").alias("component")).union(fresh.select("node", "component")), "near-components")
+
+
+def grown(pairs: DataFrame, found: DataFrame, classes: DataFrame, dealt: DataFrame, k: int, percent: int, firsts: bool) -> DataFrame:
+    """Components with the links among candidate pairs: with ``firsts`` one pair of each class is confirmed before what then still lies between components."""
 
     @F.pandas_udf("boolean")
     def may(left: pd.Series, right: pd.Series, size: pd.Series) -> pd.Series:
@@ -246,14 +270,12 @@ def grown(pairs: DataFrame, edges: DataFrame, found: DataFrame, classes: DataFra
     counts = classes.select("class", "counts", "n_shingles")
     rows = apart(pairs, found).join(counts.toDF("a", "counts_a", "size_a"), "a").join(counts.toDF("b", "counts_b", "size_b"), "b")
     left = stage(rows.where(may("counts_a", "counts_b", F.col("size_a") + F.col("size_b"))).select("a", "b"), "near-pairs")
-    firsts = stage(left.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "near-firsts")
-    for turn in (firsts, None):
-        some = turn if turn is not None else stage(apart(left.join(firsts, ["a", "b"], "left_anti"), found), "near-rest")
-        news = stage(confirmed(some, classes, dealt, k, percent), "near-edges") if some.head(1) else some
-        if news.head(1):
-            edges = stage(edges.union(news), "near-edges")
-            found = stage(components(edges).toDF("class", "component"), "near-components")
-    return edges, found
+    for some in (left.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), None) if firsts else (None,):
+        some = stage(apart(left, found) if some is None else some, "near-some")
+        if some.head(1):
+            news = stage(confirmed(some, classes, dealt, k, percent), "near-links")
+            found = joined_up(news, found) if news.head(1) else found
+    return found
 
 
 def placed(docs: DataFrame, key: str, text: str, k: int, percent: int, trees: int, fanout: int, node_rows: int, node_pairs: int, levels: int) -> DataFrame:
@@ -264,9 +286,9 @@ def placed(docs: DataFrame, key: str, text: str, k: int, percent: int, trees: in
         F.min(F.struct("block", "number")).alias("one"), *[F.first(c).alias(c) for c in ("n_shingles", "tokens", "counts", *SKETCH)],
     )
     classes = stage(alone.select(F.monotonically_increasing_id().alias("class"), "one.*", "set_key", "n_shingles", "tokens", "counts", *SKETCH), "near-classes")
-    empty = docs.sparkSession.createDataFrame([], "a bigint, b bigint")
+    found = docs.sparkSession.createDataFrame([], "class bigint, component bigint")
     pairs, large = met(first_nodes(classes, trees, fanout), node_rows, percent)
-    edges, found = grown(pairs, empty, empty.toDF("class", "component"), classes, dealt, k, percent)
+    found = grown(pairs, found, classes, dealt, k, percent, True)
     for level in range(levels):
         open_nodes = stage(undecided(large, found, node_pairs), "near-open")
         if not open_nodes.head(1):
@@ -276,7 +298,7 @@ def placed(docs: DataFrame, key: str, text: str, k: int, percent: int, trees: in
         if not last:
             more, large = met(branched(open_nodes.where("NOT thin").select(MEMBER), classes, fanout), node_rows, percent)
             pairs = pairs.union(more).distinct()
-        edges, found = grown(pairs, edges, found, classes, dealt, k, percent)
+        found = grown(pairs, found, classes, dealt, k, percent, False)
     member = signed.select("doc_id", "text_key", "n_shingles", "set_key").join(classes.select("set_key", "class"), "set_key", "left")
     return member.join(found, "class", "left").select("doc_id", "text_key", "n_shingles", F.coalesce("component", "class").alias("component"))
 

@@ -95,3 +95,20 @@ def test_large_nodes_are_compared_in_slices(spark, monkeypatch):
     frame = spark.createDataFrame(data, "doc_id bigint, text string")
     found = {row.doc_id: row.component_id for row in neardup.groups(frame, k=1, percent=55, node_rows=3, node_pairs=0, levels=1).collect()}
     assert found == {i: min(data[j][0] for j in group) for i, (_, group) in enumerate(plain(data, 1, 55))}
+
+
+def test_sketches_never_drop_a_pair(spark):
+    rng = np.random.default_rng(4)
+    rows, near = [], 0
+    for _ in range(1500):
+        left = np.unique(rng.integers(0, 2**63, rng.integers(1, 900), np.uint64) * np.uint64(2))
+        other = rng.integers(0, 2**63, rng.integers(0, len(left) // 4 + 2), np.uint64)
+        right = np.unique(np.concatenate([left[:int(len(left) * rng.uniform(0.75, 1))], other])) if rng.random() < 0.8 else np.unique(rng.integers(0, 2**63, len(left), np.uint64))
+        both = len(np.intersect1d(left, right))
+        is_near = 100 * both >= 80 * (len(left) + len(right) - both)
+        rows.append((bool(is_near), len(left), len(right), *neardup.signature(left)[1], *neardup.signature(right)[1]))
+    names = [f"{name}_{side}" for side in "ab" for name in neardup.SKETCH]
+    frame = spark.createDataFrame([tuple(x.item() if hasattr(x, "item") else x for x in row) for row in rows], "near boolean, n_shingles_a bigint, n_shingles_b bigint, " + ", ".join(f"{name} bigint" for name in names))
+    judged = frame.select("near", neardup.alike(80).alias("passes")).collect()
+    assert sum(row.near for row in judged) > 200 and all(row.passes for row in judged if row.near)
+    assert sum(row.passes for row in judged if not row.near) < 0.5 * sum(not row.near for row in judged)
