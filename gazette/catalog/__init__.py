@@ -5,7 +5,7 @@ publisher), labels are processed releases, pages are page bodies and events are
 the parse jobs are written from documents, one body per document with one item per line, so no group is gathered.
 """
 
-from gazette.catalog import bodies, calendars, enrichment, releases, stored, streams  # noqa: F401
+from gazette.catalog import bodies, calendars, enrichment, rejects, releases, stored, streams  # noqa: F401
 from gazette.catalog.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -16,7 +16,7 @@ from gazette.operators.upsert import latest
 from gazette.plans.ingest import mark
 from gazette.sources.config import local_frame
 from gazette.sources.registry import COLLECTORS, collect, collect_market
-from gazette.sources.tables import Store, quarantine, stage, write_run
+from gazette.sources.tables import Store, content_name, quarantine, stage, write_run
 
 
 def calendar_state(log: DataFrame, payload: Sequence[str], sticky: Sequence[str] = ()) -> DataFrame:
@@ -42,10 +42,8 @@ def is_first_run(store: Store) -> bool:
 
 
 def fingerprint(landing: DataFrame) -> str:
-    """Name of a landing's content: the same bodies give the same name in any order, other bodies another."""
-    each = F.xxhash64("source", "facet", "seen_at", "batch_ord", "body").cast("decimal(38,0)")
-    row = landing.agg(F.count("*").alias("n"), F.sum(each).alias("h")).first()
-    return f"{row.n}-{abs(int(row.h or 0)):x}{'n' if (row.h or 0) < 0 else ''}"
+    """Name of a landing's content."""
+    return content_name(landing, "source", "facet", "seen_at", "batch_ord", "body")
 
 
 def unregistered(landing: DataFrame) -> DataFrame:

@@ -1,10 +1,14 @@
-"""Closing generations of the logs."""
+"""Upkeep of a store: generations of its logs, and fewer files."""
 
 from __future__ import annotations
 
+import datetime as dt
+
 from gazette import schemas
+from gazette.operators.attempts import RetryPolicy
 from gazette.operators.dedup import first_writer
 from gazette.operators.upsert import compact
+from gazette.plans.enrich import close_attempts
 from gazette.sources.tables import Store
 
 
@@ -24,3 +28,16 @@ def close_logs(store: Store) -> dict[str, int | None]:
         "ff_log": store.ff().close(lambda rows: compact(rows, key, payload(schemas.FF_PAYLOAD), schemas.FF_STICKY), ["release_dt"]),
         "status": store.statuses().close(lambda rows: first_writer(rows, schemas.STATUS.names, "last_run"), ["last_run"]),
     }
+
+
+def maintain(store: Store, run_ts: dt.datetime, policy: RetryPolicy = RetryPolicy()) -> None:
+    """What keeps the folders of a store few: generations of all logs, the ledger of attempts, old runs removed, indexes merged.
+
+    To be run now and then, such as once a day, while no job writes.
+    """
+    close_logs(store)
+    close_attempts(store, run_ts, policy)
+    for log in (store.nso(), store.ff(), store.statuses(), store.retries(), store.attempts()):
+        log.vacuum()
+    for index in (store.release_keys(), store.processed_keys(), store.bodies()):
+        index.compact()

@@ -24,7 +24,7 @@ from gazette.plans import collect as calendar_plan
 from gazette.plans.enrich import enrich
 from gazette.plans.ingest import ingest
 from gazette.sources.keyindex import KeyIndex
-from gazette.sources.tables import Store, content_name, read, stage, with_month, write_run
+from gazette.sources.tables import Store, content_name, read, with_month, write_run
 
 Clock = Callable[[], dt.datetime]
 
@@ -84,12 +84,14 @@ def collect_stream(
 ):
     """Calendar collection over a landing folder.
 
-    A micro-batch is not pruned by source, as a stored landing is, so it is staged while the collectors read it.
+    A micro-batch is not pruned by source, as a stored landing is, so it is staged by source while the collectors read it.
     Its run is named by its content alone, so that a stream with a new checkpoint adds to the logs.
     """
 
     def batch(rows: DataFrame, batch_id: int) -> None:
-        kept = stage(rows, store, "landing", f"stream-{batch_id}")
+        folder = f"{store.path('stage/landing')}/run=stream-{batch_id}"
+        rows.write.mode("overwrite").partitionBy("source").parquet(folder)
+        kept = spark.read.schema(schemas.LANDING_CALENDAR).parquet(folder).select(*schemas.LANDING_CALENDAR.names)
         calendar_plan.collect_once(kept, store, "stream", clock())
 
     source = file_stream(spark, landing, schemas.LANDING_CALENDAR, max_files)

@@ -17,7 +17,7 @@ from test_jobs import ISTAT, ISTAT_2, NOW, item, landing
 from gazette import schemas
 from gazette.operators import attempts, enrich as op, pages, rollup, search, templates, trigrams, upsert
 from gazette.plans import enrich, ingest
-from gazette.plans.logs import close_logs
+from gazette.plans.logs import close_logs, maintain
 from gazette.schemas import MONTH
 from gazette.sources import files
 from gazette.sources.config import load_feeds, local_frame
@@ -136,6 +136,15 @@ def test_close_logs(spark, store):
     assert store.status_log().count() == 1
 
 
+def test_maintain_changes_no_answer(spark, store):
+    for number in (1, 2, 3):
+        ingest.ingest(landing(spark, (ISTAT, feeds.rss(item(number), item(number + 1))), batch=number), load_feeds(spark), store, f"r{number}", NOW + dt.timedelta(hours=number))
+        enrich.enrich(store, local_frame(spark, [], schemas.LANDING_PAGE), op.keyword_tagger, f"e{number}", NOW, limit=1)
+        maintain(store, NOW)
+    assert store.press_releases().count() == 4 and store.processed().count() == 3 and store.status_log().count() == 3
+    assert ingest.ingest(landing(spark, (ISTAT, feeds.rss(item(2), item(4))), batch=9), load_feeds(spark), store, "r9", NOW).first().inserted == 0
+
+
 def tries(spark, *rows):
     return local_frame(spark, [("u", provider, "m", NOW + dt.timedelta(minutes=at), error) for provider, at, error in rows], schemas.TRIES)
 
