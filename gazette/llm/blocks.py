@@ -75,36 +75,46 @@ def blocks(docs: DataFrame, split: Callable[[], Callable[[str], list]], word_typ
     return rows.mapInArrow(run, f"block bigint, keys array<{rows.schema['key'].dataType.simpleString()}>, counts binary, places binary, words array<{word_type}>")
 
 
-def text_blocks(docs: DataFrame, key: str = "doc_id", text: str = "text", block_bytes: int = 8 << 20) -> DataFrame:
+def text_blocks(docs: DataFrame, key: str = "doc_id", text: str = "text", block_bytes: int = 8 << 20, rest: bool = False) -> DataFrame:
     """Neighbouring documents of a task as they are: keys, digests and sizes of their texts in UTF-8 (null: empty), and the texts, compressed.
 
-    A document is found again by its block and its number in it.
+    A document is found again by its block and its number in it. With ``rest`` the block has the documents' other columns, and ``nulls``,
+    the numbers of null texts.
     """
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    others = [F.col(f"`{name}`") for name in docs.columns if name != text] if rest else []
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.struct(*others).alias("rest") if others else F.lit(0).alias("rest"))
+    kinds = {name: rows.schema[name].dataType.simpleString() for name in ("key", "rest")}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compressor, first, made = zstandard.ZstdCompressor(level=3), TaskContext.get().partitionId() << BLOCK_BITS, 0
 
         def block() -> pa.RecordBatch:
-            values = [first + made, keys, [xxhash.xxh3_128_digest(one) for one in texts], [len(one) for one in texts], compressor.compress(b"".join(texts))]
-            kinds = [pa.int64(), pa.list_(arrow), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds, strict=True)], ["block", "keys", "digests", "sizes", "body"])
-
-        keys, texts, size, arrow = [], [], 0, None
+            held = pa.concat_arrays(slices)
+            columns = [
+                pa.array([first + made]), pa.ListArray.from_arrays(pa.array([0, len(held)], pa.int32()), held),
+                pa.array([[xxhash.xxh3_128_digest(one) for one in texts]], pa.list_(pa.binary())), pa.array([[len(one) for one in texts]], pa.list_(pa.int32())),
+                pa.array([nulls], pa.list_(pa.int32())), pa.array([compressor.compress(b"".join(texts))], pa.binary()),
+            ]
+            return pa.RecordBatch.from_arrays(columns, ["block", "rest" if rest else "keys", "digests", "sizes", "nulls", "body"])
+
+        slices, texts, nulls, size = [], [], [], 0
         for batch in batches:
-            arrow = batch.schema.field(0).type
-            for one, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            own = batch.column("rest" if rest else "key")
+            for n, body in enumerate(batch.column("text")):
                 data = (body.as_py() or "").encode()
-                if keys and size + len(data) > block_bytes:
+                if texts and size + len(data) > block_bytes:
                     yield block()
-                    made, keys, texts, size = made + 1, [], [], 0
-                keys.append(one)
+                    made, slices, texts, nulls, size = made + 1, [], [], [], 0
+                if not body.is_valid:
+                    nulls.append(len(texts))
+                slices.append(own.slice(n, 1))
                 texts.append(data)
                 size += len(data)
-        if keys:
+        if texts:
             yield block()
 
-    return rows.mapInArrow(run, f"block bigint, keys array<{rows.schema['key'].dataType.simpleString()}>, digests array<binary>, sizes array<int>, body binary")
+    held = f"rest array<{kinds['rest']}>" if rest else f"keys array<{kinds['key']}>"
+    return rows.mapInArrow(run, f"block bigint, {held}, digests array<binary>, sizes array<int>, nulls array<int>, body binary")
 
 
 def texts_of(body: bytes, sizes: list[int]) -> list[bytes]:

@@ -172,14 +172,14 @@ ORACLES: dict[str, str] = {
     "op7_line_dedup": r"""
         WITH p AS (
             SELECT doc_id, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS place
-            FROM (SELECT doc_id, regexp_extract_all(text, '[^\n]*?(?:[.!?…]["''”’»)\]]?[ \t]+|[。！？｡]|\n|\z)') AS pieces FROM documents WHERE text IS NOT NULL)
+            FROM (SELECT doc_id, regexp_extract_all(text, '[^\n]*?(?:[.!?…,;:]["''”’»)\]]?[ \t]+|[。！？｡，；]|\n|\z)') AS pieces FROM documents WHERE text IS NOT NULL)
         ), u AS (
             SELECT *, trim(regexp_replace(lower(piece), '[^\p{L}\p{M}\p{N}]+', ' ', 'g')) AS unit,
                 coalesce(sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
             FROM p
         ), r AS (
             SELECT *, start + length(piece) AS stop, row_number() OVER (PARTITION BY doc_id ORDER BY place) AS number,
-                row_number() OVER (PARTITION BY unit ORDER BY doc_id, place) > 1 AS again,
+                min(doc_id) OVER (PARTITION BY unit) < doc_id AS again,
                 len(string_split(unit, ' ')) + length(regexp_replace(unit, '[^\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]+', '', 'g')) // 2 AS words
             FROM u WHERE unit <> ''
         ), s AS (

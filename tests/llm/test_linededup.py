@@ -14,10 +14,10 @@ from gazette.sources.config import local_frame
 SCHEMA = struct("doc_id bigint, text string, rank int, doc_key string, places string, cut_starts int, row int")
 
 
-def plain(rows, unit="sentence", min_words=linededup.MIN_WORDS):
+def plain(rows, unit="clause", min_words=linededup.MIN_WORDS, inside=False):
     """Cut texts with the offsets of the cuts; ids are distinct."""
-    pattern, seen, out = regex.compile(linededup.UNITS[unit].replace(r"\z", r"\Z")), set(), {}
-    unspaced = regex.compile("[" + "".join(rf"\p{{{name}}}" for name in linededup.UNSPACED) + "]")
+    pattern, owner, out = regex.compile(rf"[^\n]*?(?:{linededup.ENDS[unit]}|\Z)"), {}, {}
+    unspaced = linededup.UNSPACED
     for one, text in sorted(rows, key=lambda row: (row[0] is not None, row[0])):
         if text is None:
             out[one] = (None, [], [])
@@ -28,14 +28,14 @@ def plain(rows, unit="sentence", min_words=linededup.MIN_WORDS):
             if not body:
                 continue
             words = len(body.split(" ")) + len(unspaced.findall(body)) // 2
-            if body in seen:
+            if body in owner and (inside or owner[body] != one):
                 if stretch is None:
                     stretch = [found.start(), 0, 0]
                     stretches.append(stretch)
                 stretch[1], stretch[2] = found.end(), stretch[2] + words
             else:
                 stretch = None
-            seen.add(body)
+            owner.setdefault(body, one)
         spans = [(a, b) for a, b, words in stretches if words >= min_words]
         kept = "".join(c for i, c in enumerate(text) if not any(a <= i < b for a, b in spans))
         out[one] = (kept, [a for a, _ in spans], [b - a for a, b in spans])
@@ -56,10 +56,10 @@ def rows():
 
 def test_stretches(spark):
     frame = local_frame(spark, [(*row, 1, "k", "p", 7, 2) for row in rows()], SCHEMA)
-    for unit, least in (("sentence", 25), ("line", 5), ("sentence", 1), ("line", 40)):
-        out = linededup.without_repeats(frame, unit=unit, min_words=least)
+    for unit, least, inside in (("clause", 25, False), ("line", 5, True), ("sentence", 1, True), ("line", 40, False), ("clause", 3, True)):
+        out = linededup.without_repeats(frame, unit=unit, min_words=least, inside=inside, block_bytes=500 if inside else 8 << 20)
         assert out.columns == ["doc_id", "text", "rank", "doc_key", "places", "row", "cut_starts", "cut_lengths"]
-        assert {row.doc_id: (row.text, row.cut_starts, row.cut_lengths) for row in out.collect()} == plain(rows(), unit, least), (unit, least)
+        assert {row.doc_id: (row.text, row.cut_starts, row.cut_lengths) for row in out.collect()} == plain(rows(), unit, least, inside), (unit, least)
     cut = plain(rows())
     assert cut[5][0] == "Own words at the start. And own ones at the end." and cut[8][0] == "Own. end" and cut[10][1] == [] and cut[None][1] == []
 
@@ -67,9 +67,9 @@ def test_stretches(spark):
 def test_shared_ids_and_repeated_rows(spark):
     long = "one two three four five six seven eight nine ten " * 3
     frame = local_frame(spark, [(one, text, 1, "", "", 1, 1) for one, text in [(7, long + "a"), (7, long + "a"), (7, "b\n" + long + "a"), (8, long + "a")]], SCHEMA)
-    out = linededup.without_repeats(frame).collect()
-    assert sorted(len(row.cut_starts) for row in out if row.doc_id == 7) in ([0, 0, 1], [0, 1, 1])
-    assert [row.text for row in out if row.doc_id == 8] == [""]
+    for block_bytes in (100, 8 << 20):
+        out = linededup.without_repeats(frame, block_bytes=block_bytes).collect()
+        assert sorted(len(row.cut_starts) for row in out if row.doc_id == 7) == [0, 0, 0] and [row.text for row in out if row.doc_id == 8] == [""]
     assert linededup.without_repeats(frame.where("false")).collect() == []
 
 
