@@ -37,6 +37,7 @@ from gazette.llm.common import bucketed, partitions, stage
 GRAM = 16
 SLICE = 1 << 20
 CHUNK = 8192
+SALTS = 32
 OUTPUT_BYTES = 4 << 20
 LOW = np.uint64((1 << 40) - 1)
 STIR = np.uint64(0x9E3779B97F4A7C15)
@@ -63,8 +64,11 @@ def ranks() -> Column:
 def copies(dealt: DataFrame) -> DataFrame:
     """Numbers, by block, of the documents whose text a document of a smaller rank has."""
     each = dealt.select("block", F.posexplode(F.arrays_zip(ranks().alias("ranks"), "digests")).alias("number", "one")).select("block", "number", "one.ranks", "one.digests")
-    least = each.groupBy("digests").agg(F.min("ranks").alias("least"))
-    return each.join(least, "digests").where("ranks > least").groupBy("block").agg(F.collect_list("number").alias("copies"))
+    least = each.groupBy("digests").agg(F.min("ranks").alias("least"), F.max("ranks").alias("most")).where("most > least").select("digests", "least")
+    # The texts of large groups are dealt over several tasks.
+    least = least.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    each = each.withColumn("salt", F.pmod(F.xxhash64("block", "number"), F.lit(SALTS)).cast("int"))
+    return each.join(least, ["digests", "salt"]).where("ranks > least").groupBy("block").agg(F.collect_list("number").alias("copies"))
 
 
 class Texts:
