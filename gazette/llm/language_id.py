@@ -40,12 +40,15 @@ def normalised(text: Column) -> Column:
 
 
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", sample_docs: int = 800, excerpt_chars: int = 512, dict_bytes: int = 131072) -> LanguageModel:
-    """Learn from a bounded sample: of each language the ``sample_docs`` different texts with the smallest hash, an excerpt of
-    ``excerpt_chars`` from a hashed place of each, ``dict_bytes`` in all. Copies count once, and the rank is cut in every map
-    task before the shuffle.
+    """Learn from a bounded sample: of each language ``sample_docs`` different texts, chosen by hash, an excerpt of
+    ``excerpt_chars`` from a hashed place of each, ``dict_bytes`` in all. Copies count once.
     """
     rows = labelled.select(F.col(text).alias("body"), F.col(lang).alias("lang")).where("lang IS NOT NULL AND body IS NOT NULL").withColumn("h", F.xxhash64("body"))
-    hashes = rows.groupBy("lang", "h").agg(F.count("*").alias("copies"))
+    hashes = stage(rows.select("lang", "h").distinct(), "language-hashes")
+    # Twice the share that the sample needs passes a threshold before the rest is ranked: no task ranks a language's hashes.
+    counts = hashes.groupBy("lang").agg(F.count("*").alias("texts"))
+    low = F.pmod(F.col("h"), F.lit(1 << 32)) < F.lit(2.0 * sample_docs * (1 << 32)) / F.col("texts")
+    hashes = hashes.join(counts, "lang").where((F.col("texts") <= 4 * sample_docs) | low)
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
     chosen = stage(hashes.select("lang", "h").withColumn("nth", nth).where(F.col("nth") <= sample_docs), "language-sample")
     chosen = small(chosen, chosen.count(), MAX_BROADCAST_ROWS)
@@ -91,5 +94,6 @@ def identify(docs: DataFrame, model: LanguageModel, key: str = "doc_id", text: s
         for batch in batches:
             yield pd.DataFrame([judge(one) for one in batch], columns=["lang", "score", "margin", "rejected"])
 
-    found = docs.select(F.col(key).alias("doc_id"), predict(normalised(F.col(text))).alias("found"))
+    letters = F.when(F.col(text).rlike(r"\p{L}"), normalised(F.col(text)))
+    found = docs.select(F.col(key).alias("doc_id"), predict(letters).alias("found"))
     return found.select("doc_id", F.col("found.lang").alias("lang_pred"), "found.score", "found.margin", "found.rejected")

@@ -22,9 +22,7 @@ from pyspark.sql import functions as F
 
 UPPER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 DIGITS = b"0123456789"
-MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-PLAIN = b".,;:'\"-?()"
-FEATURES = 11
+FEATURES = 8
 
 
 def statistics(text: str | None, compressor: zstandard.ZstdCompressor) -> list[float]:
@@ -32,19 +30,15 @@ def statistics(text: str | None, compressor: zstandard.ZstdCompressor) -> list[f
     data = (text or "").encode()
     words = data.split()
     size, count = max(len(data), 1), max(len(words), 1)
-    marks = size - len(data.translate(None, MARKS)) if data else 0
     return [
         float(np.log1p(len(words))),
         (sum(map(eq, words, words[1:])) / count) ** 0.5,
         ((len(data) - len(data.translate(None, UPPER))) / size) ** 0.5,
-        (marks / size) ** 0.5,
-        ((marks - (len(data) - len(data.translate(None, PLAIN)))) / size) ** 0.5,
         (len(data) - len(data.translate(None, DIGITS))) / size,
         min(len(data) / count, 50.0) / 10,
         len(set(words)) / count,
         min(len(compressor.compress(data)) / size, 2.0),
         data.count(b".") / count,
-        (sum(map(data.count, (b" | ", b"!! ", b"|\n"))) / count) ** 0.5,
     ]
 
 
@@ -116,15 +110,22 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: int
     return QualityModel(prior, mean, scale, tuple(layers))
 
 
+def below(rows: DataFrame, limit: int) -> DataFrame:
+    """About ``limit`` rows and a half more, by a threshold on the key's hash that follows from their number; all if they are few."""
+    count = rows.count()
+    share = min(1.5 * limit / max(count, 1), 1.0)
+    return rows if count <= 2 * limit else rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 32)) < int(share * (1 << 32)))
+
+
 def sampled(rows: DataFrame, limit: int) -> np.ndarray:
-    """Features of the ``limit`` rows with the smallest key hash."""
-    chosen = rows.select(F.xxhash64("id").alias("h"), "id", "body").orderBy("h", "id").limit(limit)
-    found = chosen.select(text_features("body").alias("x")).toPandas()["x"]
+    """Features of at most ``limit`` rows; they are computed where the rows lie, and no text moves."""
+    each = below(rows, limit).select(F.pmod(F.xxhash64("id"), F.lit(1 << 32)).alias("h"), "id", text_features("body").alias("x"))
+    found = each.orderBy("h", "id").limit(limit).toPandas()["x"]
     return np.stack(found) if len(found) else np.zeros((0, FEATURES))
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample_rows: int = 6000) -> QualityModel:
-    """Fit on bounded samples: ``sample_rows`` positives and ``sample_rows`` documents at most, by smallest key hash.
+    """Fit on bounded samples: ``sample_rows`` positives and ``sample_rows`` documents at most, chosen by the key's hash.
 
     ``labels`` holds only rows that may be learned from; the prior is their share of class 1 with one row added to each class.
     """
@@ -132,7 +133,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     marks = labels.select(F.col(key).alias("id"), F.col(label).alias("mark")).where("id IS NOT NULL AND mark IS NOT NULL")
     counts = marks.agg(F.count_if(F.col("mark") == 1).alias("good"), F.count("*").alias("rows")).first()
     trusted = marks.where("mark = 1").select("id").distinct()
-    chosen = trusted.orderBy(F.xxhash64("id"), "id").limit(sample_rows)
+    chosen = below(trusted, sample_rows).orderBy(F.xxhash64("id"), "id").limit(sample_rows)
     positives = bodies.join(F.broadcast(chosen), "id", "left_semi")  # of sample_rows rows at most
     return fit(sampled(positives, sample_rows), sampled(bodies, sample_rows), (counts.good + 1) / (counts.rows + 2))
 
@@ -143,7 +144,7 @@ def score(docs: DataFrame, model: QualityModel, key: str = "doc_id", text: str =
 
 
 def scored(docs: DataFrame, model: QualityModel, text: str = "text") -> DataFrame:
-    """All columns of the input, with ``score`` and ``predicted``."""
+    """All columns of the input, with ``score`` and ``predicted``; input columns of these names give way to them."""
 
     @F.pandas_udf("double")
     def scorer(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -5,8 +5,9 @@ coarse values (value less the block's minimum, lowest bits dropped) as bitmaps o
 with carry-save bitmap arithmetic into the slices of one weighted sum; a walk from the most significant slice downward
 finds the k-th largest sum; rows whose sum may still reach it are compared exactly. Queries meet blocks in chunks.
 
-Defined cases: a vector that is null, or that holds a null, a non-finite component or one of size 2**15 or more (its score
-could leave 64 bits), takes no part; vectors of another length than the query's are no candidates; rows with the same id
+Defined cases: a vector that is null, or that holds a null or a non-finite component, takes no part; scores that could leave 64
+bits are computed in whole numbers of any size, and a result beyond 64 bits is an error, as is a component of size 2**60 after
+scaling; vectors of another length than the query's are no candidates; rows with the same id
 count once, with the smallest vector; a null id takes no part; equal scores go to the smaller id; fewer candidates than k
 are all returned; no rows give no rows.
 """
@@ -20,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-LIMIT = 2.0**15
+LIMIT = 2.0**60
 PAYLOAD = "dim int, part int, ids binary, vectors binary"
 
 
@@ -28,11 +29,14 @@ def quantised(vectors: DataFrame, key: str, vector: str, scale: int) -> DataFram
     """Id, length and whole-number components of the vectors that take part."""
 
     def usable(x: Column) -> Column:
-        return x.isNotNull() & ~F.isnan(x) & (F.abs(x) < LIMIT)
+        return x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+
+    def quantise(x: Column) -> Column:
+        return F.when(F.abs(x * scale) < LIMIT, F.floor(x * scale)).otherwise(F.raise_error(F.lit("a component is too large for the index")))
 
     rows = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("x"))
     rows = rows.where(F.col("vec_id").isNotNull() & F.col("x").isNotNull() & F.forall("x", usable))
-    whole = F.transform("x", lambda x: F.floor(x * scale).cast("int"))
+    whole = F.transform("x", quantise)
     return rows.select("vec_id", whole.alias("x")).groupBy("vec_id").agg(F.min("x").alias("x")).withColumn("dim", F.size("x"))
 
 
@@ -41,7 +45,9 @@ def packed(rows: DataFrame, parts: int) -> DataFrame:
 
     def pack(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("vec_id")
-        values = np.array(group["x"].tolist(), np.int32).tobytes()
+        values = np.array(group["x"].tolist(), np.int64)
+        narrow = values.size == 0 or max(-int(values.min()), int(values.max())) < 1 << 31
+        values = values.astype(np.int32 if narrow else np.int64).tobytes()
         return pd.DataFrame([(group["dim"].iloc[0], group["part"].iloc[0], group["vec_id"].to_numpy(np.int64).tobytes(), values)], columns=["dim", "part", "ids", "vectors"])
 
     dealt = rows.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int"))
@@ -108,7 +114,7 @@ class Block:
                 equal, kth = met, kth | 1 << at
             else:
                 above, equal = above + n, equal & ~total[at]
-        spread = int(np.abs(query).sum()) * ((1 << self.drop) - 1)
+        spread = sum(map(abs, query.tolist())) * ((1 << self.drop) - 1)
         least = kth - (spread >> self.drop) - 1
         over, equal = np.zeros_like(self.all), self.all
         for at in range(len(total) - 1, -1, -1):
@@ -121,14 +127,22 @@ class Block:
     def best(self, query_id: int, query: np.ndarray, k: int) -> list[tuple[int, int, int]]:
         rows = self.reaching(query, k + 1)
         rows = rows[self.ids[rows] != query_id]
-        scores = self.vectors[rows] @ query
-        first = np.lexsort((self.ids[rows], -scores))[:k]
+        vectors = self.vectors[rows]
+        if int(np.abs(vectors).max(initial=0)) * int(np.abs(query).max(initial=0)) * max(len(query), 1) < 1 << 62:
+            scores = vectors @ query
+            first = np.lexsort((self.ids[rows], -scores))[:k].tolist()
+        else:
+            scores = vectors.astype(object) @ query.astype(object)
+            first = sorted(range(len(rows)), key=lambda i: (-scores[i], self.ids[rows[i]]))[:k]
+            if any(not -(2**63) <= scores[i] < 2**63 for i in first):
+                raise OverflowError(f"a score of vector {query_id} is beyond 64 bits")
         return [(query_id, int(self.ids[rows[i]]), int(scores[i])) for i in first]
 
 
 def matrix(ids: bytes, vectors: bytes, dim: int) -> tuple[np.ndarray, np.ndarray]:
     found = np.frombuffer(ids, np.int64)
-    return found, np.frombuffer(vectors, np.int32).reshape(len(found), dim).astype(np.int64)
+    kind = np.int64 if len(vectors) == 8 * len(found) * dim else np.int32
+    return found, np.frombuffer(vectors, kind).reshape(len(found), dim).astype(np.int64)
 
 
 def top_k(vectors: DataFrame, query_of: Column, k: int = 5, key: str = "vec_id", vector: str = "embedding", scale: int = 256, block_rows: int = 16384, chunk_rows: int = 512, drop_bits: int = 3) -> DataFrame:

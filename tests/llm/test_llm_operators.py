@@ -236,6 +236,25 @@ def test_top_k(spark):
     assert topk.top_k(frame.where("false"), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_top_k_keeps_every_finite_vector(spark):
+    """Components of every size, ties, fewer candidates than k, columns with clashing names."""
+    random.seed(6)
+    vectors = {0: [40000.0, 1.0], 50: [1.0, 2.0], 51: [2.0, 2.0], 52: [33000.0, 0.0], 53: [2.0, 2.0], 100: [-4e6, 3.5], 101: [4e6, -2e6], 102: [0.0, -0.001], 150: [7.0]}
+    vectors |= {i: [random.uniform(-10**random.randint(0, 6), 10**random.randint(0, 6)) for _ in range(2)] for i in range(200, 260)}
+    frame = spark.createDataFrame([(i, v, 1, "x", 2) for i, v in vectors.items()], "vec_id bigint, embedding array<double>, dim int, part string, score int")
+    whole = {i: [math.floor(256 * x) for x in v] for i, v in vectors.items()}
+    expected = set()
+    for q in whole:
+        if q % 50 == 0:
+            best = sorted((-sum(a * b for a, b in zip(whole[q], whole[v])), v) for v in whole if v != q and len(whole[v]) == len(whole[q]))[:5]
+            expected |= {(q, rank, v, -score) for rank, (score, v) in enumerate(best, 1)}
+    for block_rows in (8, 4096):
+        assert {tuple(row) for row in topk.top_k(frame, F.col("vec_id") % 50 == 0, block_rows=block_rows).collect()} == expected
+    huge = spark.createDataFrame([(0, [1e15, 1e15]), (1, [1e15, 1e15])], "vec_id bigint, embedding array<double>")
+    with pytest.raises(Exception, match="beyond 64 bits"):
+        topk.top_k(huge, F.col("vec_id") == 0).collect()
+
+
 def test_warc_round_trip(spark):
     pages = spark.createDataFrame([(1, "http://a/ b", "é"), (2, None, "é"), (3, "u", None), (4, "v", "")], "page_id bigint, url string, html string")
     archive = warc.write(pages)
@@ -243,6 +262,12 @@ def test_warc_round_trip(spark):
     assert [(found[i].record_type, found[i].refers_to, found[i].payload_bytes) for i in (1, 2, 3, 4)] == [("revisit", 2, 2), ("response", None, 2), ("revisit", 4, 0), ("response", None, 0)]
     assert {row.key: bytes(row.payload) for row in warc.records(archive).collect()} == {1: "é".encode(), 2: "é".encode(), 3: b"", 4: b""}
     assert warc.catalogue(warc.write(pages.where("false"))).count() == 0
+    damaged = warc.Archive(archive.headers, archive.payloads.withColumn("payload", F.concat("payload", F.lit(b"!"))))
+    with pytest.raises(Exception, match="damaged payload"):
+        warc.catalogue(damaged).collect()
+    shorter = warc.Archive(archive.headers.withColumn("header", F.encode(F.replace(F.decode("header", "UTF-8"), F.lit("Content-Length: 2"), F.lit("Content-Length: 3")), "UTF-8")), archive.payloads)
+    with pytest.raises(Exception, match="header and record differ"):
+        warc.catalogue(shorter).collect()
 
 
 def test_language_and_quality(spark, docs):
@@ -250,6 +275,12 @@ def test_language_and_quality(spark, docs):
     labelled = spark.createDataFrame([(f"{english} {i}", "en") for i in range(20)] + [(f"{german} {i}", "de") for i in range(20)], "text string, lang string")
     found = {row.doc_id: row for row in language_id.identify(spark.createDataFrame([(1, english), (2, german), (3, None), (4, "123 !")], "doc_id bigint, text string"), language_id.train(labelled)).collect()}
     assert [found[i].lang_pred for i in (1, 2, 3, 4)] == ["en", "de", "und", "und"]
+    odd = spark.createDataFrame([(1, "\u0301\u0301"), (2, ""), (3, f"{english} " * 4000), (3, english)], "doc_id bigint, text string")
+    model = language_id.train(labelled)
+    assert sorted((row.doc_id, row.lang_pred) for row in language_id.identify(odd, model).collect()) == [(1, "und"), (2, "und"), (3, "en"), (3, "en")]
+    assert language_id.identify(odd, language_id.train(labelled.where("false"))).where("lang_pred <> 'und' OR score <> 0").count() == 0
+    assert {(row.lang_pred, row.score) for row in language_id.identify(odd.where("doc_id = 3"), language_id.train(labelled.where("lang = 'de'"))).collect()} == {("de", 1.0)}
+    assert language_id.identify(odd.where("false"), model).count() == 0
     good, bad = "A plain sentence with several different words about number {}.", "BUY!! BUY!! {} | NOW!! | $$ 000 {} !!"
     rows = [(i, (good if i % 2 else bad).format(i, i)) for i in range(200)]
     frame = spark.createDataFrame(rows, "doc_id bigint, text string")
