@@ -5,7 +5,6 @@ from __future__ import annotations
 import datetime as dt
 import tomllib
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gazette import schemas
@@ -367,7 +366,8 @@ AGENCY_SQL = ", ".join(f"('{slug}', '{name.replace(chr(39), chr(39) * 2)}')" for
 def publisher_list(spark, sf_dir):
     """The configured publishers with the number of documents that come from their feeds."""
     feeds = config.load_feeds(spark)
-    numbered = feeds.select("publisher", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("agency_ord", "feed_ord")) - 1).alias("feed"))
+    rows = feeds.orderBy("agency_ord", "feed_ord").collect()
+    numbered = config.local_frame(spark, [(row.publisher, feed) for feed, row in enumerate(rows)], schemas.struct("publisher string, feed int"))
     counts = table(spark, sf_dir, "documents").select((F.expr("CAST(substr(source, 4) AS INT)") % 12).alias("feed")).groupBy("feed").agg(F.count("*").alias("n"))
     found = numbered.join(counts, "feed").groupBy(F.col("publisher").alias("slug")).agg(F.sum("n").alias("n"))
     return config.publishers(feeds).join(found, "slug", "left").select("slug", "name", F.coalesce("n", F.lit(0)).alias("documents"))
