@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gazette.llm.common import bucketed
+from gazette.llm.common import bucketed, stage
 from gazette.llm.ranks import piece_bytes, text_ids
 
 #: Bits of numbers inside a task: its documents (40) and its pieces (24).
@@ -250,7 +250,7 @@ def aligned(docs: DataFrame, path_a: str, path_b: str, key: str = "doc_id", text
     ``groups`` is written ``a1,a2|b1;a3|b2,b3`` with decimal ids.
     """
     cut = bucketed(pieces(docs, path_a, path_b, key, text, steps), "align-pieces", "piece")
-    links = distinct_links(cut, path_a, path_b)
+    links = stage(distinct_links(cut, path_a, path_b), "align-links")
     rated = links.select("pair", "piece", "slot").join(pair_counts(links), "pair")
     found = rated.groupBy("piece").agg(F.collect_list(F.struct("slot", "links", "best")).alias("found"))
     kind = docs.schema[key].dataType.simpleString()
