@@ -43,6 +43,8 @@ END = np.uint64(0xC3A5C85C97CB3127)
 STIR = np.uint64(0x9E3779B97F4A7C15)
 #: Counts of a history in a bucket, at least, before its n-grams are dealt over more.
 HOT_COUNT = 1 << 14
+#: Buckets of packets for each partition of a shuffle: a bucket is one group in memory.
+BUCKETS = 2
 UNKNOWN, BEGIN = -1, 0
 RESULT = "key {kind}, n_tokens bigint, n_known bigint, base_score double, score double"
 
@@ -364,7 +366,7 @@ def freed(total: Column, kept: Column) -> Column:
 
 def trained(dealt: DataFrame, order: int) -> tuple[Model, DataFrame]:
     """The model, and the blocks with the answers to all they asked."""
-    buckets, model = partitions(dealt.sparkSession), Model(order)
+    buckets, model = BUCKETS * partitions(dealt.sparkSession), Model(order)
 
     def send_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -437,11 +439,11 @@ def with_order(whole: DataFrame, model: Model, n: int, buckets: int) -> DataFram
     return answered.join(stage(by_block(back, f"back{n}", "totals", "weights"), "katz-back"), "block", "left")
 
 
-def score(docs: DataFrame, learn: Column, order: int = 2, key: str = "doc_id", text: str = "text", block_bytes: int = 8 << 20) -> tuple[DataFrame, Model]:
+def score(docs: DataFrame, learn: Column, order: int = 2, key: str = "doc_id", text: str = "text", block_bytes: int = 4 << 20) -> tuple[DataFrame, Model]:
     """Score all documents by a model of those where ``learn`` holds: key, n_tokens, n_known, base_score, score; and the model."""
     rows = docs.select(F.struct(F.col(key).alias("key"), F.coalesce(learn, F.lit(False)).alias("learn")).alias("key"), F.col(text).alias("text"))
     dealt = bucketed(blocks(rows, word_splitter, "bigint", word_hashes, "key", "text", block_bytes), "katz-blocks", "block")
-    buckets = partitions(dealt.sparkSession)
+    buckets = BUCKETS * partitions(dealt.sparkSession)
     model, whole = trained(dealt, order)
     scalars, kind = model.scalars(), docs.schema[key].dataType.simpleString()
 
