@@ -231,6 +231,17 @@ def page_main_text(spark, sf_dir):
     return htmltext.with_main_text(pages, "html", "main_text").select("page_id", "main_text")
 
 
+NESTED_HTML = f"""concat('<html><head><title>t</title></head><body><nav>a<nav>b</nav>c</nav><article><table><tr><td>x<table><tr><td>y</td></tr></table>z</td></tr></table><p>',
+    {ESCAPED}, '<div class="ad">ad<div>inner</div>more</div><p>unclosed ', doc_id, '<aside>s<aside>t</aside>u</aside></article><footer>f')"""
+
+
+@query(r"""SELECT doc_id, trim(regexp_replace(split_part(text, chr(10), 1) || ' unclosed ' || doc_id, '\s+', ' ', 'g')) AS main_text FROM documents""")
+def nested_page_text(spark, sf_dir):
+    """Pages with tables, menus and adverts inside each other, and elements that nothing closes."""
+    lines = dealt(table(spark, sf_dir, "documents")).selectExpr("doc_id", r"split_part(text, '\n', 1) AS line")
+    return htmltext.with_main_text(lines.selectExpr("doc_id", f"{NESTED_HTML} AS html"), "html", "main_text").select("doc_id", "main_text")
+
+
 @query(rf"""SELECT page_id, trim(regexp_replace({_entities("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")}, '\s+', ' ', 'g')) AS title,
     lower(regexp_extract(html, '<html[^>]*lang="([a-z-]+)"', 1)) AS language, regexp_extract(url, '://([^/?#:]+)', 1) AS host FROM pages""")
 def page_title_lang_host(spark, sf_dir):

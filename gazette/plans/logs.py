@@ -9,6 +9,7 @@ from gazette.operators.attempts import RetryPolicy
 from gazette.operators.dedup import first_writer
 from gazette.operators.upsert import compact
 from gazette.plans.enrich import close_attempts
+from gazette.sources import files
 from gazette.sources.tables import Store
 
 
@@ -31,13 +32,16 @@ def close_logs(store: Store) -> dict[str, int | None]:
 
 
 def maintain(store: Store, run_ts: dt.datetime, policy: RetryPolicy = RetryPolicy()) -> None:
-    """What keeps the folders of a store few: generations of all logs, the ledger of attempts, old runs removed, indexes merged.
+    """What keeps the folders of a store few: generations of all logs, the ledger of attempts, old runs and staged steps removed, indexes merged.
 
-    To be run now and then, such as once a day, while no job writes.
+    To be run now and then, such as once a day, while no job writes. Staged answers of models stay, as a run that broke off reads them.
     """
     close_logs(store)
     close_attempts(store, run_ts, policy)
     for log in (store.nso(), store.ff(), store.statuses(), store.retries(), store.attempts()):
         log.vacuum()
+    for name in files.children(store.spark, store.path("stage")):
+        if name != "attempts":
+            files.remove(store.spark, f"{store.path('stage')}/{name}")
     for index in (store.release_keys(), store.processed_keys(), store.bodies()):
         index.compact()
