@@ -7,7 +7,7 @@ whose members are not yet in one component those with few pairs across component
 ``fanout`` further tokens. Independent trees repeat this, so that a pair at the
 threshold misses all its meetings with probability (1 - s)**trees, s >= 1 - (1 - threshold * s)**fanout.
 
-Candidates pass bounds that no pair at the threshold fails, the dearer ones later: sizes and 120 bucket counts modulo 16 as
+Candidates pass bounds that no pair at the threshold fails, the dearer ones later: sizes and 512 parities of bucket counts as
 members meet, then the bucket counts themselves, a bucket for about two shingles, folded to the smaller set's width. Pairs inside one
 component are dropped, one pair of each class is confirmed before the others, and full sets, which decide, are made
 for what is left alone. Nothing but the trees can miss a link.
@@ -39,8 +39,6 @@ from gazette.llm.components import components
 from gazette.operators.dedup import first_writer
 
 TOKENS = 64
-#: Fifteen counters of four bits in a long: numbers of shingles by bucket, modulo 16.
-CELLS = 15
 SKETCH = [f"x{i}" for i in range(8)]
 SIGNATURE = "block bigint, number int, doc_id bigint, text_key binary, n_shingles bigint, set_key binary, tokens binary, counts binary, " + ", ".join(f"{name} bigint" for name in SKETCH)
 MAX_WORDS_KEPT = 400_000
@@ -82,16 +80,16 @@ def shingle_set(text: bytes, k: int, hashes: WordHashes) -> np.ndarray:
 
 
 def signature(shingles: np.ndarray) -> tuple[bytes, list[int]]:
-    """Minwise tokens, and the sketch: counts of shingles by hash bucket, modulo 16."""
+    """Minwise tokens, and the sketch: parities of the counts of shingles by hash bucket."""
     if not len(shingles):
         return b"", [0] * len(SKETCH)
     least = np.empty(TOKENS, np.uint64)
     for at in range(0, TOKENS, 16):
         least[at:at + 16] = (shingles * FACTORS[at:at + 16, None] + OFFSETS[at:at + 16, None]).min(axis=1)
     least = stirred(least)
-    cells = CELLS * len(SKETCH)
-    counts = np.bincount((shingles >> np.uint64(40)).astype(np.int64) % cells, minlength=cells) & 15
-    sketch = (counts.reshape(len(SKETCH), CELLS) << (4 * np.arange(CELLS))).sum(1)
+    cells = 64 * len(SKETCH)
+    buckets = np.bincount((shingles >> np.uint64(40)).astype(np.int64) % cells, minlength=cells)
+    sketch = np.packbits((buckets & 1).astype(np.uint8), bitorder="little").view(np.int64)
     return (least >> np.uint64(32)).astype(np.uint32).tobytes(), sketch.tolist()
 
 
@@ -142,25 +140,13 @@ def side(rows: DataFrame, name: str, *more: str | Column, of: str = "") -> DataF
     return rows.select(*more, F.col(f"{of}class").alias(name), *[F.col(f"{of}{c}").alias(f"{c}_{name}") for c in FIELDS[1:]])
 
 
-def cells_apart(x: Column, y: Column) -> Column:
-    """Sum over the counters of two longs of how far they are apart, round the circle of 16."""
-    high, low = F.lit(0x888888888888888), F.lit(0x777777777777777)
-    apart = (x.bitwiseOR(high) - y.bitwiseAND(low)).bitwiseXOR(x.bitwiseXOR(F.bitwise_not(y)).bitwiseAND(high))
-    over = apart.bitwiseAND(high)
-    ones = F.shiftrightunsigned(over, 3)
-    near = apart.bitwiseXOR((over - ones).bitwiseOR(over)) + ones
-    for shift, mask in ((4, 0x0F0F0F0F0F0F0F0F), (8, 0x00FF00FF00FF00FF), (16, 0x0000FFFF0000FFFF), (32, 0xFFFFFFFF)):
-        near = near.bitwiseAND(F.lit(mask)) + F.shiftrightunsigned(near, shift).bitwiseAND(F.lit(mask))
-    return near
-
-
 def alike(percent: int) -> Column:
     """Whether sizes and sketches of sides a and b allow the similarity.
 
-    Bucket counts, taken modulo 16, differ by no more than the sets do, so that bound loses nothing.
+    Bucket parities differ in no more places than the sets differ in shingles, so that bound loses nothing.
     """
     a, b = F.col("n_shingles_a"), F.col("n_shingles_b")
-    apart = sum((cells_apart(F.col(f"{c}_a"), F.col(f"{c}_b")) for c in SKETCH), F.lit(0))
+    apart = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in SKETCH), F.lit(0))
     return (F.least(a, b) * 100 >= F.greatest(a, b) * percent) & (apart * (100 + percent) <= (a + b) * (100 - percent))
 
 
