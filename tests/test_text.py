@@ -4,12 +4,14 @@ import datetime as dt
 import re
 import time
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from gazette import schemas
 from gazette.functions import display, htmltext, text
 from gazette.operators.enrich import page_texts, prompt_text
 from gazette.schemas import struct
+from gazette.session import BATCH_BYTES, BATCH_SETTING, prepare, size_of
 from gazette.sources.config import local_frame
 
 
@@ -78,3 +80,24 @@ def test_main_text_nests_and_is_linear():
     for mark in ("<form>", "<!--", "<", "<script>", "</div>"):
         htmltext.main_fragment(mark * 20_000)
     assert time.perf_counter() - started < 5
+
+
+def test_batches_to_python_are_bounded_by_bytes_and_a_page_meets_one_worker(spark, capsys):
+    assert [size_of(text) for text in ("67108864b", "64m", "1k", "5", "1gb")] == [1 << 26, 1 << 26, 1024, 5, 1 << 30]
+    prepare(spark)
+
+    @F.pandas_udf("long")
+    def held(texts: pd.Series) -> pd.Series:
+        return pd.Series([int(texts.str.len().sum())] * len(texts))
+
+    pages = spark.range(0, 400, 1, 1).selectExpr("id", "concat('<p>a &amp;amp; b', repeat(' x', 50000)) AS html")
+    assert pages.select(held("html").alias("n")).agg(F.max("n")).first()[0] < 2 * BATCH_BYTES
+    small = spark.conf.get(BATCH_SETTING)
+    spark.conf.set(BATCH_SETTING, "64k")
+    prepare(spark)
+    assert spark.conf.get(BATCH_SETTING) == "64k"
+    spark.conf.set(BATCH_SETTING, small)
+    texts = htmltext.with_main_text(pages, "html", "body")
+    assert texts.first().body == "a &amp; b" + " x" * 50000
+    texts.explain()
+    assert capsys.readouterr().out.count("ArrowEvalPython") == 1
