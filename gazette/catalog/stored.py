@@ -220,9 +220,8 @@ def model_cascade(spark, sf_dir):
     preferences = [(row.provider, row.model) for row in config.load_preferences(spark).orderBy("rank").collect()]
     prompts = dealt(releases(spark, sf_dir)).select(F.col("doc_id").cast("string").alias("url_hash"), op.title_prompt(F.col("title")).alias("prompt"))
     attempts = op.model_cascade(offline_model, preferences)(prompts)
-    chosen = op.choose_answers(attempts, config.EXTRACTION_DOMAINS, config.EXTRACTION_TEXTS)
-    failed = attempts.groupBy("url_hash").agg(F.count("error").cast("int").alias("failures"))
-    return chosen.join(failed, "url_hash").select(
+    chosen = op.choose_answers(attempts, config.EXTRACTION_DOMAINS, config.EXTRACTION_TEXTS, F.count("error").cast("int").alias("failures"))
+    return chosen.where("url_hash IS NOT NULL").select(
         F.col("url_hash").cast("bigint").alias("doc_id"), F.concat(F.col("chosen.provider"), F.lit("/"), F.col("chosen.model")).alias("model"),
         "chosen.answer.title_en", "chosen.answer.summary_en", "failures", "fault",
     )

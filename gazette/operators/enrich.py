@@ -96,7 +96,13 @@ def recorded_answers(answers: DataFrame, preferences: DataFrame) -> Extractor:
 
 
 def timed(call: Callable[[], dict], gate: threading.Semaphore, seconds: float | None) -> dict:
-    """A call under its provider's limit. One that takes too long is left to itself, and goes on counting until it ends."""
+    """A call under its provider's limit. One that takes too long is left to itself, and goes on counting until it ends.
+
+    Only a call that may be left needs a thread of its own.
+    """
+    if seconds is None:
+        with gate:
+            return call()
     result: Future = Future()
 
     def run() -> None:
@@ -238,16 +244,19 @@ def first_success(attempts: DataFrame, key: str, rank: str | Column, valid: Colu
     return attempts.groupBy(key).agg(F.min_by(answer, F.when(valid, rank)).alias("answer"))
 
 
-def choose_answers(attempts: DataFrame, domains: dict[str, list[str]], texts: list[str]) -> DataFrame:
-    """Per row the first attempt that succeeded and validates, with the fault of the best attempt where none did."""
+def choose_answers(attempts: DataFrame, domains: dict[str, list[str]], texts: list[str], *also: Column) -> DataFrame:
+    """Per row the first attempt that succeeded and validates, with the fault of the best attempt where none did.
+
+    ``also`` are further aggregates of a row's attempts: attempts that come from a model are not made again to count them.
+    """
     guard_answer_schema(attempts)
     fault = F.coalesce("error", answer_fault(F.col("answer"), domains, texts))
     judged = attempts.withColumn("_fault", fault)
     candidate = F.struct("provider", "model", "answer")
     return judged.groupBy("url_hash").agg(
         F.min_by(candidate, F.when(F.col("_fault").isNull(), F.col("rank"))).alias("chosen"),
-        F.min_by("_fault", F.coalesce("rank", F.lit(2**31 - 1))).alias("fault"),
-    ).select("url_hash", "chosen", F.when(F.col("chosen").isNull(), F.col("fault")).alias("fault"))
+        F.min_by("_fault", F.coalesce("rank", F.lit(2**31 - 1))).alias("fault"), *also,
+    ).withColumn("fault", F.when(F.col("chosen").isNull(), F.col("fault")))
 
 
 def assemble(raw: DataFrame, chosen: DataFrame, run_ts: Column) -> DataFrame:

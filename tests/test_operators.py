@@ -217,6 +217,27 @@ def test_model_cascade(spark):
     assert chosen["b"].chosen is None and chosen["b"].fault == "RuntimeError: no"
 
 
+def test_model_cascade_asks_once_and_counts_what_failed(spark, tmp_path, monkeypatch):
+    asked = str(tmp_path / "asked")
+
+    def generate(prompt, provider, model):
+        with open(asked, "a") as file:
+            file.write(f"{prompt} {model}\n")
+        if model == "down":
+            raise RuntimeError("no")
+        return {"topic": "GDP", "country": "Italy", "sentiment": "neutral", "title_en": prompt, "summary_en": "s", "key_figures": "k"}
+
+    prompts = frame(spark, [("a", "hello"), ("b", "world")], "url_hash string, prompt string").coalesce(1)
+    attempts = enrich.model_cascade(generate, [("p", "down"), ("p", "up")])(prompts)
+    failures = F.count("error").alias("failures")
+    rows = enrich.choose_answers(attempts, EXTRACTION_DOMAINS, EXTRACTION_TEXTS, failures).collect()
+    assert sorted((row.url_hash, row.chosen.model, row.fault, row.failures) for row in rows) == [("a", "up", None, 1), ("b", "up", None, 1)]
+    with open(asked) as file:
+        assert sorted(file) == ["hello down\n", "hello up\n", "world down\n", "world up\n"]
+    monkeypatch.setattr(enrich.threading, "Thread", None)
+    assert enrich.timed(lambda: {"x": 1}, enrich.threading.Semaphore(1), None) == {"x": 1}
+
+
 def test_keyword_tagger(spark):
     text = "Title: Inflazione in Italia\n\nItalian HICP inflation rose to 2.1% and then 2.1%, up from -0,4 %."
     row = enrich.keyword_tagger(frame(spark, [("a", text)], "url_hash string, prompt string")).first().answer
