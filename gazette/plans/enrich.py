@@ -21,6 +21,8 @@ from gazette.sources.tables import MONTH, Store, append_releases, content_name,
 
 #: Lanes in which open rows are numbered; a batch takes some numbers of each.
 DRAIN_LANES = 16
+#: Rows that one job of a drain translates, at least a batch: its batches run side by side.
+DRAIN_ROWS = 100_000
 
 
 def enrich(
@@ -119,9 +121,10 @@ def drain_titles(store: Store, extract: op.Extractor, run: str, run_ts: dt.datet
     """Translate the missing titles of stored releases, batch by batch, until every open row had its turn, and record the run.
 
     The open keys are staged once, numbered; a batch is a range of numbers, so a row that fails is not tried twice in a drain, and
-    stays open for the next. Translations are corrections: appended by run and month, merged when the table is read. A drain of
-    the same ``run`` over the same open rows is one that broke off: batches it has written are not asked for again. Returns one row:
-    open, translated, batches.
+    stays open for the next. Small batches go side by side in one job, so that jobs and folders do not grow with their number.
+    Translations are corrections: appended by run and month, merged when the table is read. A drain of the same ``run`` over the
+    same open rows is one that broke off: batches that it has written are not asked for again, nor those whose answers are staged.
+    Returns one row: open, translated, batches.
     """
     open_rows = untitled(store.processed()).select("url_hash", "title", MONTH)
     run = f"{run}-{content_name(open_rows, 'url_hash')}"
@@ -130,12 +133,14 @@ def drain_titles(store: Store, extract: op.Extractor, run: str, run_ts: dt.datet
     total, highest = todo.agg(F.count("*"), F.max("_n")).first()
     step = highest or 0 if batch_size is None else max(1, batch_size // DRAIN_LANES)
     batches = range(1, (highest or 0) + 1, step) if total else []
-    for number, first in enumerate(batches):
-        name = f"{run}-{number}"
+    jobs = range(1, (highest or 0) + 1, step * max(1, DRAIN_ROWS // (step * DRAIN_LANES))) if total else []
+    for first in jobs:
+        past = first + jobs.step
+        name = f"{run}-{first}-{past - 1}"
         if finished(store.spark, f"{store.path('corrections')}/run={name}"):
             continue
-        some = todo.where(F.col("_n").between(first, first + step - 1))
-        found = stage(translations(some, extract), store, "translations", name)
+        some = todo.where(F.col("_n").between(first, past - 1))
+        found = stage_once(lambda some=some: translations(some, extract), store, "translations", name)
         rows = found.join(some, "url_hash").select("url_hash", F.lit("title_en").alias("field"), F.col("title_en").alias("value"), F.lit(run_ts).cast("timestamp").alias("set_at"), MONTH)
         rows.repartition(MONTH).write.mode("overwrite").partitionBy(MONTH).parquet(f"{store.path('corrections')}/run={name}")
     done = store.corrections().where((F.col("set_at") == F.lit(run_ts).cast("timestamp")) & (F.col("field") == "title_en")).join(todo.select("url_hash"), "url_hash", "left_semi")

@@ -223,6 +223,26 @@ def test_drain_stores_and_ends(spark, store):
     assert {row.title_en for row in store.processed().collect()} == {"x", "Th1", "Th2", None, "Th5"}
 
 
+def test_small_batches_of_a_drain_share_a_job(spark, store, monkeypatch):
+    rows = local_frame(spark, [(f"h{i}", f"t{i}") for i in range(90)], schemas.struct("url_hash string, title string"))
+    whole = rows.select(*[F.col(f.name) if f.name in rows.columns else F.lit(NOW if f.name == "published" else None).cast(f.dataType).alias(f.name) for f in schemas.PROCESSED.fields])
+    append_releases(whole, store.path("processed"))
+    asked = []
+
+    def translate(prompts):
+        asked.append(prompts.count())
+        return prompts.select("url_hash", F.lit(0).alias("rank"), F.struct(F.concat(F.lit("T"), "url_hash").alias("title_en")).alias("answer"), F.lit(None).cast("string").alias("error"))
+
+    done = enrich.drain_titles(store, translate, "d", NOW, batch_size=1).first()
+    assert (done.open, done.translated) == (90, 90) and done.batches > 5
+    assert asked == [90]
+    monkeypatch.setattr(enrich, "DRAIN_ROWS", 32)
+    monkeypatch.setattr(enrich, "untitled", lambda processed: processed)
+    assert enrich.drain_titles(store, translate, "again", NOW + dt.timedelta(days=1), batch_size=1).first().translated == 90
+    assert sum(asked[1:]) == 90 and max(asked[1:]) <= 32
+    assert {row.title_en for row in store.processed().collect()} == {f"Th{i}" for i in range(90)}
+
+
 @pytest.mark.parametrize(("pattern", "expected"), [
     ("inflation", ["inflation"]), ("cons.* prices", ["cons", " prices"]), ("ab+c", ["ab", "c"]), ("abc?d", ["ab", "d"]), ("a{2}bcd", ["bcd"]), (r"3\.5", ["3.5"]),
     (r"\bgdp\b", ["gdp"]), ("x|inflation", []), ("(abc)?def", []), ("[ab]cde", ["cde"]), (r"[\]x]cde", []), (r"\x41bcd", []), ("^abc$", ["abc"]),
