@@ -22,6 +22,7 @@ from gazette.plans.logs import close_logs
 from gazette.schemas import MONTH, PRESS_RELEASES, PROCESSED
 from gazette.session import prepare, work_dir
 from gazette.sources import config, months
+from gazette.sources.files import CODEC
 from gazette.sources.tables import Store, append_releases, month_of, read, with_month, write_run
 from gazette.streaming import jobs
 
@@ -60,7 +61,7 @@ def stream_ingest_restart(spark, sf_dir):
     landing = feed_landing(spark, sf_dir)
     for number in (0, 1):
         bad = config.local_frame(spark, [(f"https://nowhere.example/{number}", NOON, number, "no feed")], schemas.LANDING_FEED)
-        landing.where(f"batch_id % 2 = {number}").unionByName(bad).write.parquet(f"{folder}/landing-{number}")
+        landing.where(f"batch_id % 2 = {number}").unionByName(bad).write.parquet(f"{folder}/landing-{number}", compression=CODEC)
         jobs.ingest_stream(
             spark, f"{folder}/landing-{number}", lambda: config.load_feeds(spark), store, f"{folder}/checkpoint-{number}", clock=lambda n=number: NOON + dt.timedelta(hours=n),
         ).awaitTermination()

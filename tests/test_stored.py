@@ -7,6 +7,7 @@ import random
 import re
 import threading
 import time
+from pathlib import Path
 
 import pandas as pd
 import pytest
@@ -45,6 +46,24 @@ def test_key_index_reads_the_folders_of_the_batch(spark, tmp_path, capsys):
     assert read_folders and read_folders <= wanted
 
 
+def test_rows_of_a_first_poll_are_written_once_and_digests_small(spark, tmp_path):
+    index, target = KeyIndex(spark, str(tmp_path / "keys"), digits=1), str(tmp_path / "table")
+    batch = spark.range(0, 20000, 1, 1).selectExpr("sha2(CAST(id AS STRING), 256) AS k", "id AS at")
+    steps = []
+
+    def staged(rows, name):
+        steps.append(name)
+        return staging(spark, tmp_path)(rows, name)
+
+    insert = lambda run, rows: index.insert(rows, "k", "at", run, lambda: read(spark, target, batch.schema), staged, lambda some: some.write.mode("append").parquet(target))
+    assert insert("r1", batch).count() == 20000 and "fresh" not in steps
+    more = spark.range(15000, 25000, 1, 1).selectExpr("sha2(CAST(id AS STRING), 256) AS k", "id AS at")
+    assert insert("r2", more).count() == 5000 and "fresh" in steps
+    assert read(spark, target, batch.schema).select("k").distinct().count() == read(spark, target, batch.schema).count() == 25000
+    folder = write_run(batch.select("k"), str(tmp_path / "run"), "r")
+    assert sum(one.stat().st_size for one in Path(folder).glob("*.parquet")) < 45 * 20000
+
+
 def test_insert_is_mended_by_the_repeated_run(spark, tmp_path):
     index, target = KeyIndex(spark, str(tmp_path / "keys"), digits=1), str(tmp_path / "table")
     stored = lambda: read(spark, target, PAIRS)
