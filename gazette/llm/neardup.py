@@ -8,9 +8,10 @@ whose members are not yet in one component those with few pairs across component
 threshold misses all its meetings with probability (1 - s)**trees, s >= 1 - (1 - threshold * s)**fanout.
 
 Candidates pass bounds that no pair at the threshold fails, the dearer ones later: sizes and 512 parities of bucket counts as
-members meet, then the bucket counts themselves, a bucket for about two shingles, folded to the smaller set's width. Pairs inside one
-component are dropped, one pair of each class is confirmed before the others, and full sets, which decide, are made
-for what is left alone. Nothing but the trees can miss a link.
+members meet, then the bucket counts themselves, folded to the smaller set's width: first a bucket for about eight shingles, so that little
+travels with a pair, then one for about two. Pairs inside one component are
+dropped, one pair of each class is confirmed before the others, and full sets, which decide, are made for what
+is left alone. Nothing but the trees can miss a link.
 
 Nodes that stay large at the last level are compared exhaustively across components, in as many slices as their size asks for, so
 nothing is dropped.
@@ -30,6 +31,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,7 +42,7 @@ from gazette.operators.dedup import first_writer
 
 TOKENS = 64
 SKETCH = [f"x{i}" for i in range(8)]
-SIGNATURE = "block bigint, number int, doc_id bigint, text_key binary, n_shingles bigint, set_key binary, tokens binary, counts binary, " + ", ".join(f"{name} bigint" for name in SKETCH)
+SIGNATURE = "block bigint, number int, doc_id bigint, text_key binary, n_shingles bigint, set_key binary, tokens binary, coarse binary, counts binary, " + ", ".join(f"{name} bigint" for name in SKETCH)
 MAX_WORDS_KEPT = 400_000
 OUTPUT_BYTES = 4 << 20
 SLICE_ROWS = 256
@@ -93,18 +95,18 @@ def signature(shingles: np.ndarray) -> tuple[bytes, list[int]]:
     return (least >> np.uint64(32)).astype(np.uint32).tobytes(), sketch.tolist()
 
 
-def bucket_counts(shingles: np.ndarray) -> bytes:
-    """Numbers of shingles by the high bits of their hashes, a bucket for about two shingles; empty if one is over a byte."""
-    bits = max((len(shingles) // 2).bit_length(), 6)
+def bucket_counts(shingles: np.ndarray, each: int = 2) -> bytes:
+    """Numbers of shingles by the high bits of their hashes, a bucket for about ``each`` shingles, compressed; empty if one is over a byte."""
+    bits = max((len(shingles) // each).bit_length(), 6)
     counts = np.bincount((shingles >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
-    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
+    return zstandard.ZstdCompressor(level=1).compress(counts.astype(np.uint8).tobytes()) if counts.max() < 256 else b""
 
 
 def may_be_alike(left: bytes, right: bytes, size: int, percent: int) -> bool:
     """Bucket counts differ by no more than the sets do, at any width; ``size`` is that of both sets together."""
     if not left or not right:
         return True
-    x, y = np.frombuffer(left, np.uint8).astype(np.int64), np.frombuffer(right, np.uint8).astype(np.int64)
+    x, y = (np.frombuffer(zstandard.ZstdDecompressor().decompress(one), np.uint8).astype(np.int64) for one in (left, right))
     width = min(len(x), len(y))
     apart = int(np.abs(x.reshape(width, -1).sum(1) - y.reshape(width, -1).sum(1)).sum())
     return apart * (100 + percent) <= size * (100 - percent)
@@ -121,9 +123,9 @@ def signatures(dealt: DataFrame, k: int) -> DataFrame:
                 for number, (one, text) in enumerate(zip(row["ids"], texts_of(row["body"], row["sizes"]), strict=True)):
                     shingles = shingle_set(text, k, hashes)
                     tokens, sketch = signature(shingles)
-                    counts = bucket_counts(shingles) if len(shingles) else b""
-                    rows.append((row["block"], number, one, md5(text).digest(), len(shingles), xxhash.xxh3_128_digest(shingles.tobytes()), tokens, counts, *sketch))
-                    size += len(counts) + 400
+                    coarse, counts = (bucket_counts(shingles, 8), bucket_counts(shingles)) if len(shingles) else (b"", b"")
+                    rows.append((row["block"], number, one, md5(text).digest(), len(shingles), xxhash.xxh3_128_digest(shingles.tobytes()), tokens, coarse, counts, *sketch))
+                    size += len(counts) + len(coarse) + 400
                     if size > OUTPUT_BYTES or number == len(row["ids"]) - 1:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
                         rows, size = [], 0
@@ -158,7 +160,7 @@ def first_nodes(classes: DataFrame, trees: int, fanout: int) -> DataFrame:
 
 def branched(members: DataFrame, classes: DataFrame, fanout: int) -> DataFrame:
     """Members of the children of nodes: a node chooses ``fanout`` tokens, members go by their values."""
-    turns = members.withColumn("turn", F.explode(F.array(*map(F.lit, range(fanout))))).join(classes.select("class", "tokens"), "class")
+    turns = members.join(classes.select("class", "tokens"), "class").withColumn("turn", F.explode(F.array(*map(F.lit, range(fanout)))))
     place = F.pmod(F.xxhash64("node", "turn"), F.lit(TOKENS)).cast("int")
     return turns.withColumn("node", F.xxhash64("node", "turn", F.substring(F.col("tokens"), place * 4 + 1, F.lit(4)))).select(MEMBER)
 
@@ -168,13 +170,11 @@ def met(members: DataFrame, node_rows: int, percent: int) -> tuple[DataFrame, Da
 
     Every node offers its members with its smallest member and with one hashed member; small nodes offer all pairs.
     """
-    fields = F.struct(*FIELDS)
-    sizes = members.groupBy("node").agg(F.count("*").alias("rows"), F.min(fields).alias("smallest"), F.min(F.struct(F.xxhash64(F.lit(1), "class"), fields.alias("one"))).alias("hashed")).where("rows > 1")
-    inside = stage(members.join(sizes, "node").select(*MEMBER, "rows", F.array("smallest", "hashed.one").alias("centres")), "near-members")
+    sizes = members.groupBy("node").agg(F.count("*").alias("rows"), F.min("class").alias("smallest"), F.min_by("class", F.xxhash64(F.lit(1), "class")).alias("hashed")).where("rows > 1")
+    inside = stage(members.join(sizes, "node").select(*MEMBER, "rows", "smallest", "hashed"), "near-members")
     large = inside.where(F.col("rows") > node_rows)
-    offered = large.select(*MEMBER, F.explode("centres").alias("centre"))
-    centre = side(side(offered, "b", "centre"), "a", "b", *[f"{c}_b" for c in FIELDS[1:]], of="centre.")
-    stars = centre.where(F.col("a") != F.col("b")).where(alike(percent))
+    centres = side(large.where("class = smallest OR class = hashed"), "b", "node")
+    stars = side(large, "a", "node").join(centres, "node").where(F.col("a") != F.col("b")).where(alike(percent))
     few = inside.where(F.col("rows") <= node_rows)
     pairs = side(few, "a", "node").join(side(few, "b", "node"), "node").where("a < b").where(alike(percent))
     return stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(pairs.select("a", "b")).distinct(), large.select(MEMBER)
@@ -193,12 +193,19 @@ def undecided(large: DataFrame, found: DataFrame, node_pairs: int) -> DataFrame:
 
 
 def across(members: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs between the components of a node, one side dealt in slices of about ``SLICE_ROWS`` and the other repeated for each."""
-    sizes = members.groupBy("node").agg(F.ceil(F.count("*") / SLICE_ROWS).alias("slices"))
-    dealt = members.join(sizes, "node")
-    left = side(dealt, "a", "node", "component", F.pmod(F.xxhash64("class"), F.col("slices")).alias("slice"))
-    right = side(dealt, "b", "node", F.col("component").alias("other"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("slices") - 1)).alias("slice"))
-    return left.join(right, ["node", "slice"]).where("a < b AND component <> other").where(alike(percent)).select("a", "b").distinct()
+    """Candidate pairs between the components of a node.
+
+    One side of such a pair is outside the node's largest component: only those members are repeated, for each slice of about
+    ``SLICE_ROWS`` members, so the rows follow the pairs to be compared and not the square of the node.
+    """
+    parts = members.groupBy("node", "component").agg(F.count("*").alias("rows"))
+    sizes = parts.groupBy("node").agg(F.ceil(F.sum("rows") / SLICE_ROWS).alias("slices"), F.max(F.struct("rows", "component")).alias("largest"))
+    dealt = members.join(sizes.select("node", "slices", F.col("largest.component").alias("largest")), "node")
+    outside = F.col("component") != F.col("largest")
+    left = side(dealt, "a", "node", "component", outside.alias("outside"), F.pmod(F.xxhash64("class"), F.col("slices")).alias("slice"))
+    right = side(dealt.where(outside), "b", "node", F.col("component").alias("other"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("slices") - 1)).alias("slice"))
+    pairs = left.join(right, ["node", "slice"]).where("component <> other AND (a < b OR NOT outside)").where(alike(percent))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def full_sets(keys: DataFrame, dealt: DataFrame, k: int) -> DataFrame:
@@ -253,9 +260,11 @@ def grown(pairs: DataFrame, found: DataFrame, classes: DataFrame, dealt: DataFra
     def may(left: pd.Series, right: pd.Series, size: pd.Series) -> pd.Series:
         return pd.Series([may_be_alike(*one, percent) for one in zip(left, right, size, strict=True)], dtype=bool)
 
-    counts = classes.select("class", "counts", "n_shingles")
-    rows = apart(pairs, found).join(counts.toDF("a", "counts_a", "size_a"), "a").join(counts.toDF("b", "counts_b", "size_b"), "b")
-    left = stage(rows.where(may("counts_a", "counts_b", F.col("size_a") + F.col("size_b"))).select("a", "b"), "near-pairs")
+    left = apart(pairs, found)
+    for name in ("coarse", "counts"):
+        counts = classes.select("class", name, "n_shingles")
+        rows = left.join(counts.toDF("a", "counts_a", "size_a"), "a").join(counts.toDF("b", "counts_b", "size_b"), "b")
+        left = stage(rows.where(may("counts_a", "counts_b", F.col("size_a") + F.col("size_b"))).select("a", "b"), f"near-{name}")
     for some in (left.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), None) if firsts else (None,):
         some = stage(apart(left, found) if some is None else some, "near-some")
         if some.head(1):
@@ -269,9 +278,9 @@ def placed(docs: DataFrame, key: str, text: str, k: int, percent: int, trees: in
     dealt = bucketed(text_blocks(docs, key, text), "near-texts", "block")
     signed = stage(signatures(dealt, k), "near-signatures")
     alone = signed.where("n_shingles > 0").groupBy("set_key").agg(
-        F.min(F.struct("block", "number")).alias("one"), *[F.first(c).alias(c) for c in ("n_shingles", "tokens", "counts", *SKETCH)],
+        F.min(F.struct("block", "number")).alias("one"), *[F.first(c).alias(c) for c in ("n_shingles", "tokens", "coarse", "counts", *SKETCH)],
     )
-    classes = stage(alone.select(F.monotonically_increasing_id().alias("class"), "one.*", "set_key", "n_shingles", "tokens", "counts", *SKETCH), "near-classes")
+    classes = stage(alone.select(F.monotonically_increasing_id().alias("class"), "one.*", "set_key", "n_shingles", "tokens", "coarse", "counts", *SKETCH), "near-classes")
     found = docs.sparkSession.createDataFrame([], "class bigint, component bigint")
     pairs, large = met(first_nodes(classes, trees, fanout), node_rows, percent)
     found = grown(pairs, found, classes, dealt, k, percent, True)

@@ -112,3 +112,28 @@ def test_sketches_never_drop_a_pair(spark):
     judged = frame.select("near", neardup.alike(80).alias("passes")).collect()
     assert sum(row.near for row in judged) > 200 and all(row.passes for row in judged if row.near)
     assert sum(row.passes for row in judged if not row.near) < 0.5 * sum(not row.near for row in judged)
+
+
+def test_components_are_compared_by_their_pairs_alone(spark, monkeypatch):
+    """One large component with a few members beside it: the rows repeated follow the pairs between components."""
+    monkeypatch.setattr(neardup, "SLICE_ROWS", 10)
+    component = {c: 0 if c < 300 else c // 2 * 2 for c in range(306)}
+    rows = [(node, c, 50, *[0] * len(neardup.SKETCH), component[c]) for node in (1, 2) for c in component]
+    frame = spark.createDataFrame(rows, "node bigint, class bigint, n_shingles bigint, " + ", ".join(f"{name} bigint" for name in neardup.SKETCH) + ", component bigint")
+    pairs = neardup.across(frame, 80)
+    assert Counter(map(tuple, pairs.collect())) == Counter((a, b) for a, b in itertools.combinations(component, 2) if component[a] != component[b])
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert "largest" in plan.split("Generate explode")[1], "members of the largest component are repeated"
+
+
+def test_coarse_counts_never_drop_a_pair_and_are_narrower():
+    rng = np.random.default_rng(5)
+    for size in (70, 900, 6000):
+        left = np.unique(rng.integers(0, 2**63, size, np.uint64) * np.uint64(2))
+        right = np.unique(np.concatenate([left[:int(len(left) * 0.9)], rng.integers(0, 2**63, size // 20, np.uint64)]))
+        both = len(np.intersect1d(left, right))
+        assert 100 * both >= 80 * (len(left) + len(right) - both)
+        assert neardup.may_be_alike(neardup.bucket_counts(left, 8), neardup.bucket_counts(right, 8), len(left) + len(right), 80)
+    apart = [np.unique(rng.integers(0, 2**63, 4000, np.uint64) * np.uint64(2)) for _ in range(2)]
+    assert not neardup.may_be_alike(*(neardup.bucket_counts(one, 8) for one in apart), 8000, 80)
+    assert len(neardup.bucket_counts(apart[0], 8)) * 2 < len(neardup.bucket_counts(apart[0]))
