@@ -24,10 +24,11 @@ def piece_bytes(path: str) -> list[bytes]:
     return pieces
 
 
-def text_ids(path: str, plain_specials: bool = False) -> Callable[[str], list[int]]:
+def text_ids(path: str, plain_specials: bool = False, arrays: bool = False) -> Callable:
     """Function from a text to its ids, as the library's ``encode`` without special tokens at the ends gives them.
 
-    Strings of special tokens in a text are those tokens, or plain text with ``plain_specials``.
+    Strings of special tokens in a text are those tokens, or plain text with ``plain_specials``. Ids are a list, with ``arrays`` an array
+    where the merges are in order.
     """
     library = tokenizer(path)
     library.encode_special_tokens = plain_specials
@@ -41,6 +42,9 @@ def text_ids(path: str, plain_specials: bool = False) -> Callable[[str], list[in
     pieces = piece_bytes(path)
     ranks = {pieces[one]: one for piece, one in vocab.items() if piece not in special}
     encoding = tiktoken.Encoding("ranks", pat_str=WORD, mergeable_ranks=ranks, special_tokens=special)
+    if arrays:
+        allowed = set() if plain_specials else "all"
+        return lambda text: encoding.encode_to_numpy(text, allowed_special=allowed, disallowed_special=())
     if plain_specials or not special:
         return encoding.encode_ordinary
     return lambda text: encoding.encode(text, allowed_special="all") if any(one in text for one in special) else encoding.encode_ordinary(text)

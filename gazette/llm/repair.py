@@ -35,7 +35,7 @@ MAGIC = b"RPR1"
 @cache
 def encoder(path: str) -> Callable[[str], list[int]]:
     """One encoder for all tasks of a worker."""
-    return text_ids(path)
+    return text_ids(path, arrays=True)
 
 
 def frequent(pairs: np.ndarray, least: int, most: int) -> list[int]:
@@ -56,21 +56,35 @@ def frequent(pairs: np.ndarray, least: int, most: int) -> list[int]:
     return chosen
 
 
+def pair_cells(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Cells of pairs in a small table."""
+    return ((first * np.uint32(0x9E3779B1) + second * np.uint32(0x85EBCA77)) >> np.uint32(14)).astype(np.intp)
+
+
 def grammar(symbols: np.ndarray, ends: np.ndarray, terminals: int, least: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rules, symbols and document ends after replacement; ``ends`` are the symbols before each document's end."""
     symbols, rules, size = symbols.astype(np.uint32), [], terminals
     last = np.zeros(len(symbols), bool)
     last[ends - 1] = True
+    # A pair that was rare stays so: later rounds look at those that were frequent and at those that have a new symbol.
+    alive = ~last
     while len(symbols) > 1:
         # A frequent pair is in a well-filled cell of a small table: only the pairs of such cells are sorted and counted.
-        cells = (symbols[:-1] * np.uint32(0x9E3779B1) + symbols[1:] * np.uint32(0x85EBCA77)) >> np.uint32(14)
-        at = np.flatnonzero((np.bincount(cells, minlength=1 << 18) >= least)[cells])
-        at = at[~last[at]]
+        at = np.flatnonzero(alive)
+        cells = pair_cells(symbols[at], symbols[at + 1])
+        filled = (np.bincount(cells, minlength=1 << 18) >= least)[cells]
+        at, cells = at[filled], cells[filled]
         pairs = symbols[at].astype(np.int64) << 32 | symbols[at + 1]
         chosen = frequent(pairs, least, most)
         if not chosen:
             break
         known = np.array(sorted(chosen), np.int64)
+        wanted = np.zeros(1 << 18, bool)
+        wanted[pair_cells((known >> 32).astype(np.uint32), known.astype(np.uint32))] = True
+        alive[:] = False
+        alive[at] = True
+        some = wanted[cells]
+        at, pairs = at[some], pairs[some]
         which = np.searchsorted(known, pairs)
         hit = known[np.minimum(which, len(known) - 1)] == pairs
         at, which = at[hit], which[hit]
@@ -80,9 +94,11 @@ def grammar(symbols: np.ndarray, ends: np.ndarray, terminals: int, least: int, m
         at, which = at[in_run % 2 == 0], which[in_run % 2 == 0]
         symbols[at] = size + which
         last[at] = last[at + 1]
+        alive[at] = alive[at[at > 0] - 1] = True
         keep = np.ones(len(symbols), bool)
         keep[at + 1] = False
-        symbols, last = symbols[keep], last[keep]
+        symbols, last, alive = symbols[keep], last[keep], alive[keep]
+        alive &= ~last
         rules.append(np.stack([known >> 32, known & 0xFFFFFFFF], 1))
         size += len(known)
     return np.concatenate(rules) if rules else np.zeros((0, 2), np.int64), symbols, np.flatnonzero(last) + 1

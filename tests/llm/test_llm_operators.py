@@ -62,6 +62,19 @@ def test_repair_grammar_is_lossless():
     assert len(repair.pack([struct.pack("<4000I", *[7] * 4000)], least=2)) < 400
 
 
+def test_repair_sorts_and_searches_frequent_pairs_alone(monkeypatch):
+    """Of the pairs in filled cells, only those in the cells of the chosen ones are searched for; ids come as arrays."""
+    rng = np.random.default_rng(8)
+    ids = rng.integers(0, 40, 20_000).astype("<u4")
+    searched, searchsorted = [], np.searchsorted
+    monkeypatch.setattr(np, "searchsorted", lambda known, pairs, *more: searched.append(np.isin(pairs, known).mean()) or searchsorted(known, pairs, *more))
+    payload = repair.pack([ids.tobytes()], least=8, most=20)
+    assert searched and min(searched) > 0.9
+    monkeypatch.undo()
+    assert repair.Shard(payload).document(0) == ids.tobytes()
+    assert isinstance(repair.encoder(public_tokenizers.path("byte_bpe_50k.json"))("some text"), np.ndarray)
+
+
 def test_repair_files(docs):
     tokenizer = Tokenizer.from_file(PATH)
     archive = repair.write(docs, PATH, shard_ids=50, least=2, files=3)
