@@ -40,6 +40,8 @@ CHUNK = 8192
 SALTS = 32
 OUTPUT_BYTES = 4 << 20
 LOW = np.uint64((1 << 40) - 1)
+#: Bits of a place in a slice and the strings that begin in it.
+PLACES = np.uint64(2 * SLICE - 1)
 STIR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -95,12 +97,13 @@ class Texts:
             high = min(low + SLICE, count)
             words = eights(self.data[low:high + width - 1])
             grams = stirred(words[:-8] * STIR + words[8:])
-            least, place, reach = grams, np.arange(len(grams), dtype=np.int32), 1
+            # The high bits of a hash and its place are one number: the smallest is the leftmost gram of the smallest hash.
+            least, reach = grams & ~PLACES | np.arange(len(grams), dtype=np.uint64), 1
             while reach < span:
                 step = min(reach, span - reach)
-                first = least[:-step] <= least[step:]
-                least, place = np.where(first, least[:-step], least[step:]), np.where(first, place[:-step], place[step:])
+                least = np.minimum(least[:-step], least[step:])
                 reach += step
+            place = (least & PLACES).astype(np.int32)
             whole = crossing[low:high] == 0
             change = np.concatenate([[True], (place[1:] != place[:-1]) | ~whole[:-1]])
             firsts = np.flatnonzero(whole & change)
@@ -151,7 +154,7 @@ def block_keys(texts: Texts, anchors: list[tuple], buckets: int) -> tuple[np.nda
     if not pairs:
         return np.zeros(0, np.uint64), np.zeros(0, bool)
     keys, document = np.concatenate(pairs, axis=1)
-    order = np.lexsort((document, keys))
+    order = np.argsort(keys)
     keys, document = keys[order], document[order]
     fresh = np.concatenate([[True], keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, bool)
     other = np.concatenate([[False], (keys[1:] == keys[:-1]) & (document[1:] != document[:-1])]) if len(keys) else fresh
@@ -175,7 +178,7 @@ def shared_reaches(whole: DataFrame, width: int, buckets: int) -> DataFrame:
     def meet(table: pa.Table) -> pa.Table:
         parts = [numbers_of(one) for one in table.column("keys").to_pylist()]
         keys = np.concatenate(parts)
-        order = np.argsort(keys, kind="stable")
+        order = np.argsort(keys)
         same = keys[order[1:]] == keys[order[:-1]]
         met = np.zeros(len(keys), bool)
         met[order[1:][same]] = met[order[:-1][same]] = True
@@ -230,7 +233,7 @@ def multikey_order(words: np.ndarray, starts: np.ndarray, width: int) -> tuple[n
     Eight bytes are a key; the next key is looked at only where strings are equal up to it.
     """
     first = words[starts]
-    order = np.argsort(first, kind="stable")
+    order = np.argsort(first)
     fresh = np.concatenate([[True], np.diff(first[order]) != 0])
     for offset in [*range(8, width - 8, 8), width - 8]:
         tied = np.flatnonzero(~fresh | np.append(~fresh[1:], False))
@@ -238,6 +241,13 @@ def multikey_order(words: np.ndarray, starts: np.ndarray, width: int) -> tuple[n
             break
         group, some = np.cumsum(fresh)[tied], order[tied]
         keys = words[starts[some] + offset]
+        # A group whose strings agree here too is left as it is.
+        begins = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        differs = np.concatenate([[False], (keys[1:] != keys[:-1]) & (group[1:] == group[:-1])])
+        mixed = np.repeat(np.logical_or.reduceat(differs, begins), np.diff(np.append(begins, len(group))))
+        tied, group, some, keys = tied[mixed], group[mixed], some[mixed], keys[mixed]
+        if not len(tied):
+            continue
         inside = np.lexsort((keys, group))
         keys, order[tied] = keys[inside], some[inside]
         fresh[tied] |= np.concatenate([[True], (keys[1:] != keys[:-1]) | (group[1:] != group[:-1])])

@@ -119,3 +119,19 @@ def test_query(spark, tmp_path):
 
 def test_empty_table(spark):
     assert suffixes.without_repeats(local_frame(spark, [], SCHEMA)).collect() == []
+
+
+def test_strings_that_agree_are_not_sorted_again(monkeypatch):
+    """Groups of equal strings are left as they are, others are in the order of their bytes."""
+    rng = np.random.default_rng(6)
+    data = np.frombuffer(bytes(rng.integers(97, 99, 400, np.uint8).tolist()) * 5, np.uint8)
+    words, starts = suffixes.eights(data), rng.permutation(len(data) - 60)
+    order, fresh = suffixes.multikey_order(words, starts, 50)
+    strings = [data[starts[n]:starts[n] + 50].tobytes() for n in order.tolist()]
+    assert strings == sorted(strings) and len(set(order.tolist())) == len(starts)
+    assert fresh.tolist() == [n == 0 or strings[n] != strings[n - 1] for n in range(len(strings))]
+    sorts, lexsort = [], np.lexsort
+    monkeypatch.setattr(np, "lexsort", lambda keys: sorts.append(len(keys[0])) or lexsort(keys))
+    same = np.frombuffer(b"0123456789" * 60, np.uint8)
+    suffixes.multikey_order(suffixes.eights(same), np.arange(500), 50)
+    assert not sum(sorts)
