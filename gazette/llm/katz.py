@@ -98,6 +98,19 @@ def hash_buckets(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return (((hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
 
 
+def pair_order(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Order of pairs of whole numbers from 0 on; pairs that fit are sorted as one number."""
+    bits = int(low.max(initial=0)).bit_length()
+    if bits + int(high.max(initial=0)).bit_length() < 64:
+        return np.argsort(high << bits | low)
+    return np.lexsort((low, high))
+
+
+def bucket_order(bucket: np.ndarray, buckets: int) -> np.ndarray:
+    """Order of the buckets, what is in one as it was."""
+    return np.argsort(bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket, kind="stable")
+
+
 def fitted_slope(of_counts: dict[int, int]) -> float | None:
     """Slope of simple Good-Turing's line through log r and log n_r, each n_r spread over the gap to its neighbours; None for too few."""
     r = np.array(sorted(c for c, number in of_counts.items() if number), float)
@@ -224,24 +237,35 @@ class Block:
         before = np.concatenate([[UNKNOWN], self.number[n - 2][:-1]])
         at = np.flatnonzero(self.inside & (before >= 0) & (self.number[0] > 0))
         history, word = before[at], self.number[0][at]
-        often = np.concatenate([[0], self.count[n - 2][:-1]])[at]
-        often = np.where(history == BEGIN, self.model.documents, often)
+        order = pair_order(history, word)
+        fresh = np.ones(len(order), bool)
+        fresh[1:] = (np.diff(history[order]) != 0) | (np.diff(word[order]) != 0)
+        first, each = order[fresh], np.cumsum(fresh) - 1
+        history, word, first = history[first], word[first], at[first]
+        often = np.where(history == BEGIN, self.model.documents, np.concatenate([[0], self.count[n - 2][:-1]])[first])
         salts = 1 + often // max(self.model.tokens // (4 * self.buckets), HOT_COUNT)
         sub = stirred(word.astype(np.uint64) * STIR) % salts.astype(np.uint64)
         bucket = (stirred(history.astype(np.uint64) * STIR + sub) % np.uint64(self.buckets)).astype(np.int64)
-        order = np.lexsort((word, history, bucket))
-        fresh = np.ones(len(order), bool)
-        fresh[1:] = (np.diff(history[order]) != 0) | (np.diff(word[order]) != 0)
-        which = np.empty(len(order), np.int64)
-        which[order] = np.cumsum(fresh) - 1
-        first = order[fresh]
-        return at, which, bucket[first], history[first], word[first], at[first]
+        sent = bucket_order(bucket, self.buckets)
+        place, which = np.empty(len(sent), np.int64), np.empty(len(order), np.int64)
+        place[sent] = np.arange(len(sent))
+        which[order] = place[each]
+        return at, which, bucket[sent], history[sent], word[sent], first[sent]
 
     def asked_histories(self, n: int) -> np.ndarray:
         """Distinct numbers of histories before the block's tokens, by bucket, as they are sent."""
-        before = np.concatenate([[UNKNOWN], self.number[n - 2][:-1]])[self.inside]
+        if n == 2:
+            met = np.zeros(len(self.word_number), bool)
+            met[self.token_before()[self.inside]] = True
+            before = self.word_number[met]
+        else:
+            before = np.concatenate([[UNKNOWN], self.number[n - 2][:-1]])[self.inside]
         found = np.unique(before[before >= 0])
-        return found[np.lexsort((found, found % self.buckets))]
+        return found[bucket_order(found % self.buckets, self.buckets)]
+
+    def token_before(self) -> np.ndarray:
+        """Local word before each place, the last of ``word_number`` where a document begins."""
+        return np.concatenate([[-1], self.token[:-1]])
 
     def take(self, n: int, answer: list[dict], back: list[dict]) -> None:
         """The answers to what was sent for an order: counts and numbers, and its histories' totals and weights."""
@@ -254,6 +278,7 @@ class Block:
             sent = self.word_order()
             own_number[sent], own_count[sent] = np.where(counts > 0, numbers, UNKNOWN), counts
             number[self.inside], count[self.inside] = own_number[self.token[self.inside]], own_count[self.token[self.inside]]
+            self.word_number = np.append(own_number, BEGIN)
             share = discounted(count, self.model.factors[1]) / self.model.denominator
         else:
             at, which, *_ = self.grams(n)
@@ -265,7 +290,10 @@ class Block:
             before = np.concatenate([[UNKNOWN], self.number[n - 2][:-1]])
             known = self.inside & (before >= 0)
             if len(asked):
-                where = place[np.searchsorted(asked[place], before[known])]
+                if n == 2:
+                    where = place[np.minimum(np.searchsorted(asked[place], self.word_number), len(asked) - 1)][self.token_before()[known]]
+                else:
+                    where = place[np.searchsorted(asked[place], before[known])]
                 total[known] = np.concatenate([floats_of(one["totals"]) for one in back])[where]
                 weight[known] = np.concatenate([floats_of(one["weights"]) for one in back])[where]
             share = np.where(total > 0, discounted(count, self.model.factors[n]) / np.where(total > 0, total, 1), 0)
@@ -330,13 +358,20 @@ def answers(table: pa.Table, each: np.ndarray, sizes: list[int], number: np.ndar
     return met_table(len(parts), kind=["answer"] * len(parts), block=table.column("block").to_pylist(), bucket=table.column("bucket").to_pylist(), numbers=numbers, counts=[packed(counts[part]) for part in parts])
 
 
-def met_grams(table: pa.Table, buckets: int, last: bool) -> pa.Table:
-    """N-grams of a bucket: counts and numbers, sums by history, and the answers to the blocks."""
+def met_grams(table: pa.Table, buckets: int, last: bool, unigrams: Model | None = None) -> pa.Table:
+    """N-grams of a bucket: counts and numbers, sums by history, and the answers to the blocks.
+
+    Of the last words' lower shares, those of ``unigrams`` come as the words' counts.
+    """
     parts = [increasing_of(one) for one in table.column("history").to_pylist()]
     history = np.concatenate(parts).astype(np.int64)
     word, own = (np.concatenate([numbers_of(one) for one in table.column(name).to_pylist()]).astype(np.int64) for name in ("word", "counts"))
-    lower = np.concatenate([floats_of(one) for one in table.column("lower").to_pylist()])
-    order = np.lexsort((word, history))
+    lower = table.column("lower").to_pylist()
+    if unigrams:
+        lower = discounted(np.concatenate([numbers_of(one) for one in lower]).astype(np.int64), unigrams.factors[1]) / unigrams.denominator
+    else:
+        lower = np.concatenate([floats_of(one) for one in lower])
+    order = pair_order(history, word)
     fresh = np.concatenate([[True], (np.diff(history[order]) != 0) | (np.diff(word[order]) != 0)])
     starts, each = np.flatnonzero(fresh), np.empty(len(order), np.int64)
     each[order] = np.cumsum(fresh) - 1
@@ -393,6 +428,7 @@ def trained(dealt: DataFrame, order: int) -> tuple[Model, DataFrame]:
 def with_order(whole: DataFrame, model: Model, n: int, buckets: int) -> DataFrame:
     """The blocks with the answers of order n; its tables are added to the model."""
     scalars, last = model.scalars(), n == model.order
+    unigrams = scalars if n == 2 else None
 
     def send_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -400,9 +436,10 @@ def with_order(whole: DataFrame, model: Model, n: int, buckets: int) -> DataFram
                 block = Block(row, scalars, buckets)
                 at, which, bucket, history, word, own = block.grams(n)
                 counts = np.bincount(which[block.learned[at]], minlength=len(history))
-                yield from sent_rows(row, bucket, (history, increasing), (word, packed), (counts, packed), (np.where(counts > 0, block.share[n - 2][own], 0.0), floats))
+                lower = (block.count[0][own], packed) if n == 2 else (block.share[n - 2][own], floats)
+                yield from sent_rows(row, bucket, (history, increasing), (word, packed), (counts, packed), (np.where(counts > 0, lower[0], 0), lower[1]))
 
-    met = stage(whole.mapInArrow(send_grams, SENT).groupBy("bucket").applyInArrow(lambda table: met_grams(table, buckets, last), MET), "katz-grams", "kind")
+    met = stage(whole.mapInArrow(send_grams, SENT).groupBy("bucket").applyInArrow(lambda table: met_grams(table, buckets, last, unigrams), MET), "katz-grams", "kind")
     model.grams[n] = met.where("kind = 'gram'")
     model.factors.append(factors(*profile(model.grams[n])))
     # Discounts take r (1 - factor) off each n-gram of count r.

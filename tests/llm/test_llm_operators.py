@@ -168,6 +168,23 @@ def test_katz_discounts_with_groups_of_copies(spark):
     assert katz.discounts({}) == katz.discounts({1: 3, 2: 1}) == [1 - 0.5 / c for c in range(1, 6)]
 
 
+def test_katz_sends_counts_and_sorts_pairs_as_one_number(monkeypatch):
+    rng = np.random.default_rng(9)
+    high, low = rng.integers(0, 50, 500), rng.integers(0, 2**20, 500)
+    expected = sorted(zip(high.tolist(), low.tolist()))
+    assert [(high[n], low[n]) for n in katz.pair_order(high, low)] == expected
+    wide = high << 50
+    assert [(wide[n], low[n]) for n in katz.pair_order(wide, low)] == [(a << 50, b) for a, b in expected]
+    model = katz.Model(2)
+    model.factors, model.denominator = [[], [0.4, 0.5, 0.6, 0.7, 0.8]], 1000.0
+    pack = lambda values: katz.packed(np.array(values))
+    table = katz.pa.table({
+        "bucket": [0], "block": [1], "history": [katz.increasing(np.array([1, 1, 2]))], "word": [pack([3, 4, 3])], "counts": [pack([2, 1, 0])], "lower": [pack([7, 2, 0])],
+    })
+    rows = [row for row in katz.met_grams(table, 1, True, model).to_pylist() if row["kind"] == "history"]
+    assert [(row["history"], row["c"]) for row in rows] == [(1, 3)] and math.isclose(rows[0]["lower"], 0.007 + 0.001)
+
+
 def test_katz_odd_rows(docs):
     scores, model = katz.score(docs, F.col("doc_id") != 0)
     assert scores.count() == len(TEXTS) + 2 and scores.where("score IS NULL OR isnan(score) OR score > 0").count() == 0
