@@ -9,12 +9,11 @@ threshold misses all its meetings with probability (1 - s)**trees, s >= 1 - (1 -
 
 Candidates pass bounds that no pair at the threshold fails, the dearer ones later: sizes and 512 parities of bucket counts as
 members meet, then the bucket counts themselves, folded to the smaller set's width: first a bucket for about eight shingles, so that little
-travels with a pair, then one for about two. Pairs inside one component are
-dropped, one pair of each class is confirmed before the others, and full sets, which decide, are made for what
-is left alone. Nothing but the trees can miss a link.
+travels with a pair, then one for about two. Pairs inside one component are dropped, one pair of each class is confirmed before the others,
+and full sets, which decide, are made for what is left alone. Nothing but the trees can miss a link.
 
 Nodes that stay large at the last level are compared exhaustively across components, in as many slices as their size asks for, so
-nothing is dropped.
+nothing is dropped; the largest component of a node is never compared with itself.
 
 Defined cases: a document without words, or a null text, has an empty set, is linked with nothing and is its own component;
 fewer words than a shingle are one shingle; rows are judged each by its text, also those that share an id; rows with a null id
