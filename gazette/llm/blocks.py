@@ -7,6 +7,7 @@ Tables are then joined with the distinct words of blocks instead of with every w
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -32,8 +33,8 @@ class Numbers(dict):
 
 def packed(numbers: np.ndarray) -> bytes:
     """Whole numbers below 2**32 as compressed byte planes."""
-    planes = np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T)
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+    planes = np.ascontiguousarray(numbers.astype("<u4", copy=False).view(np.uint8).reshape(-1, 4).T)
+    return zstandard.ZstdCompressor(level=1).compress(planes.ravel())
 
 
 def unpacked(data: bytes) -> np.ndarray:
@@ -49,12 +50,12 @@ def blocks(docs: DataFrame, split: Callable[[], Callable[[str], list]], word_typ
         splitter, first = split(), TaskContext.get().partitionId() << BLOCK_BITS
         made = 0
 
-        def block(keys: list, kind: pa.DataType, counts: list, places: list, numbers: Numbers) -> pa.RecordBatch:
-            values = [first + made, keys, packed(np.array(counts, np.uint32)), packed(np.array(places, np.uint32)), describe(list(numbers))]
+        def block(keys: list, kind: pa.DataType, counts: array, places: array, numbers: Numbers) -> pa.RecordBatch:
+            values = [first + made, keys, packed(np.frombuffer(counts, np.uint32)), packed(np.frombuffer(places, np.uint32)), describe(list(numbers))]
             kinds = [pa.int64(), pa.list_(kind), pa.binary(), pa.binary(), pa.list_(arrow)]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds, strict=True)], ["block", "keys", "counts", "places", "words"])
 
-        keys, counts, places, numbers, size, kind = [], [], [], Numbers(), 0, None
+        keys, counts, places, numbers, size, kind = [], array("I"), array("I"), Numbers(), 0, None
         for batch in batches:
             kind = batch.schema.field(0).type
             for one, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -62,7 +63,7 @@ def blocks(docs: DataFrame, split: Callable[[], Callable[[str], list]], word_typ
                 if keys and size + len(body) > block_bytes:
                     yield block(keys, kind, counts, places, numbers)
                     made += 1
-                    keys, counts, places, numbers, size = [], [], [], Numbers(), 0
+                    keys, counts, places, numbers, size = [], array("I"), array("I"), Numbers(), 0
                 words = splitter(body)
                 keys.append(one)
                 counts.append(len(words))

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazette.session import work_dir
+from gazette.session import bound_batches, work_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def stage(frame: DataFrame, label: str, *by: str) -> DataFrame:
     """Write a step to the shared folder, in folders ``by`` columns, and read it back: lineage ends here and a lost executor costs nothing."""
+    bound_batches(frame.sparkSession)
     path = work_dir(frame.sparkSession, label)
     frame.write.partitionBy(*by).parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
@@ -27,7 +28,7 @@ def bucketed(frame: DataFrame, label: str, key: str) -> DataFrame:
     The session's catalogue knows the table only while it is written; the frame goes on reading its files.
     """
     spark, name = frame.sparkSession, f"{label}_{uuid.uuid4().hex}".replace("-", "_")
-    path = work_dir(spark, label)
+    path = work_dir(bound_batches(spark), label)
     frame.write.bucketBy(partitions(spark), key).option("path", path).option("compression", "zstd").format("parquet").saveAsTable(name)
     rows = spark.table(name)
     spark.sql(f"DROP TABLE {name}")

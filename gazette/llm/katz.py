@@ -46,6 +46,8 @@ HOT_COUNT = 1 << 14
 #: Buckets of packets for each partition of a shuffle: a bucket is one group in memory.
 BUCKETS = 2
 UNKNOWN, BEGIN = -1, 0
+#: Places that are scored at once, and rows of a bucket's result that travel as one batch.
+SCORED, MET_ROWS = 1 << 16, 1 << 16
 RESULT = "key {kind}, n_tokens bigint, n_known bigint, base_score double, score double"
 
 
@@ -65,10 +67,10 @@ def stirred(x: np.ndarray) -> np.ndarray:
 
 def packed(numbers: np.ndarray) -> bytes:
     """Whole numbers as compressed byte planes, as many as the largest one needs."""
-    numbers = np.ascontiguousarray(numbers).astype("<u8")
+    numbers = np.ascontiguousarray(numbers).astype("<u8", copy=False)
     width = max((int(numbers.max(initial=0)).bit_length() + 7) // 8, 1)
     planes = np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, 8)[:, :width].T)
-    return bytes([width]) + zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+    return bytes([width]) + zstandard.ZstdCompressor(level=1).compress(planes.ravel())
 
 
 def numbers_of(data: bytes) -> np.ndarray:
@@ -98,6 +100,16 @@ def hash_buckets(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return (((hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
 
 
+def narrow(numbers: np.ndarray) -> np.ndarray:
+    """Whole numbers, none under that of an unknown word, in as few bytes as they need."""
+    return numbers.astype(np.int32) if int(numbers.max(initial=0)) < (1 << 31) - 1 else numbers
+
+
+def before_each(values: np.ndarray) -> np.ndarray:
+    """What the place before has, an unknown word before the first."""
+    return np.concatenate([np.array([UNKNOWN], values.dtype), values[:-1]])
+
+
 def pair_order(high: np.ndarray, low: np.ndarray) -> np.ndarray:
     """Order of pairs of whole numbers from 0 on; pairs that fit are sorted as one number."""
     bits = int(low.max(initial=0)).bit_length()
@@ -207,7 +219,7 @@ class Block:
         self.words = np.append(np.array(row["words"], np.int64).view(np.uint64), END)
         owner = np.repeat(np.arange(len(counts)), counts)
         size = len(places) + len(counts) * (pads + 1)
-        self.token, self.document = np.full(size, -1, np.int64), np.full(size, -1, np.int64)
+        self.token, self.document = np.full(size, -1, np.int32), np.full(size, -1, np.int32)
         at = np.arange(len(places)) + owner * (pads + 1) + pads
         ends = np.cumsum(counts + pads + 1) - 1
         self.token[at], self.document[at] = places, owner
@@ -217,7 +229,6 @@ class Block:
         self.learned = self.inside & learn[self.document]
         self.number: list[np.ndarray] = []
         self.count: list[np.ndarray] = []
-        self.share: list[np.ndarray] = []
         self.total: list[np.ndarray] = []
         self.weight: list[np.ndarray] = []
         for n in range(1, model.order + 1):
@@ -234,15 +245,15 @@ class Block:
 
     def grams(self, n: int) -> tuple[np.ndarray, ...]:
         """Places whose n-gram may be known, which of the distinct n-grams each has, and these as they are sent: bucket, history, word, an own place."""
-        before = np.concatenate([[UNKNOWN], self.number[n - 2][:-1]])
+        before = before_each(self.number[n - 2])
         at = np.flatnonzero(self.inside & (before >= 0) & (self.number[0] > 0))
-        history, word = before[at], self.number[0][at]
+        history, word = before[at].astype(np.int64), self.number[0][at].astype(np.int64)
         order = pair_order(history, word)
         fresh = np.ones(len(order), bool)
         fresh[1:] = (np.diff(history[order]) != 0) | (np.diff(word[order]) != 0)
         first, each = order[fresh], np.cumsum(fresh) - 1
         history, word, first = history[first], word[first], at[first]
-        often = np.where(history == BEGIN, self.model.documents, np.concatenate([[0], self.count[n - 2][:-1]])[first])
+        often = np.where(history == BEGIN, self.model.documents, before_each(self.count[n - 2])[first].astype(np.int64))
         salts = 1 + often // max(self.model.tokens // (4 * self.buckets), HOT_COUNT)
         sub = stirred(word.astype(np.uint64) * STIR) % salts.astype(np.uint64)
         bucket = (stirred(history.astype(np.uint64) * STIR + sub) % np.uint64(self.buckets)).astype(np.int64)
@@ -259,35 +270,38 @@ class Block:
             met[self.token_before()[self.inside]] = True
             before = self.word_number[met]
         else:
-            before = np.concatenate([[UNKNOWN], self.number[n - 2][:-1]])[self.inside]
+            before = before_each(self.number[n - 2])[self.inside]
         found = np.unique(before[before >= 0])
         return found[bucket_order(found % self.buckets, self.buckets)]
 
     def token_before(self) -> np.ndarray:
         """Local word before each place, the last of ``word_number`` where a document begins."""
-        return np.concatenate([[-1], self.token[:-1]])
+        return before_each(self.token)
 
     def take(self, n: int, answer: list[dict], back: list[dict]) -> None:
         """The answers to what was sent for an order: counts and numbers, and its histories' totals and weights."""
         counts = np.concatenate([numbers_of(one["counts"]) for one in answer] or [np.zeros(0, np.uint64)]).astype(np.int64)
         numbers = np.concatenate([numbers_of(one["numbers"]) for one in answer] or [np.zeros(0, np.uint64)]).astype(np.int64)
-        number, count = np.full(len(self.token), UNKNOWN), np.zeros(len(self.token), np.int64)
-        total, weight = np.zeros(len(self.token)), np.ones(len(self.token))
+        number, count = np.full(len(self.token), UNKNOWN, np.int32), np.zeros(len(self.token), np.int32)
+        # Unigrams have no histories.
+        total, weight = (np.broadcast_to(value, len(self.token)) for value in (0.0, 1.0)) if n == 1 else (np.zeros(len(self.token)), np.ones(len(self.token)))
+        counts, numbers = narrow(counts), narrow(numbers)
         if n == 1:
             own_number, own_count = np.empty(len(self.words), np.int64), np.empty(len(self.words), np.int64)
+            number, count = number.astype(numbers.dtype, copy=False), count.astype(counts.dtype, copy=False)
             sent = self.word_order()
             own_number[sent], own_count[sent] = np.where(counts > 0, numbers, UNKNOWN), counts
             number[self.inside], count[self.inside] = own_number[self.token[self.inside]], own_count[self.token[self.inside]]
             self.word_number = np.append(own_number, BEGIN)
-            share = discounted(count, self.model.factors[1]) / self.model.denominator
         else:
+            number, count = number.astype(numbers.dtype, copy=False), count.astype(counts.dtype, copy=False)
             at, which, *_ = self.grams(n)
             count[at] = counts[which] if len(at) else 0
             if len(numbers):
                 number[at] = np.where(counts[which] > 0, numbers[which], UNKNOWN)
             asked = self.asked_histories(n)
             place = np.argsort(asked, kind="stable")
-            before = np.concatenate([[UNKNOWN], self.number[n - 2][:-1]])
+            before = before_each(self.number[n - 2])
             known = self.inside & (before >= 0)
             if len(asked):
                 if n == 2:
@@ -296,22 +310,33 @@ class Block:
                     where = place[np.searchsorted(asked[place], before[known])]
                 total[known] = np.concatenate([floats_of(one["totals"]) for one in back])[where]
                 weight[known] = np.concatenate([floats_of(one["weights"]) for one in back])[where]
-            share = np.where(total > 0, discounted(count, self.model.factors[n]) / np.where(total > 0, total, 1), 0)
         number[~self.inside] = BEGIN
         self.number.append(number)
         self.count.append(count)
-        self.share.append(share)
         self.total.append(total)
         self.weight.append(weight)
 
+    def share(self, n: int, at: np.ndarray | slice = slice(None)) -> np.ndarray:
+        """Discounted shares of the n-grams that end at places."""
+        value = discounted(self.count[n - 1][at], self.model.factors[n])
+        if n == 1:
+            return value / self.model.denominator
+        total = self.total[n - 1][at]
+        return np.where(total > 0, value / np.where(total > 0, total, 1), 0)
+
     def scores(self) -> np.ndarray:
         """log10 probability of every place: the longest known n-gram's share, or the weight times the shorter one's."""
         if not self.model.tokens:
             return np.zeros(len(self.token))
-        score = np.log10(np.where(self.share[0] > 0, self.share[0], max(self.model.unknown, 1e-300)))
-        for n in range(1, self.model.order):
-            shorter = score + np.log10(np.where(self.total[n] > 0, np.maximum(self.weight[n], 1e-300), 1.0))
-            score = np.where(self.share[n] > 0, np.log10(np.where(self.share[n] > 0, self.share[n], 1)), shorter)
+        score = np.empty(len(self.token))
+        for low in range(0, len(score), SCORED):
+            at = slice(low, low + SCORED)
+            share = self.share(1, at)
+            part = np.log10(np.where(share > 0, share, max(self.model.unknown, 1e-300)))
+            for n in range(2, self.model.order + 1):
+                shorter, share = part + np.log10(np.where(self.total[n - 1][at] > 0, np.maximum(self.weight[n - 1][at], 1e-300), 1.0)), self.share(n, at)
+                part = np.where(share > 0, np.log10(np.where(share > 0, share, 1)), shorter)
+            score[at] = part
         return score
 
 
@@ -323,7 +348,10 @@ MET_TYPES = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "bi
 def met_table(rows: int, **columns) -> pa.Table:
     """Rows of the buckets' result; what is not given is null."""
     fields = [one.split() for one in MET.split(", ")]
-    return pa.table({name: pa.array(columns[name], MET_TYPES[kind]) if name in columns else pa.nulls(rows, MET_TYPES[kind]) for name, kind in fields})
+    given = {name: columns[name] if isinstance(columns[name], pa.Array) else pa.array(columns[name], MET_TYPES[kind]) for name, kind in fields if name in columns}
+    empty = {kind: pa.nulls(min(rows, MET_ROWS), MET_TYPES[kind]) for kind in MET_TYPES}
+    parts = [(low, min(MET_ROWS, rows - low)) for low in range(0, max(rows, 1), MET_ROWS)]
+    return pa.table({name: pa.chunked_array([given[name].slice(*part) if name in given else empty[kind].slice(0, part[1]) for part in parts], MET_TYPES[kind]) for name, kind in fields})
 
 
 def sent_rows(row: dict, bucket: np.ndarray, *columns: tuple[np.ndarray, object]) -> Iterator[pa.RecordBatch]:
@@ -348,7 +376,7 @@ def met_words(table: pa.Table, buckets: int) -> pa.Table:
     number[falling] = np.arange(len(falling)) * buckets + bucket + 1
     return pa.concat_tables([
         answers(table, each.ravel(), [len(part) for part in parts], number, counts),
-        met_table(len(falling), kind=["gram"] * len(falling), history=np.full(len(falling), BEGIN), word=hashes[falling].view(np.int64), number=number[falling], c=counts[falling]),
+        met_table(len(falling), kind=pa.repeat("gram", len(falling)), history=np.full(len(falling), BEGIN), word=hashes[falling].view(np.int64), number=number[falling], c=counts[falling]),
     ])
 
 
@@ -383,10 +411,10 @@ def met_grams(table: pa.Table, buckets: int, last: bool, unigrams: Model | None
     history, word, counts, lower, number = (x[known] for x in (history, word, counts, lower, number))
     if len(history):
         numbered = {} if last else {"number": number}
-        found.append(met_table(len(history), kind=["gram"] * len(history), history=history, word=word, c=counts, **numbered))
+        found.append(met_table(len(history), kind=pa.repeat("gram", len(history)), history=history, word=word, c=counts, **numbered))
         firsts = np.flatnonzero(np.concatenate([[True], np.diff(history) != 0]))
         sums = {f"n{r}": np.add.reduceat((counts == r).astype(np.int64), firsts) for r in range(1, MAX_DISCOUNTED + 1)}
-        found.append(met_table(len(firsts), kind=["history"] * len(firsts), history=history[firsts], c=np.add.reduceat(counts, firsts), lower=np.add.reduceat(lower, firsts), **sums))
+        found.append(met_table(len(firsts), kind=pa.repeat("history", len(firsts)), history=history[firsts], c=np.add.reduceat(counts, firsts), lower=np.add.reduceat(lower, firsts), **sums))
     return pa.concat_tables(found)
 
 
@@ -436,7 +464,7 @@ def with_order(whole: DataFrame, model: Model, n: int, buckets: int) -> DataFram
                 block = Block(row, scalars, buckets)
                 at, which, bucket, history, word, own = block.grams(n)
                 counts = np.bincount(which[block.learned[at]], minlength=len(history))
-                lower = (block.count[0][own], packed) if n == 2 else (block.share[n - 2][own], floats)
+                lower = (block.count[0][own], packed) if n == 2 else (block.share(n - 1, own), floats)
                 yield from sent_rows(row, bucket, (history, increasing), (word, packed), (counts, packed), (np.where(counts > 0, lower[0], 0), lower[1]))
 
     met = stage(whole.mapInArrow(send_grams, SENT).groupBy("bucket").applyInArrow(lambda table: met_grams(table, buckets, last, unigrams), MET), "katz-grams", "kind")
@@ -490,7 +518,7 @@ def score(docs: DataFrame, learn: Column, order: int = 2, key: str = "doc_id", t
             for row in rows_of(batch):
                 block, n = Block(row, scalars, buckets), len(row["keys"])
                 at = np.flatnonzero(block.inside)
-                owner, c, each = block.document[at], block.count[0][at], block.scores()
+                owner, c, each = block.document[at], block.count[0][at].astype(np.int64), block.scores()
                 base = np.log10((c + 1) / (scalars.tokens + scalars.types + 1))
                 columns = [
                     pa.array([one["key"] for one in row["keys"]], arrow), pa.array(np.bincount(owner, minlength=n)), pa.array(np.bincount(owner, c > 0, n).astype(np.int64)),

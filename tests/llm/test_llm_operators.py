@@ -16,7 +16,8 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from gazette.llm import bpe, decontaminate, katz, language_id, neardup, quality, repair, topk, warc
+from gazette.llm import blocks, bpe, decontaminate, katz, language_id, neardup, quality, repair, topk, warc
+from gazette.llm.common import bucketed, stage
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 DOCS = "doc_id bigint, text string, lang string, key string, words string, block int, rank string, number string"
@@ -324,3 +325,47 @@ def test_digest_of_query_columns(spark):
     row = spark.createDataFrame([(1, "abc")], "doc_id bigint, text string")
     ids = bpe.round_trip(row, PATH).select(F.sha2("ids", 256).alias("h"), "ids").first()
     assert ids.h == hashlib.sha256(bytes(ids.ids)).hexdigest()
+
+
+def test_katz_keeps_small_numbers_in_few_bytes():
+    """A block's places were held in 64-bit numbers, and shares of all orders beside them."""
+    rng = np.random.default_rng(5)
+    words = rng.integers(1, 2**40, 300).tolist()
+    places = rng.integers(0, 300, 5000)
+    row = {
+        "block": 1, "keys": [{"key": 1, "learn": True}, {"key": 2, "learn": False}], "words": words,
+        "places": blocks.packed(places), "counts": blocks.packed(np.array([4000, 1000])),
+    }
+    order = np.argsort(np.append(np.array(words, np.uint64), katz.END), kind="stable")
+    held = katz.Block(row, katz.Model(2), 4).word_counts()[order]
+    model = katz.Model(2)
+    model.tokens, model.types, model.documents, model.denominator, model.factors = 4001, 301, 1, 4001.0, [[], [0.5] * 5, [0.5] * 5]
+    answer = [{"counts": katz.packed(held), "numbers": katz.packed(np.arange(1, 302))}]
+    block = katz.Block({**row, "answer1": answer}, model, 4)
+    assert sum(x.dtype.itemsize for x in (block.token, block.document, block.number[0], block.count[0])) <= 16
+    assert block.total[0].strides == block.weight[0].strides == (0,)
+    _, which, _, history, word, _ = block.grams(2)
+    assert len(set(zip(history.tolist(), word.tolist()))) == len(history) == which.max() + 1
+    wide = katz.narrow(np.array([1 << 40, -1]))
+    assert wide.dtype == np.int64 and wide.tolist() == [1 << 40, -1] and katz.narrow(np.array([7, -1])).dtype == np.int32
+
+
+def test_results_of_a_bucket_travel_in_parts(monkeypatch):
+    """A bucket's n-grams went out as one batch with a column of nulls for each that they lack."""
+    monkeypatch.setattr(katz, "MET_ROWS", 4)
+    table = katz.met_table(10, kind=katz.pa.repeat("gram", 10), c=np.arange(10))
+    assert [batch.num_rows for batch in table.to_batches()] == [4, 4, 2]
+    assert table.column("c").to_pylist() == list(range(10)) and table.column("n1").null_count == 10
+    assert katz.met_table(0, kind=[]).num_rows == 0
+
+
+def test_operators_bound_the_batches_that_go_to_python(spark, docs):
+    """A batch of documents was as large as Spark's default allows, whatever the length of the texts."""
+    old = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    try:
+        for step in (lambda: stage(docs, "bound"), lambda: bucketed(docs, "bound", "doc_id")):
+            spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "64m")
+            assert step().count() == docs.count()
+            assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").removesuffix("b")) <= 2 << 20
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", old)
