@@ -79,6 +79,12 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def of_task(encode: Encoder) -> Encoder:
+    """The encoder without the words of earlier tasks: a word meets one task alone."""
+    encode.clear()
+    return encode
+
+
 def byte_of_letter() -> dict[str, int]:
     """Letters that stand for bytes in byte-level pieces: printable bytes for themselves, the others from 256 on."""
     printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -104,7 +110,7 @@ def encoded_words(dealt: DataFrame, path: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path)
+        encode = of_task(encoder(path))
         for batch in batches:
             codes = list(map(encode.__getitem__, batch.column("word").to_pylist()))
             sizes, ids = np.fromiter(map(len, codes), np.int64, len(codes)) // 4, np.frombuffer(b"".join(codes), "<u4")
@@ -131,6 +137,13 @@ def codes_of(parts: list[dict]) -> list[bytes]:
     return codes
 
 
+def pieces_of(found: pa.ListScalar) -> dict[int, bytes]:
+    """A block's pieces by id."""
+    if not found.is_valid:
+        return {}
+    return dict(zip(found.values.field("id").to_pylist(), found.values.field("piece").to_pylist(), strict=True))
+
+
 def used_pieces(tables: DataFrame, docs: DataFrame, path: str) -> DataFrame:
     """The pieces of the ids that each block has, by a join with the id-to-piece table."""
 
@@ -155,8 +168,8 @@ def round_trip(docs: DataFrame, path: str, key: str = "doc_id", text: str = "tex
         for batch in batches:
             kind = batch.column("keys").type.value_type
             for row in range(batch.num_rows):
-                keys, counts, places, codes, found = (batch.column(name)[row].as_py() for name in ("keys", "counts", "places", "parts", "pieces"))
-                codes, piece = codes_of(codes or []), {one["id"]: one["piece"] for one in found or []}
+                keys, counts, places, codes = (batch.column(name)[row].as_py() for name in ("keys", "counts", "places", "parts"))
+                codes, piece = codes_of(codes or []), pieces_of(batch.column("pieces")[row])
                 parts = [b"".join(map(piece.__getitem__, np.frombuffer(code, "<u4").tolist())) for code in codes]
                 places, at, rows, size = unpacked(places), 0, [], 0
                 for one, count in zip(keys, unpacked(counts).tolist(), strict=True):

@@ -369,3 +369,10 @@ def test_operators_bound_the_batches_that_go_to_python(spark, docs):
             assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").removesuffix("b")) <= 2 << 20
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", old)
+
+
+def test_encoder_keeps_no_words_of_other_tasks():
+    """Words are dealt by their hash, so those of an ended task never come again; they stayed in memory beside the next task's blocks."""
+    encode = bpe.Encoder(PATH)
+    assert encode("some words here") and len(encode) == 3
+    assert bpe.of_task(encode) is encode and not encode
