@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gazette.llm.blocks import text_blocks, texts_of
-from gazette.llm.common import bucketed, stage
+from gazette.llm.common import bucketed, bucketed_and_plain, stage
 from gazette.llm.components import components
 from gazette.operators.dedup import first_writer
 
@@ -44,7 +44,7 @@ SKETCH = [f"x{i}" for i in range(8)]
 SIGNATURE = "block bigint, number int, doc_id bigint, text_key binary, n_shingles bigint, set_key binary, tokens binary, coarse binary, counts binary, " + ", ".join(f"{name} bigint" for name in SKETCH)
 MAX_WORDS_KEPT = 400_000
 OUTPUT_BYTES = 4 << 20
-SLICE_ROWS = 256
+SLICE_ROWS = 1024
 
 _random = np.random.default_rng(20240229)
 FACTORS = _random.integers(1, 2**63, TOKENS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -170,8 +170,9 @@ def met(members: DataFrame, node_rows: int, percent: int) -> tuple[DataFrame, Da
     Every node offers its members with its smallest member and with one hashed member; small nodes offer all pairs.
     """
     sizes = members.groupBy("node").agg(F.count("*").alias("rows"), F.min("class").alias("smallest"), F.min_by("class", F.xxhash64(F.lit(1), "class")).alias("hashed")).where("rows > 1")
-    inside = stage(members.join(sizes, "node").select(*MEMBER, "rows", "smallest", "hashed"), "near-members")
-    large = inside.where(F.col("rows") > node_rows)
+    # Small nodes are compared where they were written; rows of a large one, which may be hot, are left to the planner to deal.
+    inside, plain = bucketed_and_plain(members.join(sizes, "node").select(*MEMBER, "rows", "smallest", "hashed"), "near-members", "node")
+    large = plain.where(F.col("rows") > node_rows)
     centres = side(large.where("class = smallest OR class = hashed"), "b", "node")
     stars = side(large, "a", "node").join(centres, "node").where(F.col("a") != F.col("b")).where(alike(percent))
     few = inside.where(F.col("rows") <= node_rows)
@@ -179,16 +180,17 @@ def met(members: DataFrame, node_rows: int, percent: int) -> tuple[DataFrame, Da
     return stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(pairs.select("a", "b")).distinct(), large.select(MEMBER)
 
 
-def undecided(large: DataFrame, found: DataFrame, node_pairs: int) -> DataFrame:
+def undecided(large: DataFrame, found: DataFrame, classes: DataFrame, node_pairs: int) -> DataFrame:
     """Members, with their component, of nodes whose members are in several components, and whether such a node is ``thin``.
 
-    A thin node has at most ``node_pairs`` pairs across its components for each of its members.
+    A thin node has at most ``node_pairs`` pairs across its components for each of its members. Members travel by
+    node and class alone; those that stay take their fields from the classes.
     """
-    marked = large.join(found, "class", "left").withColumn("component", F.coalesce("component", "class"))
+    marked = large.select("node", "class").join(found, "class", "left").withColumn("component", F.coalesce("component", "class"))
     parts = marked.groupBy("node", "component").agg(F.count("*").alias("rows"))
     rows = F.sum("rows").cast("double")
     sizes = parts.groupBy("node").agg(F.count("*").alias("parts"), ((rows * rows - F.sum(F.col("rows").cast("double") * F.col("rows"))) / 2 <= rows * node_pairs).alias("thin"))
-    return marked.join(sizes.where("parts > 1").select("node", "thin"), "node")
+    return marked.join(sizes.where("parts > 1").select("node", "thin"), "node").join(classes.select(*FIELDS), "class").select(*MEMBER, "component", "thin")
 
 
 def across(members: DataFrame, percent: int) -> DataFrame:
@@ -284,7 +286,7 @@ def placed(docs: DataFrame, key: str, text: str, k: int, percent: int, trees: in
     pairs, large = met(first_nodes(classes, trees, fanout), node_rows, percent)
     found = grown(pairs, found, classes, dealt, k, percent, True)
     for level in range(levels):
-        open_nodes = stage(undecided(large, found, node_pairs), "near-open")
+        open_nodes = stage(undecided(large, found, classes, node_pairs), "near-open")
         if not open_nodes.head(1):
             break
         last = level == levels - 1

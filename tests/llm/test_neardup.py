@@ -7,6 +7,7 @@ import random
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from gazette.llm import neardup
 from gazette.schemas import struct
@@ -137,3 +138,21 @@ def test_coarse_counts_never_drop_a_pair_and_are_narrower():
     apart = [np.unique(rng.integers(0, 2**63, 4000, np.uint64) * np.uint64(2)) for _ in range(2)]
     assert not neardup.may_be_alike(*(neardup.bucket_counts(one, 8) for one in apart), 8000, 80)
     assert len(neardup.bucket_counts(apart[0], 8)) * 2 < len(neardup.bucket_counts(apart[0]))
+
+
+def test_members_of_nodes_do_not_travel_with_their_sketches(spark):
+    """Small nodes' members were shuffled again to be compared, and open nodes' members took their sketches to every join."""
+    wide = ", ".join(f"{name} bigint" for name in neardup.SKETCH)
+    classes = spark.createDataFrame([(c, 50, *[c % 2] * len(neardup.SKETCH)) for c in range(40)], f"class bigint, n_shingles bigint, {wide}")
+    members = classes.select((F.col("class") % 2).alias("node"), *neardup.FIELDS).union(classes.where("class < 6").select(F.col("class").alias("node") % 3 + 10, *neardup.FIELDS))
+    pairs, large = neardup.met(members, 5, 80)
+    assert {node for node, in large.select("node").distinct().collect()} == {0, 1}
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan
+    found = spark.createDataFrame([(c, 0) for c in range(0, 30, 2)], "class bigint, component bigint")
+    open_nodes = neardup.undecided(large, found, classes, 100)
+    scans = open_nodes._jdf.queryExecution().executedPlan().toString().split("FileScan parquet ")[1:]
+    assert scans and not any("x0" in scan.splitlines()[0] for scan in scans)
+    fields = {c: (50, *[c % 2] * len(neardup.SKETCH)) for c in range(40)}
+    expected = {(c % 2, c, *fields[c], 0 if c % 2 == 0 and c < 30 else c, True) for c in range(40)}
+    assert set(map(tuple, open_nodes.collect())) == expected and open_nodes.count() == 40
