@@ -17,6 +17,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Blocks of a task and numbers in a block have so many bits; a slot is both in one long.
 NUMBER_BITS = 28
@@ -84,7 +85,7 @@ def text_blocks(docs: DataFrame, key: str = "doc_id", text: str = "text", block_
     """
     others = [F.col(f"`{name}`") for name in docs.columns if name != text] if rest else []
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.struct(*others).alias("rest") if others else F.lit(0).alias("rest"))
-    kinds = {name: rows.schema[name].dataType.simpleString() for name in ("key", "rest")}
+    held = T.StructField("rest" if rest else "keys", T.ArrayType(rows.schema["rest" if rest else "key"].dataType))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compressor, first, made = zstandard.ZstdCompressor(level=3), TaskContext.get().partitionId() << BLOCK_BITS, 0
@@ -114,8 +115,8 @@ def text_blocks(docs: DataFrame, key: str = "doc_id", text: str = "text", block_
         if texts:
             yield block()
 
-    held = f"rest array<{kinds['rest']}>" if rest else f"keys array<{kinds['key']}>"
-    return rows.mapInArrow(run, f"block bigint, {held}, digests array<binary>, sizes array<int>, nulls array<int>, body binary")
+    texts_held = T.StructType.fromDDL("digests array<binary>, sizes array<int>, nulls array<int>, body binary")
+    return rows.mapInArrow(run, T.StructType([T.StructField("block", T.LongType()), held, *texts_held.fields]))
 
 
 def texts_of(body: bytes, sizes: list[int]) -> list[bytes]:

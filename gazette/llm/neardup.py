@@ -33,6 +33,7 @@ import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gazette.llm.blocks import text_blocks, texts_of
 from gazette.llm.common import bucketed, bucketed_and_plain, stage
@@ -111,7 +112,7 @@ def may_be_alike(left: bytes, right: bytes, size: int, percent: int) -> bool:
     return apart * (100 + percent) <= size * (100 - percent)
 
 
-def signatures(dealt: DataFrame, k: int) -> DataFrame:
+def signatures(dealt: DataFrame, ids: Column, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         names = [one.split()[0] for one in SIGNATURE.split(", ")]
@@ -129,7 +130,7 @@ def signatures(dealt: DataFrame, k: int) -> DataFrame:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
                         rows, size = [], 0
 
-    return dealt.select("block", F.transform("keys", lambda one: one.cast("long")).alias("ids"), "sizes", "body").mapInArrow(run, SIGNATURE)
+    return dealt.select("block", ids.alias("ids"), "sizes", "body").mapInArrow(run, SIGNATURE)
 
 
 FIELDS = ["class", "n_shingles", *SKETCH]
@@ -274,15 +275,14 @@ def grown(pairs: DataFrame, found: DataFrame, classes: DataFrame, dealt: DataFra
     return found
 
 
-def placed(docs: DataFrame, key: str, text: str, k: int, percent: int, trees: int, fanout: int, node_rows: int, node_pairs: int, levels: int) -> DataFrame:
-    """Every row's ``doc_id, text_key, n_shingles`` and its component, a number; null for an empty set."""
-    dealt = bucketed(text_blocks(docs, key, text), "near-texts", "block")
-    signed = stage(signatures(dealt, k), "near-signatures")
+def placed(dealt: DataFrame, ids: Column, fields: list[str], k: int, percent: int, trees: int, fanout: int, node_rows: int, node_pairs: int, levels: int) -> DataFrame:
+    """Every document's ``fields`` of its signature and its component, a number; null for an empty set."""
+    signed = stage(signatures(dealt, ids, k), "near-signatures")
     alone = signed.where("n_shingles > 0").groupBy("set_key").agg(
         F.min(F.struct("block", "number")).alias("one"), *[F.first(c).alias(c) for c in ("n_shingles", "tokens", "coarse", "counts", *SKETCH)],
     )
     classes = stage(alone.select(F.monotonically_increasing_id().alias("class"), "one.*", "set_key", "n_shingles", "tokens", "coarse", "counts", *SKETCH), "near-classes")
-    found = docs.sparkSession.createDataFrame([], "class bigint, component bigint")
+    found = dealt.sparkSession.createDataFrame([], "class bigint, component bigint")
     pairs, large = met(first_nodes(classes, trees, fanout), node_rows, percent)
     found = grown(pairs, found, classes, dealt, k, percent, True)
     for level in range(levels):
@@ -295,13 +295,38 @@ def placed(docs: DataFrame, key: str, text: str, k: int, percent: int, trees: in
             more, large = met(branched(open_nodes.where("NOT thin").select(MEMBER), classes, fanout), node_rows, percent)
             pairs = pairs.union(more).distinct()
         found = grown(pairs, found, classes, dealt, k, percent, False)
-    member = signed.select("doc_id", "text_key", "n_shingles", "set_key").join(classes.select("set_key", "class"), "set_key", "left")
-    return member.join(found, "class", "left").select("doc_id", "text_key", "n_shingles", F.coalesce("component", "class").alias("component"))
+    member = signed.select(*fields, "set_key").join(classes.select("set_key", "class"), "set_key", "left")
+    return member.join(found, "class", "left").select(*fields, F.coalesce("component", "class").alias("component"))
+
+
+def documents_of(found: DataFrame, columns: list[str], text: str, listed: bool) -> DataFrame:
+    """Documents of blocks, with all their columns, block and number: those in the block's list ``numbers``, or those that are not."""
+    kind = T.StructType([T.StructField("block", T.LongType()), T.StructField("number", T.IntegerType()), T.StructField("rest", found.schema["rest"].dataType.elementType), T.StructField("text", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n in range(batch.num_rows):
+                row = {name: batch.column(name)[n].as_py() for name in ("block", "sizes", "nulls", "body", "numbers")}
+                rest, nulls, named = batch.column("rest")[n].values, set(row["nulls"]), set(row["numbers"] or [])
+                chosen = [number for number in range(len(row["sizes"])) if (number in named) == listed]
+                texts, own, size = texts_of(row["body"], row["sizes"]) if chosen else [], [], 0
+                for number in chosen:
+                    own.append(number)
+                    size += len(texts[number])
+                    if size > OUTPUT_BYTES or number == chosen[-1]:
+                        bodies = pa.array([None if one in nulls else texts[one].decode() for one in own], pa.string())
+                        yield pa.RecordBatch.from_arrays([pa.array([row["block"]] * len(own), pa.int64()), pa.array(own, pa.int32()), rest.take(pa.array(own)), bodies], ["block", "number", "rest", "text"])
+                        own, size = [], 0
+
+    opened = found.select("block", "rest", "sizes", "nulls", "body", "numbers").mapInArrow(run, kind)
+    return opened.select(F.struct(*[F.col("text").alias(name) if name == text else F.col(f"rest.`{name}`").alias(name) for name in columns]).alias("row"), "block", "number")
 
 
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, trees: int = 4, fanout: int = 2, node_rows: int = 24, node_pairs: int = 1500, levels: int = 6) -> DataFrame:
     """One row per row: doc_id, n_shingles, component_id (smallest id reachable through links), kept (whether that id is its own)."""
-    rows = stage(placed(docs, key, text, k, percent, trees, fanout, node_rows, node_pairs, levels), "near-placed")
+    dealt = bucketed(text_blocks(docs, key, text), "near-texts", "block")
+    ids = F.transform("keys", lambda one: one.cast("long"))
+    rows = stage(placed(dealt, ids, ["doc_id", "n_shingles"], k, percent, trees, fanout, node_rows, node_pairs, levels), "near-placed")
     least = rows.where("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("least"))
     named = rows.join(least, "component", "left").withColumn("component_id", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("least")))
     return named.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
@@ -311,18 +336,22 @@ def distinct_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
     """The documents, with all their columns, of which one of each group stays: that of the smallest id, a null id last.
 
     The decision is one about id and text, so rows that share an id go or stay each by its own text; of rows equal in both one stays.
-    Documents without words stay all.
+    Documents without words stay all. Texts stay in their blocks, which are told the numbers of the documents that go.
     """
-    rows = stage(placed(docs, key, text, k, percent, trees, fanout, node_rows, node_pairs, levels), "near-placed").where("component IS NOT NULL")
+    dealt = bucketed(text_blocks(docs, key, text, rest=True), "near-texts", "block")
+    ids = F.transform("rest", lambda one: one.getField(key).cast("long"))
+    fields = ["doc_id", "text_key", "block", "number"]
+    rows = stage(placed(dealt, ids, fields, k, percent, trees, fanout, node_rows, node_pairs, levels), "near-placed").where("component IS NOT NULL")
     own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
-    keepers = rows.groupBy("component").agg(F.min(own).alias("keeper"))
-    counts = rows.groupBy("component", "doc_id", "text_key").agg(F.count("*").alias("copies")).join(keepers, "component")
+    keepers = rows.groupBy("component").agg(F.min(own).alias("keeper"), F.count("*").alias("rows")).where("rows > 1")
     stays = F.col("doc_id").eqNullSafe(F.col("keeper.doc_id")) & (F.col("text_key") == F.col("keeper.text_key"))
-    judged = stage(counts.select(F.col("doc_id").alias("__other"), F.col("text_key").alias("__key"), "copies", stays.alias("stays")).where("NOT stays OR copies > 1"), "near-judged")
-    text_key = F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
-    wide = docs.select(F.col(key).cast("long").alias("__id"), text_key.alias("__text"), F.struct(*[F.col(f"`{name}`") for name in docs.columns]).alias("__row"))
-    same = F.col("__id").eqNullSafe(F.col("__other")) & (F.col("__text") == F.col("__key"))
-    single, repeated = wide.join(judged, same, "left_anti"), judged.where("stays")
+    judged = stage(rows.join(keepers, "component").select("component", "block", "number", stays.alias("stays")), "near-judged")
+    gone, stay = judged.where("NOT stays").select("block", "number"), judged.where("stays")
+    repeated = stay.join(stay.groupBy("component").agg(F.count("*").alias("copies")).where("copies > 1"), "component", "left_semi")
     if repeated.head(1):
-        single = single.union(first_writer(wide.join(repeated, same, "left_semi"), ["__id", "__text"], [F.xxhash64(F.to_json("__row"))]))
-    return single.select("__row.*")
+        named = repeated.groupBy("block").agg(F.collect_list("number").alias("numbers"))
+        copies = documents_of(dealt.join(named, "block"), docs.columns, text, True).join(repeated.select("component", "block", "number"), ["block", "number"])
+        one = first_writer(copies.select("component", F.xxhash64(F.to_json("row")).alias("order"), "block", "number"), "component", ["order", "block", "number"])
+        gone = gone.union(repeated.select("block", "number").join(one.select("block", "number"), ["block", "number"], "left_anti"))
+    numbers = gone.groupBy("block").agg(F.collect_list("number").alias("numbers"))
+    return documents_of(dealt.join(numbers, "block", "left"), docs.columns, text, False).select("row.*")

@@ -156,3 +156,17 @@ def test_members_of_nodes_do_not_travel_with_their_sketches(spark):
     fields = {c: (50, *[c % 2] * len(neardup.SKETCH)) for c in range(40)}
     expected = {(c % 2, c, *fields[c], 0 if c % 2 == 0 and c < 30 else c, True) for c in range(40)}
     assert set(map(tuple, open_nodes.collect())) == expected and open_nodes.count() == 40
+
+
+def test_documents_that_stay_are_not_shuffled(spark):
+    """Whole documents were shuffled to meet the decisions; of rows equal in id and text one stays, by the same order as ever."""
+    texts = [" ".join(f"w{i}x{j % 40}" for j in range(60)) for i in range(30)]
+    data = [(i, texts[i], i, "en") for i in range(30)] + [(40 + i, texts[i], i, "de") for i in range(10)] + [(3, texts[3], n, None) for n in (7, 8, 9)] + [(None, None, 1, "x"), (90, "", 2, "y")]
+    docs = spark.createDataFrame(data, "doc_id long, text string, `n, of: rows` int, lang string").repartition(3)
+    out = neardup.distinct_documents(docs)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.splitlines() if "Exchange" in line]
+    assert "near_texts" in plan and not any("text" in line for line in moved)
+    copies = docs.where("doc_id = 3").withColumn("h", F.xxhash64(F.to_json(F.struct(*[F.col(f"`{name}`") for name in docs.columns]))))
+    expected = {row for row in data if row[0] != 3 and (row[0] is None or row[0] < 40 or row[0] == 90)} | {tuple(copies.orderBy("h").first())[:-1]}
+    assert out.columns == docs.columns and out.count() == len(expected) and set(map(tuple, out.collect())) == expected
