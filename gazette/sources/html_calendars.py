@@ -17,10 +17,13 @@ ROW_TAG, CELL_TAG = r"<[tT][rR]\b[^>]*>", r"<[tT][dDhH]\b[^>]*>"
 ROW_END, CELL_END = r"(?s)</[tT](?:[rR]|[aA][bB][lL][eE])\b.*$", r"(?s)</[tT][dDhH]\b.*$"
 
 
+# More pieces than a text has tags: a length that needs no second split to be known.
+ALL_PIECES = 1 << 30
+
+
 def _after_tags(html: str, tag: str, end: str) -> str:
-    """What follows each opening tag, up to its end tag."""
-    pieces = f"split({html}, {raw(tag)})"
-    return f"transform(slice({pieces}, 2, size({pieces})), piece -> regexp_replace(piece, {raw(end)}, ''))"
+    """What follows each opening tag, up to its end tag; ``html`` is mentioned, and so computed, once."""
+    return f"transform(slice(split({html}, {raw(tag)}), 2, {ALL_PIECES}), piece -> regexp_replace(piece, {raw(end)}, ''))"
 
 
 def _release_columns(rows: DataFrame, kept: list[str], fault: Column, raw: str) -> DataFrame:
@@ -34,7 +37,7 @@ def parse_event_list(landing: DataFrame) -> DataFrame:
     """German event list: one block per result with a heading and labelled meta items (period, issue date)."""
     kept = [name for name in landing.columns if name != "body"]
     pieces = f"split(body, {raw(rf"(?i){with_class('c-result--event-preview', 'div')}")})"
-    blocks = landing.selectExpr(*kept, f"posexplode(slice({pieces}, 2, size({pieces}))) AS (item_pos, block)")
+    blocks = landing.selectExpr(*kept, f"posexplode(slice({pieces}, 2, {ALL_PIECES})) AS (item_pos, block)")
     meta = "trim(replace(" + plain_text("item") + ", 'ICS/iCal', ''))"
     metas = f"transform(regexp_extract_all(block, {raw(element_with_class('c-result-meta__item'))}, 2), item -> {meta})"
     listed = blocks.selectExpr(
@@ -128,10 +131,12 @@ def parse_market_pages(landing: DataFrame, page: list[str], year: str, currency:
     def cell(name: str) -> str:
         return f"coalesce(try_element_at(filter(cells, c -> array_contains(c.classes, 'calendar__{name}')), 1).cells, '')"
 
-    plain = ", ".join(plain_text(cell(name)) for name in MARKET_CELLS)
-    read = zipped.selectExpr(
-        *kept, "row_no", f"{event_impact(cell('impact'))} AS impact", f"concat_ws({CELL_MARK}, {plain}) AS _texts"
+    named = zipped.selectExpr(*kept, "row_no", f"{event_impact(cell('impact'))} AS impact", *[f"{cell(name)} AS _{name}" for name in MARKET_CELLS])
+    # Most cells are bare text, which needs none of the patterns.
+    plain = ", ".join(
+        f"if(contains(_{name}, '<') OR contains(_{name}, '&'), {plain_text(f'_{name}')}, {text.strip_space(f'_{name}')})" for name in MARKET_CELLS
     )
+    read = named.selectExpr(*kept, "row_no", "impact", f"concat_ws({CELL_MARK}, {plain}) AS _texts")
     read = text.decode_entities(read, "_texts").selectExpr(*kept, "row_no", "impact", f"split(_texts, {CELL_MARK}) AS _t")
     fields = {name: f"{text.strip_space(f'_t[{i}]')}" for i, name in enumerate(MARKET_CELLS)}
     read = read.selectExpr(

@@ -40,8 +40,8 @@ def property_pattern(name: str) -> str:
 def unescape(value: Column) -> Column:
     r"""``\n`` ``\,`` ``\;`` ``\\`` back to characters; a NUL holds the place of a double backslash meanwhile."""
     value = F.replace(value, F.lit("\\\\"), F.lit("\0"))
-    value = F.regexp_replace(value, r"\\[nN]", "\n")
-    value = F.regexp_replace(value, r"\\([,;])", "$1")
+    for escaped, plain in (("\\n", "\n"), ("\\N", "\n"), ("\\,", ","), ("\\;", ";")):
+        value = F.replace(value, F.lit(escaped), F.lit(plain))
     return F.replace(value, F.lit("\0"), F.lit("\\"))
 
 

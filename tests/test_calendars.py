@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from gazette import schemas
 from gazette.functions.keys import calendar_uid
+from gazette.sources import html_calendars
 from gazette.sources.config import DESTATIS_TOPICS, local_frame
+from gazette.sources.ics import unescape
 from gazette.sources.months import month_pages
 from gazette.sources.registry import collect, collect_market
 
@@ -120,3 +122,17 @@ def test_calendar_uid(spark):
                         schemas.struct("s string, t string, d timestamp"))
     first, second = [row.u for row in frame.select(calendar_uid(F.col("s"), F.col("t"), F.col("d")).alias("u")).collect()]
     assert first == hashlib.sha256(b"a|t|2026-08-14T10:00:00.000005+00:00").hexdigest() and second is None
+
+
+def test_bodies_are_split_once(spark):
+    """The pieces were counted by a second split, which found the table and all its tags again."""
+    text = html_calendars._after_tags("html", html_calendars.CELL_TAG, html_calendars.CELL_END)
+    assert text.count("html") == 1
+    rows = spark.createDataFrame([("a<td>1</td>x<TH b>2</th><td>3",), ("no tags",), ("",), (None,)], "html string").selectExpr(f"{text} AS cells")
+    assert [row.cells for row in rows.collect()] == [["1", "2", "3"], [], [], None]
+
+
+def test_escapes_are_undone_from_left_to_right(spark):
+    values = ["a\\, b\; c\\nd\\Ne", "\\\\n \\\\\\n \\\\, \\x \\", "\\\\\\\\N\\,\\n", "plain", None]
+    rows = spark.createDataFrame([(one,) for one in values], "v string").select(unescape(F.col("v")).alias("v"))
+    assert [row.v for row in rows.collect()] == ["a, b; c\nd\ne", "\\n \\\n \\, \\x \\", "\\\\N,\n", "plain", None]
