@@ -133,6 +133,6 @@ def test_bodies_are_split_once(spark):
 
 
 def test_escapes_are_undone_from_left_to_right(spark):
-    values = ["a\\, b\; c\\nd\\Ne", "\\\\n \\\\\\n \\\\, \\x \\", "\\\\\\\\N\\,\\n", "plain", None]
+    values = ["a\\, b\\; c\\nd\\Ne", "\\\\n \\\\\\n \\\\, \\x \\", "\\\\\\\\N\\,\\n", "plain", None]
     rows = spark.createDataFrame([(one,) for one in values], "v string").select(unescape(F.col("v")).alias("v"))
     assert [row.v for row in rows.collect()] == ["a, b; c\nd\ne", "\\n \\\n \\, \\x \\", "\\\\N,\n", "plain", None]
